@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, transducer
-from .common import table
+from . import langid, packing, quality, transducer
+from .common import id_fold, table
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -16,6 +17,17 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op5_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.label_documents(docs, langid.train(docs, langid.training_rows()))
+    return found.select("doc_id", (id_fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def op6_kernel_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), usable=quality.training_rows())
+    return found.select("doc_id", (id_fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op8_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.encode(table(spark, sf_dir, "documents"), vocabulary_path(), digest=True)
 
@@ -25,6 +37,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_viterbi_language": op5_viterbi_language,
+    "op6_kernel_quality": op6_kernel_quality,
     "op8_transducer_bpe": op8_transducer_bpe,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
