@@ -11,6 +11,7 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,7 @@ SCRIPTS = {
 }
 
 
+@cache
 def script_of(char: str) -> str | None:
     """The script of a letter, None for everything else and for letters outside the table."""
     if not char.isalpha():
@@ -92,8 +94,8 @@ class LanguageModel:
         found = self.words.get(core)
         if found is None:
             found = [sum(c) for c in zip(*(self.trigrams.get(t, self.unseen) for t in trigrams(core)), strict=True)]
-        used = Counter(s for c in core if (s := script_of(c)))
-        allowed = self.scripts.get(used.most_common(1)[0][0]) if used else None
+        used = [s for s in map(script_of, core) if s]
+        allowed = self.scripts.get(max(set(used), key=used.count)) if used else None
         if allowed is None or not any(allowed):
             allowed = (True,) * n
         best = max(v for v, a in zip(found, allowed, strict=True) if a)

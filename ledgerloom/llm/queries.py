@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality, transducer
+from . import langid, packing, quality, rules, transducer
 from .common import id_fold, table
 
 
@@ -17,6 +17,10 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.label_documents(docs, langid.train(docs, langid.training_rows()))
@@ -37,6 +41,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decision_list": op2_decision_list,
     "op5_viterbi_language": op5_viterbi_language,
     "op6_kernel_quality": op6_kernel_quality,
     "op8_transducer_bpe": op8_transducer_bpe,
