@@ -51,7 +51,7 @@ def whole_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def bounded(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHARS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+def bounded(batches: Iterator[pa.RecordBatch], column: str | int = "text", limit: int = CHARS_AT_ONCE) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``limit`` bytes of ``column``; a longer text makes a slice of its own."""
     for batch in batches:
         sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()

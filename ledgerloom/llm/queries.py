@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality, rules, transducer
+from . import chat, langid, matroska, packing, pii, quality, rules, transducer
 from .common import id_fold, table
 
 
@@ -17,10 +17,56 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_matroska_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.read_back(matroska.store_texts(table(spark, sf_dir, "documents")))
+
+
 def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: A conversation whose texts consist of the template's own control strings.
+CONTROL_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op3_prefix_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.expand(turns.unionByName(spark.createDataFrame(CONTROL_TURNS, turns.schema))))
+
+
+OP3_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *,
+    length(replace(replace(replace(replace(replace(replace(replace(replace(replace(text,
+      '\', '\\'), '<<SYS>>', '<+<SYS>>'), '<</SYS>>', '<+</SYS>>'), '[INST]', '[+INST]'), '[/INST]', '[+/INST]'),
+      '<s>', '<+s>'), '</s>', '<+/s>'), '[ROLE]', '[+ROLE]'), '[/ROLE]', '[+/ROLE]'))
+    + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 17 + length(role) END AS chars
+  FROM turns
+), placed AS (
+  SELECT *,
+    sum(chars) OVER w AS upto,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) = 1 AS last
+  FROM sized WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)
+)
+SELECT conv_id,
+  count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (sum(upto) FILTER (role = 'assistant' OR last))::BIGINT AS formatted_chars,
+  count(*) FILTER (role = 'assistant' OR last) AS n_examples
+FROM placed GROUP BY conv_id
+"""
+
+
+def op4_confirmed_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op5_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.label_documents(docs, langid.train(docs, langid.training_rows()))
@@ -41,7 +87,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_matroska_packets": op1_matroska_packets,
     "op2_decision_list": op2_decision_list,
+    "op3_prefix_target": op3_prefix_target,
+    "op4_confirmed_pii": op4_confirmed_pii,
     "op5_viterbi_language": op5_viterbi_language,
     "op6_kernel_quality": op6_kernel_quality,
     "op8_transducer_bpe": op8_transducer_bpe,
@@ -49,4 +98,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_prefix_target": OP3_SQL}
