@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, matroska, packing, pii, quality, rules, transducer
+from . import chat, langid, matroska, neardup, packing, pii, quality, rules, transducer
 from .common import id_fold, table
 
 
@@ -78,6 +78,10 @@ def op6_kernel_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op7_probminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents")).withColumnRenamed("nid", "doc_id")
+
+
 def op8_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.encode(table(spark, sf_dir, "documents"), vocabulary_path(), digest=True)
 
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_confirmed_pii": op4_confirmed_pii,
     "op5_viterbi_language": op5_viterbi_language,
     "op6_kernel_quality": op6_kernel_quality,
+    "op7_probminhash_classes": op7_probminhash_classes,
     "op8_transducer_bpe": op8_transducer_bpe,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
