@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, matroska, neardup, packing, pii, quality, rules, transducer
+from . import chat, langid, matroska, neardup, packing, pii, quality, rules, suffixtree, transducer
 from .common import id_fold, table
 
 
@@ -86,6 +86,11 @@ def op8_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.encode(table(spark, sf_dir, "documents"), vocabulary_path(), digest=True)
 
 
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixtree.score_documents(table(spark, sf_dir, "documents"), suffixtree.training_rows())
+    return found.select("doc_id", (id_fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_kernel_quality": op6_kernel_quality,
     "op7_probminhash_classes": op7_probminhash_classes,
     "op8_transducer_bpe": op8_transducer_bpe,
+    "op9_suffix_tree": op9_suffix_tree,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
