@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHARS_AT_ONCE, arrow_of, bounded, id_fold, rows_out, scratch, type_of, whole_texts
+from .common import arrow_of, bounded, id_fold, rows_out, scratch, type_of, whole_texts
 
 UNKNOWN = "und"
 #: Log-probability that a change of language between two words costs.
@@ -58,15 +58,17 @@ def script_of(char: str) -> str | None:
     return next((name for name, ranges in SCRIPTS.items() if any(a <= at <= b for a, b in ranges)), None)
 
 
+#: What most often stands around a word's letters (fixed values; other characters are found one by one).
+_AROUND = " .,;:!?'\"()[]{}<>|*#$%&+-_/\\=~^@`0123456789"
+
+
 def letters_of(word: str) -> str:
     """The word in lower case without what surrounds its letters."""
-    word = word.lower()
-    start, end = 0, len(word)
-    while start < end and not word[start].isalpha():
-        start += 1
-    while end > start and not word[end - 1].isalpha():
-        end -= 1
-    return word[start:end]
+    word = word.strip(_AROUND).lower()
+    if word and not (word[0].isalpha() and word[-1].isalpha()):
+        inside = [i for i, c in enumerate(word) if c.isalpha()]
+        word = word[inside[0] : inside[-1] + 1] if inside else ""
+    return word
 
 
 def trigrams(word: str) -> list[str]:
@@ -76,30 +78,30 @@ def trigrams(word: str) -> list[str]:
 
 @dataclass
 class LanguageModel:
-    """Word and trigram log-probabilities by language; its size is bounded by the words kept for each."""
+    """Word scores and trigram log-probabilities by language; its size is bounded by the words kept for each."""
 
     languages: list[str]
-    words: dict[str, tuple[float, ...]] = field(default_factory=dict)
+    words: dict[str, tuple[float, ...]] = field(default_factory=dict)  # scores
     trigrams: dict[str, tuple[float, ...]] = field(default_factory=dict)
     unseen: tuple[float, ...] = ()
     scripts: dict[str, tuple[bool, ...]] = field(default_factory=dict)
 
-    def word_score(self, word: str) -> tuple[float, ...]:
-        """Log-probability of the word under each language, relative to the best and at least -WORD_RANGE;
-        languages that never use the word's script get -4 * WORD_RANGE."""
-        n = len(self.languages)
-        core = letters_of(word)
-        if not core:
-            return (0.0,) * n
+    def score(self, core: str) -> tuple[float, ...]:
+        """Log-probability of a word's letters under each language, relative to the best and at least
+        -WORD_RANGE; languages that never use the word's script get -4 * WORD_RANGE."""
         found = self.words.get(core)
         if found is None:
-            found = [sum(c) for c in zip(*(self.trigrams.get(t, self.unseen) for t in trigrams(core)), strict=True)]
+            found = self.relative(core, [sum(c) for c in zip(*(self.trigrams.get(t, self.unseen) for t in trigrams(core)), strict=True)])
+        return found
+
+    def relative(self, core: str, logs: Sequence[float]) -> tuple[float, ...]:
         used = [s for s in map(script_of, core) if s]
         allowed = self.scripts.get(max(set(used), key=used.count)) if used else None
-        if allowed is None or not any(allowed):
-            allowed = (True,) * n
-        best = max(v for v, a in zip(found, allowed, strict=True) if a)
-        return tuple(max(v - best, -WORD_RANGE) if a else -4 * WORD_RANGE for v, a in zip(found, allowed, strict=True))
+        if allowed is None or all(allowed) or not any(allowed):
+            best = max(logs)
+            return tuple([max(v - best, -WORD_RANGE) for v in logs])
+        best = max(v for v, a in zip(logs, allowed, strict=True) if a)
+        return tuple(max(v - best, -WORD_RANGE) if a else -4 * WORD_RANGE for v, a in zip(logs, allowed, strict=True))
 
 
 def train(docs: DataFrame, usable: Column, *, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", max_docs: int = TRAINING_DOCS) -> LanguageModel:
@@ -157,7 +159,9 @@ def fit(languages: list[str], counts: list[tuple[str, str, int]]) -> LanguageMod
     gram_logs, unseen = logs(grams, 0.5)
     by_lang = [max(1, sum(v[i] for v in scripts.values())) for i in range(n)]
     allowed = {s: tuple(c >= 0.01 * t for c, t in zip(v, by_lang, strict=True)) for s, v in scripts.items()}
-    return LanguageModel(languages, word_logs, gram_logs, unseen, allowed)
+    model = LanguageModel(languages, {}, gram_logs, unseen, allowed)
+    model.words = {w: model.relative(w, v) for w, v in word_logs.items()}
+    return model
 
 
 def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
@@ -206,19 +210,29 @@ class Labeller:
 
     def __init__(self, model: LanguageModel, penalty: float = SWITCH_PENALTY):
         self.model, self.penalty = model, penalty
+        self._clear()
+
+    def _clear(self) -> None:
+        """Number 0 is for words without letters, which speak for no language."""
         self.ids: dict[str, int] = {}
-        self.rows: list[tuple[float, ...]] = []
-        self.weights: list[int] = []
+        self.cores: dict[str, int] = {"": 0}
+        self.rows: list[tuple[float, ...]] = [(0.0,) * len(self.model.languages)]
+        self.weights: list[int] = [0]
 
     def _numbers(self, words: list[list[str]]) -> None:
         new = set().union(*words) - self.ids.keys() if words else set()
         if len(self.ids) + len(new) > self.HELD:
-            self.ids, self.rows, self.weights = {}, [], []
+            self._clear()
             new = set().union(*words)
+        ids, cores = self.ids, self.cores
         for w in new:
-            self.ids[w] = len(self.rows)
-            self.rows.append(self.model.word_score(w))
-            self.weights.append(sum(map(str.isalpha, w)))
+            core = letters_of(w)
+            number = cores.get(core)
+            if number is None:
+                number = cores[core] = len(self.rows)
+                self.rows.append(self.model.score(core))
+                self.weights.append(len(core))
+            ids[w] = number
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """(language, score, spans) of each text; spans are (first word, words, language) over white-space words."""
@@ -229,7 +243,7 @@ class Labeller:
         self._numbers(words)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ids = np.concatenate([np.fromiter(map(self.ids.__getitem__, w), np.int64, len(w)) for w in words]) if len(words) else np.zeros(0, np.int64)
-        table, weight = np.array(self.rows or [(0.0,) * n], np.float32), np.array(self.weights or [0], np.int64)[ids]
+        table, weight = np.array(self.rows, np.float32), np.array(self.weights, np.int64)[ids]
         labels = viterbi(table[ids].astype(np.float64), sizes, self.penalty)
         ends = np.cumsum(sizes)
         doc = np.repeat(np.arange(len(words)), sizes)
@@ -267,7 +281,7 @@ def label_documents(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shipped.value)
-        for batch in bounded(batches, limit=2 * CHARS_AT_ONCE):
+        for batch in bounded(batches):
             found = labeller.label(batch.column("text").to_pylist())
             spans = [[{"first_word": a, "words": n, "lang": lang} for a, n, lang in x[2]] for x in found]
             yield rows_out(schema, [batch.column("doc_id"), [x[0] for x in found], [x[1] for x in found], spans])
