@@ -7,9 +7,9 @@ every register's. Two texts agree in a register with their probability Jaccard s
 Registers are banded into buckets, candidates are compared exactly, and linked texts form classes.
 
 Only distinct texts are compared. A bucket's members are compared with its hub, the member that
-shares most buckets with others; texts of one class are not compared again, and what then is
-left of a bucket with several classes is compared in further rounds until nothing is left, so
-buckets have no cap and no group is enumerated.
+shares most buckets with others; texts of one class are not compared again. What is then left of
+a bucket with several classes is compared across classes: pair by pair in small buckets, in cells
+of bounded size in large ones. So buckets have no cap and no link between classes is lost.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -26,8 +27,9 @@ from .common import arrow_of, bounded, rows_out, scratch, whole_texts
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
-#: Buckets up to this size compare what is left of them at once; larger ones take so many hubs a round.
-SMALL_BUCKET, HUBS_A_ROUND = 48, 16
+#: Buckets up to this size compare what is left of them pair by pair; larger ones in cells of so many
+#: texts a side, the most shared texts of a group first.
+SMALL_BUCKET, CELL, HUBS = 48, 128, 64
 WORDS_HELD = 500_000
 
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -205,36 +207,90 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     texts = scratch(source.join(wanted, "nid", "left_semi").dropDuplicates(["nid"]), "texts")
     links = scratch(verified(tested, texts, similarity), "verified")
     labels = components(links)
-    turn = 0
-    while True:
-        labelled = held.join(labels, "nid", "left").select("bucket", "nid", "n", "size", F.coalesce("label", "nid").alias("label"))
-        mixed_up = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
-        open_rows = scratch(labelled.join(mixed_up, "bucket").filter("size > 2"), "open")
-        big = open_rows.filter(F.col("size") > SMALL_BUCKET)
-        other = lambda d: d.select("bucket", F.col("nid").alias("nid2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-        crossing = (F.col("label") != F.col("label2")) & _may_reach(F.col("n"), F.col("n2"), similarity)
-        few = open_rows.filter(F.col("size") <= SMALL_BUCKET)
-        new = few.join(other(few), "bucket").filter(crossing & (F.col("nid") < F.col("nid2"))).select(*_pairs(F.col("nid"), F.col("nid2")))
-        largest = big.agg(F.max("size")).first()[0] or 0
-        if largest:
-            chosen = _hubs_of_round(big.join(popular, "nid"), turn)
-            new = new.union(big.join(other(chosen), "bucket").filter(crossing).select(*_pairs(F.col("nid"), F.col("nid2"))))
-        new = scratch(new.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if new.isEmpty() and turn * HUBS_A_ROUND >= largest:
-            break
-        turn += 1
-        if new.isEmpty():
-            continue
-        tested, links = tested.union(new), links.union(scratch(verified(new, texts, similarity), "verified"))
-        labels = components(links)
+    open_rows = scratch(_open_rows(held, labels), "open")
+    few = open_rows.filter(F.col("size") <= SMALL_BUCKET)
+    other = few.select("bucket", F.col("nid").alias("nid2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
+    crossing = (F.col("nid") < F.col("nid2")) & (F.col("label") != F.col("label2")) & _may_reach(F.col("n"), F.col("n2"), similarity)
+    left = few.join(other, "bucket").filter(crossing).select(*_pairs(F.col("nid"), F.col("nid2"))).distinct().join(tested, ["a", "b"], "left_anti")
+    links = scratch(links.union(verified(left, texts, similarity)), "verified")
+    big = open_rows.filter(F.col("size") > SMALL_BUCKET)
+    if not big.isEmpty():
+        links = scratch(links.union(_links_of_groups(big, links, popular, texts, similarity)), "verified")
+    labels = components(links)
     members = signed.select("nid", "text_key").join(copies, "text_key").select("nid", "rep")
     return members.join(labels.select(F.col("nid").alias("rep"), "label"), "rep", "left").select("nid", F.coalesce("label", "rep").alias("class_id"))
 
 
-def _hubs_of_round(rows: DataFrame, turn: int) -> DataFrame:
-    """The next most shared members of each bucket: HUBS_A_ROUND of them, after those of earlier rounds."""
-    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("pop"), "nid")))
-    return ranked.filter((F.col("place") > HUBS_A_ROUND * turn) & (F.col("place") <= HUBS_A_ROUND * (turn + 1)))
+def _open_rows(held: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the buckets of three or more whose members lie in several classes."""
+    labelled = held.filter("size > 2").join(labels, "nid", "left").select("bucket", "nid", "n", "size", F.coalesce("label", "nid").alias("label"))
+    several = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
+    return labelled.join(several, "bucket")
+
+
+def _links_of_groups(rows: DataFrame, links: DataFrame, popular: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links that remain in large open buckets, which are taken together where they overlap.
+
+    First the most shared texts of a group meet all others, which joins most of it; then every text
+    outside the group's largest class meets all texts of other classes. So no pair across classes
+    is left out, and the largest class is never compared with itself.
+    """
+    joined = rows.groupBy("bucket").agg(F.min("nid").alias("b"))
+    groups = components(rows.join(joined, "bucket").select(F.col("nid").alias("a"), "b"))
+    nodes = scratch(groups.withColumnRenamed("label", "g").join(rows.select("nid").distinct(), "nid", "left_semi").join(popular, "nid"), "groups")
+    place = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("pop"), "nid"))
+    found = links
+    for turn in range(2):
+        own = scratch(nodes.join(components(found), "nid", "left").select("g", "nid", "pop", F.coalesce("label", "nid").alias("label")), "classes")
+        if turn:
+            sizes = own.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n"))
+            main = sizes.groupBy("g").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+            left = own.join(main, "g").filter("label <> main")
+        else:
+            left = own.withColumn("place", place).filter(F.col("place") <= HUBS)
+        found = scratch(found.union(compared_in_cells(left.select("g", "nid", "label"), own.select("g", "nid", "label"), texts, similarity)), "verified")
+    return found
+
+
+def compared_in_cells(left: DataFrame, right: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) links between the ``left`` and ``right`` texts (g, nid, label) of each group that have different labels.
+
+    Both sides are cut into blocks of about CELL texts; a task compares two blocks and never holds more.
+    """
+    sizes = left.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("rows")).join(right.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("columns")), "g")
+    block = lambda count: F.pmod(F.xxhash64("nid"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    a = left.join(sizes, "g").select("g", "nid", "label", block("rows").alias("i"), "columns").select("g", "i", every("columns").alias("j"), "nid", "label", F.lit(True).alias("is_left"))
+    b = right.join(sizes, "g").select("g", "nid", "label", block("columns").alias("j"), "rows").select("g", every("rows").alias("i"), "j", "nid", "label", F.lit(False).alias("is_left"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        held = WordHashes()
+        with np.errstate(over="ignore"):
+            doc, hashes, _ = weighted(*shingle_hashes([t.encode("utf-8", "replace") for t in frame["text"]], held))
+        nid, label, is_left = (frame[c].to_numpy() for c in ("nid", "label", "is_left"))
+        size = np.bincount(doc, minlength=len(nid))
+        rows, columns = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+        common = shared_counts(doc, hashes, rows, columns, len(nid))
+        near = (common > 0) & (common >= similarity * (size[rows][:, None] + size[columns] - common)) & (label[rows][:, None] != label[columns])
+        x, y = (side[k] for side, k in zip((nid[rows], nid[columns]), np.nonzero(near), strict=True))
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
+
+    return a.union(b).join(texts, "nid").groupBy("g", "i", "j").applyInPandas(run, "a long, b long").distinct()
+
+
+def shared_counts(doc: np.ndarray, hashes: np.ndarray, rows: np.ndarray, columns: np.ndarray, n_docs: int) -> np.ndarray:
+    """How many shingles each text of ``rows`` shares with each of ``columns``, some thousand shingles at a time."""
+    _, shingle = np.unique(hashes, return_inverse=True)
+    order = np.argsort(shingle, kind="stable")
+    doc, shingle = doc[order], shingle[order]
+    out, step = np.zeros((len(rows), len(columns)), np.int64), 8192
+    last = int(shingle[-1]) + 1 if len(shingle) else 0
+    for start in range(0, last, step):
+        a, b = np.searchsorted(shingle, (start, start + step))
+        present = np.zeros((n_docs, min(step, last - start)), np.float32)
+        present[doc[a:b], shingle[a:b] - start] = 1
+        out += np.rint(present[rows] @ present[columns].T).astype(np.int64)
+    return out
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
