@@ -1 +1 @@
-"""Reconciliation of two transaction tables on Spark."""
+"""Reconciliation of two transaction tables that reference each other, as Spark plans."""

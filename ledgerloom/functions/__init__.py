@@ -1 +1 @@
-"""Reconciliation of two transaction tables on Spark."""
+"""Column expressions and the values they agree with."""

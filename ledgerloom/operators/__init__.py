@@ -1 +1 @@
-"""Reconciliation of two transaction tables on Spark."""
+"""Rules and aggregations that the plans are made of."""

@@ -1 +1 @@
-"""Reconciliation of two transaction tables on Spark."""
+"""Whole queries."""

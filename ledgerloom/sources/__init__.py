@@ -1 +1 @@
-"""Reconciliation of two transaction tables on Spark."""
+"""Source tables: sheets, files, generated rows, views over order tables."""
