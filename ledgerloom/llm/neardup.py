@@ -170,17 +170,52 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY)
     return pairs.join(right, "b").select("a", "b", "text_b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, ddl)
 
 
+def _chased(labels: DataFrame) -> DataFrame:
+    """``labels`` (nid, label), whose labels are nodes themselves, with every chain of labels followed to its end."""
+    while True:
+        ends = labels.select(F.col("nid").alias("label"), F.col("label").alias("next"))
+        stepped = scratch(labels.join(ends, "label").select("nid", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")), "labels")
+        labels = stepped.select("nid", "label")
+        if stepped.filter("moved").isEmpty():
+            return labels
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(nid, label) of every linked node: the least id of its component, by least neighbour labels and label jumps."""
-    both = scratch(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = scratch(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("nid"), F.least("a", "m").alias("label")), "labels")
+    """(nid, label) of every linked node: the least id of its component.
+
+    Each node points at its least neighbour, or itself if that is less; chains of pointers are
+    followed to their ends, which stand for their nodes from then on, and links inside one are
+    dropped. At most half the nodes are such ends, so there are few rounds and each is smaller.
+    """
+    edges = scratch(links.filter("a <> b").select(*_pairs(F.col("a"), F.col("b"))).distinct(), "links")
+    labels = None
     while True:
-        near = both.join(labels.select(F.col("nid").alias("b"), "label"), "b").groupBy(F.col("a").alias("nid")).agg(F.min("label").alias("m"))
-        step = labels.join(near, "nid").select("nid", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        jump = labels.select(F.col("nid").alias("label"), F.col("label").alias("next"))
-        labels = scratch(step.join(jump, "label", "left").select("nid", F.least("label", F.coalesce("next", "label")).alias("label"), "old"), "labels")
-        if labels.filter("label <> old").isEmpty():
-            return labels.select("nid", "label")
+        both = edges.select("a", "b").union(edges.select("b", "a"))
+        hooked = _chased(scratch(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("nid"), F.least("a", "m").alias("label")), "labels"))
+        labels = hooked if labels is None else scratch(_renamed(labels, hooked), "labels")
+        edges = scratch(_lifted(edges, hooked), "links")
+        if edges.isEmpty():
+            return labels
+
+
+def _renamed(labels: DataFrame, over: DataFrame) -> DataFrame:
+    """``labels`` with the labels that ``over`` (nid, label) names replaced."""
+    return labels.join(over.select(F.col("nid").alias("label"), F.col("label").alias("next")), "label", "left").select("nid", F.coalesce("next", "label").alias("label"))
+
+
+def _lifted(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """The distinct links between labels that (a, b) links make; nodes without a label stand for themselves."""
+    ends = [labels.select(F.col("nid").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab"]
+    over = links.join(ends[0], "a", "left").join(ends[1], "b", "left")
+    x, y = (F.coalesce(f"label_{c}", c) for c in "ab")
+    return over.filter(x != y).select(*_pairs(x, y)).distinct()
+
+
+def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels of :func:`components` after more links; only links between labels are gone through."""
+    more = components(_lifted(links, labels))
+    new = more.join(labels.select("nid"), "nid", "left_anti")
+    return scratch(_renamed(labels, more).unionByName(new), "labels")
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -212,11 +247,10 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     other = few.select("bucket", F.col("nid").alias("nid2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
     crossing = (F.col("nid") < F.col("nid2")) & (F.col("label") != F.col("label2")) & _may_reach(F.col("n"), F.col("n2"), similarity)
     left = few.join(other, "bucket").filter(crossing).select(*_pairs(F.col("nid"), F.col("nid2"))).distinct().join(tested, ["a", "b"], "left_anti")
-    links = scratch(links.union(verified(left, texts, similarity)), "verified")
+    labels = extended(labels, scratch(verified(left, texts, similarity), "verified"))
     big = open_rows.filter(F.col("size") > SMALL_BUCKET)
     if not big.isEmpty():
-        links = scratch(links.union(_links_of_groups(big, links, popular, texts, similarity)), "verified")
-    labels = components(links)
+        labels = _joined_groups(big, labels, popular, texts, similarity)
     members = signed.select("nid", "text_key").join(copies, "text_key").select("nid", "rep")
     return members.join(labels.select(F.col("nid").alias("rep"), "label"), "rep", "left").select("nid", F.coalesce("label", "rep").alias("class_id"))
 
@@ -228,8 +262,8 @@ def _open_rows(held: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.join(several, "bucket")
 
 
-def _links_of_groups(rows: DataFrame, links: DataFrame, popular: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links that remain in large open buckets, which are taken together where they overlap.
+def _joined_groups(rows: DataFrame, labels: DataFrame, popular: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """``labels`` after the links that remain in large open buckets, which are taken together where they overlap.
 
     First the most shared texts of a group meet all others, which joins most of it; then every text
     outside the group's largest class meets all texts of other classes. So no pair across classes
@@ -239,17 +273,17 @@ def _links_of_groups(rows: DataFrame, links: DataFrame, popular: DataFrame, text
     groups = components(rows.join(joined, "bucket").select(F.col("nid").alias("a"), "b"))
     nodes = scratch(groups.withColumnRenamed("label", "g").join(rows.select("nid").distinct(), "nid", "left_semi").join(popular, "nid"), "groups")
     place = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("pop"), "nid"))
-    found = links
     for turn in range(2):
-        own = scratch(nodes.join(components(found), "nid", "left").select("g", "nid", "pop", F.coalesce("label", "nid").alias("label")), "classes")
+        own = scratch(nodes.join(labels, "nid", "left").select("g", "nid", "pop", F.coalesce("label", "nid").alias("label")), "classes")
         if turn:
             sizes = own.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n"))
             main = sizes.groupBy("g").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
             left = own.join(main, "g").filter("label <> main")
         else:
             left = own.withColumn("place", place).filter(F.col("place") <= HUBS)
-        found = scratch(found.union(compared_in_cells(left.select("g", "nid", "label"), own.select("g", "nid", "label"), texts, similarity)), "verified")
-    return found
+        found = scratch(compared_in_cells(left.select("g", "nid", "label"), own.select("g", "nid", "label"), texts, similarity), "verified")
+        labels = extended(labels, found)
+    return labels
 
 
 def compared_in_cells(left: DataFrame, right: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
