@@ -158,14 +158,15 @@ def laced_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int],
 
 def parse(data: bytes) -> Media:
     """Tracks, packets and cues of one file; raises :class:`MatroskaError` for anything cut off or inconsistent."""
-    media = Media()
+    media, segments = Media(), 0
     for kind, start, end in elements(data, 0, len(data)):
         if kind == EBML:
             media.doc_type = next((data[a:b].rstrip(b"\0").decode() for k, a, b in elements(data, start, end) if k == DOC_TYPE), "matroska")
         elif kind == SEGMENT:
+            segments += 1
             _segment(data, start, end, media)
-    if not media.doc_type:
-        raise MatroskaError("no EBML header")
+    if not media.doc_type or not segments:
+        raise MatroskaError("no EBML header" if segments else "no segment")
     return media
 
 
