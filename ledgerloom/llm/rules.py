@@ -58,12 +58,9 @@ def _repeated(words: Column) -> Column:
 
         return _let(_let(placed, starts), covered)
 
-    third = F.slice(words, F.lit(3), F.greatest(at, F.lit(0)))
-    second = F.slice(words, F.lit(2), F.greatest(at, F.lit(0)))
-    first = F.slice(words, F.lit(1), F.greatest(at, F.lit(0)))
-    zipped = F.arrays_zip(first.alias("a"), second.alias("b"), third.alias("c"))
-    hashes = F.transform(zipped, lambda z: F.xxhash64(z["a"], z["b"], z["c"]))
-    exact = F.transform(zipped, lambda z: F.concat_ws(" ", z["a"], z["b"], z["c"]))
+    leads = F.slice(words, F.lit(1), F.greatest(at, F.lit(0)))
+    hashes = F.transform(leads, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+    exact = F.transform(leads, lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2)))
     differ = _let(hashes, lambda h: F.size(F.array_distinct(h)) == F.size(h))
     return F.when((at < 2) | differ, 0).otherwise(_let(exact, of_windows))
 
@@ -75,24 +72,27 @@ def document_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     that equal an earlier line), n_repeat_words (words in repeated 3-word windows).
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    length = lambda drop: F.length("text") - F.length(F.translate("text", drop, ""))
-    words = F.filter(F.split("text", SPACES), lambda w: w != "")
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, _SPACE_CHARS, "")) > 0)
-    held = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).select("doc_id", "text", words.alias("words"), lines.alias("lines"))
+    among = lambda chars: (F.length("rest") - F.length(F.translate("rest", chars, "")))
+    spaces = F.lit(_SPACE_CHARS)
+    bare = F.btrim("text", spaces)
+    words = F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACES))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, spaces) != "")
+    rest = F.regexp_replace("text", r"[a-z\x20\x09-\x0D]+", "")  # holds all that is counted by character below
+    held = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).select("doc_id", words.alias("words"), lines.alias("lines"), rest.alias("rest"))
     counted = held.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
-        (F.length("text") - length(_SPACE_CHARS)).cast("long").alias("word_chars"),
-        length(_SYMBOLS).cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        among(_SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _repeated(F.col("words")).cast("long").alias("n_repeat_words"),
         F.size("lines").alias("n_lines"),
         F.size(F.array_distinct("words")).alias("n_distinct"),
-        length("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
-        length("0123456789").alias("n_digits"),
-        length("!?").alias("n_marks"),
-        length("|").alias("n_bars"),
-        F.length(F.regexp_replace("text", r"[\p{L}\p{N}\x20\x09-\x0D.,;:!?'\"()-]+", "")).alias("n_others"),
+        among("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
+        among("0123456789").alias("n_digits"),
+        among("!?").alias("n_marks"),
+        among("|").alias("n_bars"),
+        F.length(F.regexp_replace("rest", r"[\p{L}\p{N}\x20\x09-\x0D.,;:!?'\"()-]+", "")).alias("n_others"),
     )
     by = lambda a, b: (F.col(a) / F.greatest(F.col(b), F.lit(1))).cast("double")
     return counted.select(
