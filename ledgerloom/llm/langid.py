@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_of, bounded, id_fold, rows_out, scratch, type_of, whole_texts
+from .common import arrow_of, bounded, id_fold, most_frequent, rows_out, scratch, type_of, whole_texts
 
 UNKNOWN = "und"
 #: Log-probability that a change of language between two words costs.
@@ -135,8 +135,8 @@ def train(docs: DataFrame, usable: Column, *, lang_col: str = "lang", id_col: st
     word = F.regexp_replace("word", r"^\P{L}+|\P{L}+$", "")
     counts = scratch(raw.select("lang", word.alias("word"), "n").filter("word <> ''").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     languages = [r.lang for r in counts.select("lang").distinct().orderBy("lang").collect()]
-    kept = [r for lang in languages for r in counts.filter(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(WORDS_A_LANGUAGE).collect()]
-    return fit(languages, [(r.lang, r.word, r.n) for r in kept])
+    kept = [(lang, *row) for lang in languages for row in most_frequent(counts.filter(F.col("lang") == lang).select("word", "n"), WORDS_A_LANGUAGE, "word").itertuples(index=False)]
+    return fit(languages, kept)
 
 
 def fit(languages: list[str], counts: list[tuple[str, str, int]]) -> LanguageModel:
