@@ -79,6 +79,35 @@ def _pattern(source: str, flags: int = 0) -> Callable[[str], Iterator[tuple[int,
     return lambda text: (m.span() for m in compiled.finditer(text))
 
 
+#: The fixed length of a country's IBANs; other countries are tried at every length.
+IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS", 23: "AE GI IL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC SM", 28: "AL AZ CY DO GT HU LB PL", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT",
+    }.items()
+    for c in countries.split()
+}
+_IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+_IBAN_MORE = re.compile(r"(?: ?[A-Z0-9]){11,30}")
+
+
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Confirmed IBANs from every start. What follows may look like more groups, so each group border is
+    tried as the end: the one of the country's length first, then the longer before the shorter."""
+    start = _IBAN_START.search(text)
+    while start:
+        more, found = _IBAN_MORE.match(text, start.end()), None
+        if more:
+            borders = [e for e in range(more.end(), more.start() + 10, -1) if text[e - 1] != " " and not (e < len(text) and text[e].isascii() and text[e].isalnum())]
+            length = IBAN_LENGTHS.get(start[0][:2])
+            borders.sort(key=lambda e: len(text[start.start() : e].replace(" ", "")) != length)
+            found = next((e for e in borders if mod97(text[start.start() : e])), None)
+        if found:
+            yield start.start(), found
+        start = _IBAN_START.search(text, found or start.end())
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if c in "0123456789")
 
@@ -95,7 +124,7 @@ BASE = (
 
 #: What the method adds. National ids and unmarked phone numbers need a context word.
 ADDED = (
-    Detector("iban", _pattern(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), mod97, 0.9),
+    Detector("iban", ibans, mod97, 0.9),
     Detector("ssn", _pattern(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), issued_ssn, 0.3, re.compile(r"\b(?:ssn|social security|tax id)\b", re.I), "-"),
     Detector("local_phone", _pattern(r"(?<![0-9+-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9-])"), lambda s: True, 0.3, re.compile(r"\b(?:phone|call|tel|mobile|fax|dial|telefon|tél|teléfono)\b", re.I)),
     Detector("birth_date", _pattern(r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4})(?![0-9])"), lambda s: True, 0.2, re.compile(r"\b(?:born|birth|birthday|dob|geboren|née?|nacid[oa])\b", re.I)),

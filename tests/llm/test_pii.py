@@ -48,6 +48,17 @@ def test_validators_and_context():
     assert kinds("released 1980-02-03") == set()
 
 
+def test_ibans_before_capitals_and_digits():
+    """Words and numbers after an IBAN, or a start that is none before it, don't hide it."""
+    for iban in ("GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "NO9386011117947", "MT84MALT011000012345MTLCAST001S"):
+        for before, after in (("", ""), ("", " OR CALL"), ("", " 2024"), ("", " A"), ("", " A 1 B 2 C 3 D 4 E 5 F 6"), ("AB12 ", " X"), ("TO AB12 CD34 ", "."), ("", f" {iban}")):
+            text = f"{before}{iban}{after}"
+            assert text[slice(*next(s[1:3] for s in pii.find(text)[1] if s[0] == "iban"))] == iban, text
+            assert iban not in pii.redacted(text)
+    assert not any(s[0] == "iban" for s in pii.find("GB82WEST12345698765433 OR CALL")[1])
+    assert not any(s[0] == "iban" for s in pii.find("GB82WEST12345698765432x OR CALL")[1])
+
+
 def test_documents_and_redaction(spark, docs, none):
     more = spark.createDataFrame([(900, "mail a@b.co, 1.2.3.4\U0001f600 and +1 555 010 9999"), (901, "9" * 40_000 + "@" * 9)], "doc_id long, text string")
     both = docs.unionByName(more, allowMissingColumns=True)
