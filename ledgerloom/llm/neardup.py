@@ -1,9 +1,10 @@
 """Near-duplicate classes by ProbMinHash.
 
-Each text becomes its five-word shingles weighted by how often they occur. A shingle's points
-arrive as a Poisson process with its weight as rate, each point falls into a random register, a
-register keeps the earliest shingle, and a shingle stops as soon as its next point comes after
-every register's. Two texts agree in a register with their probability Jaccard similarity.
+Each text becomes its distinct five-word shingles, all of weight 1 however often they occur, as
+links are tested on distinct shingles too. A shingle's points arrive as a Poisson process with its
+weight as rate, each point falls into a random register, a register keeps the earliest shingle, and
+a shingle stops as soon as its next point comes after every register's. Two texts agree in a
+register with their probability Jaccard similarity, which at equal weights is that of their sets.
 Registers are banded into buckets, candidates are compared exactly, and linked texts form classes.
 
 Only distinct texts are compared. A bucket's members are compared with its hub, the member that
@@ -128,8 +129,8 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         for batch in bounded(batches, limit=2_000_000):
             texts = [t.encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
             with np.errstate(over="ignore"):
-                doc, hashes, weights = weighted(*shingle_hashes(texts, held))
-                keys = bucket_keys(probminhash(doc, hashes, weights, len(texts), bands * rows), bands, rows)
+                doc, hashes, _ = weighted(*shingle_hashes(texts, held))
+                keys = bucket_keys(probminhash(doc, hashes, np.ones(len(doc)), len(texts), bands * rows), bands, rows)
             n = np.bincount(doc, minlength=len(texts))
             yield rows_out(schema, [batch.column("nid"), [xxhash.xxh3_128_digest(t) for t in texts], n, [k if m else [] for k, m in zip(keys, n.tolist(), strict=True)]])
 

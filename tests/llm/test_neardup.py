@@ -115,3 +115,13 @@ def test_a_long_text_and_its_near_copy(spark):
     other = [*words[:-40], *(["new"] * 40)]
     got = {r.nid: r.class_id for r in neardup.classes(spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, "x")], "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_copies_that_differ_in_how_often_a_line_repeats(spark):
+    """Their sets share over 0.8, their counts a tenth or less: all pairs still meet."""
+    rng, rows, vocabulary = random.Random(21), [], [f"v{i}" for i in range(5000)]
+    for pair in range(20):
+        text, line = prose(rng, 304, vocabulary), prose(rng, 12, vocabulary)
+        rows += [(2 * pair, text), (2 * pair + 1, text + f" {line}" * 200)]
+    got = {r.nid: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(40)} == brute(rows)
