@@ -11,25 +11,41 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import by_priority, date_key, first_nonblank, first_text, round2, shown, unique_text
+from ..functions.exprs import by_priority, date_key, first_text, round2, shown, unique_text
 from ..model import EQUAL, ERP_ONLY_REMARK, ITEMS_DIFFER, NO_ERP, NO_OA, QTY_DIFFERS, TYPE_PRIORITY, Direction, QueryFilters
 from ..operators.filters import keyed, selected
 
 _ORG = ("company", "dept1", "dept2")
 
 
+def _distinct_grain(rows: DataFrame, keys: list[str], texts: list[str], link: str) -> DataFrame:
+    """One row for each value of ``keys`` and ``texts``, with sums, the first order and row texts, and the first link that
+    isn't blank with its order. It bounds the ordered lists of a group by its distinct texts, not its rows."""
+    order, linked = F.col("_by"), F.when(F.col("link_no") != "", F.col("_by"))
+    return rows.groupBy(*keys, *texts).agg(
+        F.sum("qty").alias("qty"), F.sum("amount").alias("amount"), *(first_text(c, order).alias(c) for c in (*_ORG, "item_name")), F.min_by("link_no", linked).alias(link), F.min(linked).alias("_linked"), F.min("_by").alias("_by")
+    )
+
+
+def _first_link(link: str) -> Column:
+    return F.coalesce(F.min_by(link, F.col("_linked")), F.lit(""))
+
+
 def oa_groups(rows: DataFrame) -> DataFrame:
     """(form_no, item_code) of OA rows: sums, the first row's texts, the first link that isn't blank, distinct dates."""
-    order = F.col("_ord")
-    return keyed(rows).withColumn("day", date_key(F.col("doc_date"))).groupBy(F.col("doc_no").alias("form_no"), "item_code").agg(
-        F.sum("qty").alias("qty"), F.sum("amount").alias("amount"), *(first_text(c, order).alias(c) for c in (*_ORG, "item_name")), first_nonblank("link_no", order).alias("link_no"), unique_text("day", order, "、").alias("days"), F.min("_ord").alias("_ord")
+    order = F.col("_by")
+    own = keyed(rows).withColumn("day", date_key(F.col("doc_date"))).withColumn("_by", F.col("_ord")).withColumn("form_no", F.col("doc_no"))
+    return _distinct_grain(own, ["form_no", "item_code"], ["day"], "_link").groupBy("form_no", "item_code").agg(
+        F.sum("qty").alias("qty"), F.sum("amount").alias("amount"), *(first_text(c, order).alias(c) for c in (*_ORG, "item_name")), _first_link("_link").alias("link_no"), unique_text("day", order, "、").alias("days"), F.min("_by").alias("_ord")
     )
 
 
 def erp_groups(rows: DataFrame, order: Column) -> DataFrame:
     """(form_no, item_code) of ERP rows that carry the form they are grouped under; blank forms are one group an item."""
-    return rows.filter("item_code <> ''").withColumn("day", date_key(F.col("doc_date"))).withColumn("_by", order).groupBy("form_no", "item_code").agg(
-        F.sum("qty").alias("qty"), F.sum("amount").alias("amount"), *(first_text(c, F.col("_by")).alias(c) for c in (*_ORG, "item_name")), first_nonblank("link_no", F.col("_by")).alias("source_no"),
+    own = rows.filter("item_code <> ''").withColumn("day", date_key(F.col("doc_date"))).withColumn("_by", order)
+    grain = _distinct_grain(own, ["form_no", "item_code"], ["day", "doc_no"], "source_no")
+    return grain.groupBy("form_no", "item_code").agg(
+        F.sum("qty").alias("qty"), F.sum("amount").alias("amount"), *(first_text(c, F.col("_by")).alias(c) for c in (*_ORG, "item_name")), _first_link("source_no").alias("source_no"),
         unique_text("day", F.col("_by"), "、").alias("days"), unique_text("doc_no", F.col("_by"), ",").alias("doc_nos"), F.min("_by").alias("_by"),
     )
 

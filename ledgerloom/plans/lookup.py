@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import date_key, dept_pair, first_nonblank, label_of, round2, shown, unique_text
+from ..functions.exprs import date_key, dept_pair, label_of, round2, shown, unique_text
 from ..model import (
     ERP_LACKS_ITEM, ITEM_ROW, LOOKUP_ERP, LOOKUP_OA, NO_ERP_DOC, NO_ERP_ITEM_CODE, NO_OA_DOC, NO_OA_ITEM_CODE, OA_LACKS_ITEM, QTY_DIFFERENT, QTY_EQUAL,
 )
@@ -29,9 +29,11 @@ def _materials(rows: DataFrame) -> DataFrame:
     """One row an item; rows without an item code stay by themselves."""
     order, code = F.col("_ord"), F.col("item_code")
     own = rows.withColumn("day", date_key(F.col("doc_date"))).withColumn("alone", F.when(code == "", order))
+    named = F.when(F.col("item_name") != "", order)
+    own = own.groupBy("item_code", "alone", "doc_no", "link_no", "day", "company", "dept1", "dept2").agg(F.sum("qty").alias("qty"), F.sum("amount").alias("amount"), F.min_by("item_name", named).alias("item_name"), F.min(named).alias("_named"), F.min("_ord").alias("_ord"))
     return own.groupBy("item_code", "alone").agg(
         F.sum("qty").alias("qty"), F.sum("amount").alias("amount"), unique_text("doc_no", order, ",").alias("doc_no"), unique_text("link_no", order, ",").alias("link_nos"), unique_text("day", order, ",").alias("date"),
-        *(unique_text(c, order, ",").alias(c) for c in ("company", "dept1", "dept2")), first_nonblank("item_name", order).alias("item_name"), F.min("_ord").alias("_ord"),
+        *(unique_text(c, order, ",").alias(c) for c in ("company", "dept1", "dept2")), F.coalesce(F.min_by("item_name", F.col("_named")), F.lit("")).alias("item_name"), F.min("_ord").alias("_ord"),
     )
 
 

@@ -1,11 +1,12 @@
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.model import EQUAL, ITEMS_DIFFER, NO_ERP, NO_OA, QTY_DIFFERS, DataQualityError, Direction, OutputKind, QueryFilters, QueryState
 from ledgerloom.plans.dept_summary import department_summary
-from ledgerloom.plans.detail import detail_compare, detail_summary
+from ledgerloom.plans.detail import detail_compare, detail_summary, erp_groups, oa_groups
 from ledgerloom.plans.doc_compare import COLUMNS, compare_documents
 from ledgerloom.plans.engine import ReconEngine
-from ledgerloom.plans.lookup import ERP_MODE, OA_MODE, lookup_document, lookup_suggestions
+from ledgerloom.plans.lookup import ERP_MODE, OA_MODE, _materials, lookup_document, lookup_suggestions
 from ledgerloom.sources.generator import generate_erp, generate_oa
 
 from .cases import ERP_ORDER, FILTER, ORG, erp, oa, raw, values
@@ -91,6 +92,20 @@ def test_detail_reverse(spark):
     assert {r.types for r in detail_summary(rows).collect()} == {EQUAL, f"{NO_OA}、{ITEMS_DIFFER}"}
 
 
+def test_detail_lists_are_built_from_distinct_rows(spark):
+    """A hot group's ordered lists take one entry a date and document, however many rows it has."""
+    rows = [(f"Q{i % 2}", f"2026/5/{3 + i % 3}", "", *ORG, "M", ("", "n")[i > 4], 1, 1) for i in range(300)]
+    found = erp_groups(erp(spark, *rows).withColumn("form_no", F.col("link_no")), F.col("_ord"))
+    assert [(r.qty, r.item_name, r.source_no, r.days, r.doc_nos) for r in found.collect()] == [(300, "", "", "2026-05-03、2026-05-04、2026-05-05", "Q0,Q1")]
+    links = oa(spark, *(("F", ("", "E2", "E1")[i % 3], f"2026/5/{1 + i % 2}", *ORG, "M", "", 1, 1) for i in range(90)))
+    assert [(r.qty, r.link_no, r.days) for r in oa_groups(links).collect()] == [(90, "E2", "2026-05-01、2026-05-02")]
+    for df, keys in ((found, ("day", "doc_no")), (oa_groups(links), ("day",)), (_materials(links), ("doc_no", "link_no", "day", "company"))):
+        steps = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in x]
+        lists = next(i for i, x in enumerate(steps) if "collect_list" in x)
+        below = steps[lists + 1].split("Aggregate [")[1].split("]")[0]
+        assert all(k in below for k in keys)
+
+
 def test_lookup(spark):
     a = oa(spark, ("OA-1", "E1", "2026/5/1", *ORG, "A", "", 3, 15), ("OA-1", "E1", "2026/5/1", *ORG, "B", "", 1, 1), ("OA-1", "NO", "2026/5/1", *ORG, "D", "", 1, 1), ("OA-1", "E1", "2026/5/1", *ORG, "", "p", 1, 1), ("OA-1", "E1", "2026/5/1", *ORG, "", "q", 1, 1))
     b = erp(spark, ("E1", "2026/5/2", "OA-1", *ORG, "A", "", 2, 10), ("E1", "2026/5/2", "OA-1", *ORG, "C", "", 1, 1))
