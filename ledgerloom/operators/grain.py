@@ -1,53 +1,60 @@
 """Document and document-item grain of one side.
 
-Rows are first aggregated to (document, item, date, link), which bounds what the ordered lists of
-a document hold by its distinct values, then to items and documents.
+What a document shows once is first brought to its distinct texts, each with its first order, so
+that lists are bounded by distinct values, however many rows a document has.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import append_unique, date_key, first_nonblank, in_order
+from ..functions.exprs import append_unique, date_key, in_order
 
-ORD = F.col
 DATE_JOIN, LINK_JOIN = "、", ","
+ORG = ("company", "dept1", "dept2")
+_LISTED = ("day", "link_no")
 
 
-def base_grain(rows: DataFrame) -> DataFrame:
-    """(doc_no, item_code, day, link_no) with sums, first non-blank texts and the first order."""
+def first_texts(rows: DataFrame, columns: tuple[str, ...], sums: bool = True) -> DataFrame:
+    """(doc_no, kind, text) with the first order: every distinct text that isn't blank of the named columns, and one row of
+    kind ``*`` a document with its sums."""
     order = F.col("_ord")
-    attributes = [F.min_by(c, F.when(F.col(c) != "", order)).alias(c) for c in ("company", "dept1", "dept2", "item_name")]
-    first = [F.min(F.when(F.col(c) != "", order)).alias(f"{c}_ord") for c in ("company", "dept1", "dept2", "item_name")]
-    return rows.groupBy("doc_no", "item_code", date_key(F.col("doc_date")).alias("day"), "link_no").agg(F.sum("qty").alias("qty"), F.sum("amount").alias("amount"), F.min("_ord").alias("_ord"), *attributes, *first)
+    number = lambda c: F.col(c).cast("decimal(28,10)") if sums else F.lit(None).cast("decimal(28,10)")
+    none = F.lit(None).cast("decimal(28,10)")
+    kinds = [F.struct(F.lit("*").alias("kind"), F.lit("").alias("text"), number("qty").alias("qty"), number("amount").alias("amount"))]
+    kinds += [F.when(F.col(c) != "", F.struct(F.lit(c).alias("kind"), F.col(c).alias("text"), none.alias("qty"), none.alias("amount"))) for c in columns]
+    spread = rows.select("doc_no", order.alias("_ord"), F.explode(F.array_compact(F.array(*kinds))).alias("k"))
+    return spread.groupBy("doc_no", "k.kind", "k.text").agg(F.sum("k.qty").alias("qty"), F.sum("k.amount").alias("amount"), F.min("_ord").alias("_ord"))
 
 
-def _first(c: str):
-    return F.coalesce(F.min_by(c, F.col(f"{c}_ord")), F.lit(""))
+def texts_in_order(kind: str) -> Column:
+    """From a document's list of (order, text, kind): the texts of one kind, in order."""
+    return in_order(F.filter(F.col("texts"), lambda t: t["kind"] == kind))
 
 
-def item_grain(base: DataFrame) -> DataFrame:
-    """(doc_no, item_code): qty, amount, item_name, item_ord."""
-    return base.groupBy("doc_no", "item_code").agg(F.sum("qty").alias("qty"), F.sum("amount").alias("amount"), _first("item_name").alias("item_name"), F.min("_ord").alias("item_ord"))
+def first_of(kind: str) -> Column:
+    return F.coalesce(F.get(texts_in_order(kind), F.lit(0)), F.lit(""))
 
 
-def doc_grain(base: DataFrame) -> DataFrame:
+def doc_grain(rows: DataFrame) -> DataFrame:
     """doc_no: qty, amount, organisation (each first non-blank), doc_date and link_nos (distinct, in order), links, doc_ord."""
-    day, link = (F.array_sort(F.collect_list(F.when(F.col(c) != "", F.struct(F.col("_ord").alias("o"), F.col(c).alias("t"))))) for c in ("day", "link_no"))
-    return base.groupBy("doc_no").agg(
-        F.sum("qty").alias("qty"),
-        F.sum("amount").alias("amount"),
-        *(_first(c).alias(c) for c in ("company", "dept1", "dept2")),
-        append_unique(in_order(day), DATE_JOIN).alias("doc_date"),
-        append_unique(in_order(link), LINK_JOIN).alias("link_nos"),
-        F.min("_ord").alias("doc_ord"),
-    )
-
-
-def link_frame(base: DataFrame) -> DataFrame:
-    """Distinct (doc_no, link_no) with a link, and the order in which it was first seen."""
-    return base.filter("link_no <> ''").groupBy("doc_no", "link_no").agg(F.min("_ord").alias("link_ord"))
+    entry = F.struct(F.col("_ord").alias("o"), F.col("text").alias("t"), F.col("kind").alias("kind"))
+    found = first_texts(rows.withColumn("day", date_key(F.col("doc_date"))), (*ORG, *_LISTED))
+    docs = found.groupBy("doc_no").agg(F.sum("qty").alias("qty"), F.sum("amount").alias("amount"), F.min("_ord").alias("doc_ord"), F.collect_list(F.when(F.col("kind") != "*", entry)).alias("texts"))
+    return docs.select(
+        "doc_no", "qty", "amount", *(first_of(c).alias(c) for c in ORG), append_unique(texts_in_order("day"), DATE_JOIN).alias("doc_date"), append_unique(texts_in_order("link_no"), LINK_JOIN).alias("link_nos"),
+        texts_in_order("link_no").alias("links"), "doc_ord",
+    )
+
 
+def item_grain(rows: DataFrame) -> DataFrame:
+    """(doc_no, item_code): qty, amount, item_name (the first non-blank), item_ord."""
+    named = rows.groupBy("doc_no", "item_code", "item_name").agg(F.sum("qty").alias("qty"), F.sum("amount").alias("amount"), F.min("_ord").alias("_ord"))
+    name = F.coalesce(F.min_by("item_name", F.when(F.col("item_name") != "", F.col("_ord"))), F.lit(""))
+    return named.groupBy("doc_no", "item_code").agg(F.sum("qty").alias("qty"), F.sum("amount").alias("amount"), name.alias("item_name"), F.min("_ord").alias("item_ord"))
 
-__all__ = ["DATE_JOIN", "LINK_JOIN", "base_grain", "doc_grain", "first_nonblank", "item_grain", "link_frame"]
+
+def link_frame(rows: DataFrame) -> DataFrame:
+    """Distinct (doc_no, link_no) with a link, and the order in which it was first seen."""
+    return rows.filter("link_no <> ''").groupBy("doc_no", "link_no").agg(F.min("_ord").alias("link_ord"))

@@ -77,7 +77,8 @@ def duplicate_issues(raw: DataFrame, source: str) -> DataFrame:
     for c in columns:
         clean = clean.filter(F.col(c) != "")
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_ord", "row_label"))), lambda r: r["row_label"]), ",")
-    grouped = clean.groupBy(*columns).agg(F.min("_ord").alias("_ord"), F.count(F.lit(1)).alias("n"), rows.alias("rows")).filter("n > 1")
+    several = clean.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*columns)
+    grouped = clean.join(several, list(columns), "left_semi").groupBy(*columns).agg(F.min("_ord").alias("_ord"), rows.alias("rows"))
     names = "+".join(headers_of(source)[c] for c in columns)
     issue = _issue(rule, HINT, source, F.col("rows"), names, F.concat_ws(" + ", *columns), DUPLICATE, F.lit(f"{source} 存在相同业务键的多行记录，查询宏会先合并后比较。"), FIX_DUPLICATE)
     return grouped.select("_ord", issue.alias("i")).select("i.*", "_ord")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import by_priority, round2, shown
 from ..model import EQUAL, ERP_VIEW, ITEMS_DIFFER, NO_ERP, NO_OA, OA_VIEW, QTY_DIFFERS, TYPE_PRIORITY, Direction, QueryFilters
-from ..operators.filters import distinct_text
-from .doc_compare import compare_documents
+from ..operators.filters import keyed, selected
+from ..operators.grain import ORG, first_of, first_texts
 
 
 def difference_type(matched: Column, mismatch: Column, qty_diff: Column, unmatched_type: str) -> Column:
@@ -24,18 +24,30 @@ def classified_documents(oa: DataFrame, erp: DataFrame, direction: Direction = D
     """
     forward = direction is Direction.FORWARD
     primary, other = (oa, erp) if forward else (erp, oa)
-    compared = compare_documents(primary, other, filters)
-    known = distinct_text(other, "doc_no").withColumn("known", F.lit(True))
-    matched = compared.links.join(known.withColumnRenamed("doc_no", "link_no"), "link_no", "left").groupBy("doc_no").agg(F.bool_or(F.coalesce("known", F.lit(False))).alias("matched"))
-    docs = compared.docs.join(compared.mismatches(), "doc_no", "left").join(matched, "doc_no", "left")
-    sums = {c: round2(F.col(c)) for c in ("qty", "amount", "cp_qty", "cp_amount")}
+    rows = keyed(selected(primary, filters or QueryFilters()))
+    own = rows.groupBy("doc_no", "item_code").agg(F.sum("qty").alias("qty"), F.sum("amount").alias("amount"))
+    links = rows.filter("link_no <> ''").select("doc_no", "link_no").distinct()
+    theirs = other.filter("doc_no <> ''").groupBy(F.col("doc_no").alias("link_no"), "item_code").agg(F.sum("qty").alias("cp_qty"), F.sum("amount").alias("cp_amount"))
+    met = links.join(theirs, "link_no").select("doc_no", "item_code", "cp_qty", "cp_amount", F.lit(True).alias("matched"))
+    items = own.unionByName(met, allowMissingColumns=True).groupBy("doc_no", "item_code").agg(*(F.sum(c).alias(c) for c in ("qty", "amount", "cp_qty", "cp_amount")), F.max("matched").alias("matched"))
+    # a counterpart's rows without an item code make its document known and nothing else
+    has_item = F.col("item_code") != ""
+    sums = [F.when(has_item, F.col(c)).alias(c) for c in ("qty", "amount", "cp_qty", "cp_amount")]
+    parts = items.select("doc_no", *sums, "matched", (has_item & ((round2(F.col("qty")) == 0) != (round2(F.col("cp_qty")) == 0))).alias("mismatch"))
+    texts = first_texts(rows, ORG, sums=False).select("doc_no", F.struct(F.col("_ord").alias("o"), F.col("text").alias("t"), F.col("kind").alias("kind")).alias("first"))
+    entry = F.col("first")
+    docs = parts.unionByName(texts, allowMissingColumns=True).groupBy("doc_no").agg(
+        *(F.sum(c).alias(c) for c in ("qty", "amount", "cp_qty", "cp_amount")), F.max("matched").alias("matched"), F.max("mismatch").alias("mismatch"), F.min("first.o").alias("doc_ord"),
+        F.collect_list(F.when(entry["kind"] != "*", entry)).alias("texts"),
+    )
+    rounded = {c: round2(F.col(c)) for c in ("qty", "amount", "cp_qty", "cp_amount")}
     oa_side, erp_side = ("", "cp_") if forward else ("cp_", "")
     is_matched = F.coalesce("matched", F.lit(False))
-    diff = round2(F.coalesce("qty", F.lit(0).cast("decimal(38,10)")) - F.coalesce("cp_qty", F.lit(0).cast("decimal(38,10)")))
-    kind = difference_type(is_matched, F.coalesce("mismatch", F.lit(False)), diff, NO_ERP if forward else NO_OA)
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("decimal(38,10)"))
+    kind = difference_type(is_matched, F.coalesce("mismatch", F.lit(False)), round2(zero("qty") - zero("cp_qty")), NO_ERP if forward else NO_OA)
     return docs.select(
-        "company", "dept1", "dept2", "doc_no", "doc_ord", is_matched.alias("matched"), kind.alias("type"),
-        sums[f"{oa_side}qty"].alias("oa_qty"), sums[f"{erp_side}qty"].alias("erp_qty"), sums[f"{oa_side}amount"].alias("oa_amount"), sums[f"{erp_side}amount"].alias("erp_cost"),
+        *(first_of(c).alias(c) for c in ORG), "doc_no", "doc_ord", is_matched.alias("matched"), kind.alias("type"),
+        rounded[f"{oa_side}qty"].alias("oa_qty"), rounded[f"{erp_side}qty"].alias("erp_qty"), rounded[f"{oa_side}amount"].alias("oa_amount"), rounded[f"{erp_side}amount"].alias("erp_cost"),
     )
 
 

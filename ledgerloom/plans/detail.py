@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import by_priority, date_key, first_text, round2, shown, unique_text
@@ -16,6 +16,8 @@ from ..model import EQUAL, ERP_ONLY_REMARK, ITEMS_DIFFER, NO_ERP, NO_OA, QTY_DIF
 from ..operators.filters import keyed, selected
 
 _ORG = ("company", "dept1", "dept2")
+#: Parts that groups without a form are dealt over.
+SPREAD = 64
 
 
 def _distinct_grain(rows: DataFrame, keys: list[str], texts: list[str], link: str) -> DataFrame:
@@ -70,12 +72,13 @@ def erp_only_rows(erp: DataFrame, oa: DataFrame, filters: QueryFilters | None =
 
 @dataclass
 class DetailCompare:
+    """Groups of both sides; an ERP group whose form no OA group has stands for itself."""
+
     oa: DataFrame
     erp: DataFrame
-    only: DataFrame | None
 
     def rows(self, ordered: bool = True) -> DataFrame:
-        return compare_groups(self.oa, self.erp, self.only, ordered)
+        return compare_groups(self.oa, self.erp, ordered)
 
 
 def detail_compare(oa: DataFrame, erp: DataFrame, direction: Direction = Direction.FORWARD, filters: QueryFilters | None = None) -> DetailCompare:
@@ -83,38 +86,40 @@ def detail_compare(oa: DataFrame, erp: DataFrame, direction: Direction = Directi
     filters = filters or QueryFilters()
     if direction is Direction.FORWARD:
         own = oa_groups(selected(oa, filters))
-        return DetailCompare(own, erp_groups(erp_rows_of_links(own, erp), F.struct("link_ord", "_ord")), None)
-    groups = erp_groups(selected(erp, filters).withColumn("form_no", F.col("link_no")), F.col("_ord"))
-    wanted = groups.filter("form_no <> ''").select(F.col("form_no").alias("doc_no")).distinct()
-    own = oa_groups(oa.join(wanted, "doc_no", "left_semi"))
-    forms = own.select("form_no").distinct()
-    return DetailCompare(own, groups.join(forms, "form_no", "left_semi"), groups.join(forms, "form_no", "left_anti"))
+        return DetailCompare(own, erp_groups(erp_rows_of_links(own, erp), F.struct("link_ord", "_ord")))
+    rows = selected(erp, filters)
+    wanted = rows.filter((F.col("item_code") != "") & (F.col("link_no") != "")).select(F.col("link_no").alias("doc_no")).distinct()
+    return DetailCompare(oa_groups(oa.join(wanted, "doc_no", "left_semi")), erp_groups(rows.withColumn("form_no", F.col("link_no")), F.col("_ord")))
+
 
+def compare_groups(oa: DataFrame, erp: DataFrame, ordered: bool = True) -> DataFrame:
+    """Detail rows: what OA has, then ERP items that OA lacks, then ERP groups without any OA form.
 
-def compare_groups(oa: DataFrame, erp: DataFrame, only: DataFrame | None, ordered: bool = True) -> DataFrame:
-    """Detail rows: what OA has, then ERP items that OA lacks, then ERP groups without any OA form."""
+    Whether a form has rows on a side is told by a window over its rows, so each side's groups are
+    made once. Groups without a form, of which there may be many, are dealt over SPREAD parts: no
+    OA row has a blank form.
+    """
     left = oa.select("form_no", "item_code", *(F.col(c).alias(f"oa_{c}") for c in ("qty", "amount", *_ORG, "item_name", "link_no", "days")), F.col("_ord").alias("oa_ord"), F.lit(True).alias("in_oa"))
     right = erp.select("form_no", "item_code", *(F.col(c).alias(f"erp_{c}") for c in ("qty", "amount", *_ORG, "item_name", "source_no", "days", "doc_nos")), F.col("_by").alias("erp_ord"), F.lit(True).alias("in_erp"))
-    shipped = erp.select("form_no").distinct().withColumn("shipped", F.lit(True))
-    both = left.join(right, ["form_no", "item_code"], "full_outer").join(shipped, "form_no", "left")
     has = lambda c: F.coalesce(c, F.lit(False))
+    form = Window.partitionBy("form_no", "part")
+    both = left.join(right, ["form_no", "item_code"], "full_outer").withColumn("part", F.when(F.col("form_no") == "", F.pmod(F.xxhash64("item_code"), F.lit(SPREAD))).otherwise(0))
+    both = both.withColumns({"asked": F.max(has("in_oa")).over(form), "shipped": F.max(has("in_erp")).over(form)})
     kind = (
-        F.when(~has("in_erp") & ~has("shipped"), NO_ERP)
+        F.when(~F.col("asked"), NO_OA)
+        .when(~has("in_erp") & ~F.col("shipped"), NO_ERP)
         .when(~has("in_oa") | ~has("in_erp"), ITEMS_DIFFER)
         .when(round2(F.col("oa_qty")) != round2(F.col("erp_qty")), QTY_DIFFERS)
         .otherwise(EQUAL)
     )
-    rows = both.withColumn("difference_type", kind).withColumn("part", F.when(has("in_oa"), 0).otherwise(1))
-    if only is not None:
-        alone = only.select("form_no", "item_code", *(F.col(c).alias(f"erp_{c}") for c in ("qty", "amount", *_ORG, "item_name", "source_no", "days", "doc_nos")), F.col("_by").alias("erp_ord"))
-        rows = rows.unionByName(alone.withColumn("difference_type", F.lit(NO_OA)).withColumn("part", F.lit(2)), allowMissingColumns=True)
+    rows = both.withColumn("difference_type", kind).withColumn("part", F.when(has("in_oa"), 0).when(F.col("asked"), 1).otherwise(2))
     rows = rows.orderBy("part", "oa_ord", "erp_ord") if ordered else rows
     text = lambda c: F.coalesce(c, F.lit(""))
     either = lambda c: F.coalesce(F.nullif(f"oa_{c}", F.lit("")), text(f"erp_{c}"))
     less = lambda a, b: (round2(F.col(a)) - round2(F.col(b))).cast("double")
-    form = F.coalesce(F.nullif("form_no", F.lit("")), text("erp_source_no"))
+    number = F.coalesce(F.nullif("form_no", F.lit("")), text("erp_source_no"))
     return rows.select(
-        "difference_type", form.alias("form_no"), text("oa_link_no").alias("oa_link_no"), text("oa_days").alias("oa_date"), text("erp_doc_nos").alias("erp_doc_nos"), text("erp_source_no").alias("erp_source_no"),
+        "difference_type", number.alias("form_no"), text("oa_link_no").alias("oa_link_no"), text("oa_days").alias("oa_date"), text("erp_doc_nos").alias("erp_doc_nos"), text("erp_source_no").alias("erp_source_no"),
         text("erp_days").alias("erp_date"), "item_code", either("item_name").alias("item_name"), *(either(c).alias(c) for c in _ORG),
         shown(F.col("oa_qty")).alias("oa_qty"), shown(F.col("erp_qty")).alias("erp_qty"), less("oa_qty", "erp_qty").alias("qty_diff"),
         shown(F.col("oa_amount")).alias("oa_amount"), shown(F.col("erp_amount")).alias("erp_cost"), less("oa_amount", "erp_amount").alias("amount_diff"),

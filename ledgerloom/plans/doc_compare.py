@@ -11,38 +11,50 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import round2, shown
+from ..functions.exprs import shown
 from ..model import ITEM_ROW, SUMMARY_ROW, QueryFilters
 from ..operators.filters import keyed, selected
-from ..operators.grain import base_grain, doc_grain, item_grain, link_frame
+from ..operators.grain import doc_grain, item_grain, link_frame
 
 COLUMNS = ("row_type", "company", "dept1", "dept2", "doc_date", "doc_no", "qty", "amount", "link_nos", "cp_qty", "cp_amount", "qty_diff", "amount_diff", "item_code", "item_name", "remark")
 
 
 @dataclass
 class DocCompare:
-    """Unrounded frames of one compare; parts that an output doesn't use never run."""
+    """One compare: rows of the filtered side, and of the other; parts that an output doesn't use never run."""
 
-    docs: DataFrame  # doc grain with the counterpart's sums
-    items: DataFrame  # doc-item grain, both sides
-    links: DataFrame
+    primary: DataFrame
+    counterpart: DataFrame
 
     def summary(self, ordered: bool = True) -> DataFrame:
-        return _output(self.docs, SUMMARY_ROW, ["doc_ord"] if ordered else None)
+        """One row a document. Its links are followed to the sums of whole counterpart documents and brought back in one
+        line of steps, so each side is read once."""
+        docs = doc_grain(self.primary)
+        theirs = self.counterpart.groupBy(F.col("doc_no").alias("link_no")).agg(F.sum("qty").alias("cp_qty"), F.sum("amount").alias("cp_amount"))
+        own = [c for c in docs.columns if c != "links"]
+        met = docs.select(*own, F.explode_outer("links").alias("link_no")).join(theirs, "link_no", "left")
+        return _output(met.groupBy(*own).agg(F.sum("cp_qty").alias("cp_qty"), F.sum("cp_amount").alias("cp_amount")), SUMMARY_ROW, ["doc_ord"] if ordered else None)
 
     def materials(self, ordered: bool = True) -> DataFrame:
         """Item rows: the document's own items in their order, then those of counterparts alone."""
-        head = self.docs.select("doc_no", "company", "dept1", "dept2", "doc_date", "link_nos", "doc_ord")
-        return _output(self.items.join(head, "doc_no"), ITEM_ROW, ["doc_ord", "alone", "item_ord", "link_ord", "cp_ord"] if ordered else None)
+        head = doc_grain(self.primary).select("doc_no", "company", "dept1", "dept2", "doc_date", "link_nos", "doc_ord")
+        return _output(self.items().join(head, "doc_no"), ITEM_ROW, ["doc_ord", "alone", "item_ord", "link_ord", "cp_ord"] if ordered else None)
 
     def materials_of(self, doc_no: str) -> DataFrame:
         """The item rows of one document: what an expanded summary row shows."""
-        one = F.col("doc_no") == F.lit(doc_no)
-        return DocCompare(self.docs.filter(one), self.items.filter(one), self.links).materials()
+        return DocCompare(self.primary.filter(F.col("doc_no") == F.lit(doc_no)), self.counterpart).materials()
 
-    def mismatches(self) -> DataFrame:
-        """doc_no, mismatch: some item has a quantity on one side alone, after rounding."""
-        return self.items.groupBy("doc_no").agg(F.bool_or((round2(F.col("qty")) == 0) != (round2(F.col("cp_qty")) == 0)).alias("mismatch"))
+    def items(self) -> DataFrame:
+        """(doc_no, item_code) of the filtered side's documents and of those they link to, with both sides' sums."""
+        other = item_grain(self.counterpart).withColumnsRenamed({"doc_no": "link_no", "qty": "cp_qty", "amount": "cp_amount", "item_name": "cp_name", "item_ord": "cp_ord"})
+        name_order = F.when(F.col("cp_name") != "", F.struct("link_ord", "cp_ord"))
+        met = link_frame(self.primary).join(other, "link_no").groupBy("doc_no", "item_code").agg(
+            F.sum("cp_qty").alias("cp_qty"), F.sum("cp_amount").alias("cp_amount"), F.coalesce(F.min_by("cp_name", name_order), F.lit("")).alias("cp_name"), F.min(F.struct("link_ord", "cp_ord")).alias("met_ord")
+        )
+        name = F.when(F.coalesce("item_name", F.lit("")) != "", F.col("item_name")).otherwise(F.coalesce("cp_name", F.lit("")))
+        return item_grain(self.primary).join(met, ["doc_no", "item_code"], "full_outer").select(
+            "doc_no", "item_code", name.alias("item_name"), "qty", "amount", "cp_qty", "cp_amount", F.col("item_ord").isNull().alias("alone"), "item_ord", F.col("met_ord.link_ord").alias("link_ord"), F.col("met_ord.cp_ord").alias("cp_ord")
+        )
 
 
 def _output(rows: DataFrame, row_type: str, order: list[str] | None) -> DataFrame:
@@ -62,16 +74,4 @@ def _zero(c: str):
 
 def compare_documents(primary: DataFrame, counterpart: DataFrame, filters: QueryFilters | None = None) -> DocCompare:
     """Compare ``primary`` under ``filters`` with all of ``counterpart``, both in canonical columns."""
-    base = base_grain(keyed(selected(primary, filters or QueryFilters())))
-    own_docs, own_items, links = doc_grain(base), item_grain(base), link_frame(base)
-    other = item_grain(base_grain(keyed(counterpart))).withColumnsRenamed({"doc_no": "link_no", "qty": "cp_qty", "amount": "cp_amount", "item_name": "cp_name", "item_ord": "cp_ord"})
-    name_order = F.when(F.col("cp_name") != "", F.struct("link_ord", "cp_ord"))
-    met = links.join(other, "link_no").groupBy("doc_no", "item_code").agg(
-        F.sum("cp_qty").alias("cp_qty"), F.sum("cp_amount").alias("cp_amount"), F.coalesce(F.min_by("cp_name", name_order), F.lit("")).alias("cp_name"), F.min(F.struct("link_ord", "cp_ord")).alias("met_ord")
-    )
-    met_docs = met.groupBy("doc_no").agg(F.sum("cp_qty").alias("cp_qty"), F.sum("cp_amount").alias("cp_amount"))
-    name = F.when(F.coalesce("item_name", F.lit("")) != "", F.col("item_name")).otherwise(F.coalesce("cp_name", F.lit("")))
-    items = own_items.join(met, ["doc_no", "item_code"], "full_outer").select(
-        "doc_no", "item_code", name.alias("item_name"), "qty", "amount", "cp_qty", "cp_amount", F.col("item_ord").isNull().alias("alone"), "item_ord", F.col("met_ord.link_ord").alias("link_ord"), F.col("met_ord.cp_ord").alias("cp_ord")
-    )
-    return DocCompare(own_docs.join(met_docs, "doc_no", "left"), items, links)
+    return DocCompare(keyed(selected(primary, filters or QueryFilters())), keyed(counterpart))

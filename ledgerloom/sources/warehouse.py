@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import scratch
+
 _ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
 
 
@@ -33,28 +35,45 @@ def _erp_doc() -> Column:
     return F.concat(F.lit("Q"), F.col("l_orderkey"), F.when(split, "-B").otherwise(""))
 
 
-def _canonical(lines: DataFrame, doc_no: Column, link_no: Column, day: str, item: Column, qty: Column, amount: Column, copy: int = 0) -> DataFrame:
-    return lines.select(
-        doc_no.alias("doc_no"), link_no.alias("link_no"), F.col(day).cast("date").alias("doc_date"), F.col("r_name").alias("company"), F.col("n_name").alias("dept1"), F.col("c_mktsegment").alias("dept2"),
+def _row(doc_no: Column, link_no: Column, day: str, item: Column, qty: Column, amount: Column, copy: int = 0) -> Column:
+    return F.struct(
+        F.lit("ERP" if day == "l_shipdate" else "OA").alias("side"), doc_no.alias("doc_no"), link_no.alias("link_no"), F.col(day).cast("date").alias("doc_date"), F.col("r_name").alias("company"), F.col("n_name").alias("dept1"), F.col("c_mktsegment").alias("dept2"),
         item.alias("item_code"), F.col("p_name").alias("item_name"), qty.cast("decimal(28,10)").alias("qty"), amount.cast("decimal(28,10)").alias("amount"), _order(copy).alias("_ord"),
     )
 
 
-def oa_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("l_orderkey")
+def both_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical rows of both sides with their ``side``, in one pass over the order lines: each gives its request,
+    its movement unless there is none, and a movement of its own where the scenario has one."""
+    key, kind = F.col("l_orderkey"), F.col("l_orderkey") % 10
+    amount = F.col("l_extendedprice").cast("decimal(12,2)")
+    cost = amount * (1 - F.col("l_discount").cast("decimal(4,2)"))
     link = F.when(key % 20 == 5, "").otherwise(_erp_doc())
-    return _canonical(_lines(spark, sf_dir), F.concat(F.lit("F"), key), link, "o_orderdate", F.concat(F.lit("M"), F.col("l_partkey")), F.col("l_quantity"), F.col("l_extendedprice").cast("decimal(12,2)"))
+    form, alone = F.concat(F.lit("F"), key), F.concat(F.lit("X"), key)
+    request = _row(form, link, "o_orderdate", F.concat(F.lit("M"), F.col("l_partkey")), F.col("l_quantity"), amount)
+    mirror = _row(_erp_doc(), form, "l_shipdate", F.concat(F.lit("M"), F.col("l_partkey"), F.when(kind == 2, "-ERP").otherwise("")), F.col("l_quantity") + F.when(kind == 3, 1).otherwise(0), cost)
+    extra = _row(alone, alone, "l_shipdate", F.concat(F.lit("MX"), F.col("l_partkey")), F.col("l_quantity"), cost, 1)
+    rows = F.array_compact(F.array(request, F.when(kind != 0, mirror), F.when(kind == 1, extra)))
+    return _lines(spark, sf_dir).select(F.explode(rows).alias("row")).select("row.*")
+
+
+_WRITTEN: dict[tuple[str, str], DataFrame] = {}
+
+
+def _written(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
+    """One side of the canonical table, which a session writes once for a folder and all its queries read."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = scratch(both_sides(spark, sf_dir), "canonical", by=("side",))
+    return _WRITTEN[key].filter(F.col("side") == side).drop("side")
+
+
+def oa_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _written(spark, sf_dir, "OA")
 
 
 def erp_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key, kind = F.col("l_orderkey"), F.col("l_orderkey") % 10
-    lines = _lines(spark, sf_dir).filter(kind != 0)
-    item = F.concat(F.lit("M"), F.col("l_partkey"), F.when(kind == 2, "-ERP").otherwise(""))
-    cost = F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))
-    mirror = _canonical(lines, _erp_doc(), F.concat(F.lit("F"), key), "l_shipdate", item, F.col("l_quantity") + F.when(kind == 3, 1).otherwise(0), cost)
-    alone = F.concat(F.lit("X"), key)
-    extra = _canonical(lines.filter(kind == 1), alone, alone, "l_shipdate", F.concat(F.lit("MX"), F.col("l_partkey")), F.col("l_quantity"), cost, 1)
-    return mirror.unionByName(extra)
+    return _written(spark, sf_dir, "ERP")
 
 
 def raw_of(view: DataFrame) -> DataFrame:
