@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -14,30 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..shared import discard, scratch, shared_dir
+
 #: Characters of text that one Python step holds as objects at a time.
 CHARS_AT_ONCE = 4_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one set here where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: its lineage ends there.
-
-    An executor lost later costs only a reread of those files. The folder belongs to the
-    run; whoever set ``spark.checkpoint.dir`` clears it.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -77,23 +57,29 @@ def rows_out(schema: pa.Schema, columns: Sequence) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def most_frequent(counted: DataFrame, most: int, key: str) -> pd.DataFrame:
-    """At most ``most`` rows of (key, n), those of the highest ``n``, sorted by falling ``n``, then key.
+def most_frequent(counted: DataFrame, most: int, key: str, by: str | None = None) -> pd.DataFrame:
+    """At most ``most`` rows of (key, n), for each value of the column ``by`` if one is named: those of the highest
+    ``n``, sorted by falling ``n``, then key.
 
     A histogram over steps of ``n``, of a fixed number of rows, tells from which step on the
     rows fit; a step is taken whole or not at all. So what reaches the driver doesn't grow with
     the number of partitions, as it would where each sends its own first rows.
     """
-    step = F.floor(F.log2("n") * 64)
-    held, least = 0, None
-    for r in counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("step")).collect():
-        held += r.rows
-        if held > most:
-            break
-        least = r.step
-    found = counted.filter(step >= least if least is not None else F.lit(False)).toPandas()
+    step, part = F.floor(F.log2("n") * 64), F.col(by).cast("string") if by else F.lit("")
+    held: dict[str, int] = {}
+    least: dict[str, int] = {}
+    for r in counted.groupBy(part.alias("part"), step.alias("step")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("step")).collect():
+        held[r.part] = held.get(r.part, 0) + r.rows
+        if held[r.part] <= most:
+            least[r.part] = r.step
+    if not least:
+        return counted.limit(0).toPandas()
+    found = counted.filter(step >= F.element_at(F.create_map(*(F.lit(x) for row in least.items() for x in row)), part)).toPandas()
     return found.sort_values(["n", key], ascending=[False, True], ignore_index=True)
 
 
 def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
+
+
+__all__ = ["CHARS_AT_ONCE", "arrow_of", "bounded", "discard", "id_fold", "most_frequent", "rows_out", "scratch", "shared_dir", "table", "type_of", "whole_texts"]

@@ -5,7 +5,8 @@ links are tested on distinct shingles too. A shingle's points arrive as a Poisso
 weight as rate, each point falls into a random register, a register keeps the earliest shingle, and
 a shingle stops as soon as its next point comes after every register's. Two texts agree in a
 register with their probability Jaccard similarity, which at equal weights is that of their sets.
-Registers are banded into buckets, candidates are compared exactly, and linked texts form classes.
+Registers are banded into buckets; pairs of a bucket whose registers agree often enough are compared
+exactly on their texts, and linked texts form classes.
 
 Only distinct texts are compared. A bucket's members are compared with its hub, the member that
 shares most buckets with others; texts of one class are not compared again. What is then left of
@@ -15,6 +16,7 @@ of bounded size in large ones. So buckets have no cap and no link between classe
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +26,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_of, bounded, rows_out, scratch, whole_texts
+from .common import arrow_of, bounded, discard, rows_out, scratch, type_of, whole_texts
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
-#: Buckets up to this size compare what is left of them pair by pair; larger ones in cells of so many
-#: texts a side, the most shared texts of a group first.
-SMALL_BUCKET, CELL, HUBS = 48, 128, 64
+#: Buckets up to this size compare what is left of them pair by pair; larger ones, taken together where they overlap,
+#: in cells of so many texts a side and about so many shingles, first with so many of their most shared texts.
+SMALL_BUCKET, CELL, CELL_SHINGLES, HUBS = 48, 128, 400_000, 64
+#: A bucket of over HOT_BUCKET rows and over one in HOT_SHARE of all is dealt over SALTS tasks.
+HOT_BUCKET, HOT_SHARE, SALTS = 512, 10_000, 32
 WORDS_HELD = 500_000
 
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -100,39 +104,57 @@ def probminhash(doc: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n_docs
     return kept.reshape(n_docs, registers)
 
 
-def bucket_keys(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One 64-bit bucket key a band, the band's number mixed in."""
-    out = np.tile(np.arange(1, bands + 1, dtype=np.uint64) * _STEP, (len(registers), 1))
-    with np.errstate(over="ignore"):
-        for k in range(rows):
-            out = mixed((out ^ registers[:, k::rows]) * _FOLD + _STEP)
-    return out.view(np.int64)
+def band_keys(registers: np.ndarray, bands: int) -> np.ndarray:
+    """One 64-bit key a band: the low 16 bits of its four registers side by side, so that keys also tell which
+    registers of two texts agree."""
+    lanes = (registers & np.uint64(0xFFFF)).astype(np.uint16)
+    return lanes.reshape(len(registers), bands * ROWS).view(np.int64)
+
+
+def least_agreeing(similarity: float, registers: int) -> int:
+    """Registers that agree for texts at ``similarity`` but in about one pair of ten thousand million."""
+    return max(1, math.floor(registers * similarity - 6.5 * math.sqrt(registers * similarity * (1 - similarity))))
+
 
+def agreeing(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How many registers agree, from two arrays (... x bands) of band keys."""
+    return (np.ascontiguousarray(one).view(np.uint16) == np.ascontiguousarray(other).view(np.uint16)).sum(-1)
 
-def node_of(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """A row's id as a number; without one, a number below all ids made from its text."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return F.coalesce(F.col(id_col).cast("long"), -F.abs(F.xxhash64(text) % (1 << 61)) - (1 << 62))
+
+def node_of(kind: str = "bigint", id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A row's id as a number. An id that is no whole number, and the text of a row without an id, are
+    made into a number below all ids."""
+    made = lambda c: -F.abs(F.xxhash64(c) % (1 << 61)) - (1 << 62)
+    own = F.col(id_col)
+    number = own.cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else made(own.cast("string"))
+    return F.when(own.isNull(), made(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).otherwise(number)
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return whole_texts(docs, id_col, text_col).select(node_of().alias("nid"), "text")
+    """(nid, h, text): a row's id as a number, a hash of its text, the text."""
+    source = whole_texts(docs, id_col, text_col)
+    return source.select(node_of(type_of(source, "doc_id")).alias("nid"), F.xxhash64("text").alias("h"), "text")
 
 
-def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(nid, text_key, n, buckets) of every row: its id, 128 bits of its text, distinct shingles, bucket keys."""
-    ddl = "nid long, text_key binary, n int, buckets array<long>"
+def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS) -> DataFrame:
+    """(row, nid, h, text_key, n, bands) of every row: a number for the row, its id, a hash and 128 bits of its
+    text, distinct shingles, band keys."""
+    ddl = "row long, nid long, h long, text_key binary, n int, bands array<long>"
     schema = arrow_of(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = WordHashes()
+        from pyspark import TaskContext
+
+        held, row = WordHashes(), TaskContext.get().partitionId() << 40
         for batch in bounded(batches, limit=2_000_000):
             texts = [t.encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
             with np.errstate(over="ignore"):
                 doc, hashes, _ = weighted(*shingle_hashes(texts, held))
-                keys = bucket_keys(probminhash(doc, hashes, np.ones(len(doc)), len(texts), bands * rows), bands, rows)
+                keys = band_keys(probminhash(doc, hashes, np.ones(len(doc)), len(texts), bands * ROWS), bands)
             n = np.bincount(doc, minlength=len(texts))
-            yield rows_out(schema, [batch.column("nid"), [xxhash.xxh3_128_digest(t) for t in texts], n, [k if m else [] for k, m in zip(keys, n.tolist(), strict=True)]])
+            texts_keys = [xxhash.xxh3_128_digest(t) for t in texts]
+            yield rows_out(schema, [np.arange(row, row + len(texts)), batch.column("nid"), batch.column("h"), texts_keys, n, [k if m else [] for k, m in zip(keys, n.tolist(), strict=True)]])
+            row += len(texts)
 
     return numbered(docs, id_col, text_col).mapInArrow(run, ddl)
 
@@ -146,6 +168,19 @@ def _may_reach(n, m, similarity: float):
     return F.least(n, m) >= similarity * F.greatest(n, m)
 
 
+def likely(pairs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The (a, b) rows of ``pairs`` whose registers, from (nid, bands), agree often enough for that similarity."""
+    left, right = (nodes.select(F.col("nid").alias(c), F.col("bands").alias(f"bands_{c}")) for c in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                one, other = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in ("bands_a", "bands_b"))
+                yield batch.select(["a", "b"]).filter(pa.array(agreeing(one, other) >= least_agreeing(similarity, one.shape[1] * ROWS)))
+
+    return pairs.join(right, "b").join(left, "a").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The (a, b) rows of ``pairs`` whose texts, from (nid, text), share at least that part of their distinct shingles."""
     left, right = (texts.select(F.col("nid").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
@@ -176,7 +211,8 @@ def _chased(labels: DataFrame) -> DataFrame:
     while True:
         ends = labels.select(F.col("nid").alias("label"), F.col("label").alias("next"))
         stepped = scratch(labels.join(ends, "label").select("nid", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")), "labels")
-        labels = stepped.select("nid", "label")
+        discard(labels)
+        labels = stepped
         if stepped.filter("moved").isEmpty():
             return labels
 
@@ -193,8 +229,10 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.select("a", "b").union(edges.select("b", "a"))
         hooked = _chased(scratch(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("nid"), F.least("a", "m").alias("label")), "labels"))
-        labels = hooked if labels is None else scratch(_renamed(labels, hooked), "labels")
+        before, last = labels, edges
+        labels = scratch(hooked.select("nid", "label") if labels is None else _renamed(labels, hooked), "labels")
         edges = scratch(_lifted(edges, hooked), "links")
+        discard(hooked, last, *([before] if before is not None else []))
         if edges.isEmpty():
             return labels
 
@@ -216,7 +254,9 @@ def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
     """The labels of :func:`components` after more links; only links between labels are gone through."""
     more = components(_lifted(links, labels))
     new = more.join(labels.select("nid"), "nid", "left_anti")
-    return scratch(_renamed(labels, more).unionByName(new), "labels")
+    found = scratch(_renamed(labels, more).unionByName(new), "labels")
+    discard(labels, more)
+    return found
 
 
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -224,43 +264,88 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are linked if they are equal or share ``similarity`` of their distinct five-word
     shingles (white-space words as they are). Texts of one to four words are one shingle; texts
-    without words, null ones among them, are only copies of equal texts. Ids are whole numbers;
-    rows without one get an id made from their text. Repeated rows give repeated results, ties
-    go to the least id, and an empty table gives no rows.
+    without words, null ones among them, are only copies of equal texts. Rows without an id, or
+    with one that is no whole number, get a number below all ids. Where one id stands over several
+    texts, each of these counts by itself and speaks for its class under a number made from it.
+    Repeated rows give repeated results, ties go to the least id, and an empty table gives no rows.
     """
+    return _members(docs, id_col, text_col, similarity).select("nid", "class_id")
+
+
+def _members(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """(nid, h, class_id, first) of every row; ``first`` marks the rows of the text and id that stand for a class."""
     signed = scratch(signatures(docs, id_col=id_col, text_col=text_col), "signatures")
-    copies = signed.groupBy("text_key").agg(F.min("nid").alias("rep"))
-    singles = signed.join(copies.select(F.col("rep").alias("nid")), "nid", "left_semi")
-    rows = singles.select("nid", "n", F.explode("buckets").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    held = scratch(rows.join(shared, "bucket"), "buckets")
-    popular = held.groupBy("nid").agg(F.sum("size").alias("pop"))
-    hubs = held.join(popular, "nid").groupBy("bucket").agg(F.max(F.struct("pop", (-F.col("nid")).alias("minus"), "n")).alias("hub"))
-    first = held.join(hubs, "bucket").filter((F.col("nid") != -F.col("hub.minus")) & _may_reach(F.col("n"), F.col("hub.n"), similarity))
-    tested = scratch(first.select(*_pairs(F.col("nid"), -F.col("hub.minus"))).distinct(), "pairs")
-    wanted = scratch(held.select("nid").distinct(), "nodes")
-    source = numbered(docs, id_col, text_col)
-    texts = scratch(source.join(wanted, "nid", "left_semi").dropDuplicates(["nid"]), "texts")
-    links = scratch(verified(tested, texts, similarity), "verified")
-    labels = components(links)
-    open_rows = scratch(_open_rows(held, labels), "open")
-    few = open_rows.filter(F.col("size") <= SMALL_BUCKET)
+    texts_of = _nodes(signed)
+    single = signed.join(texts_of.select("row", "node"), "row").select(F.col("node").alias("nid"), F.col("nid").alias("own"), "h", "n", "bands")
+    nodes = scratch(single, "nodes")
+    labels = _linked(nodes, numbered(docs, id_col, text_col), similarity)
+    discard(nodes)
+    member = signed.select("nid", "h", "text_key").join(texts_of.select("text_key", "node", "rep"), "text_key").select("nid", "h", "node", "rep")
+    label = F.coalesce("label", "node")
+    return member.join(labels.select(F.col("nid").alias("node"), "label"), "node", "left").select("nid", "h", label.alias("class_id"), ((F.col("node") == label) & (F.col("nid") == F.col("rep"))).alias("first"))
+
+
+def _nodes(signed: DataFrame) -> DataFrame:
+    """(text_key, rep, row, node) of every distinct text: its least id, one of its rows, and the number it is compared
+    under: that id, or one made from the text where several texts have the same."""
+    texts = scratch(signed.groupBy("text_key").agg(F.min("nid").alias("rep"), F.min("row").alias("row")), "distinct")
+    clashing = texts.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("rep", F.lit(True).alias("clashes"))
+    if clashing.isEmpty():
+        return texts.withColumn("node", F.col("rep"))
+    made = -F.abs(F.xxhash64("text_key") % (1 << 61)) - (1 << 62)
+    return scratch(texts.join(clashing, "rep", "left").select("text_key", "rep", "row", F.when(F.col("clashes"), made).otherwise(F.col("rep")).alias("node")), "distinct")
+
+
+def _salted(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """``rows`` joined with ``heads`` (bucket, salts, …) by bucket; a bucket with several salts is dealt over as many tasks."""
+    return rows.join(heads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))), ["bucket", "salt"])
+
+
+def _held(nodes: DataFrame) -> DataFrame:
+    """(bucket, salt, nid, n, size, salts) of every bucket that several texts share.
+
+    Buckets that hold more than one in HOT_SHARE of all rows, of which there can't be more than that
+    many, are known to all tasks, so that their rows are dealt over SALTS tasks.
+    """
+    rows = nodes.select("nid", "n", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "nid", "n")
+    sizes = scratch(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
+    total = nodes.agg(F.sum(F.size("bands"))).first()[0] or 0
+    salts = F.when(F.col("size") > max(HOT_BUCKET, total // HOT_SHARE), SALTS).otherwise(1)
+    heads = sizes.withColumn("salts", salts)
+    hot = F.broadcast(heads.filter("salts > 1").select("bucket", F.lit(True).alias("hot")))
+    dealt = rows.join(hot, "bucket", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("nid"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+    return scratch(_salted(dealt, heads), "buckets")
+
+
+def _linked(nodes: DataFrame, source: DataFrame, similarity: float) -> DataFrame:
+    """(nid, label) of the ``nodes`` (nid, own, h, n, bands) that have a link; texts come from ``source`` (nid, h, text)."""
+    held = _held(nodes)
+    popular = scratch(held.groupBy("nid").agg(F.sum("size").alias("pop")), "popular")
+    hubs = held.join(popular, "nid").groupBy("bucket", "salts").agg(F.max(F.struct("pop", (-F.col("nid")).alias("minus"), "n")).alias("hub"))
+    own, hub = F.col("nid"), -F.col("hub.minus")
+    first = _salted(held.drop("salts"), hubs).filter((own != hub) & _may_reach(F.col("n"), F.col("hub.n"), similarity))
+    tested = scratch(first.select(*_pairs(own, hub)).distinct(), "pairs")
+    wanted = nodes.join(popular.select("nid"), "nid", "left_semi").select(F.col("nid").alias("node"), F.col("own").alias("nid"), "h")
+    texts = scratch(source.join(wanted.hint("shuffle_hash"), ["nid", "h"]).dropDuplicates(["nid", "h", "node"]).select(F.col("node").alias("nid"), "text"), "texts")
+    links = lambda pairs: scratch(verified(scratch(likely(pairs, nodes, similarity), "likely"), texts, similarity), "verified")
+    labels = components(links(tested))
+    few = _open_rows(held.filter(F.col("size") <= SMALL_BUCKET), labels)
     other = few.select("bucket", F.col("nid").alias("nid2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
     crossing = (F.col("nid") < F.col("nid2")) & (F.col("label") != F.col("label2")) & _may_reach(F.col("n"), F.col("n2"), similarity)
     left = few.join(other, "bucket").filter(crossing).select(*_pairs(F.col("nid"), F.col("nid2"))).distinct().join(tested, ["a", "b"], "left_anti")
-    labels = extended(labels, scratch(verified(left, texts, similarity), "verified"))
-    big = open_rows.filter(F.col("size") > SMALL_BUCKET)
+    labels = extended(labels, links(left))
+    big = held.filter(F.col("size") > SMALL_BUCKET)
     if not big.isEmpty():
-        labels = _joined_groups(big, labels, popular, texts, similarity)
-    members = signed.select("nid", "text_key").join(copies, "text_key").select("nid", "rep")
-    return members.join(labels.select(F.col("nid").alias("rep"), "label"), "rep", "left").select("nid", F.coalesce("label", "rep").alias("class_id"))
+        labels = _joined_groups(_open_rows(big, labels), labels, popular, texts, similarity)
+    discard(held, texts, tested, popular)
+    return labels
 
 
 def _open_rows(held: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of the buckets of three or more whose members lie in several classes."""
-    labelled = held.filter("size > 2").join(labels, "nid", "left").select("bucket", "nid", "n", "size", F.coalesce("label", "nid").alias("label"))
-    several = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
-    return labelled.join(several, "bucket")
+    """(bucket, salt, salts, nid, n, label) of the buckets of three or more whose members lie in several classes."""
+    labelled = held.filter("size > 2").join(labels, "nid", "left").select("bucket", "salt", "salts", "nid", "n", F.coalesce("label", "nid").alias("label"))
+    several = labelled.groupBy("bucket", "salts").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket", "salts")
+    return _salted(labelled.drop("salts"), several)
 
 
 def _joined_groups(rows: DataFrame, labels: DataFrame, popular: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -270,29 +355,35 @@ def _joined_groups(rows: DataFrame, labels: DataFrame, popular: DataFrame, texts
     outside the group's largest class meets all texts of other classes. So no pair across classes
     is left out, and the largest class is never compared with itself.
     """
-    joined = rows.groupBy("bucket").agg(F.min("nid").alias("b"))
-    groups = components(rows.join(joined, "bucket").select(F.col("nid").alias("a"), "b"))
-    nodes = scratch(groups.withColumnRenamed("label", "g").join(rows.select("nid").distinct(), "nid", "left_semi").join(popular, "nid"), "groups")
+    rows = scratch(rows, "open")
+    least = rows.groupBy("bucket", "salts").agg(F.min("nid").alias("b"))
+    groups = components(_salted(rows.drop("salts"), least).select(F.col("nid").alias("a"), "b"))
+    nodes = groups.withColumnRenamed("label", "g").join(rows.select("nid", "n").distinct(), "nid").join(popular, "nid")
+    nodes = scratch(nodes.select("g", "nid", "n", "pop"), "groups")
     place = F.row_number().over(Window.partitionBy("g").orderBy(F.desc("pop"), "nid"))
     for turn in range(2):
-        own = scratch(nodes.join(labels, "nid", "left").select("g", "nid", "pop", F.coalesce("label", "nid").alias("label")), "classes")
+        own = scratch(nodes.join(labels, "nid", "left").select("g", "nid", "n", "pop", F.coalesce("label", "nid").alias("label")), "classes")
         if turn:
             sizes = own.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n"))
             main = sizes.groupBy("g").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
             left = own.join(main, "g").filter("label <> main")
         else:
             left = own.withColumn("place", place).filter(F.col("place") <= HUBS)
-        found = scratch(compared_in_cells(left.select("g", "nid", "label"), own.select("g", "nid", "label"), texts, similarity), "verified")
+        found = scratch(compared_in_cells(left, own, texts, similarity), "verified")
         labels = extended(labels, found)
+        discard(own, found)
+    discard(rows, nodes)
     return labels
 
 
 def compared_in_cells(left: DataFrame, right: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) links between the ``left`` and ``right`` texts (g, nid, label) of each group that have different labels.
+    """(a, b) links between the ``left`` and ``right`` texts (g, nid, n, label) of each group that have different labels.
 
-    Both sides are cut into blocks of about CELL texts; a task compares two blocks and never holds more.
+    Both sides are cut into blocks of about CELL texts, fewer if they are long; a task compares two
+    blocks, never holds more, and gives one link for any two labels.
     """
-    sizes = left.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("rows")).join(right.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("columns")), "g")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / CELL, F.sum("n") / CELL_SHINGLES)).cast("int")
+    sizes = left.groupBy("g").agg(blocks.alias("rows")).join(right.groupBy("g").agg(blocks.alias("columns")), "g")
     block = lambda count: F.pmod(F.xxhash64("nid"), F.col(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
     a = left.join(sizes, "g").select("g", "nid", "label", block("rows").alias("i"), "columns").select("g", "i", every("columns").alias("j"), "nid", "label", F.lit(True).alias("is_left"))
@@ -307,8 +398,9 @@ def compared_in_cells(left: DataFrame, right: DataFrame, texts: DataFrame, simil
         rows, columns = np.flatnonzero(is_left), np.flatnonzero(~is_left)
         common = shared_counts(doc, hashes, rows, columns, len(nid))
         near = (common > 0) & (common >= similarity * (size[rows][:, None] + size[columns] - common)) & (label[rows][:, None] != label[columns])
-        x, y = (side[k] for side, k in zip((nid[rows], nid[columns]), np.nonzero(near), strict=True))
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
+        x, y = (side[k] for side, k in zip((rows, columns), np.nonzero(near), strict=True))
+        found = pd.DataFrame({"a": np.minimum(nid[x], nid[y]), "b": np.maximum(nid[x], nid[y]), "x": np.minimum(label[x], label[y]), "y": np.maximum(label[x], label[y])})
+        return found.drop_duplicates(["x", "y"])[["a", "b"]]
 
     return a.union(b).join(texts, "nid").groupBy("g", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
@@ -329,11 +421,17 @@ def shared_counts(doc: np.ndarray, hashes: np.ndarray, rows: np.ndarray, columns
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``docs``, all columns as they are, with one row of each class: the one with the least id."""
-    found = scratch(classes(docs, id_col=id_col, text_col=text_col, similarity=similarity), "classes")
-    first = found.groupBy("class_id").agg(F.min("nid").alias("nid"), F.count(F.lit(1)).alias("n"))
-    node = "nid_" + "_".join(docs.columns)  # a name that no column has
-    kept = docs.withColumn(node, node_of(id_col, text_col)).join(first.select(F.col("nid").alias(node)), node, "left_semi")
-    if found.count() > found.select("nid").distinct().count():
-        kept = kept.dropDuplicates([node])
-    return kept.drop(node)
+    """``docs``, all columns as they are, with one row of each class: the one with the least id.
+
+    Rows go by id and text, so two texts under one id are both kept unless they are near-duplicates;
+    of rows that repeat in both, one stays. Documents are dealt by id and text at every size of the table.
+    """
+    found = scratch(_members(docs, id_col, text_col, similarity), "members")
+    gone = found.filter(~F.col("first")).select("nid", "h").distinct()
+    tail = "_".join(docs.columns)  # names that no column has
+    nid, h = f"nid_{tail}", f"h_{tail}"
+    own = docs.withColumns({nid: node_of(type_of(docs, id_col), id_col, text_col), h: F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    kept = own.join(gone.select(F.col("nid").alias(nid), F.col("h").alias(h)).hint("shuffle_hash"), [nid, h], "left_anti")
+    if not found.filter("first").groupBy("nid", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        kept = kept.dropDuplicates([nid, h])
+    return kept.select(*docs.columns)

@@ -41,6 +41,7 @@ def test_classes_equal_all_pairs(spark, monkeypatch, small):
     monkeypatch.setattr(neardup, "SMALL_BUCKET", small)
     monkeypatch.setattr(neardup, "CELL", 8)
     monkeypatch.setattr(neardup, "HUBS", 2)
+    monkeypatch.setattr(neardup, "HOT_BUCKET", small)  # so that buckets are dealt over several tasks
     rng, rows = random.Random(11), []
     vocabulary = [f"w{i}" for i in range(500)]
     for family in range(12):
@@ -125,3 +126,40 @@ def test_copies_that_differ_in_how_often_a_line_repeats(spark):
         rows += [(2 * pair, text), (2 * pair + 1, text + f" {line}" * 200)]
     got = {r.nid: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i - i % 2 for i in range(40)} == brute(rows)
+
+
+def test_ids_that_clash_keep_their_texts(spark):
+    """Two texts under one id are two texts; rows that repeat in both are one."""
+    rng, vocabulary = random.Random(3), [f"v{i}" for i in range(5000)]
+    one, two, other = (prose(rng, 80, vocabulary) for _ in range(3))
+    near = f"{two} end"
+    rows = [(5, one), (5, two), (5, two), (7, near), (8, other), (8, other), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = neardup.keep_one(docs).collect()
+    texts = [r.text or "" for r in kept]
+    assert sorted(texts) in [sorted(x) for x in (["", one, two, other], ["", one, near, other])]
+    found = neardup.classes(docs).collect()
+    assert len(found) == len(rows)
+    of = defaultdict(set)
+    for r in found:
+        of[r.nid].add(r.class_id)
+    assert len(of[5]) == 2 and of[7] < of[5] and of[8] == {8}
+
+
+def test_ids_of_other_types(spark):
+    docs = spark.createDataFrame([("a", "x y z"), ("b", "x y z"), ("c", "q"), (None, "q")], "doc_id string, text string")
+    kept = neardup.keep_one(docs)
+    assert kept.count() == 2 and kept.schema == docs.schema
+    assert len({r.class_id for r in neardup.classes(docs).collect()}) == 2
+
+
+def test_agreeing_registers_of_similar_texts():
+    """Of pairs at 0.8 nearly none falls below what is asked, of pairs at 0.4 nearly none reaches it."""
+    rng = np.random.default_rng(1)
+    for share, reached in ((0.8, 1.0), (0.4, 0.0)):
+        same = rng.random((4000, neardup.BANDS * neardup.ROWS)) < share
+        one = rng.integers(0, 1 << 62, same.shape, dtype=np.uint64)
+        other = np.where(same, one, one + np.uint64(1))
+        found = neardup.agreeing(neardup.band_keys(one, neardup.BANDS), neardup.band_keys(other, neardup.BANDS))
+        assert (found == same.sum(1)).all()
+        assert abs((found >= neardup.least_agreeing(0.8, same.shape[1])).mean() - reached) < 0.01
