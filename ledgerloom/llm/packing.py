@@ -8,6 +8,7 @@ Open windows are found by their remaining capacity in a segment tree.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -23,6 +24,11 @@ WINDOW = 2048
 END_ID = 1
 #: Pieces that one best-fit run holds at a time.
 PIECES_AT_ONCE = 100_000
+#: Texts longer than this are looked through for runs of half as many characters, which are merged apart (speed
+#: and safety only, never ids).
+LONG_RUN = 20_000
+
+_SPACES = re.compile(r"\s\s+")
 
 
 class CapacityTree:
@@ -93,7 +99,20 @@ def encoder(vocabulary: str | bytes) -> Callable[[str], list[int]]:
         raise ValueError("the vocabulary's ids don't follow its merges")
     coder = tiktoken.Encoding("pieces", pat_str=WORDS.pattern, mergeable_ranks=ranks, special_tokens=special)
 
+    def by_words(text: str) -> list[int]:
+        """Long runs overflow the fast encoder's stack, so words are found here and long ones merged here."""
+        out: list[int] = []
+        for part in merges.specials.split(text) if merges.specials else [text]:
+            if part in special:
+                out.append(special[part])
+                continue
+            for word in WORDS.findall(part):
+                out += merges.merge(word.encode("utf-8", "replace")) if len(word) > LONG_RUN // 2 else coder.encode_ordinary(word)
+        return out
+
     def encode(text: str) -> list[int]:
+        if len(text) > LONG_RUN and (max(map(len, text.split()), default=0) > LONG_RUN // 2 or max(map(len, _SPACES.findall(text)), default=0) > LONG_RUN // 2):
+            return by_words(text)
         return coder.encode(text, allowed_special="all") if any(s in text for s in special) else coder.encode_ordinary(text)
 
     return encode
@@ -128,7 +147,7 @@ def token_pieces(docs: DataFrame, vocabulary_path: str, *, window: int = WINDOW,
 
 
 def place(pieces: DataFrame, *, window: int = WINDOW, at_once: int = PIECES_AT_ONCE) -> DataFrame:
-    """``pieces`` with sequence_id and offset.
+    """``pieces`` with sequence_id and offset; no pieces give no rows, and pieces of equal length go as they come.
 
     Pieces are dealt evenly into blocks of at most about ``at_once`` and each block is packed by
     itself, so no task holds more than one block and a block wastes at most its last few windows.

@@ -99,3 +99,10 @@ def test_pieces_hold_every_id_once(all_docs, none, tokenizer):
     assert max(by.values()) <= 2048
     assert len(by) <= sum(by.values()) / 2048 + 2
     assert packing.pack(none, vocabulary_path()).count() == 0
+
+
+@pytest.mark.parametrize("run", [" " * 1_000_000 + "x", "\n" * 300_000, "a" + "\t " * 200_000, "=" * 300_000, "ab" * 30_000 + " <|endoftext|>" + " " * 50_000 + "'s", "don't " + " " * 30_000 + "\n\n we'll"])
+def test_long_runs_are_encoded_like_the_library(tokenizer, run):
+    with open(vocabulary_path(), "rb") as f:
+        encode = packing.encoder(f.read())
+    assert list(encode(run)) == tokenizer.encode(run, add_special_tokens=False).ids
