@@ -56,8 +56,9 @@ def read_vint(data: bytes, at: int, keep_marker: bool = False) -> tuple[int | No
 
 
 def elements(data: bytes, start: int, end: int, closed_by: frozenset[int] | set[int] = frozenset()) -> Iterator[tuple[int, int, int]]:
-    """(id, first byte of content, end of content) of the elements in a range. An element of unknown
-    size ends where an id of ``closed_by`` begins or the range ends."""
+    """(id, first byte of content, end of content) of the elements in a range. Segments and clusters may have
+    an unknown size; one ends where an element begins that can't lie in it, or the range ends. As a cluster
+    is closed by the next and a segment by the next, they never nest."""
     at = start
     while at < end:
         kind, n = read_vint(data, at, keep_marker=True)
@@ -65,6 +66,8 @@ def elements(data: bytes, start: int, end: int, closed_by: frozenset[int] | set[
             return
         size, m = read_vint(data, at + n)
         body = at + n + m
+        if size is None and kind not in (SEGMENT, CLUSTER):
+            raise MatroskaError(f"element {kind:#x} at byte {at} has an unknown size")
         stop = _unknown_end(data, body, end, kind) if size is None else body + size
         if stop > end:
             raise MatroskaError(f"element {kind:#x} at byte {at} runs past its parent")
@@ -81,10 +84,14 @@ def _unknown_end(data: bytes, body: int, end: int, kind: int) -> int:
 
 
 def _uint(data: bytes, start: int, end: int) -> int:
+    if end - start > 8:
+        raise MatroskaError(f"a number of {end - start} bytes at byte {start}")
     return int.from_bytes(data[start:end], "big")
 
 
 def _float(data: bytes, start: int, end: int) -> float:
+    if end - start not in (0, 4, 8):
+        raise MatroskaError(f"a float of {end - start} bytes at byte {start}")
     return struct.unpack(">f" if end - start == 4 else ">d", data[start:end])[0] if end > start else 0.0
 
 
@@ -99,7 +106,7 @@ class Track:
     bits: int = 0
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, slots=True)
 class Packet:
     track: int
     time_ns: int
@@ -161,7 +168,7 @@ def parse(data: bytes) -> Media:
     media, segments = Media(), 0
     for kind, start, end in elements(data, 0, len(data)):
         if kind == EBML:
-            media.doc_type = next((data[a:b].rstrip(b"\0").decode() for k, a, b in elements(data, start, end) if k == DOC_TYPE), "matroska")
+            media.doc_type = next((data[a:b].rstrip(b"\0").decode("ascii", "replace") for k, a, b in elements(data, start, end) if k == DOC_TYPE), "matroska")
         elif kind == SEGMENT:
             segments += 1
             _segment(data, start, end, media)
@@ -230,12 +237,14 @@ def _cluster(data: bytes, start: int, end: int, media: Media) -> None:
 
 def _block(data: bytes, start: int, end: int, base: int, cluster: int, keyframe: bool, media: Media) -> None:
     number, n = read_vint(data, start)
-    if start + n + 3 > end:
+    if number is None or start + n + 3 > end:
         raise MatroskaError(f"a block is cut off at byte {start}")
     relative, flags = struct.unpack_from(">hB", data, start + n)
     lacing = flags >> 1 & 3
     sizes, at = laced_sizes(data, start + n + 3, end, lacing)
     time, step = (base + relative) * media.scale, media.tracks[number].frame_ns if number in media.tracks else 0
+    if not -(1 << 63) <= time <= time + len(sizes) * step < 1 << 63:
+        raise MatroskaError(f"the time of the block at byte {start} is out of range")
     for i, size in enumerate(sizes):
         media.packets.append(Packet(number, time + i * step, at, size, keyframe, LACINGS[lacing], cluster))
         at += size
@@ -339,7 +348,7 @@ def packets(files: DataFrame, *, id_col: str = "doc_id", media_col: str = "media
     its rows leave in bounded batches.
     """
     source = files.select(F.col(id_col).alias("doc_id"), F.col(media_col).cast("binary").alias("media"))
-    ddl = f"doc_id {type_of(source, 'doc_id')}, track int, codec string, packet long, time_ns long, byte_start long, byte_end long, keyframe boolean, lacing string, cluster int, cued boolean, error string"
+    ddl = f"doc_id {type_of(source, 'doc_id')}, track long, codec string, packet long, time_ns long, byte_start long, byte_end long, keyframe boolean, lacing string, cluster int, cued boolean, error string"
     schema = arrow_of(ddl)
 
     def table_of(doc_id: object, data: bytes) -> Iterator[tuple]:
@@ -369,7 +378,7 @@ def describe(media: Media, samples: bytes) -> str:
     centred = wave - 128
     crossings = int(np.count_nonzero((centred[1:] < 0) != (centred[:-1] < 0)))
     lacings = "+".join(sorted({p.lacing for p in media.packets}))
-    end = max((p.time_ns + media.tracks[p.track].frame_ns for p in media.packets), default=0)
+    end = max((p.time_ns + (media.tracks[p.track].frame_ns if p.track in media.tracks else 0) for p in media.packets), default=0)
     return (
         f"type={media.doc_type};tracks={len(media.tracks)};clusters={len(media.clusters)};cues={len(media.cues)};packets={len(media.packets)};lacing={lacings};"
         f"ms={end // 1_000_000};mean={int(wave.sum()) / max(1, len(wave)):.4f};rms={(int((centred * centred).sum()) / max(1, len(wave))) ** 0.5:.4f};crossings={crossings}"
