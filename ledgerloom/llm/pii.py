@@ -6,8 +6,11 @@ dates) count only where words nearby speak for them, so plain numbers are left a
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -42,10 +45,35 @@ def issued_ssn(text: str) -> bool:
     return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
 
 
+def calendar_date(text: str) -> bool:
+    """A day that exists, from 1900 to 2100, in the order year-month-day or day.month.year or month/day/year."""
+    a, b, c = map(int, re.split("[-/.]", text))
+    for y, m, d in ((a, b, c),) if len(text.split("-")) == 3 else ((c, b, a), (c, a, b)):
+        try:
+            if 1900 <= dt.date(y, m, d).year <= 2100:
+                return True
+        except ValueError:
+            pass
+    return False
+
+
+def dialled_number(text: str) -> bool:
+    """Area codes begin with 2 to 9, and not all digits are the same."""
+    d = _digits(text)
+    return d[0] in "23456789" and len(set(d)) > 1
+
+
+def random_text(text: str) -> bool:
+    """Letters and digits as mixed as in drawn text: at least three bits a character."""
+    counts = Counter(text).values()
+    bits = sum(n * math.log2(len(text) / n) for n in counts) / len(text)
+    return bits >= 3 and any(c.isdigit() for c in text) and any(c.isalpha() for c in text)
+
+
 @dataclass(frozen=True)
 class Detector:
     """``propose`` gives spans left to right; each passes ``confirm`` or goes. ``score`` is without
-    context; a word of ``context`` nearby adds 0.4."""
+    context; a word of ``context`` nearby adds 0.4, one of ``against`` takes 0.3, up to 1."""
 
     kind: str
     propose: Callable[[str], Iterator[tuple[int, int]]]
@@ -53,6 +81,7 @@ class Detector:
     score: float = 1.0
     context: re.Pattern | None = None
     hint: str = ""
+    against: re.Pattern | None = None
 
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -112,22 +141,29 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if c in "0123456789")
 
 
+def _words(source: str) -> re.Pattern:
+    return re.compile(rf"\b(?:{source})\b", re.I)
+
+
+_CALL = _words("phone|call|tel|mobile|fax|dial|telefon|tél|teléfono")
+
 #: The base kinds, in the order in which their spans are listed. A match that fails its check is
-#: dropped whole. Digits start a match only where none stands before, which finds the same spans
+#: dropped whole; context moves their scores, but none below what is reported. Digits start a match only where none stands before, which finds the same spans
 #: as trying every digit, without trying long runs again and again.
 BASE = (
-    Detector("email", emails, lambda s: True, hint="@"),
-    Detector("ip", _pattern(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"), lambda s: all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in s.split("."))), hint="."),
-    Detector("card", _pattern(r"[0-9](?:[ -]?[0-9])+"), lambda s: 16 <= len(d := _digits(s)) <= 19 and luhn(d)),
-    Detector("phone", _pattern(r"\+[0-9][ ().0-9-]+[0-9]"), lambda s: 8 <= len(_digits(s)) <= 15, hint="+"),
+    Detector("email", emails, lambda s: True, 0.9, hint="@"),
+    Detector("ip", _pattern(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"), lambda s: all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in s.split("."))), 0.85, _words("ip|host|server|address|login"), ".", _words("version|section|chapter|release")),
+    Detector("card", _pattern(r"[0-9](?:[ -]?[0-9])+"), lambda s: 16 <= len(d := _digits(s)) <= 19 and luhn(d), 0.8, _words("card|visa|mastercard|credit|payment|karte|carte|tarjeta")),
+    Detector("phone", _pattern(r"\+[0-9][ ().0-9-]+[0-9]"), lambda s: 8 <= len(_digits(s)) <= 15, 0.8, _CALL, "+"),
 )
 
 #: What the method adds. National ids and unmarked phone numbers need a context word.
 ADDED = (
     Detector("iban", ibans, mod97, 0.9),
     Detector("ssn", _pattern(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), issued_ssn, 0.3, re.compile(r"\b(?:ssn|social security|tax id)\b", re.I), "-"),
-    Detector("local_phone", _pattern(r"(?<![0-9+-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9-])"), lambda s: True, 0.3, re.compile(r"\b(?:phone|call|tel|mobile|fax|dial|telefon|tél|teléfono)\b", re.I)),
-    Detector("birth_date", _pattern(r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4})(?![0-9])"), lambda s: True, 0.2, re.compile(r"\b(?:born|birth|birthday|dob|geboren|née?|nacid[oa])\b", re.I)),
+    Detector("local_phone", _pattern(r"(?<![0-9+-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9-])"), dialled_number, 0.3, _CALL, "", _words("order|invoice|serial|part number|tracking")),
+    Detector("birth_date", _pattern(r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4})(?![0-9])"), calendar_date, 0.2, re.compile(r"\b(?:born|birth|birthday|dob|geboren|née?|nacid[oa])\b", re.I)),
+    Detector("secret", _pattern(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,512}+={0,2}"), random_text, 0.3, re.compile(r"(?<![A-Za-z])(?:tokens?|secrets?|passw(?:or)?d|api[ _-]?keys?|access[ _-]?keys?|private[ _-]?keys?|credentials?|bearer)(?![A-Za-z])", re.I)),
 )
 
 _ANY_DIGIT = re.compile(r"[0-9]")
@@ -140,10 +176,11 @@ def spans_of(kind: Detector, text: str) -> list[tuple[int, int, float]]:
         if not kind.confirm(text[start:end]):
             continue
         score = kind.score
-        if kind.context and kind.context.search(text[max(0, start - CONTEXT) : start] + "\n" + text[end : end + CONTEXT]):
-            score += 0.4
+        if kind.context or kind.against:
+            near = text[max(0, start - CONTEXT) : start] + "\n" + text[end : end + CONTEXT]
+            score += 0.4 * bool(kind.context and kind.context.search(near)) - 0.3 * bool(kind.against and kind.against.search(near))
         if score >= LEAST_SCORE:
-            out.append((start, end, score))
+            out.append((start, end, min(1.0, score)))
     return out
 
 
@@ -186,7 +223,7 @@ def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     """
     source = whole_texts(docs, id_col, text_col)
     counts = ", ".join(f"n_{k.kind} long" for k in BASE)
-    ddl = f"doc_id {type_of(source, 'doc_id')}, {counts}, base_sha256 string, spans string, found array<struct<kind:string,start:int,end:int,score:double,base:boolean>>"
+    ddl = f"doc_id {type_of(source, 'doc_id')}, {counts}, n_added long, base_sha256 string, spans string, found array<struct<kind:string,start:int,end:int,score:double,base:boolean>>"
     schema = arrow_of(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,13 +233,18 @@ def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
             listed = [_listed(base) for base, _ in found]
             every = [_listed(base + more) for base, more in found]
             rows = [[{"kind": k, "start": a, "end": b, "score": s, "base": i < len(base)} for i, (k, a, b, s) in enumerate(base + more)] for base, more in found]
-            yield rows_out(schema, [batch.column("doc_id"), *columns, [hashlib.sha256(x.encode()).hexdigest() for x in listed], every, rows])
+            others = [len(more) for _, more in found]
+            yield rows_out(schema, [batch.column("doc_id"), *columns, others, [hashlib.sha256(x.encode()).hexdigest() for x in listed], every, rows])
 
     return source.mapInArrow(run, ddl)
 
 
 def redact(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with personal data replaced in ``text_col``; every row and every other column stays."""
+    """``docs`` with personal data replaced in ``text_col``; every row and every other column stays.
+
+    Null texts stay null and empty ones empty, long texts are searched whole, repeated rows are
+    redacted alike, and an empty table gives no rows.
+    """
     at, types = docs.columns.index(text_col), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

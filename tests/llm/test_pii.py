@@ -46,6 +46,23 @@ def test_validators_and_context():
     assert kinds("please call 555-010-9999") == {"local_phone"}
     assert kinds("born 1980-02-03") == {"birth_date"}
     assert kinds("released 1980-02-03") == set()
+    assert kinds("born 31.02.1980") == kinds("born 99/99/2020") == set()
+    assert kinds("born 12/25/1980") == kinds("geboren 25.12.1980") == {"birth_date"}
+    assert kinds("call about order 555-010-9999") == kinds("call 111-111-1111") == set()
+
+
+def test_secrets_need_random_text_and_a_word_for_them():
+    kinds = lambda t: {s[0] for s in pii.find(t)[1]}
+    key = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"
+    assert kinds(f'token = "{key}"') == kinds(f"API_KEY={key}") == kinds(f"password: {key}") == {"secret"}
+    assert kinds(f"commit {key}") == kinds("token = " + "a1" * 20) == kinds("secret " + "z" * 40 + " 1") == set()
+    assert pii.redacted(f'token = "{key}"') == 'token = "<secret>"'
+
+
+def test_context_moves_scores_of_base_kinds_but_drops_none():
+    score = lambda t: pii.find(t)[0][0][3]
+    assert score("version 1.2.3.4") < score("1.2.3.4") < score("server 1.2.3.4")
+    assert score("card 4111111111111111") > score("4111111111111111") >= pii.LEAST_SCORE
 
 
 def test_ibans_before_capitals_and_digits():
