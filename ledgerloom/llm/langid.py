@@ -18,17 +18,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_of, bounded, id_fold, most_frequent, rows_out, scratch, type_of, whole_texts
+from .common import CHARS_AT_ONCE, arrow_of, bounded, id_fold, most_frequent, rows_out, scratch, type_of, whole_texts
 
 UNKNOWN = "und"
 #: Log-probability that a change of language between two words costs.
 SWITCH_PENALTY = 6.0
-#: Documents the model is fitted on at most, picked by a hash of their ids.
-TRAINING_DOCS = 40_000
+#: Documents the model is fitted on for each language at most (about), picked by a hash of their ids.
+TRAINING_DOCS = 10_000
 #: Words that the model keeps for a language, the most frequent ones.
 WORDS_A_LANGUAGE = 25_000
 #: What one word can count for or against a language at most.
 WORD_RANGE = 8.0
+#: How well words have to fit the languages of their own spans for a text to pass as identified.
+LEAST_FIT = 0.3
 
 # First and last code points of letters by script (Unicode blocks).
 SCRIPTS = {
@@ -105,15 +107,17 @@ class LanguageModel:
 
 
 def train(docs: DataFrame, usable: Column, *, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", max_docs: int = TRAINING_DOCS) -> LanguageModel:
-    """Fit on at most about ``max_docs`` of the rows with ``usable`` and a language, picked by a hash of the id.
+    """Fit on about ``max_docs`` rows a language at most, of those with ``usable``, a language and a text, picked by a
+    hash of the id; so a rare language is learned from all it has, however large the table is.
 
     Words are counted inside tasks and summed by (language, word); only the words that the model
-    keeps reach the driver.
+    keeps reach the driver, WORDS_A_LANGUAGE for each language. No rows give a model without languages.
     """
     rows = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    total = rows.select(F.lit(1)).count()
-    if total > max_docs:
-        rows = rows.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < math.ceil(max_docs / total * (1 << 20)))
+    found = {r.lang: r.n for r in rows.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if parts := [F.lit(x) for lang, n in found.items() if n > max_docs for x in (lang, math.ceil(max_docs / n * (1 << 20)))]:
+        part = F.coalesce(F.element_at(F.create_map(*parts), F.col(lang_col).cast("string")), F.lit(1 << 20))
+        rows = rows.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < part)
     schema = arrow_of("lang string, word string, n long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,9 +138,8 @@ def train(docs: DataFrame, usable: Column, *, lang_col: str = "lang", id_col: st
     raw = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(count, "lang string, word string, n long")
     word = F.regexp_replace("word", r"^\P{L}+|\P{L}+$", "")
     counts = scratch(raw.select("lang", word.alias("word"), "n").filter("word <> ''").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    languages = [r.lang for r in counts.select("lang").distinct().orderBy("lang").collect()]
-    kept = [(lang, *row) for lang in languages for row in most_frequent(counts.filter(F.col("lang") == lang).select("word", "n"), WORDS_A_LANGUAGE, "word").itertuples(index=False)]
-    return fit(languages, kept)
+    kept = most_frequent(counts, WORDS_A_LANGUAGE, "word", by="lang")
+    return fit(sorted(found), list(kept[["lang", "word", "n"]].itertuples(index=False, name=None)))
 
 
 def fit(languages: list[str], counts: list[tuple[str, str, int]]) -> LanguageModel:
@@ -177,10 +180,10 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray
     lengths = sizes[order]
     steps = int(lengths[0]) if len(lengths) else 0
     live = np.searchsorted(-lengths, -np.arange(1, steps + 1), side="right")  # texts with a word at each step
-    came = np.zeros((len(scores), n_langs), np.int8)
-    ends = np.zeros(len(sizes), np.int8)
+    came = np.zeros((len(scores), n_langs), np.int16)
+    ends = np.zeros(len(sizes), np.int16)
     at = np.zeros((len(sizes), n_langs))
-    own = np.arange(n_langs, dtype=np.int8)
+    own = np.arange(n_langs, dtype=np.int16)
     for t in range(steps):
         k = live[t]
         here = at[:k]
@@ -193,7 +196,7 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray
         at[:k] = here + scores[first[:k] + t]
         gone = live[t + 1] if t + 1 < steps else 0
         ends[gone:k] = at[gone:k].argmax(1)
-    labels = np.zeros(len(scores), np.int8)
+    labels = np.zeros(len(scores), np.int16)
     now = ends.copy()
     for t in range(steps - 1, -1, -1):
         k = live[t]
@@ -216,55 +219,65 @@ class Labeller:
         """Number 0 is for words without letters, which speak for no language."""
         self.ids: dict[str, int] = {}
         self.cores: dict[str, int] = {"": 0}
-        self.rows: list[tuple[float, ...]] = [(0.0,) * len(self.model.languages)]
-        self.weights: list[int] = [0]
+        self.table = np.zeros((0, len(self.model.languages)), np.float32)  # scores
+        self.belief = self.table  # the same as shares of probability
+        self.weights = np.zeros(0, np.int64)  # letters
+        self._add([(0.0,) * len(self.model.languages)], [0])
+
+    def _add(self, rows: list[tuple[float, ...]], weights: list[int]) -> None:
+        new = np.array(rows, np.float32)
+        share = np.exp(new)
+        self.table = np.concatenate([self.table, new])
+        self.belief = np.concatenate([self.belief, share / share.sum(1, keepdims=True)])
+        self.weights = np.concatenate([self.weights, np.array(weights, np.int64)])
 
     def _numbers(self, words: list[list[str]]) -> None:
+        """Number the words; the scores of new ones are worked out once."""
         new = set().union(*words) - self.ids.keys() if words else set()
         if len(self.ids) + len(new) > self.HELD:
             self._clear()
             new = set().union(*words)
-        ids, cores = self.ids, self.cores
+        ids, cores, rows, weights, first = self.ids, self.cores, [], [], len(self.table)
         for w in new:
             core = letters_of(w)
             number = cores.get(core)
             if number is None:
-                number = cores[core] = len(self.rows)
-                self.rows.append(self.model.score(core))
-                self.weights.append(len(core))
+                number = cores[core] = first + len(rows)
+                rows.append(self.model.score(core))
+                weights.append(len(core))
             ids[w] = number
+        if rows:
+            self._add(rows, weights)
 
-    def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
-        """(language, score, spans) of each text; spans are (first word, words, language) over white-space words."""
+    def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]], float]]:
+        """(language, score, spans, fit) of each text; spans are (first word, words, language) over white-space words.
+
+        The score tells how far the words speak for the text's language, the fit how far each speaks
+        for the language of its own span, both as shares of probability averaged over letters.
+        """
         n, languages = len(self.model.languages), self.model.languages
         words = [(t or "").split() for t in texts]
         if not n:
-            return [(UNKNOWN, 0.0, [])] * len(texts)
+            return [(UNKNOWN, 0.0, [], 0.0)] * len(texts)
         self._numbers(words)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ids = np.concatenate([np.fromiter(map(self.ids.__getitem__, w), np.int64, len(w)) for w in words]) if len(words) else np.zeros(0, np.int64)
-        table, weight = np.array(self.rows, np.float32), np.array(self.weights, np.int64)[ids]
-        labels = viterbi(table[ids].astype(np.float64), sizes, self.penalty)
+        weight = self.weights[ids]
+        labels = viterbi(self.table[ids], sizes, self.penalty)
         ends = np.cumsum(sizes)
         doc = np.repeat(np.arange(len(words)), sizes)
-        mass = np.zeros((len(words), n))
-        np.add.at(mass, (doc, labels), weight)
-        # how far the words speak for the chosen language, as a share of probability averaged over letters
-        belief = np.exp(table)
-        belief /= belief.sum(1, keepdims=True)
-        chosen = mass.argmax(1)
-        trust = np.zeros(len(words))
-        np.add.at(trust, doc, belief[ids, chosen[doc]] * weight if len(ids) else 0.0)
-        total = mass.sum(1)
+        mass = np.bincount(doc * n + labels, weight, len(words) * n).reshape(len(words), n)
+        chosen, total = mass.argmax(1), mass.sum(1)
+        trust, fit = (np.bincount(doc, self.belief[ids, by] * weight, len(words)) for by in (chosen[doc], labels))
         out = []
         for i, end in enumerate(ends.tolist()):
             if not total[i]:
-                out.append((UNKNOWN, 0.0, []))
+                out.append((UNKNOWN, 0.0, [], 0.0))
                 continue
             own = labels[end - sizes[i] : end]
             cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
             spans = [(a, b - a, languages[own[a]]) for a, b in zip(cuts, cuts[1:], strict=False)]
-            out.append((languages[chosen[i]], float(min(1.0, trust[i] / total[i])), spans))
+            out.append((languages[chosen[i]], float(min(1.0, trust[i] / total[i])), spans, float(min(1.0, fit[i] / total[i]))))
         return out
 
 
@@ -281,7 +294,7 @@ def label_documents(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shipped.value)
-        for batch in bounded(batches):
+        for batch in bounded(batches, limit=CHARS_AT_ONCE // 2):
             found = labeller.label(batch.column("text").to_pylist())
             spans = [[{"first_word": a, "words": n, "lang": lang} for a, n, lang in x[2]] for x in found]
             yield rows_out(schema, [batch.column("doc_id"), [x[0] for x in found], [x[1] for x in found], spans])
@@ -289,18 +302,20 @@ def label_documents(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc
     return source.mapInArrow(run, ddl)
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text has a language and a score of at least ``least``."""
+def keep_identified(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", least: float = LEAST_FIT) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text has a language and whose words fit those of their spans.
+
+    Null, empty and letterless texts go, evenly mixed languages stay, repeated rows share their fate,
+    long texts are labelled whole, and an empty table gives no rows.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shipped.value)
-        for batch in batches:
-            texts = batch.column(at)
-            for start in range(0, batch.num_rows, 1000):
-                found = labeller.label(texts.slice(start, 1000).to_pylist())
-                yield batch.slice(start, 1000).filter(pa.array([lang != UNKNOWN and score >= least for lang, score, _ in found], pa.bool_()))
+        for batch in bounded(batches, at, CHARS_AT_ONCE // 2):
+            found = labeller.label(batch.column(at).to_pylist())
+            yield batch.filter(pa.array([lang != UNKNOWN and fit >= least for lang, _, _, fit in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
