@@ -22,6 +22,8 @@ from .common import arrow_of, bounded, id_fold, rows_out, scratch, type_of, whol
 FEATURES, WIDTH, RIDGE, SEED = 256, 3.0, 1e-4, 20_240
 #: Steps of the grid of raw scores that the calibration is fitted on.
 GRID = 1000
+#: Partial sums of the equations at most, whatever the number of partitions; folds that the calibration is fitted across.
+SUM_PARTS, FOLDS = 32, 3
 
 STATISTICS = (
     "log_words", "word_bytes", "upper", "digits", "marks", "commas", "exclaims", "bars", "symbols", "lines",
@@ -64,6 +66,7 @@ class QualityModel:
     directions: np.ndarray
     phases: np.ndarray
     weights: np.ndarray
+    fold_weights: list[np.ndarray]
     steps: np.ndarray
     levels: np.ndarray
 
@@ -100,58 +103,68 @@ def train(stats: DataFrame, labels: DataFrame, *, usable: Column | None = None,
     """Fit on the rows of ``stats`` (doc_id, x) that ``labels`` marks and ``usable`` allows.
 
     A document with several labels gets their majority and none at a tie. With no labelled row
-    every text scores 0.5. What reaches the driver has a fixed size: one square system and one
-    row a grid step.
+    every text scores 0.5. What reaches the driver has a fixed size: a square system for each of FOLDS
+    folds and one row a grid step. A fold's rows are calibrated on scores of a fit without them.
     """
     width = len(STATISTICS)
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("y")).filter("y is not null and doc_id is not null")
     marks = marks.groupBy("doc_id").agg(F.avg("y").alias("y")).filter("y <> 0.5").select("doc_id", F.when(F.col("y") > 0.5, 1.0).otherwise(0.0).alias("y"))
     rows = stats.join(marks, "doc_id")
-    rows = scratch(rows.filter(usable) if usable is not None else rows, "labelled")
+    rows = rows.filter(usable) if usable is not None else rows
+    rows = scratch(rows.withColumn("fold", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(FOLDS)).cast("int")), "labelled")
     sums = rows.agg(F.count(F.lit(1)).alias("n"), *(f(F.get("x", F.lit(i))).alias(f"{name}{i}") for name, f in (("mean", F.avg), ("scale", F.stddev_pop)) for i in range(width))).first()
     rng = np.random.default_rng(seed)
     directions, phases = rng.normal(size=(width, FEATURES)) / WIDTH / np.sqrt(width) * 2, rng.uniform(0, 2 * np.pi, FEATURES)
     if not sums["n"]:
-        return QualityModel(np.zeros(width), np.ones(width), directions, phases, np.zeros(FEATURES + 1), np.zeros(1), np.full(1, 0.5))
+        return QualityModel(np.zeros(width), np.ones(width), directions, phases, np.zeros(FEATURES + 1), [np.zeros(FEATURES + 1)] * FOLDS, np.zeros(1), np.full(1, 0.5))
     mean, scale = (np.array([sums[f"{name}{i}"] for i in range(width)]) for name in ("mean", "scale"))
     scale = np.where(scale > 1e-9, scale, 1.0)
 
     def equations(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((FEATURES + 1, FEATURES + 2))
+        total: dict[int, np.ndarray] = {}
         for frame in frames:
             for start in range(0, len(frame), 4096):
-                part = frame.iloc[start : start + 4096]
-                z = lifted(np.stack(part["x"].to_numpy()), mean, scale, directions, phases)
-                total += z.T @ np.column_stack([z, part["y"].to_numpy()])
-        yield pd.DataFrame({"i": np.arange(len(total)), "part": list(total)})
+                for fold, part in frame.iloc[start : start + 4096].groupby("fold"):
+                    z = lifted(np.stack(part["x"].to_numpy()), mean, scale, directions, phases)
+                    total[fold] = total.get(fold, 0.0) + z.T @ np.column_stack([z, part["y"].to_numpy()])
+        for fold, sums in total.items():
+            yield pd.DataFrame({"fold": fold, "i": np.arange(len(sums)), "part": list(sums)})
 
     def added(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": frame["i"].iloc[:1], "part": [np.sum(np.stack(frame["part"].to_numpy()), axis=0)]})
-
-    ddl = "i int, part array<double>"
-    system = rows.select("x", "y").mapInPandas(equations, ddl).groupBy("i").applyInPandas(added, ddl).orderBy("i").toPandas()
-    both = np.stack(system["part"].to_numpy())
-    gram, right = both[:, :-1], both[:, -1]
-    weights = np.linalg.solve(gram + RIDGE * sums["n"] * np.eye(len(gram)), right)
-    model = QualityModel(mean, scale, directions, phases, weights, np.zeros(1), np.full(1, 0.5))
+        return pd.DataFrame({"fold": frame["fold"].iloc[:1], "i": frame["i"].iloc[:1], "part": [np.sum(np.stack(frame["part"].to_numpy()), axis=0)]})
+
+    ddl = "fold int, i int, part array<double>"
+    system = rows.select("fold", "x", "y").coalesce(SUM_PARTS).mapInPandas(equations, ddl).groupBy("fold", "i").applyInPandas(added, ddl).orderBy("fold", "i").toPandas()
+    by_fold = {fold: np.stack(part["part"].to_numpy()) for fold, part in system.groupby("fold")}
+    total = sum(by_fold.values())
+
+    def solved(both: np.ndarray) -> np.ndarray:
+        """The ridge solution; a last entry of the right side that is all zeros leaves all weights zero."""
+        return np.linalg.solve(both[:, :-1] + RIDGE * max(1.0, both[-1, -2]) * np.eye(len(both)), both[:, -1])
+
+    model = QualityModel(mean, scale, directions, phases, solved(total), [solved(total - by_fold.get(k, 0.0)) for k in range(FOLDS)], np.zeros(1), np.full(1, 0.5))
     return calibrated(model, rows)
 
 
 def calibrated(model: QualityModel, rows: DataFrame) -> QualityModel:
-    """The model with an isotonic fit of labels on raw scores, pooled over a fixed grid from -0.5 to 1.5."""
+    """The model with an isotonic fit of labels on raw scores, pooled over a fixed grid from -0.5 to 1.5.
+
+    Each row of ``rows`` (fold, x, y) is scored by the weights of the other folds.
+    """
     shipped = rows.sparkSession.sparkContext.broadcast(model)
 
     def grid(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, good = np.zeros(2 * GRID + 1), np.zeros(2 * GRID + 1)
         for frame in frames:
-            if len(frame):
-                at = np.rint((np.clip(shipped.value.raw(np.stack(frame["x"].to_numpy())), -0.5, 1.5) + 0.5) * GRID).astype(int)
+            for fold, part in frame.groupby("fold"):
+                raw = shipped.value.lifted(np.stack(part["x"].to_numpy())) @ shipped.value.fold_weights[fold]
+                at = np.rint((np.clip(raw, -0.5, 1.5) + 0.5) * GRID).astype(int)
                 np.add.at(n, at, 1)
-                np.add.at(good, at, frame["y"].to_numpy())
+                np.add.at(good, at, part["y"].to_numpy())
         held = np.flatnonzero(n)
         yield pd.DataFrame({"step": held, "n": n[held], "good": good[held]})
 
-    found = rows.select("x", "y").mapInPandas(grid, "step int, n double, good double").groupBy("step").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).orderBy("step").toPandas()
+    found = rows.select("fold", "x", "y").mapInPandas(grid, "step int, n double, good double").groupBy("step").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).orderBy("step").toPandas()
     blocks: list[list[float]] = []  # pool adjacent violators: first step, last step, rows, good rows
     for step, n, good in found.itertuples(index=False):
         blocks.append([step, step, n, good])
@@ -189,15 +202,18 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, usable: Column | None
 
 
 def keep_good(docs: DataFrame, model: QualityModel, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that score at least ``least``."""
+    """The rows of ``docs``, all columns as they are, that score at least ``least``.
+
+    Null, empty and blank texts have all-zero statistics and are scored like any other, long texts are
+    read whole, repeated rows share their fate, and an empty table gives no rows.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                x = [statistics(t) for t in batch.column(at).slice(start, 2000).to_pylist()]
-                yield batch.slice(start, 2000).filter(pa.array(shipped.value.score(np.stack(x)) >= least))
+        for batch in bounded(batches, at):
+            x = [statistics(t) for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(shipped.value.score(np.stack(x)) >= least))
 
     return docs.mapInArrow(run, docs.schema)
 
