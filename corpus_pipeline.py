@@ -17,8 +17,8 @@ from ledgerloom.llm.queries import vocabulary_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without letters, and texts that no learned language explains, go."""
-    return langid.keep_identified(docs, langid.train(docs, langid.training_rows()), least=0.3)
+    """Documents with a language; those without letters, and texts whose words fit no learned language, go."""
+    return langid.keep_identified(docs, langid.train(docs, langid.training_rows()))
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
