@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .model import (
     EQUAL, ERP_HEADERS, ERP_LACKS_ITEM, ERP_ONLY_REMARK, ERP_VIEW, ITEM_ROW, ITEMS_DIFFER, LOOKUP_ERP, LOOKUP_OA, NO_ERP, NO_ERP_DOC, NO_OA, NO_OA_DOC, OA_HEADERS, OA_LACKS_ITEM, OA_VIEW, QTY_DIFFERENT,
-    QTY_DIFFERS, QTY_EQUAL, SUMMARY_ROW, TYPE_PRIORITY,
+    QTY_DIFFERS, QTY_EQUAL, SUMMARY_ROW, TYPE_PRIORITY, Direction,
 )
 from .operators import precheck as rules
 from .queries import ERP_DOC, FILTERS, GENERATED, OA_DOC, SEARCH_TEXT
@@ -67,7 +67,7 @@ def _compare(p: str, q: str, where: str = "TRUE", source: str = _SOURCE) -> str:
 ), p_link AS (SELECT doc_no, link_no, min(ord) AS link_ord FROM p WHERE link_no <> '' GROUP BY ALL
 ), days AS (SELECT doc_no, string_agg(d, '、' ORDER BY mo) AS doc_date FROM (SELECT doc_no, strftime(doc_date, '%Y-%m-%d') AS d, min(ord) AS mo FROM p GROUP BY ALL) GROUP BY ALL
 ), met AS (SELECT doc_no, string_agg(link_no, ',' ORDER BY link_ord) AS link_nos FROM p_link GROUP BY ALL
-), sums AS (SELECT doc_no, sum(qty) AS qty, sum(amount) AS amount, {', '.join(map(_nonblank, ('company', 'dept1', 'dept2')))} FROM p GROUP BY ALL
+), sums AS (SELECT doc_no, min(ord) AS doc_ord, sum(qty) AS qty, sum(amount) AS amount, {', '.join(map(_nonblank, ('company', 'dept1', 'dept2')))} FROM p GROUP BY ALL
 ), p_doc AS (SELECT sums.*, days.doc_date, coalesce(met.link_nos, '') AS link_nos FROM sums JOIN days USING (doc_no) LEFT JOIN met USING (doc_no)
 ), q_item AS (SELECT doc_no, item_code, sum(qty) AS qty, sum(amount) AS amount, {_nonblank('item_name')}, min(ord) AS item_ord FROM q GROUP BY ALL
 ), m_item AS (
@@ -99,21 +99,24 @@ def _classified(forward: bool, where: str = "TRUE", source: str = _SOURCE) -> st
     return f"""{_compare(p, q, where, source)}, shape AS (SELECT doc_no, bool_or((round(qty, 2) = 0) <> (round(cp_qty, 2) = 0)) AS mismatch FROM both_items GROUP BY ALL
 ), matched AS (SELECT DISTINCT doc_no FROM p_link WHERE link_no IN (SELECT doc_no FROM {q} WHERE doc_no <> '')
 ), classed AS (
-  SELECT d.company, d.dept1, d.dept2, d.doc_no, m.doc_no IS NOT NULL AS matched, round(d.{a}qty, 2) AS oa_qty, round(d.{b}qty, 2) AS erp_qty, round(d.{a}amount, 2) AS oa_amount, round(d.{b}amount, 2) AS erp_cost,
+  SELECT d.company, d.dept1, d.dept2, d.doc_no, d.doc_ord, m.doc_no IS NOT NULL AS matched, round(d.{a}qty, 2) AS oa_qty, round(d.{b}qty, 2) AS erp_qty, round(d.{a}amount, 2) AS oa_amount, round(d.{b}amount, 2) AS erp_cost,
     CASE WHEN m.doc_no IS NULL THEN '{NO_ERP if forward else NO_OA}' WHEN s.mismatch THEN '{ITEMS_DIFFER}' WHEN round(d.qty - d.cp_qty, 2) <> 0 THEN '{QTY_DIFFERS}' ELSE '{EQUAL}' END AS type
   FROM docs d LEFT JOIN shape s USING (doc_no) LEFT JOIN matched m USING (doc_no))"""
 
 
 
 def _variance(forward: bool, where: str = "TRUE", source: str = _SOURCE) -> str:
+    return f"{_rolled(forward, where, source)} FROM rolled"
+
+
+def _rolled(forward: bool, where: str = "TRUE", source: str = _SOURCE) -> str:
     kinds = ", ".join(f"'{t}'" for t in TYPE_PRIORITY)
     return f"""{_classified(forward, where, source)}, rolled AS (
   SELECT company, dept1, dept2, count(*) AS n_docs, count(*) FILTER (matched) AS n_matched, count(*) FILTER (NOT matched) AS n_unmatched,
-    count(*) FILTER (matched AND type IN ('{ITEMS_DIFFER}', '{QTY_DIFFERS}')) AS n_different, sum(oa_qty) AS oa, sum(erp_qty) AS erp, sum(oa_amount) AS oam, sum(erp_cost) AS erpc, list(DISTINCT type) AS kinds
-  FROM classed GROUP BY ALL)
+    count(*) FILTER (matched AND type IN ('{ITEMS_DIFFER}', '{QTY_DIFFERS}')) AS n_different, sum(oa_qty) AS oa, sum(erp_qty) AS erp, sum(oa_amount) AS oam, sum(erp_cost) AS erpc, list(DISTINCT type) AS kinds, min(doc_ord) AS doc_ord
+  FROM classed GROUP BY company, dept1, dept2)
 SELECT company, dept1, dept2, '{OA_VIEW if forward else ERP_VIEW}' AS perspective, n_docs, n_matched, n_unmatched, n_different, {_r('oa')} AS oa_qty, {_r('erp')} AS erp_qty, {_r('oa - erp')} AS qty_diff,
-  {_r('oam')} AS oa_amount, {_r('erpc')} AS erp_cost, {_r('oam - erpc')} AS amount_diff, array_to_string(list_filter([{kinds}], lambda t: list_contains(kinds, t)), '、') AS types
-FROM rolled"""
+  {_r('oam')} AS oa_amount, {_r('erpc')} AS erp_cost, {_r('oam - erpc')} AS amount_diff, array_to_string(list_filter([{kinds}], lambda t: list_contains(kinds, t)), '、') AS types"""
 
 
 def _unique(table: str, keys: str, column: str, order: str, delimiter: str, name: str) -> str:
@@ -237,6 +240,10 @@ FROM raw WHERE side = 'ERP' AND link_no <> '' AND link_no NOT IN (SELECT doc_no
 _CANDIDATES = f"SELECT value FROM (SELECT arg_min(p_name, p_partkey) AS value, min(p_partkey) AS o FROM part WHERE p_name <> '' GROUP BY lower(p_name)) WHERE contains(lower(value), '{SEARCH_TEXT}') ORDER BY o LIMIT 30"
 _ROWS = "doc_no, link_no, strftime(doc_date, '%Y-%m-%d') AS doc_date, company, dept1, dept2, item_code, item_name, qty::DOUBLE AS qty, amount::DOUBLE AS amount"
 
+_PLACE = "SELECT company, dept1, doc_no, row_number() OVER (PARTITION BY company, dept1 ORDER BY doc_ord) AS place FROM docs"
+_DIRECTIONS = ((Direction.FORWARD.value, True), (Direction.REVERSE.value, False))
+_ORGANISATIONS = f"WITH {_SOURCE}, b AS (SELECT company, dept1, dept2 FROM oa UNION SELECT company, dept1, dept2 FROM erp) " + " UNION ".join(f"SELECT '{c}' AS field, {c} AS value FROM b WHERE {c} <> ''" for c in ("company", "dept1", "dept2"))
+
 ORACLE: dict[str, str] = {
     "dept_variance_oa": _variance(True),
     "dept_variance_erp": _variance(False),
@@ -247,8 +254,13 @@ ORACLE: dict[str, str] = {
     "erp_doc_compare_material": _materials("erp", "oa"),
     "oa_doc_compare_filtered": _summary("oa", "erp", _FILTER),
     "oa_doc_expand": _materials("oa", "erp", f"doc_no = '{OA_DOC}'"),
-    "classified_documents": f"{_classified(True)} SELECT type, matched, count(*) AS n FROM classed GROUP BY ALL",
-    "unmatched_documents": f"{_classified(True)} SELECT doc_no, company, oa_qty::DOUBLE AS oa_qty FROM classed WHERE type = '{NO_ERP}'",
+    "oa_doc_order": f"{_compare('oa', 'erp')} {_PLACE}",
+    "erp_doc_order": f"{_compare('erp', 'oa')} {_PLACE}",
+    "dept_variance_order": f"SELECT perspective, company, dept1, dept2, row_number() OVER (ORDER BY doc_ord) AS place FROM ({_rolled(True)}, doc_ord FROM rolled)",
+    "org_suggestions_order": f"SELECT field, value, row_number() OVER (PARTITION BY field ORDER BY value) AS place FROM ({_ORGANISATIONS})",
+    "oa_doc_expand_order": f"WITH {_SOURCE} SELECT doc_no, item_code, row_number() OVER (ORDER BY min(ord)) AS place FROM oa WHERE doc_no = '{OA_DOC}' GROUP BY doc_no, item_code",
+    "classified_documents": " UNION ALL ".join(f"(SELECT '{d}' AS direction, type, matched, count(*) AS n FROM ({_classified(f)} SELECT * FROM classed) GROUP BY type, matched)" for d, f in _DIRECTIONS),
+    "unmatched_documents": " UNION ALL ".join(f"(SELECT '{d}' AS direction, doc_no, company, oa_qty::DOUBLE AS oa_qty, erp_qty::DOUBLE AS erp_qty FROM ({_classified(f)} SELECT * FROM classed) WHERE type IN ('{NO_ERP}', '{NO_OA}'))" for d, f in _DIRECTIONS),
     "detail_forward": f"{_detail_rows(True)} SELECT * FROM details",
     "detail_reverse": f"{_detail_rows(False)} SELECT * FROM details",
     "detail_summary_forward": _detail_summary(True),
@@ -259,7 +271,7 @@ ORACLE: dict[str, str] = {
     "lookup_erp": _lookup(False, ERP_DOC),
     "lookup_suggestions_oa": _suggestions("oa", "oa_form_number", "ERP"),
     "lookup_suggestions_erp": _suggestions("erp", "erp_doc_number", "OA"),
-    "org_suggestions": f"WITH {_SOURCE}, b AS (SELECT company, dept1, dept2 FROM oa UNION SELECT company, dept1, dept2 FROM erp) " + " UNION ".join(f"SELECT '{c}' AS field, {c} AS value FROM b WHERE {c} <> ''" for c in ("company", "dept1", "dept2")),
+    "org_suggestions": _ORGANISATIONS,
     "candidate_search_contains": _CANDIDATES,
     "candidate_search_bigram": _CANDIDATES,
     "precheck_bad_dates": _issues(_DATES),
@@ -269,11 +281,13 @@ ORACLE: dict[str, str] = {
     "precheck_duplicates": _issues(_DUPLICATES),
     "precheck_orphans": _issues(_ORPHANS),
     "precheck_all": _issues(" UNION ALL ".join((_DATES, _NUMBERS_BAD, _REQUIRED, _BLANK_LINKS, _DUPLICATES, _ORPHANS))),
-    "canonical_totals": f"WITH {_SOURCE}{_RAW} SELECT company, CASE WHEN defect = 0 THEN '' ELSE strftime(day, '%Y-%m-%d') END AS day, count(*) AS n, sum(CASE WHEN defect = 1 THEN NULL ELSE q END)::DOUBLE AS qty, round(sum(a), 2)::DOUBLE AS amount FROM raw WHERE side = 'OA' GROUP BY ALL",
-    "normalize_dates": f"WITH {_SOURCE}{_RAW} SELECT DISTINCT doc_date AS raw, CASE WHEN defect = 0 THEN '' ELSE strftime(day, '%Y-%m-%d') END AS day FROM raw WHERE side = 'OA' UNION ALL SELECT '#' || (range + 34000), strftime(DATE '1899-12-30' + (range + 34000)::INT, '%Y-%m-%d') FROM range(500)",
-    "normalize_decimals": f"WITH {_SOURCE}{_RAW}, t AS (SELECT DISTINCT unnest([qty, amount]) AS raw FROM raw WHERE side = 'OA') SELECT raw, round(CASE WHEN regexp_full_match(raw, '[-+]?([0-9]+|[0-9]*\\.[0-9]+)|[-+]?[0-9]{{1,3}}(,[0-9]{{3}})+(\\.[0-9]+)?') THEN replace(raw, ',', '')::DECIMAL(28,10) END, 4)::DOUBLE AS value FROM t",
+    "canonical_totals": f"WITH {_SOURCE}{_RAW} SELECT side, company, CASE WHEN defect = 0 THEN '' ELSE strftime(day, '%Y-%m-%d') END AS day, count(*) AS n, sum(CASE WHEN defect = 1 THEN NULL ELSE q END)::DOUBLE AS qty, round(sum(a), 2)::DOUBLE AS amount FROM raw GROUP BY ALL",
+    "normalize_dates": f"WITH {_SOURCE}{_RAW} SELECT DISTINCT doc_date AS raw, CASE WHEN defect = 0 THEN '' ELSE strftime(day, '%Y-%m-%d') END AS day FROM raw UNION ALL SELECT '#' || (range + 34000), strftime(DATE '1899-12-30' + (range + 34000)::INT, '%Y-%m-%d') FROM range(500)",
+    "normalize_decimals": f"WITH {_SOURCE}{_RAW}, t AS (SELECT DISTINCT unnest([qty, amount]) AS raw FROM raw) SELECT raw, round(CASE WHEN regexp_full_match(raw, '[-+]?([0-9]+|[0-9]*\\.[0-9]+)|[-+]?[0-9]{{1,3}}(,[0-9]{{3}})+(\\.[0-9]+)?') THEN replace(raw, ',', '')::DECIMAL(28,10) END, 4)::DOUBLE AS value FROM t",
     "normalize_text": "SELECT p_partkey, trim(p_name) AS text, (SELECT string_agg(g, '|' ORDER BY o) FROM (SELECT lower(p_name)[i:i+1] AS g, min(i) AS o FROM range(1, length(p_name)) r(i) GROUP BY g)) AS grams, CASE WHEN length(p_name) <= 9 THEN '''= ' || p_name ELSE left('''= ' || p_name, 9) || '...' END AS note FROM part",
-    "append_unique": "SELECT range AS id, concat_ws(',', 'Q' || range % 7, CASE WHEN range % 3 <> range % 7 THEN 'Q' || range % 3 END, 'Q1' || range % 7) AS text FROM range(200)",
+    "append_unique": f"WITH {_SOURCE}, u AS (SELECT doc_no, link_no, min(ord) AS mo FROM oa GROUP BY ALL) SELECT doc_no, coalesce(string_agg(link_no, ',' ORDER BY mo) FILTER (link_no <> ''), '') AS text FROM u GROUP BY doc_no",
+    "header_detect": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{h}', '2')" for i, h in enumerate([*OA_HEADERS.values(), "note"])) + ") AS t(place, header, header_row)",
+    "table_parse": f"WITH {_SOURCE}{_RAW} SELECT doc_no, link_no, CASE WHEN defect = 0 THEN '' ELSE strftime(day, '%Y-%m-%d') END AS doc_date, company, item_code, CASE WHEN defect = 1 THEN NULL ELSE q END::DOUBLE AS qty, a::DOUBLE AS amount, (ord + 1)::DECIMAL(38,0)::VARCHAR AS row_label FROM raw WHERE side = 'OA'",
     "benchmark_generator_oa": f"WITH {_GENERATED} SELECT {_ROWS} FROM oa",
     "benchmark_generator_erp": f"WITH {_GENERATED} SELECT {_ROWS} FROM erp",
     "benchmark_dept_variance": _variance(True, source=_GENERATED),

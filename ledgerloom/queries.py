@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.exprs import append_unique, bigrams, cell_safe_note, date_key, norm_text, serial_date, text_date, text_decimal
-from .model import NO_ERP, OA_HEADERS, Direction, OutputKind, QueryFilters, QueryState
+from .functions.exprs import append_unique, bigrams, cell_safe_note, date_key, in_order, norm_text, serial_date, text_date, text_decimal
+from .model import NO_ERP, NO_OA, OA_HEADERS, Direction, OutputKind, QueryFilters, QueryState
 from .operators.precheck import ISSUE, cell_issues, duplicate_issues, orphan_issues, precheck
 from .operators.search import bigram_index, distinct_candidates, indexed_search, search
 from .plans.dept_summary import classified_documents, department_summary
@@ -17,7 +17,7 @@ from .plans.doc_compare import compare_documents
 from .plans.engine import ReconEngine
 from .plans.lookup import ERP_MODE, OA_MODE, lookup_rows, lookup_suggestions, organisation_suggestions
 from .sources.generator import generate_erp, generate_oa
-from .sources.tables import canonical, matrix_frame, parse_table
+from .sources.tables import canonical, parse_table
 from .sources.warehouse import erp_view, oa_view, raw_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,8 +45,41 @@ def _variance(direction: Direction, filters: QueryFilters | None = None) -> Quer
     return lambda spark, d: department_summary(*_both(spark, d), direction, filters, ordered=False)
 
 
+def _placed(df: DataFrame, *by: str) -> DataFrame:
+    """An ordered result with each row's place in it, counted by ``by``."""
+    at = df.withColumn("_at", F.monotonically_increasing_id())
+    return at.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("_at"))).drop("_at")
+
+
+def _document_order(oa_first: bool) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        sides = _both(spark, d)
+        found = compare_documents(*(sides if oa_first else sides[::-1])).summary().select("company", "dept1", "doc_no")
+        return _placed(found, "company", "dept1")
+
+    return run
+
+
+def _variance_order(spark: SparkSession, d: str) -> DataFrame:
+    return _placed(department_summary(*_both(spark, d)).select("perspective", "company", "dept1", "dept2"), "perspective")
+
+
+def _organisation_order(spark: SparkSession, d: str) -> DataFrame:
+    return _placed(organisation_suggestions(*_both(spark, d)), "field")
+
+
+def _expand_order(spark: SparkSession, d: str) -> DataFrame:
+    return _placed(_expand(spark, d).select("doc_no", "item_code"), "doc_no")
+
+
+def _both_directions(spark: SparkSession, d: str) -> DataFrame:
+    sides = _both(spark, d)
+    forward, reverse = (classified_documents(*sides, direction).withColumn("direction", F.lit(direction.value)) for direction in (Direction.FORWARD, Direction.REVERSE))
+    return forward.unionByName(reverse)
+
+
 def _classified(spark: SparkSession, d: str) -> DataFrame:
-    return classified_documents(*_both(spark, d)).groupBy("type", "matched").agg(F.count(F.lit(1)).alias("n"))
+    return _both_directions(spark, d).groupBy("direction", "type", "matched").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _detail(direction: Direction, summary: bool) -> Query:
@@ -101,13 +134,19 @@ def _duplicates(spark: SparkSession, d: str) -> DataFrame:
     return duplicate_issues(oa, "OA").unionByName(duplicate_issues(erp, "ERP")).select(*ISSUE)
 
 
+def _sides_of(spark: SparkSession, d: str) -> DataFrame:
+    """Raw rows of both sides with their ``side``."""
+    oa, erp = _raw(spark, d)
+    return oa.withColumn("side", F.lit("OA")).unionByName(erp.withColumn("side", F.lit("ERP")))
+
+
 def _canonical_totals(spark: SparkSession, d: str) -> DataFrame:
-    rows = canonical(_raw(spark, d)[0])
-    return rows.groupBy("company", date_key(F.col("doc_date")).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("qty").cast("double").alias("qty"), F.round(F.sum("amount"), 2).cast("double").alias("amount"))
+    oa, erp = (canonical(raw).withColumn("side", F.lit(side)) for raw, side in zip(_raw(spark, d), ("OA", "ERP"), strict=True))
+    return oa.unionByName(erp).groupBy("side", "company", date_key(F.col("doc_date")).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("qty").cast("double").alias("qty"), F.round(F.sum("amount"), 2).cast("double").alias("amount"))
 
 
 def _normal_dates(spark: SparkSession, d: str) -> DataFrame:
-    raw = _raw(spark, d)[0]
+    raw = _sides_of(spark, d)
     serial = F.col("n") + 34_000
     texts = raw.select(F.col("doc_date").alias("raw"), text_date(F.col("doc_date")).alias("day")).distinct()
     numbers = spark.range(500).select(F.col("id").alias("n")).select(F.concat(F.lit("#"), serial.cast("string")).alias("raw"), serial_date(serial + 0.75).alias("day"))
@@ -115,7 +154,7 @@ def _normal_dates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _normal_decimals(spark: SparkSession, d: str) -> DataFrame:
-    raw = _raw(spark, d)[0]
+    raw = _sides_of(spark, d)
     both = raw.select(F.explode(F.array("qty", "amount")).alias("raw")).distinct()
     return both.select("raw", F.round(text_decimal(F.col("raw")), 4).cast("double").alias("value"))
 
@@ -126,8 +165,9 @@ def _normal_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _append_unique(spark: SparkSession, d: str) -> DataFrame:
-    base = spark.range(200).select("id", F.split(F.concat(F.lit("Q"), F.col("id") % 7, F.lit(";Q"), F.col("id") % 3, F.lit(";;Q1"), F.col("id") % 7, F.lit(";Q"), F.col("id") % 3), ";").alias("texts"))
-    return base.select("id", append_unique(F.col("texts"), ",").alias("text"))
+    """The links of every request, as they come, joined without repeats."""
+    listed = oa_view(spark, d).groupBy("doc_no").agg(F.array_sort(F.collect_list(F.struct(F.col("_ord").alias("o"), F.col("link_no").alias("t")))).alias("links"))
+    return listed.select("doc_no", append_unique(in_order(F.col("links")), ",").alias("text"))
 
 
 def _generated(side: str) -> Query:
@@ -142,12 +182,13 @@ def _generated_variance(direction: Direction) -> Query:
     return lambda spark, d: department_summary(generate_oa(spark, GENERATED), generate_erp(spark, GENERATED), direction, ordered=False)
 
 
-def _sheet(spark: SparkSession, d: str):
-    """A small sheet as users keep it: a title, then the header in another order, then rows from the nations."""
-    nations = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()
+def _sheet(spark: SparkSession, d: str) -> DataFrame:
+    """All requests as a sheet that users keep: a title, then the header, then rows with a column of their own."""
     heads = list(OA_HEADERS.values())
-    body = [[f" F{n.n_nationkey} ", f"Q{n.n_nationkey}", "2026/5/1", n.n_name, "", "", f"M{n.n_nationkey}", "x", n.n_nationkey, "1,000.5", "extra"] for n in nations]
-    return matrix_frame(spark, [["scrap list"], [*heads, "note"], *body, [None, " "]])
+    top = spark.createDataFrame([(0, ["scrap list"]), (1, [*heads, "note"])], "_ord long, cells array<string>").withColumn("_ord", F.col("_ord").cast("decimal(38,0)"))
+    rows = _raw(spark, d)[0]
+    cells = [F.concat(F.lit(" "), F.col(c), F.lit("\u3000")) if c == "doc_no" else F.col(c) for c in OA_HEADERS]
+    return top.union(rows.select("_ord", F.array(*cells, F.lit("extra"))))
 
 
 def _header_detect(spark: SparkSession, d: str) -> DataFrame:
@@ -170,7 +211,7 @@ def _engine_variance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _unmatched(spark: SparkSession, d: str) -> DataFrame:
-    return classified_documents(*_both(spark, d)).filter(F.col("type") == NO_ERP).select("doc_no", "company", F.col("oa_qty").cast("double").alias("oa_qty"))
+    return _both_directions(spark, d).filter(F.col("type").isin(NO_ERP, NO_OA)).select("direction", "doc_no", "company", F.col("oa_qty").cast("double").alias("oa_qty"), F.col("erp_qty").cast("double").alias("erp_qty"))
 
 
 QUERIES: dict[str, Query] = {
@@ -183,6 +224,11 @@ QUERIES: dict[str, Query] = {
     "erp_doc_compare_material": _compare(False, True),
     "oa_doc_compare_filtered": _compare(True, False, FILTERS),
     "oa_doc_expand": _expand,
+    "oa_doc_order": _document_order(True),
+    "erp_doc_order": _document_order(False),
+    "dept_variance_order": _variance_order,
+    "org_suggestions_order": _organisation_order,
+    "oa_doc_expand_order": _expand_order,
     "classified_documents": _classified,
     "unmatched_documents": _unmatched,
     "detail_forward": _detail(Direction.FORWARD, False),

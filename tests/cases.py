@@ -6,8 +6,8 @@ from ledgerloom.sources.tables import canonical
 
 OA_ORDER = ("doc_no", "link_no", "doc_date", "company", "dept1", "dept2", "item_code", "item_name", "qty", "amount")
 ERP_ORDER = ("doc_no", "doc_date", "link_no", "company", "dept1", "dept2", "item_code", "item_name", "qty", "amount")
-ORG = ("数控", "生产", "仓储")
-FILTER = {"company": "数控", "dept1": "生产", "dept2": "仓储", "start_date": "2026-05-01", "end_date": "2026-05-31"}
+ORG = ("north", "press", "hall 2")
+FILTER = {"company": "north", "dept1": "press", "dept2": "hall 2", "start_date": "2026-05-01", "end_date": "2026-05-31"}
 _DDL = ", ".join(f"{c} string" for c in OA_ORDER) + ", _ord long, row_label string"
 
 
