@@ -226,6 +226,7 @@ def test_scores_equal_a_brute_force_tree(spark, docs, rows, monkeypatch, head, w
     monkeypatch.setattr(suffixtree, "HEAD", head)
     monkeypatch.setattr(suffixtree, "WIDE_TOKENS", wide)
     monkeypatch.setattr(suffixtree, "SHARD_TOKENS", shard)
+    monkeypatch.setattr(suffixtree, "SUMS_HELD", 50)
     got = suffixtree.score_documents(docs, F.coalesce(F.col("doc_id") % 7 != 2, F.lit(True))).collect()
     want, states = brute_tree([r[:2] for r in rows])
     assert states > 100
