@@ -162,6 +162,12 @@ class QueryResult:
     df: DataFrame | None
     message: str = ""
     row_counts: dict[str, int] = field(default_factory=dict)
+    held: DataFrame | None = None
+
+    def release(self) -> None:
+        """Let go of rows that were kept; the result can still be read, and is then worked out anew."""
+        if self.held is not None:
+            self.held.unpersist()
 
 
 def display(df: DataFrame, headers: dict[str, str]) -> DataFrame:

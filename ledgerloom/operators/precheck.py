@@ -5,12 +5,16 @@ Cell rules of a side run in one pass over its rows; duplicate keys and orphans a
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import date_invalid, decimal_invalid, is_blank, norm_text
 from ..model import ERP_HEADERS, OA_HEADERS
 
+_log = logging.getLogger(__name__)
+
 ISSUE = ("level", "source", "row_label", "field", "raw", "issue_type", "reason", "suggestion")
 ISSUE_DDL = ", ".join(f"{c} string" for c in ISSUE)
 
@@ -140,4 +144,5 @@ def run_precheck(spark: SparkSession, load_oa, load_erp) -> DataFrame:
         found = precheck(loaded["OA"], loaded["ERP"])
         return spark.createDataFrame([CLEAN], ISSUE_DDL) if found.isEmpty() else found
     except Exception as e:  # noqa: BLE001 - any other failure is one issue row by contract
+        _log.warning("the precheck failed", exc_info=True)
         return spark.createDataFrame([(ERROR, SYSTEM, "", "", "", FAILED, str(e), FIX_SYSTEM)], ISSUE_DDL)

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import logging
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from ..metrics import Recorder
 from ..model import (
     ERP_COMPARE_DISPLAY, LOOKUP_ERP_DISPLAY, LOOKUP_OA_DISPLAY, NO_RESULT, OA_COMPARE_DISPLAY, VARIANCE_DISPLAY, Direction, OutputKind, QueryFilters, QueryResult, QueryState, display,
 )
+from ..sinks import read_metadata
 from . import detail, dept_summary, doc_compare, lookup, strict
 
+_log = logging.getLogger(__name__)
+
 
 class ReconEngine:
     """Queries over one pair of sources. Results are lazy unless a message or a count is asked for.
@@ -31,8 +37,11 @@ class ReconEngine:
             return dept_summary.department_summary(self.oa, self.erp, state.direction, state.filters, ordered)
         return self.compare(kind, state.filters).summary(ordered)
 
-    def run(self, kind: OutputKind, state: QueryState | None = None, *, strict_cells: bool = False) -> QueryResult:
-        """Rows under display names, or the message for an empty result, with row counts."""
+    def run(self, kind: OutputKind, state: QueryState | None = None, *, strict_cells: bool = False, count_materials: bool = False) -> QueryResult:
+        """Rows under display names, or the message for an empty result, with row counts.
+
+        The rows are kept until the caller calls ``release`` on the result, so they are worked out once.
+        """
         if not isinstance(kind, OutputKind):
             raise ValueError(f"不支持的输出页类型：{kind}")
         state = state or QueryState()
@@ -40,16 +49,27 @@ class ReconEngine:
         if strict_cells and None not in self.raw:
             raw = self.raw if oa_first else self.raw[::-1]
             strict.require_clean(*raw, state.filters, "OA" if oa_first else "ERP")
-        rows = self.rows(kind, state)
-        if rows.isEmpty():
-            return QueryResult(None, NO_RESULT.format("OA" if oa_first else "ERP"), {"rows": 0})
+        rows = self.rows(kind, state).persist(StorageLevel.MEMORY_AND_DISK)  # counted here, read by the caller
+        counts = {"source_rows": self.oa.count() + self.erp.count(), "rows": rows.count()}
+        if not counts["rows"]:
+            rows.unpersist()
+            return QueryResult(None, NO_RESULT.format("OA" if oa_first else "ERP"), counts)
+        if kind is not OutputKind.VARIANCE and count_materials:
+            counts["material_rows"] = self.compare(kind, state.filters).materials(False).count()
         headers = {OutputKind.VARIANCE: VARIANCE_DISPLAY, OutputKind.OA_COMPARE: OA_COMPARE_DISPLAY, OutputKind.ERP_COMPARE: ERP_COMPARE_DISPLAY}[kind]
-        return QueryResult(display(rows, headers), "", {})
+        return QueryResult(display(rows, headers), "", counts, rows)
 
     def expand(self, kind: OutputKind, doc_no: str, state: QueryState | None = None) -> DataFrame:
         """Item rows of one document of a compare, under its saved state."""
         return self.compare(kind, (state or QueryState()).filters).materials_of(doc_no)
 
+    def expand_output(self, path: str, doc_no: str) -> DataFrame:
+        """Item rows of one document of an output that was written before, under the state saved beside it."""
+        found = read_metadata(self.oa.sparkSession, path)
+        if found is None or found[0] not in (OutputKind.OA_COMPARE.value, OutputKind.ERP_COMPARE.value):
+            raise ValueError(f"{path} holds no document compare")
+        return self.expand(OutputKind(found[0]), doc_no, found[1])
+
     def details(self, direction: Direction = Direction.FORWARD, filters: QueryFilters | None = None) -> tuple[DataFrame, DataFrame]:
         """P6: detail rows and their roll-up."""
         rows = detail.detail_compare(self.oa, self.erp, direction, filters).rows()
@@ -69,6 +89,7 @@ class ReconEngine:
         try:
             found = lookup.organisation_suggestions(self.oa, self.erp).collect()
         except Exception:  # noqa: BLE001 - suggestions are optional by contract
+            _log.warning("organisations can't be read", exc_info=True)
             found = []
         return {c: [r.value for r in found if r.field == c] for c in ("company", "dept1", "dept2")}
 

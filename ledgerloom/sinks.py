@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql import functions as F
 
-from .model import OutputKind, QueryState
+from .model import DIAGNOSTICS_DISPLAY, OUTPUT_NAMES, PRECHECK_DISPLAY, OutputKind, QueryResult, QueryState, display
+from .operators.precheck import ERROR, HINT
 
 _META_DDL = "kind string, company string, dept1 string, dept2 string, start_date string, end_date string, direction string"
 #: Kinds an older output may carry and still be replaced by a newer one.
@@ -51,6 +53,53 @@ def write_output(df: DataFrame, path: str, kind: OutputKind, state: QueryState |
     spark.createDataFrame([meta], _META_DDL).coalesce(1).write.mode("overwrite").parquet(_meta_path(path))
 
 
+_REPORT_DDL = "report string, title string, status string"
+
+
+def write_report(df: DataFrame, path: str, report: str, title: str, status: str = "", headers: dict[str, str] | None = None, fmt: str = "parquet") -> None:
+    """Write the rows of a precheck, lookup or diagnostics run under display names, with its title and status beside them.
+
+    A report is replaced by one of the same name only.
+    """
+    spark = df.sparkSession
+    if _exists(spark, path) and (read_report(spark, path) or ("",))[0] != report:
+        raise FileExistsError(f"{path} holds something else than {report}")
+    writer = (display(df, headers) if headers else df).write.format(fmt).mode("overwrite")
+    (writer.option("header", "true") if fmt == "csv" else writer).save(path)
+    spark.createDataFrame([(report, title, status)], _REPORT_DDL).coalesce(1).write.mode("overwrite").parquet(_meta_path(path))
+
+
+def read_report(spark: SparkSession, path: str) -> tuple[str, str, str] | None:
+    """(name, title, status) of a report, None if there is none."""
+    try:
+        row = spark.read.schema(_REPORT_DDL).parquet(_meta_path(path)).first()
+        return None if row is None or row.report is None else (row.report, row.title, row.status)
+    except AnalysisException:
+        return None
+
+
+def write_precheck(issues: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """The issues of a precheck under their headers; its status tells how many errors and hints it found."""
+    found = {r.level: r.n for r in issues.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
+    status = "、".join(f"{level}：{found.get(level, 0)}" for level in (ERROR, HINT))
+    write_report(issues, path, "precheck", "预验证结果", status, PRECHECK_DISPLAY, fmt)
+
+
+def write_lookup(found: QueryResult, path: str, fmt: str = "parquet") -> None:
+    """The rows of a lookup; a number that is unknown writes nothing."""
+    if found.df is not None:
+        write_report(found.df, path, "lookup", "单据查询结果", found.message, fmt=fmt)
+
+
+def write_diagnostics(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
+    write_report(rows, path, "diagnostics", "性能诊断", headers=DIAGNOSTICS_DISPLAY, fmt=fmt)
+
+
+def output_paths(root: str) -> dict[OutputKind, str]:
+    """The catalog of outputs: where each kind lies below a folder."""
+    return {kind: f"{root.rstrip('/')}/{name}" for name, kind in OUTPUT_NAMES.items()}
+
+
 def error_frame(spark: SparkSession, message: str, label: str = "错误") -> DataFrame:
     """The one-row output of a failed query."""
     return spark.createDataFrame([(label, message)], "label string, message string")

@@ -9,6 +9,13 @@ from ..functions.values import plain_text
 
 SCAN_ROWS, LEAST_HITS = 20, 5
 
+# Texts of header errors.
+NOT_FOUND, AMBIGUOUS, REPEATED = "无法识别表头", "表头识别不唯一", "关键列重复"
+_SCANNED = "已扫描 UsedRange 前 {n} 行"
+NOT_FOUND_TEXT = NOT_FOUND + "：" + _SCANNED + "，最多命中 {hits} 个必需字段。{where}{lacking}"
+AMBIGUOUS_TEXT = AMBIGUOUS + "：" + _SCANNED + "，多个候选行最多命中 {hits} 个必需字段。{where}{lacking}"
+REPEATED_TEXT = REPEATED + "：{where}{repeats}请删除或重命名重复列后重试。"
+
 
 class HeaderDetectionError(ValueError):
     """No usable header row, with what a report needs."""
@@ -61,10 +68,10 @@ def detect_header(rows: Sequence[Sequence[object]], required: Sequence[str], *,
         return HeaderDetectionError(kind, text.format(**parts), label, hits, len(required), missing, repeats)
 
     if not ranked or -ranked[0][0][0] < least:
-        raise fail("无法识别表头", "无法识别表头：已扫描 UsedRange 前 {n} 行，最多命中 {hits} 个必需字段。{where}{lacking}")
+        raise fail(NOT_FOUND, NOT_FOUND_TEXT)
     rank, i, cells = ranked[0]
     if sum(r[0] == rank for r in ranked) > 1 and -rank[0] < len(required):
-        raise fail("表头识别不唯一", "表头识别不唯一：已扫描 UsedRange 前 {n} 行，多个候选行最多命中 {hits} 个必需字段。{where}{lacking}")
+        raise fail(AMBIGUOUS, AMBIGUOUS_TEXT)
     if rank[1]:
-        raise fail("关键列重复", "关键列重复：{where}{repeats}请删除或重命名重复列后重试。")
+        raise fail(REPEATED, REPEATED_TEXT)
     return Header(i, row_label(i, first_row), cells, {h: cells.index(h) for h in required if h in cells})

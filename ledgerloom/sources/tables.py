@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -59,24 +62,67 @@ def parse_table(matrix: DataFrame, required: dict[str, str], *, first_row: int |
     return filled.select("_ord", label.alias("row_label"), *columns), TableMeta(header.cells, row_label(header.row, first_row), "matrix")
 
 
-def read_table(spark: SparkSession, path: str, required: dict[str, str], *, fmt: str = "parquet", order: str | None = None, options: dict[str, str] | None = None) -> tuple[DataFrame, TableMeta]:
-    """A file table in raw canonical columns (any order, extra columns never leave the scan).
+class EmptyTableError(ValueError):
+    """A table that isn't there, or holds no text at all."""
 
-    Files whose columns carry the headers are pruned to them. If a required header is missing the
-    whole table is read and the reason recorded; missing columns are then null. ``order`` names a
-    column that gives the rows their order; without one, rows are numbered in the order of the files.
-    """
+
+def _loaded(spark: SparkSession, path: str, fmt: str, options: dict[str, str] | None) -> DataFrame:
     reader = spark.read.format(fmt)
-    for key, value in ({"header": "true"} if fmt == "csv" else {}) | (options or {}):
+    for key, value in (({"header": "true"} if fmt == "csv" else {}) | (options or {})).items():
         reader = reader.option(key, value)
-    df = reader.load(path)
-    names = {norm: c for c in df.columns if (norm := c.strip())}
-    missing = [h for h in required.values() if h not in names]
-    ordered = F.col(f"`{order}`").cast("long") if order else F.monotonically_increasing_id()
-    columns = [(F.col(f"`{names[h]}`") if h in names else F.lit(None).cast("string")).alias(c) for c, h in required.items()]
-    rows = df.select(ordered.alias("_ord"), *columns).withColumn("row_label", (F.col("_ord") + 1).cast("string"))
-    strategy, why = ("full_read_fallback", f"缺失字段：{'、'.join(missing)}") if missing else ("pruned_columns", "")
-    return rows, TableMeta(tuple(df.columns), "1", strategy, why)
+    return reader.load(path)
+
+
+def read_full(spark: SparkSession, path: str, *, name: str = "", fmt: str = "parquet", options: dict[str, str] | None = None) -> DataFrame:
+    """A whole table, all columns; raises with the table's name if there is none or no cell of it holds text."""
+    name = name or path
+    try:
+        df = _loaded(spark, path, fmt, options)
+    except AnalysisException as e:
+        raise EmptyTableError(f"{name}：{e.getMessage() or e}") from e
+    filled = [norm_text(F.col(f"`{c}`").cast("string")) != "" for c in df.columns]
+    if not filled or df.filter(reduce(or_, filled)).limit(1).isEmpty():
+        raise EmptyTableError(f"{name}：没有可读取的数据")
+    return df
+
+
+def _numbered(df: DataFrame, fmt: str, order: str | None) -> tuple[Column, Column]:
+    """(order, row label) of file rows. Parquet files know their rows' places: rows go by file and place, and are
+    called by the sheet's row number, below one header row, with the file's name where there are several. Other
+    formats don't, so their rows have no number unless a column gives it."""
+    if order:
+        return F.col(f"`{order}`").cast("long"), F.col(f"`{order}`").cast("string")
+    if fmt == "parquet":
+        place, path = F.col("_metadata.row_index"), F.col("_metadata.file_path")
+        number = (place + 2).cast("string")
+        label = number if len(df.inputFiles()) < 2 else F.concat(F.col("_metadata.file_name"), F.lit(":"), number)
+        return F.struct(path.alias("file"), place.alias("place")), label
+    return F.monotonically_increasing_id(), F.lit("")
+
+
+def read_table(spark: SparkSession, path: str, required: dict[str, str], *, name: str = "", fmt: str = "parquet", order: str | None = None, options: dict[str, str] | None = None) -> tuple[DataFrame, TableMeta]:
+    """A file table in raw canonical columns (any order, extra columns never leave the scan).
+
+    Files whose columns carry the headers are pruned to them. If that fails for any reason, such as
+    a missing header, the whole table is read, which must hold something, and the reason is recorded;
+    missing columns are then null. ``order`` names a column of whole numbers that gives the rows their
+    order and their numbers; see :func:`_numbered` for tables without one.
+    """
+
+    def picked(df: DataFrame, strict: bool) -> DataFrame:
+        names = {norm: c for c in df.columns if (norm := c.strip())}
+        if strict and (missing := [h for h in required.values() if h not in names]):
+            raise LookupError(f"缺失字段：{'、'.join(missing)}")
+        place, label = _numbered(df, fmt, order)
+        columns = [(F.col(f"`{names[h]}`") if h in names else F.lit(None).cast("string")).alias(c) for c, h in required.items()]
+        return df.select(place.alias("_ord"), *columns, label.alias("row_label"))
+
+    try:
+        df = _loaded(spark, path, fmt, options)
+        return picked(df, True), TableMeta(tuple(df.columns), "1", "pruned_columns")
+    except (LookupError, AnalysisException) as e:
+        df = read_full(spark, path, name=name, fmt=fmt, options=options)
+        return picked(df, False), TableMeta(tuple(df.columns), "1", "full_read_fallback", str(e.args[0] if isinstance(e, LookupError) else e))
 
 
 def canonical(raw: DataFrame) -> DataFrame:
@@ -98,4 +144,4 @@ def canonical(raw: DataFrame) -> DataFrame:
     return raw.select(*(columns[c].alias(c) for c in CANONICAL), "_ord", *(["row_label"] if "row_label" in kinds else []))
 
 
-__all__ = ["TableMeta", "canonical", "find_header", "has_content", "matrix_frame", "parse_table", "read_table"]
+__all__ = ["EmptyTableError", "TableMeta", "canonical", "find_header", "has_content", "matrix_frame", "parse_table", "read_full", "read_table"]

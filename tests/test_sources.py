@@ -1,12 +1,13 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.model import ERP_HEADERS, OA_HEADERS, OutputKind, QueryState
+from ledgerloom.model import ERP_HEADERS, OA_HEADERS, Direction, OutputKind, QueryState
 from ledgerloom.operators.precheck import CLEAN, precheck, run_precheck
 from ledgerloom.operators.search import bigram_index, distinct_candidates, distinct_suggestions, indexed_search, search
-from ledgerloom.sinks import read_metadata, write_output
+from ledgerloom.plans.engine import ReconEngine
+from ledgerloom.sinks import error_frame, output_paths, read_metadata, read_report, write_diagnostics, write_lookup, write_output, write_precheck
 from ledgerloom.sources.headers import HeaderDetectionError, detect_header
-from ledgerloom.sources.tables import canonical, has_content, matrix_frame, parse_table, read_table
+from ledgerloom.sources.tables import EmptyTableError, canonical, has_content, matrix_frame, parse_table, read_full, read_table
 from ledgerloom.streaming.ingest import RAW_DDL, ingest, raw_stream
 
 from .cases import ERP_ORDER, ORG, raw
@@ -57,6 +58,60 @@ def test_read_table_prunes_and_falls_back(spark, tmp_path):
     assert canonical(rows).count() == 3
 
 
+def test_rows_of_files_are_called_by_their_number(spark, tmp_path):
+    """However the files are split, a row's label is its own row below the header; files tell theirs apart."""
+    heads = [F.concat(F.lit("v"), F.col("id")).alias(h) for h in HEADS]
+    one, several = str(tmp_path / "one"), str(tmp_path / "several")
+    spark.range(3000).coalesce(1).select(*heads, "id").write.option("parquet.block.size", 1024).parquet(one)
+    spark.range(40).repartition(4).select(*heads).write.parquet(several)
+    rows, _ = read_table(spark, one, OA_HEADERS)
+    assert all(r.row_label == str(int(r.doc_no[1:]) + 2) for r in rows.repartition(5).collect())
+    assert [r.row_label for r in rows.orderBy("_ord").collect()] == [str(i + 2) for i in range(3000)]
+    rows, _ = read_table(spark, several, OA_HEADERS)
+    labels = [r.row_label for r in rows.collect()]
+    assert len(set(labels)) == 40 and all(":" in x for x in labels)
+    rows, _ = read_table(spark, one, OA_HEADERS, order="id")
+    assert rows.filter("row_label <> cast(_ord as string)").isEmpty()
+    spark.range(5).select(*heads).write.option("header", "true").csv(str(tmp_path / "csv"))
+    rows, _ = read_table(spark, str(tmp_path / "csv"), OA_HEADERS, fmt="csv")
+    assert {r.row_label for r in rows.collect()} == {""} and rows.select("_ord").distinct().count() == 5
+
+
+def test_precheck_names_rows_of_files(spark, tmp_path):
+    ok = [("F1", "Q1", "2026/5/1", *ORG, "M", "", 1, 1), ("F1", "Q1", "2026/5/1", *ORG, "M", "", 1, 1)]
+    for side, heads, rows, order in (("oa", OA_HEADERS, ok, None), ("erp", ERP_HEADERS, [("Q1", "z", "F7", *ORG, "M", "", 1, 1)], ERP_ORDER)):
+        df = raw(spark, rows, order) if order else raw(spark, rows)
+        df.coalesce(1).select(*(F.col(c).alias(h) for c, h in heads.items())).write.parquet(str(tmp_path / side))
+    sides = [read_table(spark, str(tmp_path / side), heads)[0] for side, heads in (("oa", OA_HEADERS), ("erp", ERP_HEADERS))]
+    assert [(r.source, r.row_label, r.issue_type) for r in precheck(*sides).collect()] == [("ERP", "2", "日期格式不正确"), ("OA", "2,3", "业务键重复"), ("ERP", "2", "ERP源单未在OA中找到")]
+
+
+def test_empty_and_missing_tables_are_errors_with_their_name(spark, tmp_path):
+    blank = str(tmp_path / "blank")
+    spark.range(3).select(F.lit(" ").alias("a"), F.lit(None).cast("string").alias("b")).write.parquet(blank)
+    for path in (blank, str(tmp_path / "none")):
+        with pytest.raises(EmptyTableError, match="^requests："):
+            read_full(spark, path, name="requests")
+        with pytest.raises(EmptyTableError, match="^requests："):
+            read_table(spark, path, OA_HEADERS, name="requests")
+
+
+def test_a_key_of_very_many_rows(spark):
+    """One document and item on 200,000 rows: what lists hold is bounded by distinct texts, not rows."""
+    from ledgerloom.plans.dept_summary import department_summary
+    from ledgerloom.plans.detail import detail_compare
+    from ledgerloom.plans.doc_compare import compare_documents
+
+    own = canonical(raw(spark, [("F1", f"Q{i % 3}", f"2026/5/{1 + i % 2}", *ORG, "M", "", 1, 1) for i in range(6)]).drop("row_label"))
+    many = spark.range(200_000).select(F.col("id").alias("n")).join(own, F.pmod("n", F.lit(6)) == F.col("_ord")).drop("_ord").withColumnRenamed("n", "_ord")
+    blank = many.withColumns({"link_no": F.lit(""), "doc_no": F.concat(F.lit("Q"), F.pmod("_ord", F.lit(3)))})
+    found = compare_documents(many, blank).summary().collect()
+    assert [(r.qty, r.cp_qty, r.link_nos, r.doc_date) for r in found] == [(200_000, 200_000, "Q0,Q1,Q2", "2026-05-01、2026-05-02")]
+    assert department_summary(many, blank).first().n_matched == 1
+    alone = detail_compare(many.limit(0), blank, Direction.REVERSE).rows().collect()
+    assert [(r.erp_qty, r.erp_doc_nos, r.erp_date) for r in alone] == [(200_000, "Q0,Q1,Q2", "2026-05-01、2026-05-02")]
+
+
 def test_canonical_types(spark):
     df = spark.createDataFrame([(1.0, "l", 45000.7, "c", "d", "e", 2.0, "n", 1.5, None, 0)], "doc_no double, link_no string, doc_date double, company string, dept1 string, dept2 string, item_code double, item_name string, qty double, amount double, _ord long")
     r = canonical(df).first()
@@ -117,6 +172,41 @@ def test_sinks_guard_foreign_outputs(spark, tmp_path):
     assert read_metadata(spark, str(tmp_path / "none")) is None
 
 
+def test_reports_keep_their_title_and_status(spark, tmp_path):
+    issues = precheck(raw(spark, [("", "Q1", "x", *ORG, "M", "", 1, 1)]), raw(spark, [("Q1", "2026/5/1", "F9", *ORG, "M", "", 1, 1)], ERP_ORDER))
+    path = str(tmp_path / "precheck")
+    write_precheck(issues, path)
+    write_precheck(issues, path)
+    assert read_report(spark, path) == ("precheck", "预验证结果", "错误：2、提醒：1")
+    assert spark.read.parquet(path).columns[0] == "级别"
+    with pytest.raises(FileExistsError):
+        write_diagnostics(spark.range(1), path)
+    a, b = raw(spark, [("F1", "Q1", "2026/5/1", *ORG, "M", "", 1, 1)]), raw(spark, [("Q1", "2026/5/1", "F1", *ORG, "M", "", 1, 1)], ERP_ORDER)
+    engine = ReconEngine(canonical(a), canonical(b))
+    write_lookup(engine.lookup("oa_form_number", "F1"), str(tmp_path / "lookup"))
+    write_diagnostics(engine.diagnostics(), str(tmp_path / "diagnostics"))
+    assert read_report(spark, str(tmp_path / "diagnostics"))[0] == "diagnostics"
+    assert spark.read.parquet(str(tmp_path / "lookup")).count() == 1
+    write_lookup(engine.lookup("oa_form_number", "none"), str(tmp_path / "nothing"))
+    assert read_report(spark, str(tmp_path / "nothing")) is None
+    assert [(r.label, r.message) for r in error_frame(spark, "why").collect()] == [("错误", "why")]
+
+
+def test_an_output_is_expanded_under_its_saved_state(spark, tmp_path):
+    a = canonical(raw(spark, [("F1", "Q1", "2026/5/1", *ORG, "M", "", 1, 1), ("F1", "Q1", "2026/6/1", *ORG, "N", "", 1, 1)]))
+    b = canonical(raw(spark, [("Q1", "2026/5/1", "F1", *ORG, "M", "", 1, 1)], ERP_ORDER))
+    engine, state = ReconEngine(a, b), QueryState.parse({"end_date": "2026-05-31"})
+    path = output_paths(str(tmp_path))[OutputKind.OA_COMPARE]
+    found = engine.run(OutputKind.OA_COMPARE, state, count_materials=True)
+    assert found.row_counts == {"source_rows": 3, "rows": 1, "material_rows": 1}
+    write_output(found.df, path, OutputKind.OA_COMPARE, state)
+    found.release()
+    assert [r.item_code for r in engine.expand_output(path, "F1").collect()] == ["M"]
+    with pytest.raises(ValueError, match="no document compare"):
+        engine.expand_output(str(tmp_path), "F1")
+    assert engine.run(OutputKind.OA_COMPARE, QueryState.parse({"company": "none"})).row_counts == {"source_rows": 3, "rows": 0}
+
+
 def test_stream_ingest(spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
     raw(spark, [("F1", "Q1", "2026/5/1", *ORG, "M", "", "1,000", 1)]).select(*[c.split()[0] for c in RAW_DDL.split(", ")]).write.parquet(source)
