@@ -173,13 +173,14 @@ def learn(stats: DataFrame, labels: DataFrame, *, usable: Column | None = None,
 
     Every step is one aggregation of the labelled rows by (statistic, quantile bin), so the
     driver gets at most ``len(statistics) * (CUTS + 1)`` rows a step however large the table is.
-    Documents with several labels count once, by majority, and not at all at a tie. No labelled
-    row gives an empty list, which keeps everything.
+    Documents with several labels count once, by majority, and not at all at a tie; a repeated
+    document counts as often as it occurs; of equal gains the first statistic and the lowest cut
+    wins. No labelled row, and an empty table, give an empty list, which keeps everything.
     """
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("y")).filter("y is not null and doc_id is not null")
     marks = marks.groupBy("doc_id").agg(F.avg("y").alias("y")).filter("y <> 0.5").select("doc_id", (F.col("y") < 0.5).alias("bad"))
     rows = stats.join(marks, "doc_id")
-    rows = rows.filter(usable) if usable is not None else rows
+    rows = scratch((rows.filter(usable) if usable is not None else rows).select("doc_id", "bad", *statistics), "labelled")
     total = rows.select(F.lit(1)).count()
     if total > LABELLED_ROWS:
         rows = rows.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("rules")), F.lit(1 << 20)) < math.ceil(LABELLED_ROWS / total * (1 << 20)))

@@ -1,4 +1,7 @@
+import math
+import random
 import re
+import zlib
 from collections import Counter
 
 from ledgerloom.llm import rules
@@ -40,6 +43,75 @@ def test_learns_a_planted_rule(spark):
     assert all(len(r.conditions) <= rules.MOST_CONDITIONS for r in found.rules)
 
 
+def brute_rules(rows, names):
+    """The same covering by counting every threshold over plain rows (bad, grow, values)."""
+
+    def quantiles(values):
+        values = sorted(values)
+        return {values[max(0, math.ceil(i / rules.CUTS * len(values)) - 1)] for i in range(rules.CUTS + 1)} if values else set()
+
+    def holds(row, conditions):
+        return all((row[2][s] > cut) == above for s, above, cut in conditions)
+
+    cuts = {s: sorted(quantiles([r[2][s] for r in rows]) | quantiles([r[2][s] for r in rows if r[0]])) for s in names}
+    found = []
+    while len(found) < rules.MOST_RULES:
+        left = [r for r in rows if not any(holds(r, c) for c in found)]
+        conditions = []
+        while len(conditions) < rules.MOST_CONDITIONS:
+            part = [r for r in left if r[1] and holds(r, conditions)]
+            p0 = sum(r[0] for r in part)
+            n0 = len(part) - p0
+            if p0 < rules.LEAST_COVER or not n0:
+                break
+            best, choice = 1e-9, None
+            for s in names:
+                for cut in cuts[s]:
+                    for above in (False, True):
+                        in_it = [r[0] for r in part if (r[2][s] > cut) == above]
+                        p, n = sum(in_it), len(in_it) - sum(in_it)
+                        gain = p * (math.log2((p + 1e-9) / (p + n + 1e-9)) - math.log2((p0 + 1e-9) / (p0 + n0 + 1e-9))) if p else 0.0
+                        if gain > best:
+                            best, choice = gain, (s, above, cut)
+            if choice is None:
+                break
+            conditions.append(choice)
+        if not conditions:
+            break
+        aside = [r for r in left if not r[1]]
+        counted = []
+        for k in range(1, len(conditions) + 1):
+            p = sum(r[0] for r in aside if holds(r, conditions[:k]))
+            counted.append((p, sum(holds(r, conditions[:k]) for r in aside) - p))
+        worth = [(p - n) / max(1, p + n) for p, n in counted]
+        k = worth.index(max(worth)) + 1
+        p, n = counted[k - 1]
+        if p < rules.LEAST_COVER or p / (p + n) < rules.LEAST_PRECISION:
+            break
+        found.append(conditions[:k])
+    return found
+
+
+def test_rules_equal_brute_force(spark):
+    """Three statistics, noisy labels of two causes: the same conditions in the same order."""
+    rng = random.Random(15)
+    data = []
+    for i in range(2500):
+        x, y, z = rng.random(), rng.randint(0, 30) / 10, rng.gauss(0, 1)
+        bad = (x > 0.8 and y < 2) or (z > 1.2 and y >= 2)
+        data.append((i, x, y, z, int(bad != (rng.random() < 0.05))))
+    stats = spark.createDataFrame([d[:4] for d in data], "doc_id long, x double, y double, z double")
+    marks = spark.createDataFrame([(d[0], 1 - d[4]) for d in data], "doc_id long, quality int")
+    found = rules.learn(stats, marks, statistics=("x", "y", "z"))
+    rows = [(bool(bad), zlib.crc32(str(i).encode()) % 7 < 5, {"x": x, "y": y, "z": z}) for i, x, y, z, bad in data]
+    want = brute_rules(rows, ("x", "y", "z"))
+    assert len(want) >= 2
+    assert [[(c.statistic, c.above, c.cut) for c in r.conditions] for r in found.rules] == want
+    judged = {r.doc_id: r.n for r in stats.select("doc_id", found.number().alias("n")).collect()}
+    first = lambda row: next((k for k, cs in enumerate(want, 1) if all((row[s] > cut) == above for s, above, cut in cs)), 0)
+    assert judged == {d[0]: first(r[2]) for d, r in zip(data, rows, strict=True)}
+
+
 def test_empty_table_and_no_python(spark, none, docs, labels):
     assert rules.judge(none, labels).count() == 0
     plan = rules.document_counts(docs)._jdf.queryExecution().toString()
