@@ -220,11 +220,11 @@ def brute_tree(rows):
     return [(i, len(w), sum(unigrams[x] > 0 for x in w), total, round(base(w), 4), round(score(w), 1)) for i, w in texts], len(states)
 
 
-@pytest.mark.parametrize(("head", "wide", "shard"), [(200_000, 10**9, 10**9), (200_000, 400, 3000), (40, 10**9, 3000)])
+@pytest.mark.parametrize(("head", "wide", "shard"), [(200_000, 1, 10**9), (200_000, 150, 3000), (40, 540, 3000)])
 def test_scores_equal_a_brute_force_tree(spark, docs, rows, monkeypatch, head, wide, shard):
     """One shard; several, with wide contexts held by all tasks; most words joined instead of held."""
     monkeypatch.setattr(suffixtree, "HEAD", head)
-    monkeypatch.setattr(suffixtree, "WIDE_TOKENS", wide)
+    monkeypatch.setattr(suffixtree, "WIDE_PART", wide)
     monkeypatch.setattr(suffixtree, "SHARD_TOKENS", shard)
     monkeypatch.setattr(suffixtree, "SUMS_HELD", 50)
     got = suffixtree.score_documents(docs, F.coalesce(F.col("doc_id") % 7 != 2, F.lit(True))).collect()
