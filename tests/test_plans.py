@@ -175,3 +175,14 @@ def test_strict_runs_name_the_first_bad_cell(spark):
     with pytest.raises(DataQualityError, match="日期格式不正确：x"):
         engine.run(OutputKind.ERP_COMPARE, strict_cells=True)
     assert engine.run(OutputKind.OA_COMPARE).df.count() == 1
+
+
+@pytest.mark.parametrize(("query", "most"), [("oa_doc_compare_summary", 2), ("oa_doc_compare_material", 4), ("detail_forward", 3), ("detail_reverse", 3), ("dept_variance_oa", 4), ("lookup_suggestions_oa", 1), ("precheck_all", 8)])
+def test_plans_read_the_canonical_table_few_times(spark, query, most):
+    """The order lines are joined once a session; no plan goes back to them."""
+    from ledgerloom.queries import QUERIES
+
+    plan = QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "lineitem" not in plan
+    assert plan.count("FileScan parquet") <= most
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
