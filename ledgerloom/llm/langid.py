@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHARS_AT_ONCE, arrow_of, bounded, id_fold, most_frequent, rows_out, scratch, type_of, whole_texts
+from .common import CHARS_AT_ONCE, arrow_of, bounded, discard, id_fold, most_frequent, rows_out, scratch, type_of, whole_texts
 
 UNKNOWN = "und"
 #: Log-probability that a change of language between two words costs.
@@ -139,6 +139,7 @@ def train(docs: DataFrame, usable: Column, *, lang_col: str = "lang", id_col: st
     word = F.regexp_replace("word", r"^\P{L}+|\P{L}+$", "")
     counts = scratch(raw.select("lang", word.alias("word"), "n").filter("word <> ''").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     kept = most_frequent(counts, WORDS_A_LANGUAGE, "word", by="lang")
+    discard(counts)
     return fit(sorted(found), list(kept[["lang", "word", "n"]].itertuples(index=False, name=None)))
 
 

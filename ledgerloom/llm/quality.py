@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_of, bounded, id_fold, rows_out, scratch, type_of, whole_texts
+from .common import arrow_of, bounded, discard, id_fold, rows_out, scratch, type_of, whole_texts
 
 #: Random features, kernel width in standard deviations, ridge weight per row, seed.
 FEATURES, WIDTH, RIDGE, SEED = 256, 3.0, 1e-4, 20_240
@@ -143,7 +143,9 @@ def train(stats: DataFrame, labels: DataFrame, *, usable: Column | None = None,
         return np.linalg.solve(both[:, :-1] + RIDGE * max(1.0, both[-1, -2]) * np.eye(len(both)), both[:, -1])
 
     model = QualityModel(mean, scale, directions, phases, solved(total), [solved(total - by_fold.get(k, 0.0)) for k in range(FOLDS)], np.zeros(1), np.full(1, 0.5))
-    return calibrated(model, rows)
+    model = calibrated(model, rows)
+    discard(rows)
+    return model
 
 
 def calibrated(model: QualityModel, rows: DataFrame) -> QualityModel:

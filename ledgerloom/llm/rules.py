@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_fold, scratch
+from .common import discard, id_fold, scratch
 
 #: Labelled rows the rules are learned from at most, picked by a hash of their ids.
 LABELLED_ROWS = 200_000
@@ -180,7 +180,7 @@ def learn(stats: DataFrame, labels: DataFrame, *, usable: Column | None = None,
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("y")).filter("y is not null and doc_id is not null")
     marks = marks.groupBy("doc_id").agg(F.avg("y").alias("y")).filter("y <> 0.5").select("doc_id", (F.col("y") < 0.5).alias("bad"))
     rows = stats.join(marks, "doc_id")
-    rows = scratch((rows.filter(usable) if usable is not None else rows).select("doc_id", "bad", *statistics), "labelled")
+    labelled = rows = scratch((rows.filter(usable) if usable is not None else rows).select("doc_id", "bad", *statistics), "labelled")
     total = rows.select(F.lit(1)).count()
     if total > LABELLED_ROWS:
         rows = rows.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("rules")), F.lit(1 << 20)) < math.ceil(LABELLED_ROWS / total * (1 << 20)))
@@ -232,6 +232,7 @@ def learn(stats: DataFrame, labels: DataFrame, *, usable: Column | None = None,
         if good < LEAST_COVER or good / (good + wrong) < LEAST_PRECISION:
             break
         rules.append(Rule(tuple(conditions[:k]), good / (good + wrong)))
+    discard(labelled, left)
     return DecisionList(tuple(rules))
 
 
