@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, matroska, neardup, packing, pii, quality, rules, suffixtree, transducer
+from . import chat, langid, matroska, merkle, neardup, packing, pii, quality, rules, suffixtree, transducer
 from .common import id_fold, table
 
 
@@ -95,6 +95,67 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    leaf = lambda text: merkle.leaf_hash([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text])
+    tampered = F.when((id_fold("doc_id", 2) == 0) & F.col("doc_id").isNotNull(), leaf(F.replace(F.col("text"), F.lit("\n"), F.lit(""))))
+    found = merkle.manifest(docs, group_col="source", id_col="doc_id", leaf=leaf(F.col("text")), claimed=tampered, proof_digest=True)
+    return found.withColumnRenamed("proof", "proof_sha256").withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, text, '' AS h,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS front,
+    -- the CRC's polynomial division, a byte and then its eight bits
+    list_reduce(flatten(list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda k: [ascii(substr(doc_id::VARCHAR, k, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+      lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, 4294967295::BIGINT) AS crc
+  FROM documents
+), hashed AS (
+  SELECT doc_id, source, sha256(front || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN sha256(front || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) END AS claimed
+  FROM docs
+), placed AS (
+  SELECT *, row_number() OVER () AS uid,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, claimed NULLS FIRST) - 1 AS place,
+    dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree
+  FROM hashed
+), nodes AS (
+  SELECT tree, 0 AS level, place, leaf AS h FROM placed
+  UNION ALL
+  SELECT tree, level + 1, place // 3, sha256(string_agg(h, '' ORDER BY place))
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM nodes) WHERE n > 1 GROUP BY tree, level, place // 3
+), subroots AS (
+  SELECT tree, arg_max(h, level) AS h FROM nodes GROUP BY tree
+), tops AS (
+  SELECT -1 AS tree, 0 AS level, tree AS place, h FROM subroots
+  UNION ALL
+  SELECT -1, level + 1, place // 3, sha256(string_agg(h, '' ORDER BY place))
+  FROM (SELECT *, count(*) OVER () AS n FROM tops) WHERE n > 1 GROUP BY level, place // 3
+), every AS (
+  SELECT *, count(*) OVER (PARTITION BY tree, level) AS n FROM (SELECT * FROM nodes UNION ALL SELECT * FROM tops)
+), siblings AS (
+  SELECT a.tree, a.level, a.place, coalesce(string_agg(b.h, '' ORDER BY b.place) FILTER (b.place < a.place), '') AS l,
+    coalesce(string_agg(b.h, '' ORDER BY b.place) FILTER (b.place > a.place), '') AS r
+  FROM every a JOIN every b ON a.tree = b.tree AND a.level = b.level AND a.place // 3 = b.place // 3
+  WHERE a.n > 1 GROUP BY a.tree, a.level, a.place
+), climb AS (
+  SELECT uid, tree, 0 AS level, place, '' AS proof, coalesce(claimed, leaf) AS folded FROM placed
+  UNION ALL
+  SELECT c.uid, CASE WHEN s.l IS NULL THEN -1 ELSE c.tree END, CASE WHEN s.l IS NULL THEN 0 ELSE c.level + 1 END,
+    CASE WHEN s.l IS NULL THEN c.tree ELSE c.place // 3 END, c.proof || coalesce(s.l || s.r, ''),
+    CASE WHEN s.l IS NULL THEN c.folded ELSE sha256(s.l || c.folded || s.r) END
+  FROM climb c LEFT JOIN siblings s ON c.tree = s.tree AND c.level = s.level AND c.place = s.place
+  WHERE s.l IS NOT NULL OR c.tree >= 0
+), climbed AS (
+  SELECT uid, arg_max(proof, level) AS proof, arg_max(folded, level) AS folded FROM climb WHERE tree = -1 GROUP BY uid
+)
+SELECT p.doc_id, p.leaf, s.h AS subroot, t.h AS root, sha256(c.proof) AS proof_sha256, c.folded AS folded_root, c.folded = t.h AS verified
+FROM placed p JOIN climbed c USING (uid) JOIN subroots s USING (tree), (SELECT arg_max(h, level) AS h FROM tops) t
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska_packets": op1_matroska_packets,
     "op2_decision_list": op2_decision_list,
@@ -106,7 +167,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_transducer_bpe": op8_transducer_bpe,
     "op9_suffix_tree": op9_suffix_tree,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE: dict[str, str] = {"op3_prefix_target": OP3_SQL}
+ORACLE: dict[str, str] = {"op3_prefix_target": OP3_SQL, "op11_merkle_manifest": OP11_SQL}

@@ -29,7 +29,8 @@ def test_each_document_once(spark, name):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")
+    for one in ("conversations", "documents"):
+        con.sql(f"CREATE VIEW {one} AS SELECT * FROM '{SF}/{one}.parquet'")
     df, want = QUERIES[name](spark, SF), con.sql(ORACLE[name])
     columns = sorted(df.columns)
     assert sorted(want.columns) == columns
