@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, matroska, merkle, neardup, packing, pii, quality, rules, suffixtree, transducer
+from . import chat, langid, matroska, merkle, neardup, packing, pages, pii, quality, rules, suffixtree, transducer
 from .common import id_fold, table
 
 
@@ -156,6 +156,10 @@ FROM placed p JOIN climbed c USING (uid) JOIN subroots s USING (tree), (SELECT a
 """
 
 
+def op12_consensus_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska_packets": op1_matroska_packets,
     "op2_decision_list": op2_decision_list,
@@ -168,6 +172,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_tree": op9_suffix_tree,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_consensus_pages": op12_consensus_pages,
 }
 
 #: DuckDB SQL of the queries that SQL can express.

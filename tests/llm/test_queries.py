@@ -18,9 +18,8 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_each_document_once(spark, name):
     df = QUERIES[name](spark, SF)
-    key = "conv_id" if name.startswith("op3") else "doc_id"
-    table = "conversations" if name.startswith("op3") else "documents"
-    want = {r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect()} | ({-7} if name.startswith("op3") else set())
+    key, table = {"op3": ("conv_id", "conversations"), "op12": ("page_id", "pages")}.get(name.split("_")[0], ("doc_id", "documents"))
+    want = {r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect()} | ({-7} if key == "conv_id" else set())
     got = [r[0] for r in df.select(key).collect()]
     assert set(got) == want
     assert name.startswith("op10") or len(got) == len(want)
