@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, matroska, merkle, neardup, packing, pages, pii, quality, rules, suffixtree, transducer
+from . import alignment, chat, langid, matroska, merkle, neardup, packing, pages, pii, quality, rules, suffixtree, transducer
 from .common import id_fold, table
 
 
@@ -160,6 +160,11 @@ def op12_consensus_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.linked(table(spark, sf_dir, "documents"), vocabulary_path(), vocabulary_path("piece_bpe_32k.model"), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_matroska_packets": op1_matroska_packets,
     "op2_decision_list": op2_decision_list,
@@ -173,6 +178,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_consensus_pages": op12_consensus_pages,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
