@@ -33,9 +33,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+_SEPARATORS = re.compile("[ -]")
+
+
 def mod97(iban: str) -> bool:
     """ISO 13616: the first four characters go to the end, letters count from 10, the rest by 97 is 1."""
-    compact = iban.replace(" ", "").upper()
+    compact = _SEPARATORS.sub("", iban).upper()
     return 15 <= len(compact) <= 34 and int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
 
 
@@ -108,7 +111,7 @@ def _pattern(source: str, flags: int = 0) -> Callable[[str], Iterator[tuple[int,
     return lambda text: (m.span() for m in compiled.finditer(text))
 
 
-#: The fixed length of a country's IBANs; other countries are tried at every length.
+#: The length of a country's IBANs; other countries are tried at every length.
 IBAN_LENGTHS = {
     c: n
     for n, countries in {
@@ -117,20 +120,23 @@ IBAN_LENGTHS = {
     }.items()
     for c in countries.split()
 }
-_IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
-_IBAN_MORE = re.compile(r"(?: ?[A-Z0-9]){11,30}")
+_IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}")
+_IBAN_MORE = re.compile(r"(?:[ -]?[A-Za-z0-9]){11,30}")
+_USUAL = re.compile(r"[A-Z0-9 ]+")
 
 
 def ibans(text: str) -> Iterator[tuple[int, int]]:
     """Confirmed IBANs from every start. What follows may look like more groups, so each group border is
-    tried as the end: the one of the country's length first, then the longer before the shorter."""
+    tried as the end: the one of the country's length first, then the longer before the shorter. In lower case or
+    with hyphens, as other codes are written too, only the country's length counts."""
     start = _IBAN_START.search(text)
     while start:
         more, found = _IBAN_MORE.match(text, start.end()), None
         if more:
-            borders = [e for e in range(more.end(), more.start() + 10, -1) if text[e - 1] != " " and not (e < len(text) and text[e].isascii() and text[e].isalnum())]
-            length = IBAN_LENGTHS.get(start[0][:2])
-            borders.sort(key=lambda e: len(text[start.start() : e].replace(" ", "")) != length)
+            length, usual = IBAN_LENGTHS.get(start[0][:2].upper()), lambda e: _USUAL.fullmatch(text, start.start(), e)  # noqa: B023
+            fits = lambda e: len(_SEPARATORS.sub("", text[start.start() : e])) == length  # noqa: B023, E731
+            borders = [e for e in range(more.end(), more.start() + 10, -1) if text[e - 1] not in " -" and not (e < len(text) and text[e].isascii() and text[e].isalnum()) and (fits(e) or usual(e))]
+            borders.sort(key=lambda e: not fits(e))
             found = next((e for e in borders if mod97(text[start.start() : e])), None)
         if found:
             yield start.start(), found
@@ -163,7 +169,7 @@ ADDED = (
     Detector("ssn", _pattern(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), issued_ssn, 0.3, re.compile(r"\b(?:ssn|social security|tax id)\b", re.I), "-"),
     Detector("local_phone", _pattern(r"(?<![0-9+-])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9-])"), dialled_number, 0.3, _CALL, "", _words("order|invoice|serial|part number|tracking")),
     Detector("birth_date", _pattern(r"(?<![0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4})(?![0-9])"), calendar_date, 0.2, re.compile(r"\b(?:born|birth|birthday|dob|geboren|née?|nacid[oa])\b", re.I)),
-    Detector("secret", _pattern(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,512}+={0,2}"), random_text, 0.3, re.compile(r"(?<![A-Za-z])(?:tokens?|secrets?|passw(?:or)?d|api[ _-]?keys?|access[ _-]?keys?|private[ _-]?keys?|credentials?|bearer)(?![A-Za-z])", re.I)),
+    Detector("secret", _pattern(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}"), random_text, 0.3, re.compile(r"(?<![A-Za-z])(?:tokens?|secrets?|passw(?:or)?d|api[ _-]?keys?|access[ _-]?keys?|private[ _-]?keys?|credentials?|bearer)(?![A-Za-z])", re.I)),
 )
 
 _ANY_DIGIT = re.compile(r"[0-9]")
@@ -218,7 +224,8 @@ def redacted(text: str | None) -> str | None:
 def detect(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans of every document: doc_id, spans array<struct<kind, start, end, score, base>>, digest columns.
 
-    Null and empty texts have no spans; repeated rows give repeated rows; texts are searched
+    A span is as long as it is found, whatever its length: keys of any size are one span. Null and
+    empty texts have no spans; repeated rows give repeated rows; texts are searched
     whole; an empty table gives no rows.
     """
     source = whole_texts(docs, id_col, text_col)

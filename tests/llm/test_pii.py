@@ -59,6 +59,28 @@ def test_secrets_need_random_text_and_a_word_for_them():
     assert pii.redacted(f'token = "{key}"') == 'token = "<secret>"'
 
 
+def test_long_secrets_go_whole_and_in_linear_time():
+    """Keys of any length are one span; long runs that are none cost no more."""
+    import random
+    import time
+
+    rng = random.Random(2)
+    for n in (511, 512, 513, 700, 100_000):
+        key = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789") for _ in range(n))
+        assert pii.redacted(f"token = {key} end") == "token = <secret> end"
+    began = time.perf_counter()
+    for run in ("a1" * 1_000_000, "a1-" * 500_000, ("x" * 600 + " ") * 3_000 + "1", "AB12" * 300_000, "ab12 " * 300_000, "4" * 500_000, "1." * 500_000):
+        pii.redacted("token " + run)
+    assert time.perf_counter() - began < 60
+
+
+def test_ibans_with_hyphens_and_in_lower_case():
+    kinds = lambda t: [s[0] for s in pii.find(t)[1]]
+    for iban in ("GB82-WEST-1234-5698-7654-32", "gb82west12345698765432", "gb82 west 1234 5698 7654 32", "de89-3704-0044-0532-0130-00", "Gb82WEST12345698765432"):
+        assert pii.redacted(f"pay {iban} now") == "pay <iban> now"
+    assert not kinds("gb82-west-1234-5698-7654-33") and not kinds("ref ab12-cd34-ef56-gh78-ij90 of 2024")
+
+
 def test_context_moves_scores_of_base_kinds_but_drops_none():
     score = lambda t: pii.find(t)[0][0][3]
     assert score("version 1.2.3.4") < score("1.2.3.4") < score("server 1.2.3.4")
