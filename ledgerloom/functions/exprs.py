@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .values import SPACE
+
 # Fixed value: the class of characters that text is trimmed of.
 _SPACES = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
-_EDGES = rf"\A{_SPACES}+|{_SPACES}+\z"
 # Shapes of dates and numbers.
 _DATE = r"\A(\d{4})([/.-])(\d{1,2})\2(\d{1,2})(?:\s+\d{1,2}:\d{2}(?::\d{2})?)?\z"
 _NUMBER = r"\A[-+]?(?:\d+|\d*\.\d+)\z|\A[-+]?\d{1,3}(?:,\d{3})+(?:\.\d+)?\z"
@@ -17,7 +18,7 @@ DECIMAL = "decimal(28,10)"
 
 def norm_text(c: Column) -> Column:
     """Text without white space at its ends; null is empty."""
-    return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), _EDGES, "")
+    return F.trim(F.coalesce(c.cast("string"), F.lit("")), F.lit(SPACE))
 
 
 def number_text(c: Column) -> Column:
@@ -30,11 +31,15 @@ def is_blank(c: Column) -> Column:
     return norm_text(c) == ""
 
 
+def trimmed_date(t: Column) -> Column:
+    """Date of a text without white space at its ends; null if it is blank or malformed."""
+    parts = F.regexp_replace(t, _DATE, "$1-$3-$4")
+    return F.when(t.rlike(_DATE) & (t >= "0100"), F.try_to_timestamp(parts, F.lit("yyyy-M-d")).cast("date"))
+
+
 def text_date(c: Column) -> Column:
     """Date of a text cell; null if it is blank or malformed."""
-    t = norm_text(c)
-    parts = F.concat_ws("-", *(F.regexp_extract(t, _DATE, i) for i in (1, 3, 4)))
-    return F.when(t.rlike(_DATE) & (F.regexp_extract(t, _DATE, 1) >= "0100"), F.try_to_timestamp(parts, F.lit("yyyy-M-d")).cast("date"))
+    return trimmed_date(norm_text(c))
 
 
 def serial_date(c: Column) -> Column:
@@ -48,10 +53,14 @@ def date_invalid(c: Column) -> Column:
     return ~is_blank(c) & text_date(c).isNull()
 
 
+def trimmed_decimal(t: Column) -> Column:
+    """Number of a text without white space at its ends, blank as zero, null if malformed. A leading plus sign is accepted."""
+    return F.when(t == "", F.lit(0).cast(DECIMAL)).when(t.rlike(_NUMBER), F.translate(t, ",+", "").try_cast(DECIMAL))
+
+
 def text_decimal(c: Column) -> Column:
-    """Number of a text cell, blank as zero, null if malformed. A leading plus sign is accepted."""
-    t = norm_text(c)
-    return F.when(t == "", F.lit(0).cast(DECIMAL)).when(t.rlike(_NUMBER), F.regexp_replace(F.regexp_replace(t, ",", ""), r"\A\+", "").try_cast(DECIMAL))
+    """Number of a text cell, blank as zero, null if malformed."""
+    return trimmed_decimal(norm_text(c))
 
 
 def decimal_invalid(c: Column) -> Column:
@@ -78,11 +87,6 @@ def first_text(c: str | Column, order: Column) -> Column:
     return F.min_by(c, order)
 
 
-def first_nonblank(c: str, order: Column) -> Column:
-    """Aggregate: the first text that is not blank, else empty."""
-    return F.coalesce(F.min_by(c, F.when(F.col(c) != "", order)), F.lit(""))
-
-
 def append_unique(texts: Column, delimiter: str) -> Column:
     """Texts of an ordered array joined, each only if the text so far doesn't hold it between delimiters.
 

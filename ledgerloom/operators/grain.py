@@ -38,13 +38,20 @@ def first_of(kind: str) -> Column:
 
 
 def doc_grain(rows: DataFrame) -> DataFrame:
-    """doc_no: qty, amount, organisation (each first non-blank), doc_date and link_nos (distinct, in order), links, doc_ord."""
-    entry = F.struct(F.col("_ord").alias("o"), F.col("text").alias("t"), F.col("kind").alias("kind"))
-    found = first_texts(rows.withColumn("day", date_key(F.col("doc_date"))), (*ORG, *_LISTED))
-    docs = found.groupBy("doc_no").agg(F.sum("qty").alias("qty"), F.sum("amount").alias("amount"), F.min("_ord").alias("doc_ord"), F.collect_list(F.when(F.col("kind") != "*", entry)).alias("texts"))
+    """doc_no: qty, amount, organisation (each first non-blank), doc_date and link_nos (distinct, in order), links, doc_ord.
+
+    Rows of a document that show the same are one before anything is listed, so a document's lists are bounded by what
+    differs in it.
+    """
+    day = date_key(F.col("doc_date")).alias("day")
+    parts = rows.groupBy("doc_no", day, "link_no", *ORG).agg(F.sum("qty").alias("qty"), F.sum("amount").alias("amount"), F.min("_ord").alias("_ord"))
+    shown_first = lambda c: F.when(F.col(c) != "", F.struct(F.col("_ord").alias("o"), F.col(c).alias("t")))
+    docs = parts.groupBy("doc_no").agg(
+        F.sum("qty").alias("qty"), F.sum("amount").alias("amount"), F.min("_ord").alias("doc_ord"), *(F.min(shown_first(c)).alias(c) for c in ORG), *(F.collect_list(shown_first(c)).alias(c) for c in _LISTED)
+    )
+    links = F.array_distinct(in_order(F.col("link_no")))
     return docs.select(
-        "doc_no", "qty", "amount", *(first_of(c).alias(c) for c in ORG), append_unique(texts_in_order("day"), DATE_JOIN).alias("doc_date"), append_unique(texts_in_order("link_no"), LINK_JOIN).alias("link_nos"),
-        texts_in_order("link_no").alias("links"), "doc_ord",
+        "doc_no", "qty", "amount", *(F.coalesce(F.col(c)["t"], F.lit("")).alias(c) for c in ORG), append_unique(in_order(F.col("day")), DATE_JOIN).alias("doc_date"), append_unique(links, LINK_JOIN).alias("link_nos"), links.alias("links"), "doc_ord"
     )
 
 

@@ -1,6 +1,7 @@
 """Data-quality rules over raw (text) tables; bad cells become issue rows and never stop a run.
 
-Cell rules of a side run in one pass over its rows; duplicate keys and orphans add one shuffle each.
+Each side is read once: its cells are trimmed and parsed once and judged in one pass, which leaves a
+narrow table of keys and issues. Duplicate keys and orphans are found in that table.
 """
 
 from __future__ import annotations
@@ -10,8 +11,9 @@ import logging
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import date_invalid, decimal_invalid, is_blank, norm_text
+from ..functions.exprs import norm_text, trimmed_date, trimmed_decimal
 from ..model import ERP_HEADERS, OA_HEADERS
+from ..shared import scratch
 
 _log = logging.getLogger(__name__)
 
@@ -50,59 +52,104 @@ def _issue(rule: int, level: str, source: str, row_label: Column, field: str, ra
 
 
 def _cell_issue(rule: int, source: str, column: str, check: str) -> Column:
-    cell, name, row = F.col(column), headers_of(source)[column], F.col("row_label")
-    text = F.coalesce(cell.cast("string"), F.lit(""))
+    """The issue of one cell, null if there is none, over the columns of :func:`_parsed`."""
+    cell, name, row, blank = F.col(column), headers_of(source)[column], F.col("row_label"), F.col(column) == ""
     if check == "date":
-        blank = is_blank(cell)
-        reason = F.when(blank, "日期不能为空").otherwise(F.concat(F.lit(f"{BAD_DATE}："), text))
-        return F.when(blank | date_invalid(cell), _issue(rule, ERROR, source, row, name, norm_text(cell), BAD_DATE, reason, FIX_DATE))
+        reason = F.when(blank, "日期不能为空").otherwise(F.concat(F.lit(f"{BAD_DATE}："), F.col(f"raw_{column}")))
+        return F.when(F.col(f"bad_{column}"), _issue(rule, ERROR, source, row, name, cell, BAD_DATE, reason, FIX_DATE))
     if check == "number":
-        return F.when(decimal_invalid(cell), _issue(rule, ERROR, source, row, name, norm_text(cell), BAD_NUMBER, F.concat(F.lit(f"{name}{BAD_NUMBER}："), text), FIX_NUMBER))
+        return F.when(F.col(f"bad_{column}"), _issue(rule, ERROR, source, row, name, cell, BAD_NUMBER, F.concat(F.lit(f"{name}{BAD_NUMBER}："), F.col(f"raw_{column}")), FIX_NUMBER))
     if check == "key":
         reason = F.concat(F.lit(f"{source} 第 "), row, F.lit(f" 行 {name} 为空，查询时无法稳定关联或汇总。"))
-        return F.when(is_blank(cell), _issue(rule, ERROR, source, row, name, F.lit(""), BLANK_KEY, reason, FIX_KEY))
+        return F.when(blank, _issue(rule, ERROR, source, row, name, F.lit(""), BLANK_KEY, reason, FIX_KEY))
     reason = F.concat(F.lit("OA 第 "), row, F.lit(" 行金蝶云单据编号为空，OA金蝶单号查ERP 时会归为 OA有申请，ERP无出库。"))
-    return F.when(is_blank(cell), _issue(rule, HINT, source, row, name, F.lit(""), BLANK_LINK, reason, FIX_LINK))
+    return F.when(blank, _issue(rule, HINT, source, row, name, F.lit(""), BLANK_LINK, reason, FIX_LINK))
+
+
+def _place(raw: DataFrame) -> Column:
+    """A row's order in one form for all sources: the file, empty where rows are numbered as a whole, and the number."""
+    if "file" in getattr(raw.schema["_ord"].dataType, "names", ()):
+        return F.struct(F.col("_ord.file").alias("file"), F.col("_ord.place").cast("decimal(38,0)").alias("place"))
+    return F.struct(F.lit("").alias("file"), F.col("_ord").cast("decimal(38,0)").alias("place"))
+
+
+def _parsed(raw: DataFrame, rules: list[tuple[int, str, str]], keys: tuple[str, ...] = ()) -> DataFrame:
+    """_ord, row_label, and of each column that a rule or key needs its trimmed text, whether it is malformed, and how it was written."""
+    needed = dict.fromkeys([*(c for _, c, _ in rules), *keys])
+    checked = {c: check for _, c, check in rules if check in ("date", "number")}
+    trimmed = raw.select(_place(raw).alias("_ord"), F.coalesce("row_label", F.lit("")).alias("row_label"), *(norm_text(F.col(c)).alias(c) for c in needed), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"raw_{c}") for c in checked))
+    bad = {"date": lambda c: trimmed_date(F.col(c)).isNull(), "number": lambda c: trimmed_decimal(F.col(c)).isNull()}
+    return trimmed.withColumns({f"bad_{c}": bad[check](c) for c, check in checked.items()}) if checked else trimmed
+
+
+def _found(rules: list[tuple[int, str, str]], source: str) -> Column:
+    return F.array_compact(F.array(*(_cell_issue(rule, source, column, check) for rule, column, check in rules)))
+
+
+def _listed(issues: DataFrame) -> DataFrame:
+    return issues.select("_ord", F.explode("issues").alias("i")).select("i.*", "_ord")
 
 
 def cell_issues(raw: DataFrame, source: str, checks: tuple[str, ...] = ("date", "number", "key", "link")) -> DataFrame:
     """Issues of single cells in one pass over the rows of a side."""
-    wanted = [(rule, column, check) for rule, column, check in _CELL_RULES[source] if check in checks]
-    if not wanted:
+    rules = [(rule, column, check) for rule, column, check in _CELL_RULES[source] if check in checks]
+    if not rules:
         return cell_issues(raw, source).filter(F.lit(False))
-    found = F.array_compact(F.array(*(_cell_issue(rule, source, column, check) for rule, column, check in wanted)))
-    return raw.select("_ord", F.explode(found).alias("i")).select("i.*", "_ord")
+    return _listed(_parsed(raw, rules).select("_ord", _found(rules, source).alias("issues")))
 
 
-def duplicate_issues(raw: DataFrame, source: str) -> DataFrame:
-    """Business keys of several rows, with their row numbers; a key with a blank part is none."""
+def keyed_rows(raw: DataFrame, source: str, rules: list[tuple[int, str, str]] | None = None) -> DataFrame:
+    """One narrow row a row of a side: its form or source form and item as trimmed texts, its order and label, and with
+    ``rules`` its cells' issues."""
+    form, item = _KEYS[source][1]
+    rows = _parsed(raw, rules or [], (form, item))
+    more = [_found(rules, source).alias("issues")] if rules else []
+    return rows.select(F.lit(source).alias("source"), F.col(form).alias("form"), F.col(item).alias("item"), "_ord", "row_label", *more)
+
+
+def _duplicates(keys: DataFrame, source: str) -> DataFrame:
     rule, columns = _KEYS[source]
-    clean = raw.select("_ord", F.coalesce("row_label", F.lit("")).alias("row_label"), *(norm_text(F.col(c)).alias(c) for c in columns))
-    for c in columns:
-        clean = clean.filter(F.col(c) != "")
+    own = keys.filter((F.col("source") == source) & (F.col("form") != "") & (F.col("item") != "")).select("form", "item", "_ord", "row_label")
+    several = own.groupBy("form", "item").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("form", "item")
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_ord", "row_label"))), lambda r: r["row_label"]), ",")
-    several = clean.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*columns)
-    grouped = clean.join(several, list(columns), "left_semi").groupBy(*columns).agg(F.min("_ord").alias("_ord"), rows.alias("rows"))
+    grouped = own.join(several, ["form", "item"], "left_semi").groupBy("form", "item").agg(F.min("_ord").alias("_ord"), rows.alias("rows"))
     names = "+".join(headers_of(source)[c] for c in columns)
-    issue = _issue(rule, HINT, source, F.col("rows"), names, F.concat_ws(" + ", *columns), DUPLICATE, F.lit(f"{source} 存在相同业务键的多行记录，查询宏会先合并后比较。"), FIX_DUPLICATE)
+    issue = _issue(rule, HINT, source, F.col("rows"), names, F.concat_ws(" + ", "form", "item"), DUPLICATE, F.lit(f"{source} 存在相同业务键的多行记录，查询宏会先合并后比较。"), FIX_DUPLICATE)
     return grouped.select("_ord", issue.alias("i")).select("i.*", "_ord")
 
 
+def duplicate_issues(raw: DataFrame, source: str) -> DataFrame:
+    """Business keys of several rows, with their row numbers; a key with a blank part is none.
+
+    Only rows of repeated keys are listed. An issue names every row of its key, so its text grows with them.
+    """
+    return _duplicates(keyed_rows(raw, source), source)
+
+
+def _orphans(keys: DataFrame) -> DataFrame:
+    """One aggregation by form tells which forms only ERP rows have."""
+    erp, forms = F.col("source") == "ERP", keys.filter("form <> ''")
+    by_form = forms.groupBy("form").agg(F.bool_or(~erp).alias("known"), F.min(F.when(erp, F.struct("_ord", "row_label"))).alias("first"))
+    issue = _issue(_ORPHANS, HINT, "ERP", F.col("first.row_label"), headers_of("ERP")["link_no"], F.col("form"), ORPHAN, F.lit(ORPHAN_REASON), FIX_ORPHAN)
+    return by_form.filter("NOT known").select(F.col("first._ord").alias("_ord"), issue.alias("i")).select("i.*", "_ord")
+
+
 def orphan_issues(raw_oa: DataFrame, raw_erp: DataFrame) -> DataFrame:
     """ERP source forms that no OA row has: one issue a form, at its first row."""
-    forms = raw_oa.select(norm_text(F.col("doc_no")).alias("link")).filter("link <> ''").distinct()
-    missing = raw_erp.select("_ord", F.coalesce("row_label", F.lit("")).alias("row_label"), norm_text(F.col("link_no")).alias("link")).filter("link <> ''").join(forms, "link", "left_anti")
-    first = missing.groupBy("link").agg(F.min_by("row_label", "_ord").alias("row_label"), F.min("_ord").alias("_ord"))
-    issue = _issue(_ORPHANS, HINT, "ERP", F.col("row_label"), headers_of("ERP")["link_no"], F.col("link"), ORPHAN, F.lit(ORPHAN_REASON), FIX_ORPHAN)
-    return first.select("_ord", issue.alias("i")).select("i.*", "_ord")
+    return _orphans(keyed_rows(raw_oa, "OA").unionByName(keyed_rows(raw_erp, "ERP")))
 
 
 def precheck(raw_oa: DataFrame, raw_erp: DataFrame, ordered: bool = True) -> DataFrame:
-    """All issues in contract order: rule, side, column, row."""
-    parts = [cell_issues(raw_oa, "OA"), cell_issues(raw_erp, "ERP"), duplicate_issues(raw_oa, "OA"), duplicate_issues(raw_erp, "ERP"), orphan_issues(raw_oa, raw_erp)]
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    """All issues in contract order: rule, side, column, row.
+
+    Each side's rows are read once, when this is called: their keys and cell issues go to a narrow
+    table in the shared folder, from which the issues are listed. The sides may come from sources
+    of different kinds, whatever form their order has.
+    """
+    sides = [keyed_rows(raw, source, list(_CELL_RULES[source])) for source, raw in (("OA", raw_oa), ("ERP", raw_erp))]
+    keys = scratch(sides[0].unionByName(sides[1]), "precheck")
+    cells = _listed(keys.filter(F.size("issues") > 0))
+    found = cells.unionByName(_duplicates(keys, "OA")).unionByName(_duplicates(keys, "ERP")).unionByName(_orphans(keys))
     return (found.orderBy("rule", "_ord") if ordered else found).select(*ISSUE)
 
 

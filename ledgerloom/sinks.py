@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .model import DIAGNOSTICS_DISPLAY, OUTPUT_NAMES, PRECHECK_DISPLAY, OutputKind, QueryResult, QueryState, display
-from .operators.precheck import ERROR, HINT
+from .operators.precheck import CLEAN
 
 _META_DDL = "kind string, company string, dept1 string, dept2 string, start_date string, end_date string, direction string"
 #: Kinds an older output may carry and still be replaced by a newer one.
@@ -56,17 +58,17 @@ def write_output(df: DataFrame, path: str, kind: OutputKind, state: QueryState |
 _REPORT_DDL = "report string, title string, status string"
 
 
-def write_report(df: DataFrame, path: str, report: str, title: str, status: str = "", headers: dict[str, str] | None = None, fmt: str = "parquet") -> None:
+def write_report(df: DataFrame, path: str, report: str, title: str, status: str | Callable[[], str] = "", headers: dict[str, str] | None = None, fmt: str = "parquet") -> None:
     """Write the rows of a precheck, lookup or diagnostics run under display names, with its title and status beside them.
 
-    A report is replaced by one of the same name only.
+    ``status`` may be worked out once the rows are written. A report is replaced by one of the same name only.
     """
     spark = df.sparkSession
     if _exists(spark, path) and (read_report(spark, path) or ("",))[0] != report:
         raise FileExistsError(f"{path} holds something else than {report}")
     writer = (display(df, headers) if headers else df).write.format(fmt).mode("overwrite")
     (writer.option("header", "true") if fmt == "csv" else writer).save(path)
-    spark.createDataFrame([(report, title, status)], _REPORT_DDL).coalesce(1).write.mode("overwrite").parquet(_meta_path(path))
+    spark.createDataFrame([(report, title, status() if callable(status) else status)], _REPORT_DDL).coalesce(1).write.mode("overwrite").parquet(_meta_path(path))
 
 
 def read_report(spark: SparkSession, path: str) -> tuple[str, str, str] | None:
@@ -78,11 +80,18 @@ def read_report(spark: SparkSession, path: str) -> tuple[str, str, str] | None:
         return None
 
 
+# Title and status of the precheck's output.
+PRECHECK_TITLE, PRECHECK_CLEAN, PRECHECK_FOUND = "报废差异预验证", "未发现预验证问题", "发现 {n} 条预验证问题"
+
+
 def write_precheck(issues: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """The issues of a precheck under their headers; its status tells how many errors and hints it found."""
-    found = {r.level: r.n for r in issues.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
-    status = "、".join(f"{level}：{found.get(level, 0)}" for level in (ERROR, HINT))
-    write_report(issues, path, "precheck", "预验证结果", status, PRECHECK_DISPLAY, fmt)
+    """The issues of a precheck under their headers; its status tells how many there are.
+
+    They are counted by the job that writes them; the row that tells of no issues isn't one.
+    """
+    seen = Observation("issues")
+    counted = issues.observe(seen, F.count_if(F.col("issue_type") != CLEAN[5]).alias("n"))
+    write_report(counted, path, "precheck", PRECHECK_TITLE, lambda: PRECHECK_FOUND.format(n=n) if (n := seen.get["n"]) else PRECHECK_CLEAN, PRECHECK_DISPLAY, fmt)
 
 
 def write_lookup(found: QueryResult, path: str, fmt: str = "parquet") -> None:

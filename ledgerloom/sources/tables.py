@@ -15,6 +15,7 @@ from pyspark.sql.types import NumericType
 from ..functions.exprs import norm_text, number_text, serial_date, text_date, text_decimal
 from ..model import CANONICAL
 from .headers import SCAN_ROWS, Header, detect_header, row_label
+from .sheets import numbered_rows
 
 
 @dataclass(frozen=True)
@@ -86,18 +87,25 @@ def read_full(spark: SparkSession, path: str, *, name: str = "", fmt: str = "par
     return df
 
 
-def _numbered(df: DataFrame, fmt: str, order: str | None) -> tuple[Column, Column]:
-    """(order, row label) of file rows. Parquet files know their rows' places: rows go by file and place, and are
-    called by the sheet's row number, below one header row, with the file's name where there are several. Other
-    formats don't, so their rows have no number unless a column gives it."""
+#: Lines of a file above its first row, by format.
+_LINES_ABOVE = {"csv": 1}
+
+
+def _numbered(df: DataFrame, columns: list[Column], fmt: str, order: str | None) -> DataFrame:
+    """``columns`` with the rows' order and label. Rows of files go by file and place in it, and are called by the
+    sheet's row number, below one header row if the format has one, with the file's name where there are several.
+    Blank lines of CSV files don't count. Formats whose rows have no place have no number unless a column gives it."""
     if order:
-        return F.col(f"`{order}`").cast("long"), F.col(f"`{order}`").cast("string")
-    if fmt == "parquet":
-        place, path = F.col("_metadata.row_index"), F.col("_metadata.file_path")
-        number = (place + 2).cast("string")
-        label = number if len(df.inputFiles()) < 2 else F.concat(F.col("_metadata.file_name"), F.lit(":"), number)
-        return F.struct(path.alias("file"), place.alias("place")), label
-    return F.monotonically_increasing_id(), F.lit("")
+        return df.select(F.col(f"`{order}`").cast("long").alias("_ord"), *columns, F.col(f"`{order}`").cast("string").alias("row_label"))
+    file, place, alone = F.col("_metadata.file_path"), F.col("_metadata.row_index"), len(df.inputFiles()) < 2
+    if fmt in ("csv", "json", "text"):
+        df, file, place = numbered_rows(df, columns), F.col("_file"), F.col("_place")
+        columns = [F.col(c) for c in df.columns if c not in ("_file", "_place")]
+    elif fmt != "parquet":
+        return df.select(F.monotonically_increasing_id().alias("_ord"), *columns, F.lit("").alias("row_label"))
+    number = (place + 1 + (1 if fmt == "parquet" else _LINES_ABOVE.get(fmt, 0))).cast("string")
+    label = F.when(F.lit(alone), number).otherwise(F.concat(F.element_at(F.split(file, "/"), -1), F.lit(":"), number))
+    return df.select(F.struct(file.alias("file"), place.alias("place")).alias("_ord"), *columns, label.alias("row_label"))
 
 
 def read_table(spark: SparkSession, path: str, required: dict[str, str], *, name: str = "", fmt: str = "parquet", order: str | None = None, options: dict[str, str] | None = None) -> tuple[DataFrame, TableMeta]:
@@ -113,9 +121,8 @@ def read_table(spark: SparkSession, path: str, required: dict[str, str], *, name
         names = {norm: c for c in df.columns if (norm := c.strip())}
         if strict and (missing := [h for h in required.values() if h not in names]):
             raise LookupError(f"缺失字段：{'、'.join(missing)}")
-        place, label = _numbered(df, fmt, order)
         columns = [(F.col(f"`{names[h]}`") if h in names else F.lit(None).cast("string")).alias(c) for c, h in required.items()]
-        return df.select(place.alias("_ord"), *columns, label.alias("row_label"))
+        return _numbered(df, columns, fmt, order)
 
     try:
         df = _loaded(spark, path, fmt, options)

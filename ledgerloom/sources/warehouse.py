@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import scratch
+from ..shared import discard, scratch
 
 _ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
 
@@ -57,15 +57,52 @@ def both_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select(F.explode(rows).alias("row")).select("row.*")
 
 
-_WRITTEN: dict[tuple[str, str], DataFrame] = {}
+_TABLES = ("lineitem", "orders", "customer", "nation", "region", "part")
+_WRITTEN: dict[tuple[str, str], tuple[tuple, DataFrame]] = {}
+
+
+def _listing(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the source's files, as its store tells them; no file is opened."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()  # noqa: SLF001
+    found = []
+    for name in _TABLES:
+        top = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = top.getFileSystem(conf).listFiles(top, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
+def _there(df: DataFrame) -> bool:
+    folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)  # noqa: SLF001
+    return folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(folder)  # noqa: SLF001
+
+
+def canonical_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides as one canonical table with ``side``, written once for a folder as it is now.
+
+    A session's queries share it. If a source file is added, replaced or removed, or the table
+    itself is gone, it is written anew and an older one is deleted.
+    """
+    key, now = (spark.sparkContext.applicationId, sf_dir), _listing(spark, sf_dir)
+    seen, held = _WRITTEN.get(key, (None, None))
+    if seen != now or not _there(held):
+        if held is not None:
+            discard(held)
+        held = scratch(both_sides(spark, sf_dir), "canonical", by=("side",))
+        _WRITTEN[key] = (now, held)
+    return held
+
+
+def forget_tables(spark: SparkSession) -> None:
+    """Delete the canonical tables that this session wrote."""
+    for key in [k for k in _WRITTEN if k[0] == spark.sparkContext.applicationId]:
+        discard(_WRITTEN.pop(key)[1])
 
 
 def _written(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
-    """One side of the canonical table, which a session writes once for a folder and all its queries read."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _WRITTEN:
-        _WRITTEN[key] = scratch(both_sides(spark, sf_dir), "canonical", by=("side",))
-    return _WRITTEN[key].filter(F.col("side") == side).drop("side")
+    return canonical_table(spark, sf_dir).filter(F.col("side") == side).drop("side")
 
 
 def oa_view(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,9 +72,65 @@ def test_rows_of_files_are_called_by_their_number(spark, tmp_path):
     assert len(set(labels)) == 40 and all(":" in x for x in labels)
     rows, _ = read_table(spark, one, OA_HEADERS, order="id")
     assert rows.filter("row_label <> cast(_ord as string)").isEmpty()
-    spark.range(5).select(*heads).write.option("header", "true").csv(str(tmp_path / "csv"))
-    rows, _ = read_table(spark, str(tmp_path / "csv"), OA_HEADERS, fmt="csv")
-    assert {r.row_label for r in rows.collect()} == {""} and rows.select("_ord").distinct().count() == 5
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+def test_rows_of_text_files_have_numbers_too(spark, tmp_path, fmt):
+    """Files cut into many blocks, in any order: each row keeps its place."""
+    heads = [F.concat(F.lit("v"), F.col("id")).alias(h) for h in HEADS]
+    one, several, first = str(tmp_path / "one"), str(tmp_path / "several"), 2 if fmt == "csv" else 1
+    spark.range(3000).coalesce(1).select(*heads).write.option("header", "true").format(fmt).save(one)
+    spark.range(400).repartition(4).select(*heads).write.option("header", "true").format(fmt).save(several)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows, _ = read_table(spark, one, OA_HEADERS, fmt=fmt)
+        assert rows.rdd.getNumPartitions() > 4
+        assert all(r.row_label == str(int(r.doc_no[1:]) + first) for r in rows.collect())
+        assert [r.row_label for r in rows.orderBy("_ord").collect()] == [str(i + first) for i in range(3000)]
+        rows, _ = read_table(spark, several, OA_HEADERS, fmt=fmt)
+        labels = [r.row_label for r in rows.collect()]
+        assert len(set(labels)) == 400 and all(":" in x for x in labels)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_precheck_of_sources_of_different_kinds(spark, tmp_path):
+    """A CSV and a Parquet source, and one with numbers of its own: the issues, not a failure."""
+    ok = ("F1", "Q1", "2026/5/1", *ORG, "M", "", 1, 1)
+    named = lambda rows, heads, *order: raw(spark, rows, *order).coalesce(1).select(*(F.col(c).cast("string").alias(h) for c, h in heads.items()))
+    named([ok, ok], OA_HEADERS).write.option("header", "true").csv(str(tmp_path / "oa"))
+    named([("Q1", "z", "F7", *ORG, "M", "", 1, 1)], ERP_HEADERS, ERP_ORDER).write.parquet(str(tmp_path / "erp"))
+    want = [("ERP", "2", "日期格式不正确"), ("OA", "2,3", "业务键重复"), ("ERP", "2", "ERP源单未在OA中找到")]
+    load = lambda side, heads, fmt: (read_table(spark, str(tmp_path / side), heads, fmt=fmt)[0], [])
+    found = run_precheck(spark, lambda: load("oa", OA_HEADERS, "csv"), lambda: load("erp", ERP_HEADERS, "parquet"))
+    assert [(r.source, r.row_label, r.issue_type) for r in found.collect()] == want
+    sheet = matrix_frame(spark, [["t"], list(ERP_HEADERS.values()), ["Q1", "z", "F7", *ORG, "M", "", 1, 1]])
+    found = run_precheck(spark, lambda: load("oa", OA_HEADERS, "csv"), lambda: (parse_table(sheet, ERP_HEADERS, first_row=1)[0], []))
+    assert [(r.source, r.issue_type) for r in found.collect()] == [(s, t) for s, _, t in want]
+
+
+def test_the_canonical_table_follows_its_source(spark, tmp_path):
+    """Replaced source files, and a table that is gone, are seen by the next query; a session can remove its tables."""
+    import shutil
+
+    import duckdb
+
+    from ledgerloom.queries import QUERIES
+    from ledgerloom.sources.warehouse import canonical_table, forget_tables
+
+    for name in ("lineitem", "orders", "customer", "nation", "region", "part"):
+        shutil.copy(f"/root/testdata/sf0.001/{name}.parquet", f"{tmp_path}/{name}.parquet")
+    total = lambda: sum(r.n for r in QUERIES["canonical_totals"](spark, str(tmp_path)).collect())
+    before, table = total(), canonical_table(spark, str(tmp_path))
+    assert canonical_table(spark, str(tmp_path)) is table
+    duckdb.sql(f"COPY (SELECT * FROM '/root/testdata/sf0.001/lineitem.parquet' LIMIT 100) TO '{tmp_path}/lineitem.parquet'")
+    after = total()
+    assert 0 < after <= 300 < before
+    shutil.rmtree(canonical_table(spark, str(tmp_path)).scratch_path.removeprefix("file://").removeprefix("file:"))
+    assert total() == after
+    path = canonical_table(spark, str(tmp_path)).scratch_path.removeprefix("file://")
+    forget_tables(spark)
+    assert not __import__("os").path.exists(path)
 
 
 def test_precheck_names_rows_of_files(spark, tmp_path):
@@ -177,7 +233,10 @@ def test_reports_keep_their_title_and_status(spark, tmp_path):
     path = str(tmp_path / "precheck")
     write_precheck(issues, path)
     write_precheck(issues, path)
-    assert read_report(spark, path) == ("precheck", "预验证结果", "错误：2、提醒：1")
+    assert read_report(spark, path) == ("precheck", "报废差异预验证", "发现 3 条预验证问题")
+    clean = run_precheck(spark, lambda: (raw(spark, [("F1", "Q1", "2026/5/1", *ORG, "M", "", 1, 1)]), []), lambda: (raw(spark, [("Q1", "2026/5/1", "F1", *ORG, "M", "", 1, 1)], ERP_ORDER), []))
+    write_precheck(clean, str(tmp_path / "clean"))
+    assert read_report(spark, str(tmp_path / "clean")) == ("precheck", "报废差异预验证", "未发现预验证问题")
     assert spark.read.parquet(path).columns[0] == "级别"
     with pytest.raises(FileExistsError):
         write_diagnostics(spark.range(1), path)
