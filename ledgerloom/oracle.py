@@ -7,7 +7,9 @@ from .model import (
     QTY_DIFFERS, QTY_EQUAL, SUMMARY_ROW, TYPE_PRIORITY, Direction,
 )
 from .operators import precheck as rules
-from .queries import ERP_DOC, FILTERS, GENERATED, OA_DOC, SEARCH_TEXT
+from .queries import ERP_DOC, FEW_HEADS, FILTERS, GENERATED, HALF_HEADS, OA_DOC, OPEN_EVERY, SEARCH_TEXT, SHEETS
+from .sources.headers import AMBIGUOUS, NOT_FOUND
+from .sources.sheet_source import FAILED, FULL, PRUNED
 
 _SOURCE = """
 lines AS (
@@ -244,6 +246,21 @@ _PLACE = "SELECT company, dept1, doc_no, row_number() OVER (PARTITION BY company
 _DIRECTIONS = ((Direction.FORWARD.value, True), (Direction.REVERSE.value, False))
 _ORGANISATIONS = f"WITH {_SOURCE}, b AS (SELECT company, dept1, dept2 FROM oa UNION SELECT company, dept1, dept2 FROM erp) " + " UNION ".join(f"SELECT '{c}' AS field, {c} AS value FROM b WHERE {c} <> ''" for c in ("company", "dept1", "dept2"))
 
+_HEADS = "[" + ", ".join(f"'{h}'" for h in OA_HEADERS.values()) + "]"
+#: Rows of the folder of sheets with their numbers: titles, one header row (two of every eighth), then the requests.
+_SHEET_ROWS = f"""SELECT sheet, sheet % 4 + 1 + row_number() OVER (PARTITION BY sheet ORDER BY ord) AS row, doc_no, link_no, CASE WHEN defect = 0 THEN '' ELSE strftime(day, '%Y-%m-%d') END AS doc_date, company, item_code,
+  CASE WHEN defect = 1 THEN NULL ELSE q END::DOUBLE AS qty, a::DOUBLE AS amount FROM (SELECT *, regexp_extract(doc_no, '[0-9]+$')::BIGINT % {SHEETS} AS sheet FROM raw WHERE side = 'OA')"""
+_SHEET_SHAPE = f"""shape AS (SELECT range AS sheet, range % 25 AS kind, range % 4 + 1 AS header_row, list_concat(({_HEADS})[range % 10 + 1 :], ({_HEADS})[: range % 10]) AS turned FROM range({SHEETS})
+), found AS (SELECT *, CASE kind WHEN 7 THEN turned[:{FEW_HEADS}] WHEN 8 THEN turned[:{HALF_HEADS}] ELSE turned END AS heads FROM shape)"""
+_OPENED = f"""{_compare('oa', 'erp')}, own AS (SELECT doc_no, item_code, min(ord) AS item_ord FROM p GROUP BY ALL
+), others AS (SELECT l.doc_no, i.item_code, min(row(l.link_ord, i.item_ord)) AS met FROM p_link l JOIN q_item i ON l.link_no = i.doc_no GROUP BY ALL
+), shown AS (
+  SELECT '{SUMMARY_ROW}' AS row_type, doc_no, '' AS item_code, company, qty, cp_qty, amount, cp_amount, doc_ord, 0 AS below, NULL AS item_ord, NULL AS met FROM docs
+  UNION ALL SELECT '{ITEM_ROW}', b.doc_no, b.item_code, d.company, b.qty, b.cp_qty, b.amount, b.cp_amount, d.doc_ord, 1, o.item_ord, CASE WHEN o.item_ord IS NULL THEN m.met END
+  FROM both_items b JOIN docs d USING (doc_no) LEFT JOIN own o ON b.doc_no = o.doc_no AND b.item_code = o.item_code LEFT JOIN others m ON b.doc_no = m.doc_no AND b.item_code = m.item_code
+  WHERE regexp_extract(b.doc_no, '[0-9]+$')::BIGINT % {OPEN_EVERY} = 0)
+SELECT row_number() OVER (ORDER BY doc_ord, below, item_ord IS NULL, item_ord, met) AS place, row_type, doc_no, item_code, company, {_r('qty')} AS qty, {_r('cp_qty')} AS cp_qty, {_r('qty - cp_qty')} AS qty_diff, {_r('amount - cp_amount')} AS amount_diff FROM shown"""
+
 ORACLE: dict[str, str] = {
     "dept_variance_oa": _variance(True),
     "dept_variance_erp": _variance(False),
@@ -288,6 +305,16 @@ ORACLE: dict[str, str] = {
     "append_unique": f"WITH {_SOURCE}, u AS (SELECT doc_no, link_no, min(ord) AS mo FROM oa GROUP BY ALL) SELECT doc_no, coalesce(string_agg(link_no, ',' ORDER BY mo) FILTER (link_no <> ''), '') AS text FROM u GROUP BY doc_no",
     "header_detect": "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{h}', '2')" for i, h in enumerate([*OA_HEADERS.values(), "note"])) + ") AS t(place, header, header_row)",
     "table_parse": f"WITH {_SOURCE}{_RAW} SELECT doc_no, link_no, CASE WHEN defect = 0 THEN '' ELSE strftime(day, '%Y-%m-%d') END AS doc_date, company, item_code, CASE WHEN defect = 1 THEN NULL ELSE q END::DOUBLE AS qty, a::DOUBLE AS amount, (ord + 1)::DECIMAL(38,0)::VARCHAR AS row_label FROM raw WHERE side = 'OA'",
+    "sheets_parse": f"WITH {_SOURCE}{_RAW} SELECT * FROM ({_SHEET_ROWS}) WHERE sheet % 25 NOT IN (7, 8)",
+    "sheets_headers": f"WITH {_SHEET_SHAPE} SELECT sheet, header_row, CASE kind WHEN 7 THEN '{NOT_FOUND}' WHEN 8 THEN '{AMBIGUOUS}' ELSE '' END AS issue_type, len(heads)::INT AS hits, (10 - len(heads))::INT AS n_missing, array_to_string(list_filter({_HEADS}, lambda h: NOT list_contains(heads, h)), ',') AS missing FROM found",
+    "sheet_files_rows": f"WITH {_SOURCE}{_RAW}, {_SHEET_SHAPE}, every AS ({_SHEET_ROWS}) SELECT * FROM every WHERE sheet % 25 NOT IN (4, 7, 8) UNION ALL BY NAME SELECT sheet, header_row + 1 + (SELECT count(*) FROM every e WHERE e.sheet = f.sheet) AS row, "
+    + ", ".join(f"CASE WHEN turned[1] = '{OA_HEADERS[c]}' THEN 'short' ELSE '' END AS {c}" for c in ("doc_no", "link_no", "company", "item_code")) + f", '' AS doc_date, CASE WHEN turned[1] = '{OA_HEADERS['qty']}' THEN NULL ELSE 0 END::DOUBLE AS qty, CASE WHEN turned[1] = '{OA_HEADERS['amount']}' THEN NULL ELSE 0 END::DOUBLE AS amount FROM found f WHERE kind = 3",
+    "sheet_files_report": f"WITH {_SOURCE}{_RAW}, {_SHEET_SHAPE}, sized AS (SELECT sheet, count(*) AS n FROM ({_SHEET_ROWS}) GROUP BY sheet) SELECT sheet, CASE WHEN kind IN (4, 7, 8) THEN '{FAILED}' WHEN kind = 3 THEN '{FULL}' ELSE '{PRUNED}' END AS strategy, kind IN (3, 4, 7, 8) AS has_reason, CASE WHEN kind NOT IN (7, 8) THEN header_row END AS header_row, CASE WHEN kind IN (4, 7, 8) THEN 0 ELSE coalesce(n, 0) + (kind = 3)::BIGINT END AS n_rows, CASE WHEN kind NOT IN (7, 8) THEN 11::BIGINT END AS n_columns FROM found LEFT JOIN sized USING (sheet)",
+    "matrix_shapes": """WITH o AS (SELECT o_orderkey, o_orderkey::VARCHAR AS k, o_custkey::VARCHAR AS c, o_orderstatus AS s FROM orders), m AS (
+  SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN [[c]] WHEN 1 THEN [[s]] WHEN 2 THEN [[k, s, NULL, 'true']] WHEN 3 THEN [[k, c], [s]] WHEN 4 THEN [[k], ['1.5', s], [], ['x']] ELSE [] END AS r FROM o
+), rows AS (SELECT o_orderkey, (generate_subscripts(r, 1) - 1)::INT AS row_at, unnest(r) AS cells FROM m) SELECT o_orderkey, row_at, (generate_subscripts(cells, 1) - 1)::INT AS col_at, unnest(cells) AS cell FROM rows""",
+    "oa_output_place": f"{_compare('oa', 'erp')} SELECT row_number() OVER (ORDER BY doc_ord) AS place, doc_no, company FROM docs",
+    "oa_output_with_items": _OPENED,
     "benchmark_generator_oa": f"WITH {_GENERATED} SELECT {_ROWS} FROM oa",
     "benchmark_generator_erp": f"WITH {_GENERATED} SELECT {_ROWS} FROM erp",
     "benchmark_dept_variance": _variance(True, source=_GENERATED),

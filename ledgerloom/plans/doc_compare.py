@@ -17,6 +17,8 @@ from ..operators.filters import keyed, selected
 from ..operators.grain import doc_grain, item_grain, link_frame
 
 COLUMNS = ("row_type", "company", "dept1", "dept2", "doc_date", "doc_no", "qty", "amount", "link_nos", "cp_qty", "cp_amount", "qty_diff", "amount_diff", "item_code", "item_name", "remark")
+#: What orders an output whose documents may show their items: document, summary before items, own items before others.
+EXPANDED_ORDER = ("doc_ord", "below", "alone", "item_ord", "link_ord", "cp_ord")
 
 
 @dataclass
@@ -29,21 +31,39 @@ class DocCompare:
     def summary(self, ordered: bool = True) -> DataFrame:
         """One row a document. Its links are followed to the sums of whole counterpart documents and brought back in one
         line of steps, so each side is read once."""
+        return _output(self._summary_rows(), SUMMARY_ROW, ["doc_ord"] if ordered else None)
+
+    def _summary_rows(self) -> DataFrame:
         docs = doc_grain(self.primary)
         theirs = self.counterpart.groupBy(F.col("doc_no").alias("link_no")).agg(F.sum("qty").alias("cp_qty"), F.sum("amount").alias("cp_amount"))
         own = [c for c in docs.columns if c != "links"]
         met = docs.select(*own, F.explode_outer("links").alias("link_no")).join(theirs, "link_no", "left")
-        return _output(met.groupBy(*own).agg(F.sum("cp_qty").alias("cp_qty"), F.sum("cp_amount").alias("cp_amount")), SUMMARY_ROW, ["doc_ord"] if ordered else None)
+        return met.groupBy(*own).agg(F.sum("cp_qty").alias("cp_qty"), F.sum("cp_amount").alias("cp_amount"))
+
+    def documents(self) -> DataFrame:
+        """The filtered side's documents as :func:`doc_grain` gives them, without the other side."""
+        return doc_grain(self.primary)
 
     def materials(self, ordered: bool = True) -> DataFrame:
         """Item rows: the document's own items in their order, then those of counterparts alone."""
+        return _output(self._items_of_documents(), ITEM_ROW, list(EXPANDED_ORDER[:1] + EXPANDED_ORDER[2:]) if ordered else None)
+
+    def _items_of_documents(self) -> DataFrame:
         head = doc_grain(self.primary).select("doc_no", "company", "dept1", "dept2", "doc_date", "link_nos", "doc_ord")
-        return _output(self.items().join(head, "doc_no"), ITEM_ROW, ["doc_ord", "alone", "item_ord", "link_ord", "cp_ord"] if ordered else None)
+        return self.items().join(head, "doc_no")
 
     def materials_of(self, doc_no: str) -> DataFrame:
         """The item rows of one document: what an expanded summary row shows."""
         return DocCompare(self.primary.filter(F.col("doc_no") == F.lit(doc_no)), self.counterpart).materials()
 
+    def expanded(self, doc_nos: DataFrame) -> DataFrame:
+        """The summary with the items of ``doc_nos`` (one column) below their documents, and the columns of EXPANDED_ORDER
+        that put it in order. Without the item rows it is the summary as it was; only chosen documents' items are made."""
+        chosen = doc_nos.select(F.col(doc_nos.columns[0]).alias("doc_no")).distinct()
+        opened = DocCompare(self.primary.join(chosen, "doc_no", "left_semi"), self.counterpart)
+        rows = _output(self._summary_rows(), SUMMARY_ROW, None, (*EXPANDED_ORDER[:1],)).withColumn("below", F.lit(0))
+        return rows.unionByName(_output(opened._items_of_documents(), ITEM_ROW, None, (*EXPANDED_ORDER[:1], *EXPANDED_ORDER[2:])).withColumn("below", F.lit(1)), allowMissingColumns=True)  # noqa: SLF001
+
     def items(self) -> DataFrame:
         """(doc_no, item_code) of the filtered side's documents and of those they link to, with both sides' sums."""
         other = item_grain(self.counterpart).withColumnsRenamed({"doc_no": "link_no", "qty": "cp_qty", "amount": "cp_amount", "item_name": "cp_name", "item_ord": "cp_ord"})
@@ -57,14 +77,14 @@ class DocCompare:
         )
 
 
-def _output(rows: DataFrame, row_type: str, order: list[str] | None) -> DataFrame:
+def _output(rows: DataFrame, row_type: str, order: list[str] | None, keep: tuple[str, ...] = ()) -> DataFrame:
     blank = F.lit("")
     out = rows.orderBy(*order) if order else rows
     item = row_type == ITEM_ROW
     return out.select(
         F.lit(row_type).alias("row_type"), "company", "dept1", "dept2", "doc_date", "doc_no", shown(F.col("qty")).alias("qty"), shown(F.col("amount")).alias("amount"), "link_nos",
         shown(F.col("cp_qty")).alias("cp_qty"), shown(F.col("cp_amount")).alias("cp_amount"), *(shown(_zero(c) - _zero(f"cp_{c}")).alias(f"{c}_diff") for c in ("qty", "amount")),
-        (F.col("item_code") if item else blank).alias("item_code"), (F.col("item_name") if item else blank).alias("item_name"), blank.alias("remark"),
+        (F.col("item_code") if item else blank).alias("item_code"), (F.col("item_name") if item else blank).alias("item_name"), blank.alias("remark"), *keep,
     )
 
 

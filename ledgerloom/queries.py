@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.exprs import append_unique, bigrams, cell_safe_note, date_key, in_order, norm_text, serial_date, text_date, text_decimal
 from .model import NO_ERP, NO_OA, OA_HEADERS, Direction, OutputKind, QueryFilters, QueryState
+from .operators.place import with_place
 from .operators.precheck import ISSUE, cell_issues, duplicate_issues, orphan_issues, precheck
 from .operators.search import bigram_index, distinct_candidates, indexed_search, search
 from .plans.dept_summary import classified_documents, department_summary
 from .plans.detail import detail_compare, detail_summary, erp_groups, erp_only_rows, erp_rows_of_sources, oa_groups
-from .plans.doc_compare import compare_documents
+from .plans.doc_compare import EXPANDED_ORDER, compare_documents
 from .plans.engine import ReconEngine
 from .plans.lookup import ERP_MODE, OA_MODE, lookup_rows, lookup_suggestions, organisation_suggestions
+from .shared import shared_dir
 from .sources.generator import generate_erp, generate_oa
+from .sources.shapes import json_matrix
+from .sources.sheet_source import read_sheet_files
+from .sources.sheets import read_sheets
 from .sources.tables import canonical, parse_table
 from .sources.warehouse import erp_view, oa_view, raw_of
 
@@ -202,6 +208,92 @@ def _table_parse(spark: SparkSession, d: str) -> DataFrame:
     return typed.select("doc_no", "link_no", date_key(F.col("doc_date")).alias("doc_date"), "company", "item_code", F.col("qty").cast("double").alias("qty"), F.col("amount").cast("double").alias("amount"), "row_label")
 
 
+#: Sheets that the requests are dealt over; their number tells how each is laid out.
+SHEETS = 200
+#: Required headers that a broken sheet's header rows hold.
+FEW_HEADS, HALF_HEADS = 4, 6
+
+
+def sheet_folder(spark: SparkSession, d: str, broken: bool = False) -> str:
+    """A folder of CSV sheets with all requests, as users keep them: up to three title lines, columns turned by a sheet's
+    number, a column of their own. Of every 25, one has too few headers and one has two half header rows; with ``broken``
+    every 25th has a row too short in its middle, and another ends in bytes that are no text."""
+    heads = list(OA_HEADERS.values())
+    turn = lambda cells, by: F.concat(F.slice(cells, by + 1, len(heads)), F.slice(cells, F.lit(1), by))
+    line = lambda cells: F.array_join(F.transform(cells, lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))), ",")
+    sheet, kind, by = F.col("sheet"), F.col("sheet") % 25, F.col("sheet").cast("int") % len(heads)
+    names = turn(F.array(*map(F.lit, heads)), by)
+    header = F.when(kind == 7, F.slice(names, 1, FEW_HEADS)).when(kind == 8, F.slice(names, 1, HALF_HEADS)).otherwise(F.concat(names, F.array(F.lit("note"))))
+    titles = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.struct(i.alias("at"), F.when(i <= sheet % 4, F.concat(F.lit("list "), i.cast("string"))).alias("line")))
+    top = spark.range(SHEETS).withColumnRenamed("id", "sheet").select("sheet", F.explode(F.concat(titles, F.array(F.struct(F.lit(4).alias("at"), line(header).alias("line")), F.struct(F.lit(5).alias("at"), F.when(kind == 8, line(header)).alias("line"))))).alias("t"))
+    rows = _raw(spark, d)[0].withColumn("sheet", F.regexp_extract("doc_no", r"(\d+)$", 1).cast("long") % SHEETS)
+    body = rows.select("sheet", F.lit(6).alias("at"), F.col("_ord"), F.concat(line(turn(F.array(*OA_HEADERS), by)), F.lit(",x")).alias("line"))
+    lines = top.select("sheet", "t.at", F.lit(0).cast("decimal(38,0)").alias("_ord"), "t.line").filter("line IS NOT NULL").union(body)
+    if broken:
+        more = spark.range(SHEETS).withColumnRenamed("id", "sheet").filter(kind.isin(3, 4)).select("sheet", F.lit(7).alias("at"), F.lit(0).cast("decimal(38,0)").alias("_ord"), F.when(kind == 3, "short").otherwise("bad").alias("line"))
+        lines = lines.union(more)
+    path = f"{shared_dir(spark)}/sheets-{uuid.uuid4().hex}"
+    text = F.when(F.col("line") == "bad", F.unhex(F.lit("FFFE22"))).otherwise(F.encode("line", "utf-8")) if broken else F.col("line")
+    lines = lines.repartition("sheet").sortWithinPartitions("sheet", "at", "_ord").select("sheet", text.cast("string").alias("line"))
+    lines.write.partitionBy("sheet").text(path)
+    return path
+
+
+def _sheet_of(file: str | Column) -> Column:
+    return F.regexp_extract(file, r"sheet=(\d+)", 1).cast("long").alias("sheet")
+
+
+def _sheet_rows(rows: DataFrame) -> DataFrame:
+    typed = canonical(rows).withColumn("sheet", _sheet_of(F.col("_ord.file")))
+    return typed.select("sheet", F.col("row_label").cast("long").alias("row"), "doc_no", "link_no", date_key(F.col("doc_date")).alias("doc_date"), "company", "item_code", F.col("qty").cast("double").alias("qty"), F.col("amount").cast("double").alias("amount"))
+
+
+def _sheets_parse(spark: SparkSession, d: str) -> DataFrame:
+    return _sheet_rows(read_sheets(spark, sheet_folder(spark, d), OA_HEADERS).rows)
+
+
+def _sheets_headers(spark: SparkSession, d: str) -> DataFrame:
+    found = read_sheets(spark, sheet_folder(spark, d), OA_HEADERS).headers
+    return found.select(_sheet_of("_file"), (F.col("header_row") + 1).alias("header_row"), F.coalesce("issue_type", F.lit("")).alias("issue_type"), F.col("hits").cast("int").alias("hits"), F.size("missing").alias("n_missing"), F.array_join("missing", ",").alias("missing"))
+
+
+def _sheet_files(spark: SparkSession, d: str) -> DataFrame:
+    rows, _ = read_sheet_files(spark, sheet_folder(spark, d, broken=True), OA_HEADERS)
+    return _sheet_rows(rows)
+
+
+def _sheet_report(spark: SparkSession, d: str) -> DataFrame:
+    _, report = read_sheet_files(spark, sheet_folder(spark, d, broken=True), OA_HEADERS)
+    return report.select(_sheet_of("file"), "strategy", (F.col("reason") != "").alias("has_reason"), "header_row", "n_rows", F.col("n_columns").alias("n_columns"))
+
+
+def _matrix_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as JSON lines of six shapes, and the cells they come to."""
+    key, kind = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 6
+    said = F.concat(F.lit('"'), F.col("o_orderstatus"), F.lit('"'))
+    parts = {0: (F.col("o_custkey").cast("string"),), 1: (said,), 2: ("[", key, ",", said, ",null,true]"), 3: ("[[", key, ",", F.col("o_custkey").cast("string"), "],[", said, "]]"), 4: ("[", key, ",[1.5,", said, '],[],"x"]'), 5: ("[]",)}
+    line = F.coalesce(*(F.when(kind == k, F.concat(*(F.lit(p) if isinstance(p, str) else p for p in own))) for k, own in parts.items()))
+    rows = json_matrix(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", line.alias("line")), "line", "o_orderkey")
+    return rows.select(F.col("_ord.line").alias("o_orderkey"), F.col("_ord.row").alias("row_at"), F.posexplode("cells").alias("col_at", "cell"))
+
+
+def _output_place(spark: SparkSession, d: str) -> DataFrame:
+    """Every document of the OA view with its row in the whole output."""
+    docs = compare_documents(*_both(spark, d)).documents()
+    return with_place(docs.select("doc_no", "company", "doc_ord"), "doc_ord").select("place", "doc_no", "company")
+
+
+#: Documents whose items an output shows: those of every 13th order.
+OPEN_EVERY = 13
+
+
+def _output_with_items(spark: SparkSession, d: str) -> DataFrame:
+    sides = _both(spark, d)
+    chosen = sides[0].filter(F.regexp_extract("doc_no", r"(\d+)$", 1).cast("long") % OPEN_EVERY == 0).select("doc_no").distinct()
+    found = compare_documents(*sides).expanded(chosen)
+    return with_place(found, *EXPANDED_ORDER).select("place", "row_type", "doc_no", "item_code", "company", "qty", "cp_qty", "qty_diff", "amount_diff")
+
+
 def _expand(spark: SparkSession, d: str) -> DataFrame:
     return ReconEngine(*_both(spark, d)).expand(OutputKind.OA_COMPARE, OA_DOC, QueryState())
 
@@ -262,5 +354,12 @@ QUERIES: dict[str, Query] = {
     "benchmark_dept_variance_erp": _generated_variance(Direction.REVERSE),
     "header_detect": _header_detect,
     "table_parse": _table_parse,
+    "sheets_parse": _sheets_parse,
+    "sheets_headers": _sheets_headers,
+    "sheet_files_rows": _sheet_files,
+    "sheet_files_report": _sheet_report,
+    "matrix_shapes": _matrix_shapes,
+    "oa_output_place": _output_place,
+    "oa_output_with_items": _output_with_items,
     "diagnostics": lambda spark, d: ReconEngine(*_both(spark, d)).diagnostics(),
 }

@@ -57,7 +57,7 @@ def numbered_rows(df: DataFrame, columns: Sequence[Column | str], most_blocks: i
     return with_blocks(rows, scratch(blocks_of(rows), "blocks"), most_blocks)
 
 
-_CSV = {"mode": "PERMISSIVE", "nullValue": "\0", "escape": '"', "columnNameOfCorruptRecord": "_wide", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+_CSV = {"mode": "PERMISSIVE", "escape": '"', "columnNameOfCorruptRecord": "_wide", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def raw_cells(spark: SparkSession, path: str, *, fmt: str = "csv", options: dict[str, str] | None = None, columns: int = MOST_COLUMNS, wide: bool = False) -> DataFrame:
@@ -72,10 +72,13 @@ def raw_cells(spark: SparkSession, path: str, *, fmt: str = "csv", options: dict
     schema = ", ".join(f"{c} string" for c in [*names, *(["_wide"] if wide else [])])
     if given.get("multiLine", "false").lower() == "true":
         df, cell = spark.read.format("csv").options(**given, header="false").schema(schema).load(path), lambda c: F.col(c)
+        over = cell("_wide").isNotNull() & cell(names[-1]).isNotNull()  # rows of another width are marked; short ones lack the last cell
     else:
         lines = spark.read.text(path)
         df, cell = lines.withColumn("row", F.from_csv("value", schema, given)), lambda c: F.col(f"row.{c}")
-    more = [(cell("_wide").isNotNull() & cell(names[-1]).isNotNull()).alias("wide")] if wide else []  # rows of another width are marked; short ones lack the last cell
+        plain = F.regexp_replace("value", r'"(?:[^"]|"")*"', "")
+        over = F.length(plain) - F.length(F.replace(plain, F.lit(given.get("sep", ",")), F.lit(""))) >= columns
+    more = [over.alias("wide")] if wide else []
     return located(df, [F.array(*map(cell, names)).alias("cells"), *more])
 
 
