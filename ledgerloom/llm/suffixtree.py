@@ -9,8 +9,12 @@ The tree grows with the corpus and is never in one place. All states that end in
 newest of their context) lie together, so tokens are dealt by their newest word, each with the words
 before it; the task that gets them counts, tests and keeps the states below that word, level by
 level, and scores the tokens in them. Words, and longer contexts, that take more than a shard's share
-of all tokens are wide: all tasks know them, and tokens after them are dealt by the next longer
-suffix. So no group grows beyond a bound, and wide contexts can't be many.
+of all tokens, learned from or held out, are wide: all tasks know them, and tokens after them are
+dealt by the next longer suffix. So no group grows beyond a bound, and wide contexts can't be many.
+
+Tasks hold the most frequent words and the most frequent next words of wide contexts. What else a
+task needs of either, it asks for: keys of all its tokens are joined with the counts and come back
+to it before it tests or scores anything. So results don't depend on how much is held.
 """
 
 from __future__ import annotations
@@ -31,20 +35,19 @@ from pyspark.sql import functions as F
 from .common import arrow_of, bounded, discard, id_fold, most_frequent, rows_out, scratch, type_of, whole_texts
 from .neardup import mixed
 
-#: Words that tasks hold with their counts (speed only: the others are joined).
-HEAD = 200_000
+#: Words, and next words of wide contexts, that tasks hold (speed only: the others are asked for).
+HEAD, ENTRIES_HELD = 200_000, 400_000
 #: Words of the longest context.
 DEPTH = 3
 #: A context needs so many occurrences, a next word so many after it, to be considered.
 LEAST_CONTEXT, LEAST_NEXT = 2, 2
 #: What a next word's count is discounted by.
 DISCOUNT = 0.75
-#: A context is wide if it takes more than one in WIDE_PART of all training tokens, or more than WIDE_TOKENS, but always
-#: more than one in WIDE_SHARE; it holds the next words that make at least one in WIDE_NEXT of all training tokens after it.
-WIDE_PART, WIDE_TOKENS, WIDE_SHARE, WIDE_NEXT = 450, 2_000_000, 20_000, 1_000_000
-#: Tokens of a shard on average, shards that a task takes one after the other, texts whose sums it holds meanwhile;
-#: bytes of text that a task lays out at a time.
-SHARD_TOKENS, SHARDS_A_TASK, SUMS_HELD, BYTES_AT_ONCE = 800_000, 4, 1_000_000, 5_000_000
+#: A context is wide if it takes more than one in WIDE_PART of all tokens, or more than WIDE_TOKENS, but always more
+#: than one in WIDE_SHARE (balance only, never results).
+WIDE_PART, WIDE_TOKENS, WIDE_SHARE = 450, 2_000_000, 20_000
+#: Tokens of a shard on average, shards that a task takes one after the other; bytes of text that a task lays out at a time.
+SHARD_TOKENS, SHARDS_A_TASK, BYTES_AT_ONCE = 800_000, 4, 5_000_000
 
 END = b""
 _RARE, _START, _SHORT, _NONE = 1 << 62, 1 << 61, 1 << 33, -1
@@ -116,70 +119,97 @@ def _looked_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, keys[at] == wanted
 
 
-def tested(context: np.ndarray, n: np.ndarray, totals: np.ndarray, expected: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(stays, rest) of each context, from its next words' (context, count, probability in the suffix) rows.
+def judged(k: np.ndarray, held: np.ndarray, seen: np.ndarray, gain: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stays, rest) of each context from sums over its next words: how many, their counts, their probabilities in the suffix,
+    and count times logarithm of share over that probability.
 
     A context stays if twice its log-likelihood gain over its suffix exceeds what chance gives:
     k + 3 * sqrt(2 k) for k next words. The rest is the mass that it leaves to its suffix.
     """
-    size = len(totals)
-    k, held, seen = np.bincount(context, minlength=size), np.bincount(context, n, size), np.bincount(context, expected, size)
     whole, other = np.maximum(totals, 1), np.maximum(totals - held, 0)
-    share = n / whole[context]
-    gain = 2.0 * np.bincount(context, n * np.log(np.maximum(share, 1e-300) / np.maximum(expected, 1e-300)), size)
-    gain += 2 * np.where(other > 0, other * np.log(np.maximum(other / whole, 1e-300) / np.maximum(1 - seen, 1e-9)), 0)
+    gain = 2.0 * gain + 2 * np.where(other > 0, other * np.log(np.maximum(other / whole, 1e-300) / np.maximum(1 - seen, 1e-9)), 0)
     stays = (totals >= LEAST_CONTEXT) & (k > 0) & (gain > k + 3 * np.sqrt(2 * np.maximum(k, 1)))
     return stays, np.where(stays, (DISCOUNT * k + other) / whole, 1.0)
 
 
+def tested(context: np.ndarray, n: np.ndarray, totals: np.ndarray, expected: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`judged` from next words' (context, count, probability in the suffix) rows."""
+    size = len(totals)
+    share = n / np.maximum(totals, 1)[context]
+    gain = np.bincount(context, n * np.log(np.maximum(share, 1e-300) / np.maximum(expected, 1e-300)), size)
+    return judged(np.bincount(context, minlength=size), np.bincount(context, n, size), np.bincount(context, expected, size), gain, totals)
+
+
+@dataclass
+class Facts:
+    """What tasks ask for: training counts of words outside the head, masses of (wide context, next word) that aren't held."""
+
+    words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    entries: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    mass: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+    @classmethod
+    def of(cls, kind: np.ndarray, key: np.ndarray, value: np.ndarray) -> Facts:
+        word = kind == _WORD
+        words, entries = np.argsort(key[word]), np.argsort(key[~word].view(np.uint64))
+        return cls(key[word][words], np.rint(value[word][words]).astype(np.int64), key[~word].view(np.uint64)[entries], value[~word][entries])
+
+
 @dataclass
 class WideLevel:
-    """The wide contexts of one length: hash, hash of the suffix, rest; hashes and masses of (context, next word)."""
+    """The wide contexts of one length: hash, whether it is a state, rest; hashes and masses of held (context, next word)."""
 
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    suffixes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    stays: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
     rest: np.ndarray = field(default_factory=lambda: np.ones(0))
     entries: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     mass: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
 
+def _mass_of(keys: np.ndarray, mass: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(mass, 0 where there is none; found) of entries."""
+    at, hit = _looked_up(keys, wanted)
+    return np.where(hit, mass[at] if len(mass) else 0.0, 0.0), hit
+
+
 @dataclass
 class Top:
-    """What all tasks hold of the tree: the head words, the root, the wide contexts."""
+    """What all tasks hold of the tree: the head words with their training counts, the root, the wide contexts.
+
+    ``whole_words`` and ``whole_entries`` tell that nothing exists beside what is held.
+    """
 
     words: list[bytes]  # by rank
     counts: np.ndarray
     total: int
     distinct: int
     levels: list[WideLevel]
+    whole_words: bool = True
+    whole_entries: bool = True
 
     def codes(self) -> Codes:
         return Codes(zip(self.words, range(len(self.words)), strict=True))
 
-    def root(self, code: np.ndarray) -> np.ndarray:
-        """Root probabilities; words outside the head get the most they can have."""
+    def trained(self, code: np.ndarray, facts: Facts) -> np.ndarray:
+        """Training counts of words; of those outside the head as the facts tell."""
         known = code < len(self.words)
-        least = int(self.counts[-1]) if len(self.counts) and self.distinct > len(self.counts) else 0
-        n = np.where(known, self.counts[np.where(known, code, 0)] if len(self.counts) else 0, least)
-        return (n + 1.0) / (self.total + self.distinct + 1.0)
-
-    def probability(self, depth: int, state: np.ndarray, code: np.ndarray) -> np.ndarray:
-        """Of next words after wide contexts of one length, given by their hashes."""
-        if not depth:
-            return self.root(code)
-        level = self.levels[depth - 1]
-        at, found = _looked_up(level.keys, state)
-        if not found.any():
-            return self.root(code)
-        e, hit = _looked_up(level.entries, entry_of(state, code))
-        return np.where(hit, level.mass[e] if len(level.mass) else 0.0, 0.0) + level.rest[at] * self.probability(depth - 1, level.suffixes[at], code)
-
-    def walked(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(words of the longest wide suffix, hash of the suffix one word longer, mass, rest) of each token: its probability
-        there is the mass and the rest times the root's."""
+        n = np.where(known, self.counts[np.where(known, code, 0)] if len(self.counts) else 0, 0)
+        if len(facts.words):
+            at, found = _looked_up(facts.words, code)
+            n = np.where(~known & found, facts.counts[at], n)
+        return n
+
+    def root(self, code: np.ndarray, facts: Facts) -> np.ndarray:
+        return (self.trained(code, facts) + 1.0) / (self.total + self.distinct + 1.0)
+
+    def walked(self, t: Tokens, facts: Facts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """(words of the longest wide suffix, hash of the suffix one word longer, mass, rest, lacking) of each token: its
+        probability there is the mass and the rest times the root's. ``lacking`` has tokens, and the entries they need,
+        that neither this nor the facts hold; where an entry is nowhere, its mass is 0."""
         size = len(t.code)
         depth, mass, rest, state = np.zeros(size, np.int64), np.zeros(size), np.ones(size), np.zeros(size, np.uint64)
-        longer = np.zeros(size, np.uint64)
+        longer, lacking = np.zeros(size, np.uint64), []
         for d, level in enumerate(self.levels, 1):
             state = folded(state, t.before[d - 1])
             open_here = (depth == d - 1) & (t.before[d - 1] != _NONE)
@@ -187,11 +217,18 @@ class Top:
             at, found = _looked_up(level.keys, state)
             found &= open_here
             if found.any():
-                e, hit = _looked_up(level.entries, entry_of(state, t.code))
-                own = np.where(found, level.rest[at], 1.0)
-                mass = np.where(found, np.where(hit, level.mass[e] if len(level.mass) else 0.0, 0.0) + own * mass, mass)
-                rest, depth = rest * own, np.where(found, d, depth)
-        return depth, longer, mass, rest
+                i = np.flatnonzero(found)
+                entry, own_rest = entry_of(state[i], t.code[i]), level.rest[at[i]]
+                own, hit = _mass_of(level.entries, level.mass, entry)
+                if not self.whole_entries:
+                    more, told = _mass_of(facts.entries, facts.mass, entry)
+                    own = np.where(hit, own, more)
+                    open_entry = level.stays[at[i]] & ~hit & ~told
+                    lacking.append((i[open_entry], entry[open_entry]))
+                mass[i] = own + own_rest * mass[i]
+                rest[i] *= own_rest
+                depth[i] = d
+        return depth, longer, mass, rest, lacking
 
 
 def grown(t: Tokens, training: np.ndarray, depth: np.ndarray, mass: np.ndarray, rest: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -228,26 +265,32 @@ def grown(t: Tokens, training: np.ndarray, depth: np.ndarray, mass: np.ndarray,
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all tokens of (doc_id, text) rows, the end as empty bytes."""
-    schema = arrow_of("word binary, n long")
+    """(word, n, m): training tokens and all tokens of (text, training) rows, the end as empty bytes."""
+    schema = arrow_of("word binary, n long, m long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        held: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for training, own in enumerate(held):
+                n = list(own.values())
+                yield rows_out(schema, [list(own), n if training else [0] * len(n), n])
+                own.clear()
+
         for batch in bounded(batches):
-            for text in batch.column("text").to_pylist():
-                held.update(tokens(text))
-            if len(held) > 600_000:
-                yield rows_out(schema, [list(held), list(held.values())])
-                held.clear()
-        yield rows_out(schema, [list(held), list(held.values())])
+            for text, training in zip(batch.column("text").to_pylist(), batch.column("training").to_pylist(), strict=True):
+                held[training].update(tokens(text))
+            if len(held[0]) + len(held[1]) > 600_000:
+                yield from given()
+        yield from given()
 
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text", "training").mapInArrow(run, "word binary, n long, m long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 def wide_counts(docs: DataFrame, top: Top, wide: np.ndarray) -> DataFrame:
-    """(depth, suffix, state, code, n): next words of contexts made of ``wide`` codes alone, in (doc_id, text) rows."""
+    """(depth, suffix, state, code, n, m): next words of contexts made of ``wide`` codes alone, in training and in all texts."""
     shipped = docs.sparkSession.sparkContext.broadcast((top, np.sort(wide)))
-    ddl = "depth int, suffix long, state long, code long, n long"
+    ddl = "depth int, suffix long, state long, code long, n long, m long"
     schema = arrow_of(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,62 +300,103 @@ def wide_counts(docs: DataFrame, top: Top, wide: np.ndarray) -> DataFrame:
         def summed() -> pa.RecordBatch:
             frame = pd.concat(held) if held else pd.DataFrame({c: [] for c in schema.names}, dtype="int64")
             held.clear()
-            frame = frame.groupby(["depth", "suffix", "state", "code"], as_index=False)["n"].sum()
+            frame = frame.groupby(["depth", "suffix", "state", "code"], as_index=False)[["n", "m"]].sum()
             return rows_out(schema, [frame[c].to_numpy(np.int64) for c in schema.names])
 
         with np.errstate(over="ignore"):
             for batch in bounded(batches):
                 t = Tokens.of([tokens(x) for x in batch.column("text").to_pylist()], codes)
+                training = np.array(batch.column("training").to_pylist(), bool)[t.doc]
                 inside, state = np.ones(len(t.code), bool), np.zeros(len(t.code), np.uint64)
                 for d in range(1, DEPTH + 1):
                     inside &= _looked_up(wide, t.before[d - 1])[1]
                     suffix, state = state, folded(state, t.before[d - 1])
                     at = np.flatnonzero(inside)
-                    _, first, count = np.unique(entry_of(state[at], t.code[at]), return_index=True, return_counts=True)
+                    _, first, same, count = np.unique(entry_of(state[at], t.code[at]), return_index=True, return_inverse=True, return_counts=True)
+                    own = np.bincount(same[training[at]], minlength=len(first))
                     at = at[first]
-                    held.append(pd.DataFrame({"depth": d, "suffix": suffix[at].view(np.int64), "state": state[at].view(np.int64), "code": t.code[at], "n": count}))
+                    held.append(pd.DataFrame({"depth": d, "suffix": suffix[at].view(np.int64), "state": state[at].view(np.int64), "code": t.code[at], "n": own, "m": count}))
                     n += len(at)
                 if n > 1_000_000:
                     yield summed()
                     n = 0
             yield summed()
 
-    return docs.select("text").mapInArrow(run, ddl).groupBy("depth", "suffix", "state", "code").agg(F.sum("n").alias("n"))
+    return docs.select("text", "training").mapInArrow(run, ddl).groupBy("depth", "suffix", "state", "code").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+
+def _codes_of(counts: DataFrame) -> DataFrame:
+    """(code, trained) of all words as if none were in the head; head words' codes are others and never asked for."""
+    return counts.select(rare_code(F.col("word")).alias("code"), F.col("n").alias("trained"))
 
 
-def planted(docs: DataFrame, counts: DataFrame) -> Top:
-    """The head words, the root and the wide contexts of (doc_id, text) training rows and their word counts.
+def planted(docs: DataFrame, counts: DataFrame) -> tuple[Top, DataFrame | None]:
+    """What all tasks hold, and (key, mass) of every next word of a wide context.
 
-    The driver gets HEAD words, at most WIDE_SHARE wide contexts of each length and at most
-    WIDE_NEXT next words of these, whatever the size of the corpus.
+    Wide contexts are judged level by level: each next word's probability in the suffix comes from
+    the root's counts, then from the level before. The driver gets HEAD words, at most WIDE_SHARE
+    wide contexts of each length, and ENTRIES_HELD next words of these, whatever the corpus's size.
     """
-    sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"), F.max(F.when(F.col("word") == F.lit(END), F.col("n"))).alias("docs")).first()
-    total, distinct, n_docs = sums["n"] or 0, sums["v"], sums["docs"] or 0
-    found = most_frequent(counts, HEAD, "word")
-    top = Top([bytes(w) for w in found["word"]], found["n"].to_numpy(np.int64), total, distinct, [WideLevel() for _ in range(DEPTH)])
-    least = max(min(total // WIDE_PART, WIDE_TOKENS), total // WIDE_SHARE)
-    wide = [i for i, (w, n) in enumerate(zip(top.words, top.counts.tolist(), strict=True)) if n > least and w != END] + ([_START] if n_docs > least else [])
+    sums = counts.agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.count_if(F.col("n") > 0).alias("v"), F.count(F.lit(1)).alias("words"), F.max(F.when(F.col("word") == F.lit(END), F.col("m"))).alias("docs")).first()
+    total, every, n_docs = sums["n"] or 0, sums["m"] or 0, sums["docs"] or 0
+    found = most_frequent(counts.select("word", F.col("m").alias("n"), F.col("n").alias("trained")), HEAD, "word")
+    top = Top([bytes(w) for w in found["word"]], found["trained"].to_numpy(np.int64), total, sums["v"], [WideLevel() for _ in range(DEPTH)], sums["words"] == len(found))
+    least = max(min(every // WIDE_PART, WIDE_TOKENS), every // WIDE_SHARE)
+    wide = [i for i, (w, n) in enumerate(zip(top.words, found["n"].tolist(), strict=True)) if n > least and w != END] + ([_START] if n_docs > least else [])
     if not wide:
-        return top
+        return top, None
+    spark, shipped = docs.sparkSession, docs.sparkSession.sparkContext.broadcast(top)
     counted = scratch(wide_counts(docs, top, np.array(wide, np.int64)), "wide")
-    totals = counted.groupBy("depth", "suffix", "state").agg(F.sum("n").alias("total")).filter(F.col("total") > least)
-    contexts = totals.toPandas()
-    nexts = counted.filter(F.col("n") >= max(LEAST_NEXT, total // WIDE_NEXT)).join(totals.select("depth", "state"), ["depth", "state"], "left_semi").select("depth", "state", "code", "n").toPandas()
-    discard(counted)
+    contexts = counted.groupBy("depth", "state").agg(F.sum("n").alias("total"), F.sum("m").alias("m")).filter(F.col("m") > least).toPandas()
+    of_wide = F.broadcast(spark.createDataFrame([(int(d), int(s), int(n)) for d, s, n in zip(contexts["depth"], contexts["state"], contexts["total"], strict=True)], "depth int, state long, total long"))
+    nexts = counted.filter(F.col("n") >= LEAST_NEXT).drop("m").join(of_wide, ["depth", "state"])
+    level_ddl = "suffix long, state long, code long, n long, total long, expected double"
+    schema = arrow_of(level_ddl)
+
+    def at_root(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            code, told = b.column("code").to_numpy(), b.column("trained").fill_null(0).to_numpy()
+            n = np.where(code < len(shipped.value.words), shipped.value.trained(code, Facts()), told)
+            yield rows_out(schema, [*(b.column(c) for c in schema.names[:5]), (n + 1.0) / (total + shipped.value.distinct + 1.0)])
+
+    used, entries, before = [counted], [], None
     for d in range(1, DEPTH + 1):
-        own = contexts[contexts["depth"] == d].assign(key=lambda x: x["state"].to_numpy(np.int64).view(np.uint64)).sort_values("key")
-        keys, sums = own["key"].to_numpy(np.uint64), own["total"].to_numpy(np.int64)
-        rows = nexts[nexts["depth"] == d]
-        state, code, n = rows["state"].to_numpy(np.int64).view(np.uint64), rows["code"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
-        place, suffixes = _looked_up(keys, state)[0], own["suffix"].to_numpy(np.int64).view(np.uint64)
+        rows = nexts.filter(F.col("depth") == d).drop("depth")
+        if before is None:
+            rows = rows.join(_codes_of(counts), "code", "left").select(*schema.names[:5], "trained").mapInArrow(at_root, level_ddl)
+        else:
+            rows = rows.join(before, ["suffix", "code"])
+        level = scratch(rows.select(*schema.names), "level")
+        used.append(level)
+        gain = F.col("n") * F.log(F.greatest(F.col("n") / F.col("total"), F.lit(1e-300)) / F.greatest("expected", F.lit(1e-300)))
+        seen = level.groupBy("state").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("held"), F.sum("expected").alias("seen"), F.sum(gain).alias("gain")).toPandas()
+        own = contexts[contexts["depth"] == d].merge(seen, "left", "state").fillna(0).assign(key=lambda x: x["state"].to_numpy(np.int64).view(np.uint64)).sort_values("key")
+        stays, rest = judged(*(own[c].to_numpy(np.float64) for c in ("k", "held", "seen", "gain")), own["total"].to_numpy(np.int64))
+        top.levels[d - 1] = WideLevel(own["key"].to_numpy(np.uint64), stays, rest)
+        verdicts = F.broadcast(spark.createDataFrame([(int(s), bool(y), float(r)) for s, y, r in zip(own["state"], stays, rest, strict=True)], "state long, stays boolean, rest double"))
+        mass = F.when(F.col("stays"), (F.col("n") - DISCOUNT) / F.col("total")).otherwise(0.0)
+        judged_rows = level.join(verdicts, "state").select("state", "code", "n", "stays", mass.alias("mass"), (mass + F.col("rest") * F.col("expected")).alias("expected"))
+        before = judged_rows.select(F.col("state").alias("suffix"), "code", "expected")
+        entries.append(judged_rows.filter("stays").select(F.lit(d).alias("depth"), "state", "code", "n", "mass"))
+    entry_schema = arrow_of("depth int, key long, n long, mass double")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            stays, rest = tested(place, n, sums, top.probability(d - 1, suffixes[place] if len(place) else state, code))
-            inside = stays[place] if len(place) else np.zeros(0, bool)
-            entries = entry_of(state[inside], code[inside])
-        order = np.argsort(entries)
-        mass = (n[inside] - DISCOUNT) / sums[place[inside]] if len(place) else np.zeros(0)
-        top.levels[d - 1] = WideLevel(keys, suffixes, rest, entries[order], mass[order])
-    return top
+            for b in batches:
+                key = entry_of(b.column("state").to_numpy().view(np.uint64), b.column("code").to_numpy()).view(np.int64)
+                yield rows_out(entry_schema, [b.column("depth"), key, b.column("n"), b.column("mass")])
+
+    listed = entries[0]
+    for more in entries[1:]:
+        listed = listed.union(more)
+    listed = scratch(listed.mapInArrow(keyed, "depth int, key long, n long, mass double"), "entries")
+    discard(*used)
+    held = most_frequent(listed, ENTRIES_HELD, "key")
+    top.whole_entries = listed.count() == len(held)
+    for d, level in enumerate(top.levels, 1):
+        own = held[held["depth"] == d].assign(key=lambda x: x["key"].to_numpy(np.int64).view(np.uint64)).sort_values("key")
+        level.entries, level.mass = own["key"].to_numpy(np.uint64), own["mass"].to_numpy(np.float64)
+    return top, listed.select("key", "mass")
 
 
 def _planes(column: np.ndarray) -> bytes:
@@ -348,53 +432,37 @@ def unpacked(data: bytes) -> tuple[Tokens, np.ndarray]:
     return Tokens(np.cumsum(doc, dtype=np.int64), code, [newest[first], *before]), _column(raw, at, size, np.bool_)[0]
 
 
-_ADJUST = "array<struct<at:int,code:long,mass:double,rest:double>>"
-
-
-def _sums(top: Top, t: Tokens, mass: np.ndarray, rest: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sum by text, tokens to adjust): logarithms of tokens in the tree over what the root gives to words outside the
-    head, which isn't known here. Such words with mass of their own are left to be adjusted once it is."""
-    rare = t.code >= _RARE
-    later = rare & (mass > 0)
-    value = np.where(rare, rest, mass + rest * top.root(t.code))
-    return np.bincount(t.doc, np.where(later, 0.0, np.log10(np.maximum(value, 1e-300))), n_docs), np.flatnonzero(later)
-
-
-def _adjustments(t: Tokens, later: np.ndarray, mass: np.ndarray, rest: np.ndarray) -> list[dict]:
-    return [{"at": d, "code": c, "mass": m, "rest": r} for d, c, m, r in zip(*(x[later].tolist() for x in (t.doc, t.code, mass, rest)), strict=True)]
+def dealt(source: DataFrame, top, shards: int, bins: int) -> DataFrame:
+    """One row a text (its base sums and what wide contexts settle) and one a shard and batch (its tokens), with their bin.
 
-
-def dealt(source: DataFrame, top, shards: int) -> DataFrame:
-    """One row a text (its base sums and what wide contexts settle) and one a shard and batch (its tokens), by shard."""
-    ddl = f"shard int, row long, doc_id {type_of(source, 'doc_id')}, n_tokens long, n_known long, base double, part double, others array<struct<code:long,times:int>>, adjust {_ADJUST}, tokens binary"
+    A token is settled if its longest suffix is wide and nothing about it must be asked for. Others
+    go to the shard of the suffix one word longer; those without such a suffix to that of their word.
+    """
+    ddl = f"bin int, shard int, row long, doc_id {type_of(source, 'doc_id')}, n_tokens long, n_known long, base double, part double, tokens binary"
     schema = arrow_of(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        held, row = top.value, TaskContext.get().partitionId() << 40
+        held, row, none = top.value, TaskContext.get().partitionId() << 40, Facts()
         codes = held.codes()
         with np.errstate(over="ignore"):
             for batch in bounded(batches, limit=BYTES_AT_ONCE):
                 t = Tokens.of([tokens(x) for x in batch.column("text").to_pylist()], codes)
                 size, rare = batch.num_rows, t.code >= _RARE
                 training = np.array(batch.column("training").to_pylist(), bool)[t.doc]
-                depth, longer, mass, rest = held.walked(t)
-                settled = (depth == DEPTH) | (np.stack([*t.before, t.before[-1]])[depth, np.arange(len(depth))] == _NONE)
-                own = Tokens(t.doc[settled], t.code[settled], [])
-                part, later = _sums(held, own, mass[settled], rest[settled], size)
-                others: list[list] = [[] for _ in range(size)]
-                pairs, times = np.unique(np.stack([t.doc[rare], t.code[rare]]), axis=1, return_counts=True) if rare.any() else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-                for d, c, n in zip(*pairs.tolist(), times.tolist(), strict=True):
-                    others[d].append({"code": c, "times": n})
-                known = np.bincount(t.doc, ~rare, size).astype(np.int64)
-                base = np.bincount(t.doc, np.where(rare, 0.0, np.log10(held.root(t.code))), size)
-                adjust: list[list] = [[] for _ in range(size)]
-                for a in _adjustments(own, later, mass[settled], rest[settled]):
-                    adjust[a["at"]].append(a | {"at": 0})
+                depth, longer, mass, rest, lacking = held.walked(t, none)
+                ends = (depth == DEPTH) | (np.stack([*t.before, t.before[-1]])[depth, np.arange(len(depth))] == _NONE)
+                asks = rare.copy()
+                for at, _ in lacking:
+                    asks[at] = True
+                settled, root = ends & ~asks, held.root(t.code, none)
+                part = np.bincount(t.doc[settled], np.log10(np.maximum(mass + rest * root, 1e-300))[settled], size)
+                base = np.bincount(t.doc, np.where(rare, 0.0, np.log10(root)), size)
+                known = np.bincount(t.doc, ~rare & (held.trained(t.code, none) > 0), size).astype(np.int64)
                 rows = np.arange(row, row + size)
-                yield rows_out(schema, [rows % shards, rows, batch.column("doc_id"), np.bincount(t.doc, minlength=size), known, base, part, others, adjust, [None] * size])
-                shard = (longer % np.uint64(shards)).astype(np.int64)
+                yield rows_out(schema, [rows % bins, [None] * size, rows, batch.column("doc_id"), np.bincount(t.doc, minlength=size), known, base, part, [None] * size])
+                shard = (np.where(ends, mixed(t.code.astype(np.uint64)), longer) % np.uint64(shards)).astype(np.int64)
                 order = np.flatnonzero(~settled)
                 order = order[np.argsort(shard[order], kind="stable")]
                 cuts = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -402,86 +470,101 @@ def dealt(source: DataFrame, top, shards: int) -> DataFrame:
                 blobs = []
                 for at in (order[cuts[s] : cuts[s + 1]] for s in used.tolist()):
                     blobs.append(packed(Tokens(t.doc[at], t.code[at], [shortened(b[at]) for b in t.before]), training[at]))
-                yield rows_out(schema, [used, [row] * len(used), *([None] * len(used),) * 7, blobs])
+                yield rows_out(schema, [used % bins, used, [row] * len(used), *([None] * len(used),) * 5, blobs])
                 row += size
 
     return source.mapInArrow(run, ddl)
 
 
-def answered(parts: DataFrame, top, shards: int) -> DataFrame:
-    """The rows of :func:`dealt` for texts as they are, and the sums in the tree of the texts of each batch.
+_FACT = "bin int, kind int, key long"
+_WORD, _ENTRY = 0, 1
 
-    A task takes some shards one after the other, each about SHARD_TOKENS tokens, and adds up their
-    sums by text; it gives them away when it holds many, and at its end.
-    """
-    columns = [c for c in parts.columns if c not in ("shard", "tokens")]
-    ddl = ", ".join(f"{c} {type_of(parts, c)}" for c in columns) + ", places binary, sums binary"
-    schema = arrow_of(ddl)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, blobs, now, added = top.value, [], None, []
+def asked(parts: DataFrame, top) -> DataFrame:
+    """(bin, kind, key): words outside the head, and entries that aren't held, of each bin's tokens."""
+    schema = arrow_of(_FACT)
 
-        def batch_of(values: dict[str, list]) -> pa.RecordBatch:
-            none = [None] * len(values["row"])
-            return rows_out(schema, [values.get(c, none) for c in schema.names])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, keys = top.value, {}
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for own, blob in zip(batch.column("bin").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                    if blob is None:
+                        continue
+                    t, _ = unpacked(blob)
+                    if not held.whole_words:
+                        keys.setdefault((own, _WORD), []).append(np.unique(t.code[t.code >= _RARE]))
+                    if not held.whole_entries:
+                        keys.setdefault((own, _ENTRY), []).extend(np.unique(e).view(np.int64) for _, e in held.walked(t, Facts())[4])
+        for (own, kind), found in keys.items():
+            key = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            yield rows_out(schema, [np.full(len(key), own), np.full(len(key), kind), key])
+
+    return parts.mapInArrow(run, _FACT)
+
+
+def answered(parts: DataFrame, facts: DataFrame, top) -> DataFrame:
+    """The rows of :func:`dealt` for texts as they are, and the sums in the tree of each batch's texts.
+
+    A bin's facts come with its tokens. Its shards, each about SHARD_TOKENS tokens, are taken one
+    after the other, and their sums by text added up.
+    """
+    columns = ["row", "doc_id", "n_tokens", "n_known", "base", "part"]
+    ddl = ", ".join(f"{c} {type_of(parts, c)}" for c in columns) + ", places binary, sums binary, bases binary, knowns binary"
+    schema = arrow_of(ddl)
 
-        def scored() -> pa.RecordBatch | None:
-            """Takes the shard's tokens and adds their texts' sums to what is held; words to adjust leave at once."""
-            starts = np.array([r for r, _ in blobs])
-            read = [unpacked(b) for _, b in blobs]
-            blobs.clear()
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = top.value
+        told = Facts.of(*(right.column(c).to_numpy() for c in ("kind", "key", "value")))
+        texts = left.filter(pc.is_null(left.column("tokens"))).select(columns)
+        tokens_of = left.filter(pc.is_valid(left.column("tokens"))).select(["shard", "row", "tokens"]).sort_by("shard")
+        shard = tokens_of.column("shard").to_numpy()
+        added: list[tuple[np.ndarray, ...]] = []
+        cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=-1)).tolist() if len(shard) else [0]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            own = tokens_of.slice(a, b - a)
+            starts = own.column("row").to_numpy()
+            read = [unpacked(x) for x in own.column("tokens").to_pylist()]
             number = np.repeat(np.arange(len(starts)), [len(t.code) for t, _ in read])
             training = np.concatenate([x for _, x in read])
             t = Tokens(number << 32 | np.concatenate([t.doc for t, _ in read]), np.concatenate([t.code for t, _ in read]), [np.concatenate([t.before[k] for t, _ in read]) for k in range(DEPTH)])
-            read.clear()
+            del read
             with np.errstate(over="ignore"):
-                depth, _, mass, rest = held.walked(t)
-                mass, rest, _ = grown(t, training, depth, mass, rest, held.root(t.code))
-            texts, t.doc = np.unique(t.doc, return_inverse=True)
-            sums, later = _sums(held, t, mass, rest, len(texts))
-            first, place = starts[texts >> 32], texts & 0xFFFFFFFF
-            added.append((first, place, sums))
-            found = _adjustments(t, later, mass, rest)
-            return batch_of({"row": [int(first[a["at"]]) for a in found], "adjust": [[a | {"at": int(place[a["at"]])}] for a in found]}) if found else None
-
-        def given() -> pa.RecordBatch:
-            first, place, sums = (np.concatenate(x) for x in zip(*added, strict=True))
-            added.clear()
-            texts, at = np.unique(np.stack([first, place]), axis=1, return_inverse=True)
-            sums = np.bincount(at.reshape(-1), sums).astype("<f4")
-            rows, cuts = np.unique(texts[0], return_index=True)
-            ends = [*cuts[1:].tolist(), len(sums)]
-            places = [_planes(texts[1, a:b].astype("<i4")) for a, b in zip(cuts.tolist(), ends, strict=True)]
-            return batch_of({"row": rows.tolist(), "places": places, "sums": [sums[a:b].tobytes() for a, b in zip(cuts.tolist(), ends, strict=True)]})
-
-        for batch in batches:
-            texts = batch.filter(pc.is_null(batch.column("tokens")))
-            if texts.num_rows:
-                yield rows_out(schema, [*(texts.column(c) for c in columns), *([None] * texts.num_rows,) * 2])
-            for s, r, b in zip(*(batch.column(c).to_pylist() for c in ("shard", "row", "tokens")), strict=True):
-                if b is None:
-                    continue
-                if s != now and blobs:
-                    if (late := scored()) is not None:
-                        yield late
-                    if sum(len(x) for x, _, _ in added) > SUMS_HELD:
-                        yield given()
-                now = s
-                blobs.append((r, b))
-        if blobs and (late := scored()) is not None:
-            yield late
+                depth, _, mass, rest, _ = held.walked(t, told)
+                root = held.root(t.code, told)
+                mass, rest, _ = grown(t, training, depth, mass, rest, root)
+            doc, place = np.unique(t.doc, return_inverse=True)
+            rare = t.code >= _RARE
+            sums = np.bincount(place, np.log10(np.maximum(mass + rest * root, 1e-300)), len(doc))
+            bases = np.bincount(place, np.where(rare, np.log10(root), 0.0), len(doc))
+            knowns = np.bincount(place, rare & (held.trained(t.code, told) > 0), len(doc))
+            added.append((starts[doc >> 32], doc & 0xFFFFFFFF, sums, bases, knowns))
+        out = [pa.Table.from_arrays([*texts.columns, *(pa.nulls(len(texts), pa.binary()),) * 4], schema=schema)]
         if added:
-            yield given()
+            first, place, sums, bases, knowns = (np.concatenate(x) for x in zip(*added, strict=True))
+            held_texts, at = np.unique(np.stack([first, place]), axis=1, return_inverse=True)
+            at = at.reshape(-1)
+            sums, bases, knowns = (np.bincount(at, x) for x in (sums, bases, knowns))
+            rows, begun = np.unique(held_texts[0], return_index=True)
+            spans = list(zip(begun.tolist(), [*begun[1:].tolist(), len(sums)], strict=True))
+            shown = lambda x, kind: [_planes(x[a:b].astype(kind)) if x[a:b].any() else None for a, b in spans]
+            places = [_planes(held_texts[1, a:b].astype("<i4")) for a, b in spans]
+            batch = rows_out(schema, [rows, *([None] * len(rows),) * 5, places, shown(sums, "<f8"), shown(bases, "<f8"), shown(knowns, "<i4")])
+            out.append(pa.Table.from_batches([batch]))
+        return pa.concat_tables(out)
 
-    return parts.repartition(max(1, shards // SHARDS_A_TASK), "shard").sortWithinPartitions("shard").mapInArrow(run, ddl)
+    return parts.groupBy("bin").cogroup(facts.groupBy("bin")).applyInArrow(run, ddl)
 
 
 def _merged(frame: pd.DataFrame) -> pd.DataFrame:
-    """Sums of one batch's texts over all tasks."""
-    places = np.concatenate([_column(np.frombuffer(b, np.uint8), 0, len(b) // 4, np.int32)[0] for b in frame["places"]])
-    total = np.bincount(places, np.concatenate([np.frombuffer(b, "<f4") for b in frame["sums"]]))
+    """Sums of one batch's texts over all bins."""
+    read = lambda b, kind: _column(np.frombuffer(b, np.uint8), 0, len(b) // np.dtype(kind).itemsize, kind)[0]
+    each = [read(b, np.int32) for b in frame["places"]]
+    places = np.concatenate(each)
+    values = [np.concatenate([np.zeros(len(p)) if b is None else read(b, kind) for p, b in zip(each, frame[c], strict=True)]) for c, kind in (("sums", "<f8"), ("bases", "<f8"), ("knowns", "<i4"))]
+    more, base, known = (np.bincount(places, v) for v in values)
     held = np.unique(places)
-    return pd.DataFrame({"row": frame["row"].iloc[0] + held, "more": total[held]})
+    return pd.DataFrame({"row": frame["row"].iloc[0] + held, "more": more[held], "more_base": base[held], "more_known": known[held].astype(np.int64)})
 
 
 def score_documents(docs: DataFrame, usable: Column, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -493,31 +576,26 @@ def score_documents(docs: DataFrame, usable: Column, *, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     source = whole_texts(docs, id_col, text_col).withColumn("training", F.coalesce(usable, F.lit(False)))
-    training = source.filter("training")
-    counts = scratch(word_counts(training), "words")
-    top = planted(training, counts)
+    counts = scratch(word_counts(source), "words")
+    top, entries = planted(source, counts)
     shipped = spark.sparkContext.broadcast(top)
     size = source.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-size // (6 * SHARD_TOKENS)))
-    found = scratch(answered(dealt(source, shipped, shards), shipped, shards), "scored")
+    bins = max(1, shards // SHARDS_A_TASK)
+    parts = dealt(source, shipped, shards, bins).repartition(bins, "bin")  # one shuffle: what is asked and what is answered both read it
+    if top.whole_words and top.whole_entries:
+        facts = spark.createDataFrame([], _FACT + ", value double")
+    else:
+        told = _codes_of(counts).select(F.lit(_WORD).alias("kind"), F.col("code").alias("key"), F.col("trained").cast("double").alias("value"))
+        told = told.union(entries.select(F.lit(_ENTRY), "key", "mass")) if entries is not None else told
+        facts = asked(parts, shipped).join(told, ["kind", "key"]).select("bin", "kind", "key", "value")
+    found = scratch(answered(parts, facts, shipped), "scored")
     texts = found.filter("n_tokens is not null")
-    inside = found.filter("sums is not null").select("row", "places", "sums").groupBy("row").applyInPandas(_merged, "row long, more double")
-    rare = texts.select("row", F.explode("others").alias("o")).select("row", "o.code", "o.times", F.lit(None).cast("double").alias("mass"), F.lit(None).cast("double").alias("rest"))
-    adjust = found.select("row", F.explode("adjust").alias("a")).select((F.col("row") + F.col("a.at")).alias("row"), "a.code", F.lit(None).cast("int").alias("times"), "a.mass", "a.rest")
-    root = (F.coalesce("n", F.lit(0)) + 1) / F.lit(float(top.total + top.distinct + 1))
-    joined = rare.unionByName(adjust).join(counts.select(rare_code(F.col("word")).alias("code"), "n"), "code", "left")
-    late = joined.groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(root)).alias("rare"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.log10(F.col("mass") + F.col("rest") * root) - F.log10(root)).alias("adjusted")
+    inside = found.filter("places is not null").select("row", "places", "sums", "bases", "knowns").groupBy("row").applyInPandas(_merged, "row long, more double, more_base double, more_known long")
+    some = lambda c: F.coalesce(c, F.lit(0))
+    return texts.join(inside, "row", "left").select(
+        "doc_id", "n_tokens", (F.col("n_known") + some("more_known")).alias("n_known"), F.lit(top.total).cast("long").alias("train_tokens"), (F.col("base") + some("more_base")).alias("base_score"), (F.col("part") + some("more")).alias("score")
     )
-    some = lambda c: F.coalesce(c, F.lit(0.0))
-    return texts.join(inside, "row", "left").join(late, "row", "left").select(
-        "doc_id",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(top.total).cast("long").alias("train_tokens"),
-        (F.col("base") + some("rare")).alias("base_score"),
-        (F.col("part") + some("more") + some("rare") + some("adjusted")).alias("score"),
-    )
 
 
 def training_rows(id_col: str = "doc_id") -> Column:

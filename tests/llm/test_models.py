@@ -217,23 +217,45 @@ def brute_tree(rows):
         states |= new
     score = lambda words: sum(math.log10(probability((contexts(words, i) or [()])[-1], x)) for i, x in enumerate(words))
     base = lambda words: sum(math.log10(root(x)) for x in words)
-    return [(i, len(w), sum(unigrams[x] > 0 for x in w), total, round(base(w), 4), round(score(w), 1)) for i, w in texts], len(states)
+    return [(i, len(w), sum(unigrams[x] > 0 for x in w), total, base(w), score(w)) for i, w in texts], len(states)
 
 
-@pytest.mark.parametrize(("head", "wide", "shard"), [(200_000, 1, 10**9), (200_000, 150, 3000), (40, 540, 3000)])
-def test_scores_equal_a_brute_force_tree(spark, docs, rows, monkeypatch, head, wide, shard):
-    """One shard; several, with wide contexts held by all tasks; most words joined instead of held."""
+@pytest.mark.parametrize(
+    ("head", "held", "wide", "shard"),
+    [(200_000, 400_000, 1, 10**9), (200_000, 400_000, 150, 3000), (40, 400_000, 540, 3000), (40, 0, 540, 3000), (0, 0, 150, 10**9), (25, 30, 60, 1000), (70, 200, 300, 2000)],
+)
+def test_scores_equal_a_brute_force_tree(spark, docs, rows, monkeypatch, head, held, wide, shard):
+    """One shard or several, wide contexts or none, any number of words and next words held: the same scores."""
     monkeypatch.setattr(suffixtree, "HEAD", head)
+    monkeypatch.setattr(suffixtree, "ENTRIES_HELD", held)
     monkeypatch.setattr(suffixtree, "WIDE_PART", wide)
     monkeypatch.setattr(suffixtree, "SHARD_TOKENS", shard)
-    monkeypatch.setattr(suffixtree, "SUMS_HELD", 50)
     got = suffixtree.score_documents(docs, F.coalesce(F.col("doc_id") % 7 != 2, F.lit(True))).collect()
     want, states = brute_tree([r[:2] for r in rows])
     assert states > 100
-    found = [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 1)) for r in got]
-    if head < 1000:  # what tests expect of words outside the head is an upper bound, so some states differ
-        found, want = ([x[:5] for x in y] for y in (found, want))
-    assert ordered(found) == ordered(want)
+    got, want = ordered([tuple(r) for r in got]), ordered(want)
+    assert [r[:4] for r in got] == [r[:4] for r in want]
+    for a, b in zip(got, want, strict=True):
+        assert a[4:] == pytest.approx(b[4:], rel=1e-12, abs=1e-6)
+
+
+def test_a_context_that_only_held_out_texts_have(spark, monkeypatch):
+    """It is wide by all tokens, so its tokens are dealt by longer suffixes, and it is no state."""
+    monkeypatch.setattr(suffixtree, "WIDE_PART", 10)
+    monkeypatch.setattr(suffixtree, "SHARD_TOKENS", 500)
+    rows = [(i, f"word{i % 7} stone river") for i in range(60)] + [(2 + 7 * i, " ".join(f"hot w{i}x{k}" for k in range(40))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    source = suffixtree.whole_texts(docs).withColumn("training", F.col("doc_id") % 7 != 2)
+    counts = source.sparkSession.createDataFrame(suffixtree.word_counts(source).collect(), "word binary, n long, m long")
+    top, _ = suffixtree.planted(source, counts)
+    assert len(top.levels[0].keys) and not top.levels[0].stays[np.searchsorted(top.levels[0].keys, suffixtree.folded(np.zeros(1, np.uint64), np.array([top.words.index(b"hot")])))].any()
+    parts = suffixtree.dealt(source, spark.sparkContext.broadcast(top), 50, 5).filter("tokens is not null").collect()
+    sizes = Counter()
+    for r in parts:
+        sizes[r.shard] += len(suffixtree.unpacked(bytes(r.tokens))[0].code)
+    assert max(sizes.values()) < sum(sizes.values()) / 4
+    got = suffixtree.score_documents(docs, F.col("doc_id") % 7 != 2).collect()
+    assert sorted(r.score for r in got) == pytest.approx(sorted(x[5] for x in brute_tree(rows)[0]), abs=1e-6)
 
 
 def test_scores_of_nothing(docs, none):
