@@ -32,6 +32,17 @@ def jvm_heap_mb(spark: SparkSession) -> float | None:
         return None
 
 
+def executor_peaks(spark: SparkSession) -> list[tuple[str, float | None]]:
+    """(executor, peak heap in MB) of the driver and every executor, as they last reported; nothing where that can't be read."""
+    try:
+        found = spark.sparkContext._jsc.sc().statusStore().executorList(False)  # noqa: SLF001
+        each = [found.apply(i) for i in range(found.size())]
+        peak = lambda e: e.peakMemoryMetrics().get().getMetricValue("JVMHeapMemory") / 1e6 if e.peakMemoryMetrics().isDefined() else None
+        return sorted((e.id(), peak(e)) for e in each)
+    except Exception:  # noqa: BLE001 - e.g. a remote session without a gateway
+        return []
+
+
 def capabilities(spark: SparkSession) -> list[tuple[str, str]]:
     conf = spark.conf
     return [("spark", spark.version), ("shuffle_partitions", conf.get("spark.sql.shuffle.partitions")), ("adaptive", conf.get("spark.sql.adaptive.enabled")), ("time_zone", conf.get("spark.sql.session.timeZone"))]
@@ -61,6 +72,7 @@ class Recorder:
         known = lambda v: UNKNOWN if v is None else str(v)
         rows = [("运行时能力", n, *[NOT_APPLICABLE] * 4, v) for n, v in capabilities(spark)]
         rows += [("阶段耗时", s.name, known(s.rows_in), known(s.rows_out), str(s.ms), known(s.memory_mb), s.note) for s in self.stages]
+        rows += [("执行器内存", name, *[NOT_APPLICABLE] * 3, known(None if peak is None else round(peak, 2)), "") for name, peak in executor_peaks(spark)]
         df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in DIAGNOSTICS_DISPLAY))
         return df.withColumn("note", cell_safe_note(F.col("note")))
 

@@ -11,20 +11,33 @@ from ..metrics import Recorder
 from ..model import (
     ERP_COMPARE_DISPLAY, LOOKUP_ERP_DISPLAY, LOOKUP_OA_DISPLAY, NO_RESULT, OA_COMPARE_DISPLAY, VARIANCE_DISPLAY, Direction, OutputKind, QueryFilters, QueryResult, QueryState, display,
 )
-from ..sinks import read_metadata
+from ..sinks import read_metadata, read_output, write_counted
 from . import detail, dept_summary, doc_compare, lookup, strict
 
 _log = logging.getLogger(__name__)
 
 
+_HEADERS = {OutputKind.VARIANCE: VARIANCE_DISPLAY, OutputKind.OA_COMPARE: OA_COMPARE_DISPLAY, OutputKind.ERP_COMPARE: ERP_COMPARE_DISPLAY}
+
+
+def _oa_first(kind: OutputKind, state: QueryState) -> bool:
+    return kind is OutputKind.OA_COMPARE or (kind is OutputKind.VARIANCE and state.direction is Direction.FORWARD)
+
+
 class ReconEngine:
     """Queries over one pair of sources. Results are lazy unless a message or a count is asked for.
 
     ``raw_oa`` and ``raw_erp`` (text columns) allow strict runs, which raise on cells they can't use.
+    ``source_rows``, as file footers tell it, spares counting the sources.
     """
 
-    def __init__(self, oa: DataFrame, erp: DataFrame, *, raw_oa: DataFrame | None = None, raw_erp: DataFrame | None = None):
-        self.oa, self.erp, self.raw = oa, erp, (raw_oa, raw_erp)
+    def __init__(self, oa: DataFrame, erp: DataFrame, *, raw_oa: DataFrame | None = None, raw_erp: DataFrame | None = None, source_rows: int | None = None):
+        self.oa, self.erp, self.raw, self._source_rows = oa, erp, (raw_oa, raw_erp), source_rows
+
+    def source_rows(self) -> int:
+        if self._source_rows is None:
+            self._source_rows = self.oa.count() + self.erp.count()
+        return self._source_rows
 
     def compare(self, kind: OutputKind, filters: QueryFilters | None = None) -> doc_compare.DocCompare:
         """P1 or P2; the direction has no say in either."""
@@ -37,27 +50,41 @@ class ReconEngine:
             return dept_summary.department_summary(self.oa, self.erp, state.direction, state.filters, ordered)
         return self.compare(kind, state.filters).summary(ordered)
 
+    def write(self, kind: OutputKind, path: str, state: QueryState | None = None, *, strict_cells: bool = False, fmt: str = "parquet") -> QueryResult:
+        """Run an output into its folder: rows are worked out, counted and written by one run, and stand there with their state.
+
+        With no rows the folder stays as it was and the result has the message. The result's rows are those written.
+        """
+        state = state or QueryState()
+        self._require_clean(kind, state, strict_cells)
+        n = write_counted(display(self.rows(kind, state), _HEADERS[kind]), path, kind, state, fmt)
+        counts = {"rows": n} | ({"source_rows": self._source_rows} if self._source_rows is not None else {})
+        if not n:
+            return QueryResult(None, NO_RESULT.format("OA" if _oa_first(kind, state) else "ERP"), counts)
+        return QueryResult(read_output(self.oa.sparkSession, path, fmt), "", counts)
+
+    def _require_clean(self, kind: OutputKind, state: QueryState, strict_cells: bool) -> None:
+        if not isinstance(kind, OutputKind):
+            raise ValueError(f"不支持的输出页类型：{kind}")
+        if strict_cells and None not in self.raw:
+            oa_first = _oa_first(kind, state)
+            strict.require_clean(*(self.raw if oa_first else self.raw[::-1]), state.filters, "OA" if oa_first else "ERP")
+
     def run(self, kind: OutputKind, state: QueryState | None = None, *, strict_cells: bool = False, count_materials: bool = False) -> QueryResult:
         """Rows under display names, or the message for an empty result, with row counts.
 
         The rows are kept until the caller calls ``release`` on the result, so they are worked out once.
         """
-        if not isinstance(kind, OutputKind):
-            raise ValueError(f"不支持的输出页类型：{kind}")
         state = state or QueryState()
-        oa_first = kind is OutputKind.OA_COMPARE or (kind is OutputKind.VARIANCE and state.direction is Direction.FORWARD)
-        if strict_cells and None not in self.raw:
-            raw = self.raw if oa_first else self.raw[::-1]
-            strict.require_clean(*raw, state.filters, "OA" if oa_first else "ERP")
+        self._require_clean(kind, state, strict_cells)
         rows = self.rows(kind, state).persist(StorageLevel.MEMORY_AND_DISK)  # counted here, read by the caller
-        counts = {"source_rows": self.oa.count() + self.erp.count(), "rows": rows.count()}
+        counts = {"source_rows": self.source_rows(), "rows": rows.count()}
         if not counts["rows"]:
             rows.unpersist()
-            return QueryResult(None, NO_RESULT.format("OA" if oa_first else "ERP"), counts)
+            return QueryResult(None, NO_RESULT.format("OA" if _oa_first(kind, state) else "ERP"), counts)
         if kind is not OutputKind.VARIANCE and count_materials:
             counts["material_rows"] = self.compare(kind, state.filters).materials(False).count()
-        headers = {OutputKind.VARIANCE: VARIANCE_DISPLAY, OutputKind.OA_COMPARE: OA_COMPARE_DISPLAY, OutputKind.ERP_COMPARE: ERP_COMPARE_DISPLAY}[kind]
-        return QueryResult(display(rows, headers), "", counts, rows)
+        return QueryResult(display(rows, _HEADERS[kind]), "", counts, rows)
 
     def expand(self, kind: OutputKind, doc_no: str, state: QueryState | None = None) -> DataFrame:
         """Item rows of one document of a compare, under its saved state."""

@@ -132,6 +132,33 @@ def read_table(spark: SparkSession, path: str, required: dict[str, str], *, name
         return picked(df, False), TableMeta(tuple(df.columns), "1", "full_read_fallback", str(e.args[0] if isinstance(e, LookupError) else e))
 
 
+def dimensions(spark: SparkSession, path: str) -> DataFrame:
+    """(file, n_rows, n_columns, n_bytes) of every Parquet file, from footers that tasks read; no row is.
+
+    Files that are no Parquet files have null rows and columns.
+    """
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    ddl = "file string, n_rows long, n_columns int, n_bytes long"
+
+    def footers(batches):
+        for batch in batches:
+            found = []
+            for file in batch.column("path").to_pylist():
+                store, at = fs.FileSystem.from_uri(file if "://" in file else "file://" + file.removeprefix("file:"))
+                try:
+                    with store.open_input_file(at) as f:
+                        meta = pq.read_metadata(f)
+                    found.append((meta.num_rows, len(meta.schema.to_arrow_schema())))
+                except pa.ArrowInvalid:
+                    found.append((None, None))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array([n for n, _ in found], pa.int64()), pa.array([c for _, c in found], pa.int32()), batch.column("length")], ["file", "n_rows", "n_columns", "n_bytes"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "length").mapInArrow(footers, ddl)
+
+
 def canonical(raw: DataFrame) -> DataFrame:
     """Typed canonical columns of a raw table: trimmed texts, dates, decimals; malformed cells are null.
 
@@ -151,4 +178,4 @@ def canonical(raw: DataFrame) -> DataFrame:
     return raw.select(*(columns[c].alias(c) for c in CANONICAL), "_ord", *(["row_label"] if "row_label" in kinds else []))
 
 
-__all__ = ["EmptyTableError", "TableMeta", "canonical", "find_header", "has_content", "matrix_frame", "parse_table", "read_full", "read_table"]
+__all__ = ["EmptyTableError", "TableMeta", "canonical", "dimensions", "find_header", "has_content", "matrix_frame", "parse_table", "read_full", "read_table"]

@@ -271,3 +271,105 @@ def test_stream_ingest(spark, tmp_path):
     raw(spark, [("F1", "Q1", "2026/5/1", *ORG, "M", "", "1,000", 1)]).select(*[c.split()[0] for c in RAW_DDL.split(", ")]).write.parquet(source)
     ingest(raw_stream(spark, source), target, str(tmp_path / "cp")).awaitTermination()
     assert [(r.doc_no, float(r.qty), r.ingested_month) for r in spark.read.parquet(target).collect()] == [("F1", 1000.0, "2026-05")]
+
+
+def test_a_write_that_is_cut_short_leaves_the_output_as_it_was(spark, tmp_path, monkeypatch):
+    """Killed after the old folder has moved and before the new one has: rows and state are still a pair."""
+    from ledgerloom import store
+    from ledgerloom.sinks import read_output
+
+    path, state = str(tmp_path / "out"), QueryState.parse({"company": "a"})
+    write_output(spark.range(2), path, OutputKind.VARIANCE, state)
+    rename = store.Store.rename
+
+    def killed(self, source, to):
+        if "__staged-" in source:
+            raise KeyboardInterrupt
+        rename(self, source, to)
+
+    monkeypatch.setattr(store.Store, "rename", killed)
+    monkeypatch.setattr(store.Store, "delete", lambda self, p: None)  # a dead process cleans nothing up
+    with pytest.raises(KeyboardInterrupt):
+        store.commit(spark, store.write_staged(spark.range(5), path), path, {"kind": OutputKind.VARIANCE.value})
+    monkeypatch.undo()
+    assert not store.Store(spark, path).exists(path)
+    assert read_output(spark, path).count() == 2 and read_metadata(spark, path) == (OutputKind.VARIANCE.value, state)
+    write_output(spark.range(7), path, OutputKind.VARIANCE)
+    assert read_output(spark, path).count() == 7 and read_metadata(spark, path) == (OutputKind.VARIANCE.value, QueryState())
+    assert not store.Store(spark, path).exists(path + "__old")
+    monkeypatch.setattr(store.Store, "rename", lambda self, a, b: (_ for _ in ()).throw(OSError("no")) if "__staged-" in a else rename(self, a, b))
+    with pytest.raises(OSError, match="no"):
+        write_output(spark.range(9), path, OutputKind.VARIANCE, state)
+    assert read_output(spark, path).count() == 7 and read_metadata(spark, path)[1] == QueryState()
+
+
+def test_failed_writes_are_tried_in_parts(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    from ledgerloom import store
+
+    save, tries = DataFrameWriter.save, []
+
+    def failing(n):
+        def run(self, *args, **kwargs):
+            tries.append(1)
+            if len(tries) in n:
+                raise RuntimeError(f"try {len(tries)}")
+            return save(self, *args, **kwargs)
+
+        return run
+
+    monkeypatch.setattr(DataFrameWriter, "save", failing({1}))
+    staged = store.write_staged(spark.range(100), str(tmp_path / "a"))
+    assert sorted(r.id for r in spark.read.parquet(staged).collect()) == list(range(100)) and len(tries) == 9
+    tries.clear()
+    monkeypatch.setattr(DataFrameWriter, "save", failing({1, 4}))
+    with pytest.raises(OSError, match="整块写入失败：.*try 1。分块写入失败：第 3 块 .*try 4"):
+        store.write_staged(spark.range(100), str(tmp_path / "b"))
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith("b")]
+
+
+def test_one_run_writes_and_counts(spark, tmp_path):
+    a = canonical(raw(spark, [("F1", "Q1", "2026/5/1", *ORG, "M", "", 1, 1), ("F2", "Q2", "2026/6/1", *ORG, "N", "", 1, 1)]))
+    b = canonical(raw(spark, [("Q1", "2026/5/1", "F1", *ORG, "M", "", 1, 1)], ERP_ORDER))
+    path, runs = str(tmp_path / "o"), spark._jsparkSession.sharedState().statusStore()
+    engine = ReconEngine(a, b, source_rows=3)
+    before = runs.executionsCount()
+    found = engine.write(OutputKind.OA_COMPARE, path)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert runs.executionsCount() - before == 1
+    assert found.row_counts == {"rows": 2, "source_rows": 3} and found.df.count() == 2
+    none = engine.write(OutputKind.OA_COMPARE, path, QueryState.parse({"company": "none"}))
+    assert none.df is None and none.message == "查询条件没有匹配到 OA 数据。" and none.row_counts["rows"] == 0
+    assert read_metadata(spark, path) == (OutputKind.OA_COMPARE.value, QueryState())
+
+
+def test_catalog_takes_over_older_names(spark, tmp_path):
+    from ledgerloom.sinks import setup_outputs
+
+    write_output(spark.range(2), str(tmp_path / "报废差异明细"), OutputKind.VARIANCE)
+    paths = setup_outputs(spark, str(tmp_path))
+    assert spark.read.parquet(paths[OutputKind.VARIANCE]).count() == 2
+    assert {p.name for p in tmp_path.iterdir()} == {"报废差异汇总", "OA视角单据对比", "ERP视角单据对比"}
+    write_output(spark.range(3), paths[OutputKind.OA_COMPARE], OutputKind.OA_COMPARE)
+    write_output(spark.range(3), str(tmp_path / "查询面板"), OutputKind.VARIANCE)
+    setup_outputs(spark, str(tmp_path))
+    assert spark.read.parquet(paths[OutputKind.VARIANCE]).count() == 2 and (tmp_path / "查询面板").exists()
+
+
+def test_dimensions_come_from_footers(spark, tmp_path):
+    from ledgerloom.sources.tables import dimensions
+
+    spark.range(40).withColumn("x", F.lit(1)).repartition(4).write.parquet(str(tmp_path / "t"))
+    (tmp_path / "t" / "broken.parquet").write_bytes(b"no")
+    found = dimensions(spark, str(tmp_path / "t")).collect()
+    good = [r for r in found if r.n_rows is not None]
+    assert len(found) == 5 and sum(r.n_rows for r in good) == 40 and {r.n_columns for r in good} == {2} and all(r.n_bytes > 0 for r in found)
+
+
+def test_diagnostics_name_every_executor(spark):
+    from ledgerloom.metrics import Recorder, executor_peaks
+
+    assert [name for name, _ in executor_peaks(spark)] == ["driver"]
+    rows = [r for r in Recorder(spark).frame(spark).collect() if r.category == "执行器内存"]
+    assert [r.stage for r in rows] == ["driver"]
