@@ -1,17 +1,21 @@
 """Near-duplicate classes by ProbMinHash.
 
-Each text becomes its distinct five-word shingles, all of weight 1 however often they occur, as
-links are tested on distinct shingles too. A shingle's points arrive as a Poisson process with its
-weight as rate, each point falls into a random register, a register keeps the earliest shingle, and
-a shingle stops as soon as its next point comes after every register's. Two texts agree in a
-register with their probability Jaccard similarity, which at equal weights is that of their sets.
-Registers are banded into buckets; pairs of a bucket whose registers agree often enough are compared
-exactly on their texts, and linked texts form classes.
+Each text becomes its distinct five-word shingles, weighted by how often they occur. A shingle's
+points arrive as a Poisson process with its weight as rate, each point falls into a random register,
+a register keeps the earliest shingle, and a shingle stops as soon as its next point comes after
+every register's. Two texts agree in a register with their probability Jaccard similarity. The same
+draws at equal rates give registers that agree with the Jaccard similarity of the sets; for a text
+whose shingles all occur equally often, both are the same registers. Texts are linked if either
+measure is high enough, so a copy that repeats a line a hundred times, and one that differs only
+in what is rare in it, both meet their originals. Registers are banded into buckets, with one key
+for each measure where they differ; pairs of a bucket whose registers agree often enough in either
+measure are compared exactly on their texts, and linked texts form classes.
 
 Only distinct texts are compared. A bucket's members are compared with its hub, the member that
 shares most buckets with others; texts of one class are not compared again. What is then left of
 a bucket with several classes is compared across classes: pair by pair in small buckets, in cells
-of bounded size in large ones. So buckets have no cap and no link between classes is lost.
+of bounded size in large ones, which compare the same pairs. So buckets have no cap, their size
+changes no result, and no link between classes is lost.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,6 +116,50 @@ def band_keys(registers: np.ndarray, bands: int) -> np.ndarray:
     return lanes.reshape(len(registers), bands * ROWS).view(np.int64)
 
 
+def uneven(doc: np.ndarray, weights: np.ndarray, n_docs: int) -> np.ndarray:
+    """Texts whose shingles don't all occur equally often."""
+    low, high = np.full(n_docs, np.iinfo(np.int64).max), np.zeros(n_docs, np.int64)
+    np.minimum.at(low, doc, weights)
+    np.maximum.at(high, doc, weights)
+    return low < high
+
+
+def probability_jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two weight vectors: the sum over what both have of 1 / sum of max(x_j / x_i, y_j / y_i), which register agreement
+    estimates. With places ordered by x / y, the inner sums are sums over what lies on either side."""
+    order = np.argsort(np.where(y > 0, x / np.maximum(y, 1e-300), np.inf), kind="stable")
+    x, y = x[order].astype(float), y[order].astype(float)
+    above = np.cumsum(x[::-1])[::-1]  # of x_j, from each place on
+    below = np.cumsum(y) - y
+    both = (x > 0) & (y > 0)
+    return float((1 / (above[both] / x[both] + below[both] / y[both])).sum())
+
+
+Shingled = tuple[np.ndarray, np.ndarray]
+
+
+def shingled(text: str, held: WordHashes) -> Shingled:
+    """(sorted hashes, counts) of a text's distinct shingles."""
+    doc, hashes, counts = weighted(*shingle_hashes([text.encode("utf-8", "replace")], held))
+    return hashes, counts
+
+
+def similar(one: Shingled, other: Shingled, similarity: float) -> bool:
+    """Whether two texts' shingles are that similar as sets, or by their probability Jaccard similarity."""
+    (h, n), (g, m) = one, other
+    common = len(np.intersect1d(h, g, assume_unique=True))
+    if not common:
+        return False
+    if common >= similarity * (len(h) + len(g) - common):
+        return True
+    if n.min() == n.max() and m.min() == m.max():  # the measures are the same
+        return False
+    every = np.union1d(h, g)
+    x, y = np.zeros(len(every)), np.zeros(len(every))
+    x[np.searchsorted(every, h)], y[np.searchsorted(every, g)] = n, m
+    return probability_jaccard(x, y) >= similarity - 1e-12
+
+
 def least_agreeing(similarity: float, registers: int) -> int:
     """Registers that agree for texts at ``similarity`` but in about one pair of ten thousand million."""
     return max(1, math.floor(registers * similarity - 6.5 * math.sqrt(registers * similarity * (1 - similarity))))
@@ -137,9 +186,10 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS) -> DataFrame:
-    """(row, nid, h, text_key, n, bands) of every row: a number for the row, its id, a hash and 128 bits of its
-    text, distinct shingles, band keys."""
-    ddl = "row long, nid long, h long, text_key binary, n int, bands array<long>"
+    """(row, nid, h, text_key, n, bands, weighted) of every row: a number for the row, its id, a hash and 128 bits of its
+    text, distinct shingles (negative if some occur more often than others), band keys at equal weights, and by counts
+    where those differ."""
+    ddl = "row long, nid long, h long, text_key binary, n int, bands array<long>, weighted array<long>"
     schema = arrow_of(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,11 +199,15 @@ def signatures(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         for batch in bounded(batches, limit=2_000_000):
             texts = [t.encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
             with np.errstate(over="ignore"):
-                doc, hashes, _ = weighted(*shingle_hashes(texts, held))
+                doc, hashes, counts = weighted(*shingle_hashes(texts, held))
                 keys = band_keys(probminhash(doc, hashes, np.ones(len(doc)), len(texts), bands * ROWS), bands)
+                differ = uneven(doc, counts, len(texts))
+                own, place = differ[doc], np.cumsum(differ) - 1
+                more = band_keys(probminhash(place[doc[own]], hashes[own], counts[own], int(differ.sum()), bands * ROWS), bands)
             n = np.bincount(doc, minlength=len(texts))
             texts_keys = [xxhash.xxh3_128_digest(t) for t in texts]
-            yield rows_out(schema, [np.arange(row, row + len(texts)), batch.column("nid"), batch.column("h"), texts_keys, n, [k if m else [] for k, m in zip(keys, n.tolist(), strict=True)]])
+            by_count = [more[k] if d else [] for k, d in zip(place.tolist(), differ.tolist(), strict=True)]
+            yield rows_out(schema, [np.arange(row, row + len(texts)), batch.column("nid"), batch.column("h"), texts_keys, np.where(differ, -n, n), [k if m else [] for k, m in zip(keys, n.tolist(), strict=True)], by_count])
             row += len(texts)
 
     return numbered(docs, id_col, text_col).mapInArrow(run, ddl)
@@ -164,42 +218,51 @@ def _pairs(left, right) -> list:
 
 
 def _may_reach(n, m, similarity: float):
-    """Sets of such sizes can be as similar as that."""
-    return F.least(n, m) >= similarity * F.greatest(n, m)
+    """Sets of such sizes can be as similar as that; where shingles occur unequally often, sizes tell nothing."""
+    return (n < 0) | (m < 0) | (F.least(n, m) >= similarity * F.greatest(n, m))
+
+
+def _registers(batch: pa.RecordBatch, side: str) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (rows x bands) at equal weights and by counts, from list columns."""
+    bands, by_count = batch.column(f"bands{side}"), batch.column(f"weighted{side}")
+    even = bands.flatten().to_numpy().reshape(batch.num_rows, -1)
+    own = pc.list_value_length(by_count).to_numpy(zero_copy_only=False) > 0
+    out = even.copy()
+    if own.any():
+        out[own] = by_count.flatten().to_numpy().reshape(int(own.sum()), -1)
+    return even, out
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The (a, b) rows of ``pairs`` whose registers, from (nid, bands), agree often enough for that similarity."""
-    left, right = (nodes.select(F.col("nid").alias(c), F.col("bands").alias(f"bands_{c}")) for c in "ab")
+    """The (a, b) rows of ``pairs`` whose registers, from (nid, bands, weighted), agree often enough for that similarity in
+    one of both measures."""
+    left, right = (nodes.select(F.col("nid").alias(c), F.col("bands").alias(f"bands_{c}"), F.col("weighted").alias(f"weighted_{c}")) for c in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                one, other = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in ("bands_a", "bands_b"))
-                yield batch.select(["a", "b"]).filter(pa.array(agreeing(one, other) >= least_agreeing(similarity, one.shape[1] * ROWS)))
+                one, other = _registers(batch, "_a"), _registers(batch, "_b")
+                found = np.maximum(agreeing(one[0], other[0]), agreeing(one[1], other[1]))
+                yield batch.select(["a", "b"]).filter(pa.array(found >= least_agreeing(similarity, one[0].shape[1] * ROWS)))
 
     return pairs.join(right, "b").join(left, "a").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The (a, b) rows of ``pairs`` whose texts, from (nid, text), share at least that part of their distinct shingles."""
+    """The (a, b) rows of ``pairs`` whose texts, from (nid, text), are :func:`similar`."""
     left, right = (texts.select(F.col("nid").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     ddl = "a long, b long"
     schema = arrow_of(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = WordHashes()
-        last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
-        shingles = lambda t: np.unique(shingle_hashes([t.encode("utf-8", "replace")], held)[1])
+        held, last, own = WordHashes(), None, None
         with np.errstate(over="ignore"):
             for batch in bounded(batches, "text_a"):
                 found = []
                 for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-                    if last[0] != a:
-                        last = a, shingles(x)
-                    other = shingles(y)
-                    common = len(np.intersect1d(last[1], other, assume_unique=True))
-                    if common and common >= similarity * (len(last[1]) + len(other) - common):
+                    if own is None or last != a:
+                        last, own = a, shingled(x, held)
+                    if similar(own, shingled(y, held), similarity):
                         found.append((a, b))
                 yield rows_out(schema, [[a for a, _ in found], [b for _, b in found]])
 
@@ -263,7 +326,8 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """(nid, class_id) of every row: the least id of the texts linked to its text, itself if there are none.
 
     Texts are linked if they are equal or share ``similarity`` of their distinct five-word
-    shingles (white-space words as they are). Texts of one to four words are one shingle; texts
+    shingles (white-space words as they are), or if the probability Jaccard similarity of their
+    shingles' counts is that high. Texts of one to four words are one shingle; texts
     without words, null ones among them, are only copies of equal texts. Rows without an id, or
     with one that is no whole number, get a number below all ids. Where one id stands over several
     texts, each of these counts by itself and speaks for its class under a number made from it.
@@ -276,7 +340,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     """(nid, h, class_id, first) of every row; ``first`` marks the rows of the text and id that stand for a class."""
     signed = scratch(signatures(docs, id_col=id_col, text_col=text_col), "signatures")
     texts_of = _nodes(signed)
-    single = signed.join(texts_of.select("row", "node"), "row").select(F.col("node").alias("nid"), F.col("nid").alias("own"), "h", "n", "bands")
+    single = signed.join(texts_of.select("row", "node"), "row").select(F.col("node").alias("nid"), F.col("nid").alias("own"), "h", "n", "bands", "weighted")
     nodes = scratch(single, "nodes")
     labels = _linked(nodes, numbered(docs, id_col, text_col), similarity)
     discard(nodes)
@@ -307,9 +371,10 @@ def _held(nodes: DataFrame) -> DataFrame:
     Buckets that hold more than one in HOT_SHARE of all rows, of which there can't be more than that
     many, are known to all tasks, so that their rows are dealt over SALTS tasks.
     """
-    rows = nodes.select("nid", "n", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "nid", "n")
+    keys = lambda c: F.transform(c, lambda key, band: F.xxhash64(band, key))
+    rows = nodes.select("nid", "n", F.explode(F.array_distinct(F.concat(keys("bands"), keys("weighted")))).alias("bucket")).select("bucket", "nid", "n")
     sizes = scratch(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes")
-    total = nodes.agg(F.sum(F.size("bands"))).first()[0] or 0
+    total = nodes.agg(F.sum(F.size("bands") + F.size("weighted"))).first()[0] or 0
     salts = F.when(F.col("size") > max(HOT_BUCKET, total // HOT_SHARE), SALTS).otherwise(1)
     heads = sizes.withColumn("salts", salts)
     hot = F.broadcast(heads.filter("salts > 1").select("bucket", F.lit(True).alias("hot")))
@@ -336,7 +401,7 @@ def _linked(nodes: DataFrame, source: DataFrame, similarity: float) -> DataFrame
     labels = extended(labels, links(left))
     big = held.filter(F.col("size") > SMALL_BUCKET)
     if not big.isEmpty():
-        labels = _joined_groups(_open_rows(big, labels), labels, popular, texts, similarity)
+        labels = _joined_groups(_open_rows(big, labels), labels, popular, nodes.select("nid", "bands", "weighted").join(texts, "nid"), similarity)
     discard(held, texts, tested, popular)
     return labels
 
@@ -352,8 +417,9 @@ def _joined_groups(rows: DataFrame, labels: DataFrame, popular: DataFrame, texts
     """``labels`` after the links that remain in large open buckets, which are taken together where they overlap.
 
     First the most shared texts of a group meet all others, which joins most of it; then every text
-    outside the group's largest class meets all texts of other classes. So no pair across classes
-    is left out, and the largest class is never compared with itself.
+    outside the group's largest class meets all texts of other classes. Of these, pairs that share
+    a bucket and are likely are compared, as in small buckets. So no pair across classes is left
+    out, and the largest class is never compared with itself.
     """
     rows = scratch(rows, "open")
     least = rows.groupBy("bucket", "salts").agg(F.min("nid").alias("b"))
@@ -376,13 +442,20 @@ def _joined_groups(rows: DataFrame, labels: DataFrame, popular: DataFrame, texts
     return labels
 
 
+def _shares_bucket(one: tuple[np.ndarray, np.ndarray], others: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which texts have a bucket in common with one text, whichever measure's keys meet."""
+    return np.logical_or.reduce([(x == y).any(1) for x in one for y in others])
+
+
 def compared_in_cells(left: DataFrame, right: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) links between the ``left`` and ``right`` texts (g, nid, n, label) of each group that have different labels.
+    """(a, b) links between the ``left`` and ``right`` texts (g, nid, n, label) of each group that have different labels, share
+    a bucket and are likely, from (nid, bands, weighted, text).
 
     Both sides are cut into blocks of about CELL texts, fewer if they are long; a task compares two
-    blocks, never holds more, and gives one link for any two labels.
+    blocks, never holds more, and stops comparing two labels once they are linked.
     """
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / CELL, F.sum("n") / CELL_SHINGLES)).cast("int")
+    size = F.abs("n")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / CELL, F.sum(size) / CELL_SHINGLES)).cast("int")
     sizes = left.groupBy("g").agg(blocks.alias("rows")).join(right.groupBy("g").agg(blocks.alias("columns")), "g")
     block = lambda count: F.pmod(F.xxhash64("nid"), F.col(count)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
@@ -390,34 +463,35 @@ def compared_in_cells(left: DataFrame, right: DataFrame, texts: DataFrame, simil
     b = right.join(sizes, "g").select("g", "nid", "label", block("columns").alias("j"), "rows").select("g", every("rows").alias("i"), "j", "nid", "label", F.lit(False).alias("is_left"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        held = WordHashes()
-        with np.errstate(over="ignore"):
-            doc, hashes, _ = weighted(*shingle_hashes([t.encode("utf-8", "replace") for t in frame["text"]], held))
-        nid, label, is_left = (frame[c].to_numpy() for c in ("nid", "label", "is_left"))
-        size = np.bincount(doc, minlength=len(nid))
+        even = np.stack([np.asarray(x, np.int64) for x in frame["bands"]])
+        by_count = np.stack([np.asarray(w if len(w) else x, np.int64) for w, x in zip(frame["weighted"], frame["bands"], strict=True)])
+        nid, label, is_left, text = (frame[c].to_numpy() for c in ("nid", "label", "is_left", "text"))
         rows, columns = np.flatnonzero(is_left), np.flatnonzero(~is_left)
-        common = shared_counts(doc, hashes, rows, columns, len(nid))
-        near = (common > 0) & (common >= similarity * (size[rows][:, None] + size[columns] - common)) & (label[rows][:, None] != label[columns])
-        x, y = (side[k] for side, k in zip((rows, columns), np.nonzero(near), strict=True))
-        found = pd.DataFrame({"a": np.minimum(nid[x], nid[y]), "b": np.maximum(nid[x], nid[y]), "x": np.minimum(label[x], label[y]), "y": np.maximum(label[x], label[y])})
-        return found.drop_duplicates(["x", "y"])[["a", "b"]]
+        least, held, known, up, found = least_agreeing(similarity, even.shape[1] * ROWS), WordHashes(), {}, {}, []
 
-    return a.union(b).join(texts, "nid").groupBy("g", "i", "j").applyInPandas(run, "a long, b long").distinct()
+        def top(x: int) -> int:
+            while (over := up.setdefault(x, x)) != x:
+                up[x] = x = up.setdefault(over, over)
+            return x
+
+        def own(i: int) -> Shingled:
+            if i not in known:
+                known[i] = shingled(text[i], held)
+            return known[i]
 
+        with np.errstate(over="ignore"):
+            for i in rows.tolist():
+                met = _shares_bucket((even[i], by_count[i]), (even[columns], by_count[columns])) & (label[columns] != label[i])
+                near = columns[met]
+                near = near[np.maximum(agreeing(even[i], even[near]), agreeing(by_count[i], by_count[near])) >= least]
+                for j in near.tolist():
+                    x, y = top(label[i]), top(label[j])
+                    if x != y and similar(own(i), own(j), similarity):
+                        up[x] = y
+                        found.append((min(nid[i], nid[j]), max(nid[i], nid[j])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
-def shared_counts(doc: np.ndarray, hashes: np.ndarray, rows: np.ndarray, columns: np.ndarray, n_docs: int) -> np.ndarray:
-    """How many shingles each text of ``rows`` shares with each of ``columns``, some thousand shingles at a time."""
-    _, shingle = np.unique(hashes, return_inverse=True)
-    order = np.argsort(shingle, kind="stable")
-    doc, shingle = doc[order], shingle[order]
-    out, step = np.zeros((len(rows), len(columns)), np.int64), 8192
-    last = int(shingle[-1]) + 1 if len(shingle) else 0
-    for start in range(0, last, step):
-        a, b = np.searchsorted(shingle, (start, start + step))
-        present = np.zeros((n_docs, min(step, last - start)), np.float32)
-        present[doc[a:b], shingle[a:b] - start] = 1
-        out += np.rint(present[rows] @ present[columns].T).astype(np.int64)
-    return out
+    return a.union(b).join(texts, "nid").groupBy("g", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

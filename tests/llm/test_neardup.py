@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -14,8 +14,19 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def brute(rows):
-    """The least id of each row's class, comparing all pairs."""
+def counted(text):
+    words = (text or "").split()
+    return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
+
+
+def probability(x, y):
+    """The probability Jaccard similarity by its definition."""
+    every = x.keys() | y.keys()
+    return sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in every) for i in x.keys() & y.keys())
+
+
+def brute(rows, by_count=True):
+    """The least id of each row's class, comparing all pairs; by sets alone or by both measures."""
     up = {}
 
     def top(x):
@@ -23,21 +34,29 @@ def brute(rows):
             x = up[x]
         return x
 
-    own = [(i, text or "", shingles(text)) for i, text in rows]
-    held = defaultdict(list)
-    for i, text, s in own:
+    own = [(i, text or "", shingles(text), counted(text)) for i, text in rows]
+    held, uneven = defaultdict(list), []
+    for i, text, s, n in own:
         top(i)
-        for j, other, o in held[len(s) // 40] + held[len(s) // 40 - 1] + held[len(s) // 40 + 1]:
-            if text == other or (s and o and len(s & o) >= 0.8 * len(s | o)):
+        odd = by_count and len(set(n.values())) > 1
+        near = [r for k in held.values() for r in k] if odd else held[len(s) // 40] + held[len(s) // 40 - 1] + held[len(s) // 40 + 1] + uneven
+        for j, other, o, m in near:
+            if text == other or (s and o and len(s & o) >= 0.8 * len(s | o)) or (s & o and (odd or len(set(m.values())) > 1) and by_count and probability(n, m) >= 0.8):
                 a, b = sorted((top(i), top(j)))
                 up[b] = a
-        held[len(s) // 40].append((i, text, s))
-    return {i: top(i) for i, _, _ in own}
+        held[len(s) // 40].append((i, text, s, n))
+        if odd:
+            uneven.append((i, text, s, n))
+    return {i: top(i) for i, _, _, _ in own}
+
+
+FOUND = {}
 
 
-@pytest.mark.parametrize("small", [neardup.SMALL_BUCKET, 2])
+@pytest.mark.parametrize("small", [neardup.SMALL_BUCKET, 2, 6])
 def test_classes_equal_all_pairs(spark, monkeypatch, small):
-    """Chains and stars of edited texts; once with every bucket taken for a large one."""
+    """Chains and stars of edited texts, some with lines that repeat; once with every bucket taken for a large one. The same
+    classes whatever counts as large."""
     monkeypatch.setattr(neardup, "SMALL_BUCKET", small)
     monkeypatch.setattr(neardup, "CELL", 8)
     monkeypatch.setattr(neardup, "HUBS", 2)
@@ -51,6 +70,9 @@ def test_classes_equal_all_pairs(spark, monkeypatch, small):
             if family % 2:
                 words = list(words)
             words[rng.randrange(90)] = rng.choice(vocabulary)
+    for family in range(6):
+        line, text = prose(rng, 30, vocabulary), prose(rng, 60, vocabulary)
+        rows += [(3000 + 10 * family + k, f"{line} " * (3 + k) + (text if k % 2 else prose(rng, 8 * k, vocabulary))) for k in range(8)]
     rows += [(2000 + i, t) for i, t in enumerate(["", "", None, "a b", "a b", "a b c", "a  b"])]
     got = {r.nid: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = brute(rows)
@@ -60,6 +82,27 @@ def test_classes_equal_all_pairs(spark, monkeypatch, small):
     for i, c in got.items():
         assert want[c] == want[i]  # never a link that isn't there
     assert len({got[i] for i, t in texts.items() if not (t or "")}) == 1
+    assert FOUND.setdefault("classes", got) == got
+
+
+def test_probability_jaccard_equals_its_definition():
+    rng = random.Random(8)
+    for _ in range(200):
+        x, y = ({k: rng.randint(1, 9) for k in range(12) if rng.random() < 0.7} for _ in range(2))
+        a, b = (np.array([v.get(k, 0) for k in range(12)], float) for v in (x, y))
+        assert neardup.probability_jaccard(a, b) == pytest.approx(probability(Counter(x), Counter(y)))
+
+
+def test_weights_count(spark):
+    """Texts that are alike in what they repeat, and differ in much that they say once, are linked by their counts alone."""
+    rng, rows, vocabulary = random.Random(31), [], [f"v{i}" for i in range(5000)]
+    for pair in range(20):
+        line = prose(rng, 40, vocabulary)
+        rows += [(2 * pair + k, f"{line} " * 30 + prose(rng, 40, vocabulary)) for k in range(2)]
+    rows += [(100 + k, prose(rng, 40, vocabulary)) for k in range(20)]
+    got = {r.nid: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) == {i: i - i % 2 if i < 40 else i for i, _ in rows}
+    assert all(v == k for k, v in brute(rows, by_count=False).items())
 
 
 def test_registers_estimate_probability_jaccard():
@@ -125,7 +168,7 @@ def test_copies_that_differ_in_how_often_a_line_repeats(spark):
         text, line = prose(rng, 304, vocabulary), prose(rng, 12, vocabulary)
         rows += [(2 * pair, text), (2 * pair + 1, text + f" {line}" * 200)]
     got = {r.nid: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {i: i - i % 2 for i in range(40)} == brute(rows)
+    assert got == {i: i - i % 2 for i in range(40)} == brute(rows) == brute(rows, by_count=False)
 
 
 def test_ids_that_clash_keep_their_texts(spark):
