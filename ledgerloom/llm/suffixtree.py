@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,7 @@ from .common import arrow_of, bounded, discard, id_fold, most_frequent, rows_out
 from .neardup import mixed
 
 #: Words, and next words of wide contexts, that tasks hold (speed only: the others are asked for).
-HEAD, ENTRIES_HELD = 200_000, 400_000
+HEAD, ENTRIES_HELD = 200_000, 500_000
 #: Words of the longest context.
 DEPTH = 3
 #: A context needs so many occurrences, a next word so many after it, to be considered.
@@ -45,9 +46,10 @@ LEAST_CONTEXT, LEAST_NEXT = 2, 2
 DISCOUNT = 0.75
 #: A context is wide if it takes more than one in WIDE_PART of all tokens, or more than WIDE_TOKENS, but always more
 #: than one in WIDE_SHARE (balance only, never results).
-WIDE_PART, WIDE_TOKENS, WIDE_SHARE = 450, 2_000_000, 20_000
-#: Tokens of a shard on average, shards that a task takes one after the other; bytes of text that a task lays out at a time.
-SHARD_TOKENS, SHARDS_A_TASK, BYTES_AT_ONCE = 800_000, 4, 5_000_000
+WIDE_PART, WIDE_TOKENS, WIDE_SHARE = 250, 2_000_000, 20_000
+#: Tokens of a shard on average, shards that a task takes one after the other; bytes of text that a task lays out at a time;
+#: keys that a task gathers before it drops repeated ones.
+SHARD_TOKENS, SHARDS_A_TASK, BYTES_AT_ONCE, KEYS_HELD = 700_000, 4, 4_000_000, 1_000_000
 
 END = b""
 _RARE, _START, _SHORT, _NONE = 1 << 62, 1 << 61, 1 << 33, -1
@@ -65,6 +67,16 @@ class Codes(dict):
     def __missing__(self, word: bytes) -> int:
         return xxhash.xxh64_intdigest(word, 42) >> 2 | _RARE
 
+    def of(self, words: list[bytes]) -> Iterator[int]:
+        return map(self.__getitem__, words)
+
+
+class Known(dict):
+    """Codes of some words alone; -2 stands for all others."""
+
+    def of(self, words: list[bytes]) -> Iterator[int]:
+        return map(self.get, words, repeat(-2))
+
 
 def rare_code(word: Column) -> Column:
     """The code of a word outside the head, as :class:`Codes` gives it."""
@@ -96,9 +108,9 @@ class Tokens:
     before: list[np.ndarray]
 
     @classmethod
-    def of(cls, words: list[list[bytes]], codes: Codes) -> Tokens:
+    def of(cls, words: list[list[bytes]], codes: Codes | Known) -> Tokens:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        code = np.concatenate([np.fromiter(map(codes.__getitem__, w), np.int64, len(w)) for w in words]) if len(words) else np.zeros(0, np.int64)
+        code = np.concatenate([np.fromiter(codes.of(w), np.int64, len(w)) for w in words]) if len(words) else np.zeros(0, np.int64)
         short = shortened(code)
         place = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         before = []
@@ -280,7 +292,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in bounded(batches):
             for text, training in zip(batch.column("text").to_pylist(), batch.column("training").to_pylist(), strict=True):
                 held[training].update(tokens(text))
-            if len(held[0]) + len(held[1]) > 600_000:
+            if len(held[0]) + len(held[1]) > 500_000:
                 yield from given()
         yield from given()
 
@@ -296,6 +308,7 @@ def wide_counts(docs: DataFrame, top: Top, wide: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top, wide = shipped.value
         codes, held, n = top.codes(), [], 0
+        known = Known({top.words[i]: i for i in wide.tolist() if i < len(top.words)})
 
         def summed() -> pa.RecordBatch:
             frame = pd.concat(held) if held else pd.DataFrame({c: [] for c in schema.names}, dtype="int64")
@@ -305,19 +318,21 @@ def wide_counts(docs: DataFrame, top: Top, wide: np.ndarray) -> DataFrame:
 
         with np.errstate(over="ignore"):
             for batch in bounded(batches):
-                t = Tokens.of([tokens(x) for x in batch.column("text").to_pylist()], codes)
+                words = [tokens(x) for x in batch.column("text").to_pylist()]
+                t = Tokens.of(words, known)
                 training = np.array(batch.column("training").to_pylist(), bool)[t.doc]
-                inside, state = np.ones(len(t.code), bool), np.zeros(len(t.code), np.uint64)
+                at = np.flatnonzero(_looked_up(wide, t.before[0])[1])
+                flat = list(chain.from_iterable(words))
+                code, state = np.fromiter(map(codes.__getitem__, map(flat.__getitem__, at.tolist())), np.int64, len(at)), np.zeros(len(at), np.uint64)
                 for d in range(1, DEPTH + 1):
-                    inside &= _looked_up(wide, t.before[d - 1])[1]
-                    suffix, state = state, folded(state, t.before[d - 1])
-                    at = np.flatnonzero(inside)
-                    _, first, same, count = np.unique(entry_of(state[at], t.code[at]), return_index=True, return_inverse=True, return_counts=True)
+                    inside = _looked_up(wide, t.before[d - 1][at])[1]
+                    at, code, suffix = at[inside], code[inside], state[inside]
+                    state = folded(suffix, t.before[d - 1][at])
+                    _, first, same, count = np.unique(entry_of(state, code), return_index=True, return_inverse=True, return_counts=True)
                     own = np.bincount(same[training[at]], minlength=len(first))
-                    at = at[first]
-                    held.append(pd.DataFrame({"depth": d, "suffix": suffix[at].view(np.int64), "state": state[at].view(np.int64), "code": t.code[at], "n": own, "m": count}))
-                    n += len(at)
-                if n > 1_000_000:
+                    held.append(pd.DataFrame({"depth": d, "suffix": suffix[first].view(np.int64), "state": state[first].view(np.int64), "code": code[first], "n": own, "m": count}))
+                    n += len(first)
+                if n > 600_000:
                     yield summed()
                     n = 0
             yield summed()
@@ -400,7 +415,7 @@ def planted(docs: DataFrame, counts: DataFrame) -> tuple[Top, DataFrame | None]:
 
 
 def _planes(column: np.ndarray) -> bytes:
-    return np.ascontiguousarray(column).view(np.uint8).reshape(len(column), -1).T.tobytes()
+    return np.ascontiguousarray(column).view(np.uint8).reshape(len(column), column.dtype.itemsize).T.tobytes()
 
 
 def _column(raw: np.ndarray, at: int, size: int, kind: type) -> tuple[np.ndarray, int]:
@@ -409,27 +424,42 @@ def _column(raw: np.ndarray, at: int, size: int, kind: type) -> tuple[np.ndarray
 
 
 def packed(t: Tokens, training: np.ndarray) -> bytes:
-    """Tokens of few texts, compressed: their words numbered from the most frequent, all numbers as planes of bytes."""
-    newest, first = np.unique(t.before[0], return_inverse=True)  # few, as these make the shard
-    words, number, times = np.unique(np.stack([t.code, *t.before[1:]]), return_inverse=True, return_counts=True)
-    order = np.argsort(-times, kind="stable")
-    place = np.empty(len(order), np.int32)
-    place[order] = np.arange(len(order))
-    head = np.array([len(newest), len(words), len(t.code)], "<i8").tobytes()
-    columns = [newest, words[order], first.astype(np.int32), place[number.reshape(-1)], np.diff(t.doc, prepend=0).astype(np.int32), training]
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(map(_planes, columns)))
+    """Tokens of few texts, compressed: ranks of head words as they are, what else stands for a word by its place in a list of
+    these, all numbers as planes of bytes."""
+    columns = np.stack([t.code, *t.before])
+    odd = (columns < 0) | (columns >= 1 << 31)
+    values, number = np.unique(columns[odd], return_inverse=True)
+    short = columns.astype(np.int32)
+    short[odd] = -1 - number
+    head = np.array([len(values), len(t.code)], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(map(_planes, (values, *short, np.diff(t.doc, prepend=0).astype(np.int32), training))))
+
+
+def _raw(data: bytes) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """The bytes, the listed values, where what follows them begins, and how many tokens there are."""
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    listed, size = np.frombuffer(raw[:16], "<i8").tolist()
+    values, at = _column(raw, 16, listed, np.int64)
+    return raw, values, at, size
 
 
 def unpacked(data: bytes) -> tuple[Tokens, np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    own, held, size = np.frombuffer(raw[:24], "<i8").tolist()
-    newest, at = _column(raw, 24, own, np.int64)
-    words, at = _column(raw, at, held, np.int64)
-    first, at = _column(raw, at, size, np.int32)
-    number, at = _column(raw, at, size * DEPTH, np.int32)
+    raw, values, at, size = _raw(data)
+    columns = []
+    for _ in range(DEPTH + 1):
+        short, at = _column(raw, at, size, np.int32)
+        own = short.astype(np.int64)
+        odd = np.flatnonzero(short < 0)
+        own[odd] = values[-1 - own[odd]]
+        columns.append(own)
     doc, at = _column(raw, at, size, np.int32)
-    code, *before = words[number].reshape(DEPTH, size)
-    return Tokens(np.cumsum(doc, dtype=np.int64), code, [newest[first], *before]), _column(raw, at, size, np.bool_)[0]
+    return Tokens(np.cumsum(doc, dtype=np.int64), columns[0], columns[1:]), _column(raw, at, size, np.bool_)[0]
+
+
+def rare_of(data: bytes) -> np.ndarray:
+    """Codes of words outside the head among packed tokens."""
+    values = _raw(data)[1]
+    return values[values >= _RARE]
 
 
 def dealt(source: DataFrame, top, shards: int, bins: int) -> DataFrame:
@@ -485,19 +515,24 @@ def asked(parts: DataFrame, top) -> DataFrame:
     schema = arrow_of(_FACT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, keys = top.value, {}
+        held, keys, n = top.value, {}, 0
         with np.errstate(over="ignore"):
             for batch in batches:
                 for own, blob in zip(batch.column("bin").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
                     if blob is None:
                         continue
-                    t, _ = unpacked(blob)
-                    if not held.whole_words:
-                        keys.setdefault((own, _WORD), []).append(np.unique(t.code[t.code >= _RARE]))
+                    found = {} if held.whole_words else {_WORD: rare_of(blob)}
                     if not held.whole_entries:
-                        keys.setdefault((own, _ENTRY), []).extend(np.unique(e).view(np.int64) for _, e in held.walked(t, Facts())[4])
+                        lacking = [e for _, e in held.walked(unpacked(blob)[0], Facts())[4]]
+                        found[_ENTRY] = np.unique(np.concatenate(lacking)).view(np.int64) if lacking else np.zeros(0, np.int64)
+                    for kind, key in found.items():
+                        keys.setdefault((own, kind), []).append(key)
+                        n += len(key)
+                    if n > KEYS_HELD:
+                        keys = {k: [np.unique(np.concatenate(v))] for k, v in keys.items()}
+                        n = 0
         for (own, kind), found in keys.items():
-            key = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+            key = np.unique(np.concatenate(found))
             yield rows_out(schema, [np.full(len(key), own), np.full(len(key), kind), key])
 
     return parts.mapInArrow(run, _FACT)
