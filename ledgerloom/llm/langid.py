@@ -1,5 +1,6 @@
 """Language identification of mixed-language text.
 
+White-space words are cut where their script changes, so texts without spaces are mixed text too.
 Script ranges narrow the candidate languages of a word, words score each candidate (by corpus
 counts, else by their character trigrams), and a Viterbi pass with a penalty for every switch
 labels spans. A document's language is the one whose spans hold most letters.
@@ -8,10 +9,12 @@ labels spans. A document's language is the one whose spans hold most letters.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +28,11 @@ UNKNOWN = "und"
 SWITCH_PENALTY = 6.0
 #: Documents the model is fitted on for each language at most (about), picked by a hash of their ids.
 TRAINING_DOCS = 10_000
-#: Words that the model keeps for a language, the most frequent ones.
-WORDS_A_LANGUAGE = 25_000
+#: Words that the model keeps for a language, the most frequent ones, and for all languages together (but LEAST_WORDS for
+#: each); other words are scored by their trigrams.
+WORDS_A_LANGUAGE, WORDS_IN_ALL, LEAST_WORDS = 25_000, 2_000_000, 1_000
+#: Scores (words times languages) that a task keeps.
+SCORES_HELD = 2_000_000
 #: What one word can count for or against a language at most.
 WORD_RANGE = 8.0
 #: How well words have to fit the languages of their own spans for a text to pass as identified.
@@ -60,6 +66,29 @@ def script_of(char: str) -> str | None:
     return next((name for name, ranges in SCRIPTS.items() if any(a <= at <= b for a, b in ranges)), None)
 
 
+def _cuts() -> re.Pattern:
+    """Places between letters of two scripts, whatever stands between them but white space."""
+    own = {name: "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in ranges) for name, ranges in SCRIPTS.items()}
+    every = "".join(own.values())
+    return re.compile("|".join(f"(?<=[{chars}])(?=[^{every}]*+(?![{chars}])[{every}])" for chars in own.values()))
+
+
+_CUT = _cuts()
+#: Letters of all scripts but the first; texts without any have nothing to cut.
+_OTHERS = re.compile("[" + "".join(f"\\U{a:08x}-\\U{z:08x}" for name, ranges in SCRIPTS.items() if name != "latin" for a, z in ranges) + "]")
+
+
+def pieces_of(word: str) -> list[str]:
+    """A white-space word, cut where its script changes; what stands between two scripts goes with the newer one."""
+    return [word] if word.isascii() else [p for p in _CUT.split(word) if p]
+
+
+def words_of(text: str) -> list[str]:
+    """White-space words of a text, cut where their script changes."""
+    words = text.split()
+    return words if text.isascii() or not _OTHERS.search(text) else list(chain.from_iterable(map(pieces_of, words)))
+
+
 #: What most often stands around a word's letters (fixed values; other characters are found one by one).
 _AROUND = " .,;:!?'\"()[]{}<>|*#$%&+-_/\\=~^@`0123456789"
 
@@ -78,23 +107,37 @@ def trigrams(word: str) -> list[str]:
     return [padded[i : i + 3] for i in range(len(padded) - 2)]
 
 
+Counts = tuple[tuple[int, int], ...]
+
+
 @dataclass
 class LanguageModel:
-    """Word scores and trigram log-probabilities by language; its size is bounded by the words kept for each."""
+    """Counts of words and trigrams by language, only of languages that have them; so its size goes with the words kept, not
+    with words times languages."""
 
     languages: list[str]
-    words: dict[str, tuple[float, ...]] = field(default_factory=dict)  # scores
-    trigrams: dict[str, tuple[float, ...]] = field(default_factory=dict)
-    unseen: tuple[float, ...] = ()
+    words: dict[str, Counts] = field(default_factory=dict)
+    trigrams: dict[str, Counts] = field(default_factory=dict)
+    word_totals: list[float] = field(default_factory=list)
+    gram_totals: list[float] = field(default_factory=list)
     scripts: dict[str, tuple[bool, ...]] = field(default_factory=dict)
 
     def score(self, core: str) -> tuple[float, ...]:
         """Log-probability of a word's letters under each language, relative to the best and at least
         -WORD_RANGE; languages that never use the word's script get -4 * WORD_RANGE."""
         found = self.words.get(core)
-        if found is None:
-            found = self.relative(core, [sum(c) for c in zip(*(self.trigrams.get(t, self.unseen) for t in trigrams(core)), strict=True)])
-        return found
+        if found is not None:
+            return self.relative(core, self._logs([found], self.word_totals))
+        return self.relative(core, self._logs([self.trigrams.get(t, ()) for t in trigrams(core)], self.gram_totals))
+
+    @staticmethod
+    def _logs(counted: list[Counts], totals: list[float]) -> list[float]:
+        """Sums of add-a-half log-probabilities by language."""
+        out = [len(counted) * math.log(0.5 / t) for t in totals]
+        for own in counted:
+            for lang, n in own:
+                out[lang] += math.log((n + 0.5) / 0.5)
+        return out
 
     def relative(self, core: str, logs: Sequence[float]) -> tuple[float, ...]:
         used = [s for s in map(script_of, core) if s]
@@ -111,7 +154,7 @@ def train(docs: DataFrame, usable: Column, *, lang_col: str = "lang", id_col: st
     hash of the id; so a rare language is learned from all it has, however large the table is.
 
     Words are counted inside tasks and summed by (language, word); only the words that the model
-    keeps reach the driver, WORDS_A_LANGUAGE for each language. No rows give a model without languages.
+    keeps reach the driver, WORDS_A_LANGUAGE for each language and WORDS_IN_ALL together. No rows give a model without languages.
     """
     rows = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     found = {r.lang: r.n for r in rows.groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -130,7 +173,7 @@ def train(docs: DataFrame, usable: Column, *, lang_col: str = "lang", id_col: st
 
         for batch in bounded(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                seen[lang].update(text.lower().split())
+                seen[lang].update(words_of(text.lower()))
             if sum(map(len, seen.values())) > 500_000:
                 yield drain()
         yield drain()
@@ -138,34 +181,36 @@ def train(docs: DataFrame, usable: Column, *, lang_col: str = "lang", id_col: st
     raw = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(count, "lang string, word string, n long")
     word = F.regexp_replace("word", r"^\P{L}+|\P{L}+$", "")
     counts = scratch(raw.select("lang", word.alias("word"), "n").filter("word <> ''").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    kept = most_frequent(counts, WORDS_A_LANGUAGE, "word", by="lang")
+    most = min(WORDS_A_LANGUAGE, max(LEAST_WORDS, WORDS_IN_ALL // max(1, len(found))))
+    kept = most_frequent(counts, most, "word", by="lang")
     discard(counts)
     return fit(sorted(found), list(kept[["lang", "word", "n"]].itertuples(index=False, name=None)))
 
 
 def fit(languages: list[str], counts: list[tuple[str, str, int]]) -> LanguageModel:
     """The model of (language, word, count) rows."""
-    n, place = len(languages), {lang: i for i, lang in enumerate(languages)}
-    words, grams, scripts = defaultdict(lambda: [0] * n), defaultdict(lambda: [0] * n), defaultdict(lambda: [0] * n)
+    place = {lang: i for i, lang in enumerate(languages)}
+    words, grams, scripts = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter)
     for lang, word, count in counts:
-        words[word][place[lang]] += count
+        at = place[lang]
+        words[word][at] += count
         for t in trigrams(word):
-            grams[t][place[lang]] += count
+            grams[t][at] += count
         for c in word:
             if s := script_of(c):
-                scripts[s][place[lang]] += count
+                scripts[s][at] += count
 
-    def logs(table: dict[str, list[int]], weight: float) -> tuple[dict[str, tuple[float, ...]], tuple[float, ...]]:
-        totals = [sum(c[i] for c in table.values()) + weight * (len(table) + 1) for i in range(n)]
-        return {k: tuple(math.log((c + weight) / t) for c, t in zip(v, totals, strict=True)) for k, v in table.items()}, tuple(math.log(weight / t) for t in totals)
+    def totals(table: dict[str, Counter[int]]) -> list[float]:
+        sums = [0.5 * (len(table) + 1)] * len(languages)
+        for own in table.values():
+            for at, n in own.items():
+                sums[at] += n
+        return sums
 
-    word_logs, _ = logs(words, 0.5)
-    gram_logs, unseen = logs(grams, 0.5)
-    by_lang = [max(1, sum(v[i] for v in scripts.values())) for i in range(n)]
-    allowed = {s: tuple(c >= 0.01 * t for c, t in zip(v, by_lang, strict=True)) for s, v in scripts.items()}
-    model = LanguageModel(languages, {}, gram_logs, unseen, allowed)
-    model.words = {w: model.relative(w, v) for w, v in word_logs.items()}
-    return model
+    sparse = lambda table: {k: tuple(v.items()) for k, v in table.items()}
+    by_lang = [max(1, sum(v[i] for v in scripts.values())) for i in range(len(languages))]
+    allowed = {s: tuple(v[i] >= 0.01 * t for i, t in enumerate(by_lang)) for s, v in scripts.items()}
+    return LanguageModel(languages, sparse(words), sparse(grams), totals(words), totals(grams), allowed)
 
 
 def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
@@ -210,10 +255,9 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray
 class Labeller:
     """Labels texts with a model; scores of distinct words are kept, up to a bound."""
 
-    HELD = 400_000
-
     def __init__(self, model: LanguageModel, penalty: float = SWITCH_PENALTY):
         self.model, self.penalty = model, penalty
+        self.held = max(1000, SCORES_HELD // max(5, len(model.languages)))  # words
         self._clear()
 
     def _clear(self) -> None:
@@ -235,7 +279,7 @@ class Labeller:
     def _numbers(self, words: list[list[str]]) -> None:
         """Number the words; the scores of new ones are worked out once."""
         new = set().union(*words) - self.ids.keys() if words else set()
-        if len(self.ids) + len(new) > self.HELD:
+        if len(self.ids) + len(new) > self.held:
             self._clear()
             new = set().union(*words)
         ids, cores, rows, weights, first = self.ids, self.cores, [], [], len(self.table)
@@ -251,13 +295,13 @@ class Labeller:
             self._add(rows, weights)
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]], float]]:
-        """(language, score, spans, fit) of each text; spans are (first word, words, language) over white-space words.
+        """(language, score, spans, fit) of each text; spans are (first word, words, language) over the words of :func:`words_of`.
 
         The score tells how far the words speak for the text's language, the fit how far each speaks
         for the language of its own span, both as shares of probability averaged over letters.
         """
         n, languages = len(self.model.languages), self.model.languages
-        words = [(t or "").split() for t in texts]
+        words = [words_of(t or "") for t in texts]
         if not n:
             return [(UNKNOWN, 0.0, [], 0.0)] * len(texts)
         self._numbers(words)

@@ -7,6 +7,7 @@ become probabilities through an isotonic fit over a fixed grid of scores.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,8 +23,8 @@ from .common import arrow_of, bounded, discard, id_fold, rows_out, scratch, type
 FEATURES, WIDTH, RIDGE, SEED = 256, 3.0, 1e-4, 20_240
 #: Steps of the grid of raw scores that the calibration is fitted on.
 GRID = 1000
-#: Partial sums of the equations at most, whatever the number of partitions; folds that the calibration is fitted across.
-SUM_PARTS, FOLDS = 32, 3
+#: Labelled rows that one task sums into equations, about; folds that the calibration is fitted across.
+ROWS_A_SUM, FOLDS = 20_000, 3
 
 STATISTICS = (
     "log_words", "word_bytes", "upper", "digits", "marks", "commas", "exclaims", "bars", "symbols", "lines",
@@ -99,7 +100,7 @@ def document_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     return source.mapInArrow(run, ddl)
 
 
-def train(stats: DataFrame, labels: DataFrame, *, usable: Column | None = None, label_col: str = "quality", id_col: str = "doc_id", seed: int = SEED) -> QualityModel:
+def train(stats: DataFrame, labels: DataFrame, *, usable: Column | None = None, label_col: str = "quality", id_col: str = "doc_id", seed: int = SEED, rows_a_sum: int = ROWS_A_SUM) -> QualityModel:
     """Fit on the rows of ``stats`` (doc_id, x) that ``labels`` marks and ``usable`` allows.
 
     A document with several labels gets their majority and none at a tie. With no labelled row
@@ -131,10 +132,12 @@ def train(stats: DataFrame, labels: DataFrame, *, usable: Column | None = None,
             yield pd.DataFrame({"fold": fold, "i": np.arange(len(sums)), "part": list(sums)})
 
     def added(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"fold": frame["fold"].iloc[:1], "i": frame["i"].iloc[:1], "part": [np.sum(np.stack(frame["part"].to_numpy()), axis=0)]})
+        return frame.iloc[:1].assign(part=[np.sum(np.stack(frame["part"].to_numpy()), axis=0)])
 
-    ddl = "fold int, i int, part array<double>"
-    system = rows.select("fold", "x", "y").coalesce(SUM_PARTS).mapInPandas(equations, ddl).groupBy("fold", "i").applyInPandas(added, ddl).orderBy("fold", "i").toPandas()
+    # as many tasks as the labelled rows need; their sums, one row an equation, are added in two rounds
+    parts, ddl = math.ceil(sums["n"] / rows_a_sum), "fold int, i int, part array<double>"
+    partial = rows.select("fold", "x", "y").repartition(parts).mapInPandas(equations, ddl).withColumn("slot", F.pmod(F.spark_partition_id(), F.lit(math.isqrt(parts) + 1)))
+    system = partial.groupBy("fold", "i", "slot").applyInPandas(added, ddl + ", slot int").drop("slot").groupBy("fold", "i").applyInPandas(added, ddl).orderBy("fold", "i").toPandas()
     by_fold = {fold: np.stack(part["part"].to_numpy()) for fold, part in system.groupby("fold")}
     total = sum(by_fold.values())
 

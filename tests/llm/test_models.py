@@ -53,9 +53,40 @@ def test_mixed_text_is_cut_into_spans(docs):
     assert label[0] == "bb"
 
 
+def test_words_are_cut_where_the_script_changes():
+    assert langid.words_of("石头河流stone石头 plain (α)β,г1д x2石été") == ["石头河流", "stone", "石头", "plain", "(α)β", ",г1д", "x", "2石", "été"]
+    rng = np.random.default_rng(5)
+    alphabet = "ab é石河αβгд12,.カ한"
+    for _ in range(500):
+        text = "".join(rng.choice(list(alphabet), int(rng.integers(0, 30))))
+        assert "".join(langid.words_of(text)) == "".join(text.split())
+        for word in langid.words_of(text):
+            assert len({s for s in map(langid.script_of, word) if s}) <= 1
+    model = langid.fit(["en", "zh"], [("en", w, 5) for w in ("stone", "river")] + [("zh", w, 5) for w in ("石头", "河流")])
+    label = langid.Labeller(model, 2.0).label(["石头河流stone石头"])[0]
+    assert label[2] == [(0, 1, "zh"), (1, 1, "en"), (2, 1, "zh")] and label[0] == "zh"
+
+
+def test_a_model_of_many_languages_is_small():
+    """Its size goes with the words, not with words times languages; scores are those of dense tables."""
+    import pickle
+
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(4000)]
+    counts = [(f"l{i % 500:03}", w, int(rng.integers(1, 9))) for i, w in enumerate(words)]
+    model = langid.fit(sorted({c[0] for c in counts}), counts)
+    assert len(pickle.dumps(model)) < 2_000_000
+    few = langid.fit(["l000", "l001", "l002"], [c for c in counts if c[0] in ("l000", "l001", "l002")])
+    table = {w: [sum(n for lang, x, n in counts if x == w and lang == one) for one in few.languages] for w in few.words}
+    totals = [sum(v[i] for v in table.values()) + 0.5 * (len(table) + 1) for i in range(3)]
+    for w, v in table.items():
+        logs = [math.log((c + 0.5) / t) for c, t in zip(v, totals, strict=True)]
+        assert few.score(w) == pytest.approx([max(x - max(logs), -langid.WORD_RANGE) for x in logs])
+
+
 def brute_language(model, text, penalty):
     """Language, score and fit of a text by trying nothing but the recurrence itself, word by word."""
-    words = (text or "").split()
+    words = langid.words_of(text or "")
     n, cores = len(model.languages), [langid.letters_of(w) for w in words]
     scores = [model.score(c) if c else (0.0,) * n for c in cores]
     best, came = [0.0] * n, []
