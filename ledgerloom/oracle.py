@@ -7,7 +7,7 @@ from .model import (
     QTY_DIFFERS, QTY_EQUAL, SUMMARY_ROW, TYPE_PRIORITY, Direction,
 )
 from .operators import precheck as rules
-from .queries import ERP_DOC, FEW_HEADS, FILTERS, GENERATED, HALF_HEADS, OA_DOC, OPEN_EVERY, SEARCH_TEXT, SHEETS
+from .queries import ERP_DOC, FEW_HEADS, FILTERS, GENERATED, HALF_HEADS, OA_DOC, OPEN_EVERY, SEARCH_TEXT, SEARCHES, SHEETS
 from .sources.headers import AMBIGUOUS, NOT_FOUND
 from .sources.sheet_source import FAILED, FULL, PRUNED
 
@@ -315,6 +315,8 @@ ORACLE: dict[str, str] = {
 ), rows AS (SELECT o_orderkey, (generate_subscripts(r, 1) - 1)::INT AS row_at, unnest(r) AS cells FROM m) SELECT o_orderkey, row_at, (generate_subscripts(cells, 1) - 1)::INT AS col_at, unnest(cells) AS cell FROM rows""",
     "oa_output_place": f"{_compare('oa', 'erp')} SELECT row_number() OVER (ORDER BY doc_ord) AS place, doc_no, company FROM docs",
     "oa_output_with_items": _OPENED,
+    "search_index_fields": f"WITH {_SOURCE}, c AS (" + " UNION ALL ".join(f"SELECT '{f}' AS field, {f if f in ('company', 'dept1', 'dept2') else 'doc_no'} AS value, min(ord) AS o FROM {'erp' if f == 'erp' else 'oa'} GROUP BY ALL" for f in ("company", "dept1", "dept2", "oa", "erp")) + "), q AS (SELECT * FROM (VALUES "
+    + ", ".join(f"('{f}', '{t}')" for f, t in SEARCHES) + ") AS t(field, query)) SELECT field, query, value FROM c JOIN q USING (field) WHERE value <> '' AND contains(lower(value), lower(query)) QUALIFY row_number() OVER (PARTITION BY field, query ORDER BY o) <= 30",
     "benchmark_generator_oa": f"WITH {_GENERATED} SELECT {_ROWS} FROM oa",
     "benchmark_generator_erp": f"WITH {_GENERATED} SELECT {_ROWS} FROM erp",
     "benchmark_dept_variance": _variance(True, source=_GENERATED),

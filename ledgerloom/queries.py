@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.exprs import append_unique, bigrams, cell_safe_note, date_key, in_order, norm_text, serial_date, text_date, text_decimal
 from .model import NO_ERP, NO_OA, OA_HEADERS, Direction, OutputKind, QueryFilters, QueryState
+from .operators.index import CandidateIndex
 from .operators.place import with_place
 from .operators.precheck import ISSUE, cell_issues, duplicate_issues, orphan_issues, precheck
 from .operators.search import bigram_index, distinct_candidates, indexed_search, search
@@ -283,6 +284,35 @@ def _output_place(spark: SparkSession, d: str) -> DataFrame:
     return with_place(docs.select("doc_no", "company", "doc_ord"), "doc_ord").select("place", "doc_no", "company")
 
 
+#: What is looked for in each field of the stored index.
+SEARCHES = (("company", "a"), ("company", "si"), ("dept1", "ni"), ("dept1", "united"), ("dept2", "Build"), ("oa", "f1"), ("oa", "9"), ("oa", "F123"), ("erp", "4-b"), ("erp", "x"), ("erp", "q77"), ("erp", "zz"))
+
+
+def search_index(spark: SparkSession, d: str) -> CandidateIndex:
+    """An index of organisations and document numbers of both sides, added in two batches."""
+    oa, erp = _both(spark, d)
+    fields = {"company": oa, "dept1": oa, "dept2": oa, "oa": oa, "erp": erp}
+    listed = [df.groupBy(F.col(c if c in ORG_FIELDS else "doc_no").alias("value")).agg(F.min("_ord").alias("_ord")).select(F.lit(c).alias("field"), "value", "_ord") for c, df in fields.items()]
+    index = CandidateIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    for batch in (listed[:4], listed[2:]):  # the second has fields of the first again
+        rows = batch[0]
+        for more in batch[1:]:
+            rows = rows.union(more)
+        index.add(rows)
+    return index
+
+
+ORG_FIELDS = ("company", "dept1", "dept2")
+
+
+def _search_index(spark: SparkSession, d: str) -> DataFrame:
+    index, found = search_index(spark, d), None
+    for field, text in SEARCHES:
+        rows = index.search(field, text).select(F.lit(field).alias("field"), F.lit(text).alias("query"), "value")
+        found = rows if found is None else found.union(rows)
+    return found
+
+
 #: Documents whose items an output shows: those of every 13th order.
 OPEN_EVERY = 13
 
@@ -361,5 +391,6 @@ QUERIES: dict[str, Query] = {
     "matrix_shapes": _matrix_shapes,
     "oa_output_place": _output_place,
     "oa_output_with_items": _output_with_items,
+    "search_index_fields": _search_index,
     "diagnostics": lambda spark, d: ReconEngine(*_both(spark, d)).diagnostics(),
 }
