@@ -465,35 +465,58 @@ def compared_in_cells(left: DataFrame, right: DataFrame, texts: DataFrame, simil
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         even = np.stack([np.asarray(x, np.int64) for x in frame["bands"]])
         by_count = np.stack([np.asarray(w if len(w) else x, np.int64) for w, x in zip(frame["weighted"], frame["bands"], strict=True)])
-        nid, label, is_left, text = (frame[c].to_numpy() for c in ("nid", "label", "is_left", "text"))
+        differ = np.fromiter((len(w) > 0 for w in frame["weighted"]), bool, len(frame))
+        nid, label, is_left = (frame[c].to_numpy() for c in ("nid", "label", "is_left"))
         rows, columns = np.flatnonzero(is_left), np.flatnonzero(~is_left)
-        least, held, known, up, found = least_agreeing(similarity, even.shape[1] * ROWS), WordHashes(), {}, {}, []
+        least, up, found = least_agreeing(similarity, even.shape[1] * ROWS), {}, []
 
         def top(x: int) -> int:
             while (over := up.setdefault(x, x)) != x:
                 up[x] = x = up.setdefault(over, over)
             return x
 
-        def own(i: int) -> Shingled:
-            if i not in known:
-                known[i] = shingled(text[i], held)
-            return known[i]
+        def link(i: int, j: int) -> None:
+            if (x := top(label[i])) != (y := top(label[j])):
+                up[x] = y
+                found.append((min(nid[i], nid[j]), max(nid[i], nid[j])))
 
         with np.errstate(over="ignore"):
-            for i in rows.tolist():
-                met = _shares_bucket((even[i], by_count[i]), (even[columns], by_count[columns])) & (label[columns] != label[i])
-                near = columns[met]
-                near = near[np.maximum(agreeing(even[i], even[near]), agreeing(by_count[i], by_count[near])) >= least]
-                for j in near.tolist():
-                    x, y = top(label[i]), top(label[j])
-                    if x != y and similar(own(i), own(j), similarity):
-                        up[x] = y
-                        found.append((min(nid[i], nid[j]), max(nid[i], nid[j])))
+            doc, hashes, counts = weighted(*shingle_hashes([t.encode("utf-8", "replace") for t in frame["text"]], WordHashes()))
+        size, ends = np.bincount(doc, minlength=len(nid)), np.searchsorted(doc, np.arange(len(nid) + 1))
+        own = lambda i: (hashes[ends[i] : ends[i + 1]], counts[ends[i] : ends[i + 1]])
+        common = shared_counts(doc, hashes, rows, columns, len(nid))
+        alike = (common > 0) & (common >= similarity * (size[rows][:, None] + size[columns] - common))
+        open_pairs = (common > 0) & (label[rows][:, None] != label[columns]) & (alike | differ[rows][:, None] | differ[columns])
+        for k in np.flatnonzero(open_pairs.any(1)).tolist():
+            i, j = rows[k], columns[open_pairs[k]]
+            j = j[_shares_bucket((even[i], by_count[i]), (even[j], by_count[j]))]
+            of_sets, of_counts = agreeing(even[i], even[j]) >= least, agreeing(by_count[i], by_count[j]) >= least
+            as_sets = alike[k, np.searchsorted(columns, j)]
+            for other in j[as_sets & (of_sets | of_counts)].tolist():
+                link(i, other)
+            for other in j[~as_sets & (of_sets | of_counts)].tolist():
+                if top(label[i]) != top(label[other]) and similar(own(i), own(other), similarity):
+                    link(i, other)
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     return a.union(b).join(texts, "nid").groupBy("g", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
+def shared_counts(doc: np.ndarray, hashes: np.ndarray, rows: np.ndarray, columns: np.ndarray, n_docs: int) -> np.ndarray:
+    """How many shingles each text of ``rows`` shares with each of ``columns``, some thousand shingles at a time."""
+    _, shingle = np.unique(hashes, return_inverse=True)
+    order = np.argsort(shingle, kind="stable")
+    doc, shingle = doc[order], shingle[order]
+    out, step = np.zeros((len(rows), len(columns)), np.int64), 8192
+    last = int(shingle[-1]) + 1 if len(shingle) else 0
+    for start in range(0, last, step):
+        a, b = np.searchsorted(shingle, (start, start + step))
+        present = np.zeros((n_docs, min(step, last - start)), np.float32)
+        present[doc[a:b], shingle[a:b] - start] = 1
+        out += np.rint(present[rows] @ present[columns].T).astype(np.int64)
+    return out
+
+
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs``, all columns as they are, with one row of each class: the one with the least id.
 
