@@ -20,8 +20,8 @@ to it before it tests or scores anything. So results don't depend on how much is
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field, replace
 from itertools import chain, repeat
 
 import numpy as np
@@ -49,7 +49,7 @@ DISCOUNT = 0.75
 WIDE_PART, WIDE_TOKENS, WIDE_SHARE = 250, 2_000_000, 20_000
 #: Tokens of a shard on average, shards that a task takes one after the other; bytes of text that a task lays out at a time;
 #: keys that a task gathers before it drops repeated ones.
-SHARD_TOKENS, SHARDS_A_TASK, BYTES_AT_ONCE, KEYS_HELD = 700_000, 4, 4_000_000, 1_000_000
+SHARD_TOKENS, SHARDS_A_TASK, BYTES_AT_ONCE, KEYS_HELD = 500_000, 4, 4_000_000, 1_000_000
 
 END = b""
 _RARE, _START, _SHORT, _NONE = 1 << 62, 1 << 61, 1 << 33, -1
@@ -192,7 +192,7 @@ class Top:
     ``whole_words`` and ``whole_entries`` tell that nothing exists beside what is held.
     """
 
-    words: list[bytes]  # by rank
+    words: Sequence[bytes]  # by rank
     counts: np.ndarray
     total: int
     distinct: int
@@ -551,18 +551,19 @@ def answered(parts: DataFrame, facts: DataFrame, top) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         held = top.value
         told = Facts.of(*(right.column(c).to_numpy() for c in ("kind", "key", "value")))
-        texts = left.filter(pc.is_null(left.column("tokens"))).select(columns)
-        tokens_of = left.filter(pc.is_valid(left.column("tokens"))).select(["shard", "row", "tokens"]).sort_by("shard")
-        shard = tokens_of.column("shard").to_numpy()
+        empty = pc.is_null(left.column("tokens"))
+        texts = left.select(columns).filter(empty)
+        blobs, shard, row = left.column("tokens"), left.column("shard").fill_null(-1).to_numpy(), left.column("row").to_numpy()
+        order = np.argsort(shard, kind="stable")[len(texts) :]  # blobs stay where they are
         added: list[tuple[np.ndarray, ...]] = []
-        cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=-1)).tolist() if len(shard) else [0]
+        cuts = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1)).tolist() if len(order) else [0]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            own = tokens_of.slice(a, b - a)
-            starts = own.column("row").to_numpy()
-            read = [unpacked(x) for x in own.column("tokens").to_pylist()]
-            number = np.repeat(np.arange(len(starts)), [len(t.code) for t, _ in read])
+            own = order[a:b]
+            starts = row[own]
+            read = [unpacked(blobs[i].as_buffer()) for i in own.tolist()]
+            sizes = [len(x) for _, x in read]
             training = np.concatenate([x for _, x in read])
-            t = Tokens(number << 32 | np.concatenate([t.doc for t, _ in read]), np.concatenate([t.code for t, _ in read]), [np.concatenate([t.before[k] for t, _ in read]) for k in range(DEPTH)])
+            t = Tokens(np.repeat(np.arange(len(starts)) << 32, sizes) | np.concatenate([t.doc for t, _ in read]), np.concatenate([t.code for t, _ in read]), [np.concatenate([t.before[k] for t, _ in read]) for k in range(DEPTH)])
             del read
             with np.errstate(over="ignore"):
                 depth, _, mass, rest, _ = held.walked(t, told)
@@ -582,8 +583,8 @@ def answered(parts: DataFrame, facts: DataFrame, top) -> DataFrame:
             sums, bases, knowns = (np.bincount(at, x) for x in (sums, bases, knowns))
             rows, begun = np.unique(held_texts[0], return_index=True)
             spans = list(zip(begun.tolist(), [*begun[1:].tolist(), len(sums)], strict=True))
-            shown = lambda x, kind: [_planes(x[a:b].astype(kind)) if x[a:b].any() else None for a, b in spans]
-            places = [_planes(held_texts[1, a:b].astype("<i4")) for a, b in spans]
+            shown = lambda x, kind: [zstandard.ZstdCompressor(level=3).compress(_planes(x[a:b].astype(kind))) if x[a:b].any() else None for a, b in spans]
+            places = [zstandard.ZstdCompressor(level=3).compress(_planes(held_texts[1, a:b].astype("<i4"))) for a, b in spans]
             batch = rows_out(schema, [rows, *([None] * len(rows),) * 5, places, shown(sums, "<f8"), shown(bases, "<f8"), shown(knowns, "<i4")])
             out.append(pa.Table.from_batches([batch]))
         return pa.concat_tables(out)
@@ -593,8 +594,11 @@ def answered(parts: DataFrame, facts: DataFrame, top) -> DataFrame:
 
 def _merged(frame: pd.DataFrame) -> pd.DataFrame:
     """Sums of one batch's texts over all bins."""
-    read = lambda b, kind: _column(np.frombuffer(b, np.uint8), 0, len(b) // np.dtype(kind).itemsize, kind)[0]
-    each = [read(b, np.int32) for b in frame["places"]]
+    def read(data: bytes, kind: type | str) -> np.ndarray:
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+        return _column(raw, 0, len(raw) // np.dtype(kind).itemsize, kind)[0]
+
+    each = [read(b, "<i4") for b in frame["places"]]
     places = np.concatenate(each)
     values = [np.concatenate([np.zeros(len(p)) if b is None else read(b, kind) for p, b in zip(each, frame[c], strict=True)]) for c, kind in (("sums", "<f8"), ("bases", "<f8"), ("knowns", "<i4"))]
     more, base, known = (np.bincount(places, v) for v in values)
@@ -614,6 +618,7 @@ def score_documents(docs: DataFrame, usable: Column, *, id_col: str = "doc_id",
     counts = scratch(word_counts(source), "words")
     top, entries = planted(source, counts)
     shipped = spark.sparkContext.broadcast(top)
+    light = spark.sparkContext.broadcast(replace(top, words=range(len(top.words))))  # what is asked and answered needs no words
     size = source.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-size // (6 * SHARD_TOKENS)))
     bins = max(1, shards // SHARDS_A_TASK)
@@ -623,8 +628,8 @@ def score_documents(docs: DataFrame, usable: Column, *, id_col: str = "doc_id",
     else:
         told = _codes_of(counts).select(F.lit(_WORD).alias("kind"), F.col("code").alias("key"), F.col("trained").cast("double").alias("value"))
         told = told.union(entries.select(F.lit(_ENTRY), "key", "mass")) if entries is not None else told
-        facts = asked(parts, shipped).join(told, ["kind", "key"]).select("bin", "kind", "key", "value")
-    found = scratch(answered(parts, facts, shipped), "scored")
+        facts = asked(parts, light).join(told, ["kind", "key"]).select("bin", "kind", "key", "value")
+    found = scratch(answered(parts, facts, light), "scored")
     texts = found.filter("n_tokens is not null")
     inside = found.filter("places is not null").select("row", "places", "sums", "bases", "knowns").groupBy("row").applyInPandas(_merged, "row long, more double, more_base double, more_known long")
     some = lambda c: F.coalesce(c, F.lit(0))
