@@ -584,7 +584,7 @@ def answered(parts: DataFrame, facts: DataFrame, top) -> DataFrame:
             rows, begun = np.unique(held_texts[0], return_index=True)
             spans = list(zip(begun.tolist(), [*begun[1:].tolist(), len(sums)], strict=True))
             shown = lambda x, kind: [zstandard.ZstdCompressor(level=3).compress(_planes(x[a:b].astype(kind))) if x[a:b].any() else None for a, b in spans]
-            places = [zstandard.ZstdCompressor(level=3).compress(_planes(held_texts[1, a:b].astype("<i4"))) for a, b in spans]
+            places = [zstandard.ZstdCompressor(level=3).compress(_planes(np.diff(held_texts[1, a:b], prepend=0).astype("<i4"))) for a, b in spans]
             batch = rows_out(schema, [rows, *([None] * len(rows),) * 5, places, shown(sums, "<f8"), shown(bases, "<f8"), shown(knowns, "<i4")])
             out.append(pa.Table.from_batches([batch]))
         return pa.concat_tables(out)
@@ -598,7 +598,7 @@ def _merged(frame: pd.DataFrame) -> pd.DataFrame:
         raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
         return _column(raw, 0, len(raw) // np.dtype(kind).itemsize, kind)[0]
 
-    each = [read(b, "<i4") for b in frame["places"]]
+    each = [np.cumsum(read(b, "<i4"), dtype=np.int64) for b in frame["places"]]
     places = np.concatenate(each)
     values = [np.concatenate([np.zeros(len(p)) if b is None else read(b, kind) for p, b in zip(each, frame[c], strict=True)]) for c, kind in (("sums", "<f8"), ("bases", "<f8"), ("knowns", "<i4"))]
     more, base, known = (np.bincount(places, v) for v in values)
