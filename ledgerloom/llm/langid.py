@@ -107,19 +107,20 @@ def trigrams(word: str) -> list[str]:
     return [padded[i : i + 3] for i in range(len(padded) - 2)]
 
 
-Counts = tuple[tuple[int, int], ...]
+#: (language, log-probability over that of what is unseen) of a word or trigram, of languages that have it.
+Gains = tuple[tuple[int, float], ...]
 
 
 @dataclass
 class LanguageModel:
-    """Counts of words and trigrams by language, only of languages that have them; so its size goes with the words kept, not
-    with words times languages."""
+    """Log-probabilities of words and trigrams by language, only of languages that have them; so its size goes with the words
+    kept, not with words times languages."""
 
     languages: list[str]
-    words: dict[str, Counts] = field(default_factory=dict)
-    trigrams: dict[str, Counts] = field(default_factory=dict)
-    word_totals: list[float] = field(default_factory=list)
-    gram_totals: list[float] = field(default_factory=list)
+    words: dict[str, Gains] = field(default_factory=dict)
+    trigrams: dict[str, Gains] = field(default_factory=dict)
+    unseen_word: list[float] = field(default_factory=list)
+    unseen_gram: list[float] = field(default_factory=list)
     scripts: dict[str, tuple[bool, ...]] = field(default_factory=dict)
 
     def score(self, core: str) -> tuple[float, ...]:
@@ -127,16 +128,16 @@ class LanguageModel:
         -WORD_RANGE; languages that never use the word's script get -4 * WORD_RANGE."""
         found = self.words.get(core)
         if found is not None:
-            return self.relative(core, self._logs([found], self.word_totals))
-        return self.relative(core, self._logs([self.trigrams.get(t, ()) for t in trigrams(core)], self.gram_totals))
+            return self.relative(core, self._logs([found], self.unseen_word))
+        return self.relative(core, self._logs([self.trigrams.get(t, ()) for t in trigrams(core)], self.unseen_gram))
 
     @staticmethod
-    def _logs(counted: list[Counts], totals: list[float]) -> list[float]:
+    def _logs(counted: list[Gains], unseen: list[float]) -> list[float]:
         """Sums of add-a-half log-probabilities by language."""
-        out = [len(counted) * math.log(0.5 / t) for t in totals]
+        out = [len(counted) * x for x in unseen]
         for own in counted:
-            for lang, n in own:
-                out[lang] += math.log((n + 0.5) / 0.5)
+            for lang, gain in own:
+                out[lang] += gain
         return out
 
     def relative(self, core: str, logs: Sequence[float]) -> tuple[float, ...]:
@@ -200,17 +201,17 @@ def fit(languages: list[str], counts: list[tuple[str, str, int]]) -> LanguageMod
             if s := script_of(c):
                 scripts[s][at] += count
 
-    def totals(table: dict[str, Counter[int]]) -> list[float]:
+    def unseen(table: dict[str, Counter[int]]) -> list[float]:
         sums = [0.5 * (len(table) + 1)] * len(languages)
         for own in table.values():
             for at, n in own.items():
                 sums[at] += n
-        return sums
+        return [math.log(0.5 / n) for n in sums]
 
-    sparse = lambda table: {k: tuple(v.items()) for k, v in table.items()}
+    sparse = lambda table: {k: tuple((at, math.log((n + 0.5) / 0.5)) for at, n in v.items()) for k, v in table.items()}
     by_lang = [max(1, sum(v[i] for v in scripts.values())) for i in range(len(languages))]
     allowed = {s: tuple(v[i] >= 0.01 * t for i, t in enumerate(by_lang)) for s, v in scripts.items()}
-    return LanguageModel(languages, sparse(words), sparse(grams), totals(words), totals(grams), allowed)
+    return LanguageModel(languages, sparse(words), sparse(grams), unseen(words), unseen(grams), allowed)
 
 
 def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
