@@ -32,7 +32,7 @@ TRAINING_DOCS = 10_000
 #: each); other words are scored by their trigrams.
 WORDS_A_LANGUAGE, WORDS_IN_ALL, LEAST_WORDS = 25_000, 2_000_000, 1_000
 #: Scores (words times languages) that a task keeps.
-SCORES_HELD = 2_000_000
+SCORES_HELD = 1_000_000
 #: What one word can count for or against a language at most.
 WORD_RANGE = 8.0
 #: How well words have to fit the languages of their own spans for a text to pass as identified.
@@ -340,7 +340,7 @@ def label_documents(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shipped.value)
-        for batch in bounded(batches, limit=CHARS_AT_ONCE // 2):
+        for batch in bounded(batches, limit=CHARS_AT_ONCE // 4):
             found = labeller.label(batch.column("text").to_pylist())
             spans = [[{"first_word": a, "words": n, "lang": lang} for a, n, lang in x[2]] for x in found]
             yield rows_out(schema, [batch.column("doc_id"), [x[0] for x in found], [x[1] for x in found], spans])
@@ -359,7 +359,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, *, text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(shipped.value)
-        for batch in bounded(batches, at, CHARS_AT_ONCE // 2):
+        for batch in bounded(batches, at, CHARS_AT_ONCE // 4):
             found = labeller.label(batch.column(at).to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and fit >= least for lang, _, _, fit in found], pa.bool_()))
 

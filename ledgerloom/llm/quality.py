@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_of, bounded, discard, id_fold, rows_out, scratch, type_of, whole_texts
+from .common import CHARS_AT_ONCE, arrow_of, bounded, discard, id_fold, rows_out, scratch, type_of, whole_texts
 
 #: Random features, kernel width in standard deviations, ridge weight per row, seed.
 FEATURES, WIDTH, RIDGE, SEED = 256, 3.0, 1e-4, 20_240
@@ -94,7 +94,7 @@ def document_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     schema = arrow_of(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches):
+        for batch in bounded(batches, limit=CHARS_AT_ONCE // 4):
             yield rows_out(schema, [batch.column("doc_id"), [statistics(t) for t in batch.column("text").to_pylist()]])
 
     return source.mapInArrow(run, ddl)
@@ -216,7 +216,7 @@ def keep_good(docs: DataFrame, model: QualityModel, *, text_col: str = "text", l
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, at):
+        for batch in bounded(batches, at, CHARS_AT_ONCE // 4):
             x = [statistics(t) for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(shipped.value.score(np.stack(x)) >= least))
 
