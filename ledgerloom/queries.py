@@ -235,7 +235,7 @@ def sheet_folder(spark: SparkSession, d: str, broken: bool = False) -> str:
         lines = lines.union(more)
     path = f"{shared_dir(spark)}/sheets-{uuid.uuid4().hex}"
     text = F.when(F.col("line") == "bad", F.unhex(F.lit("FFFE22"))).otherwise(F.encode("line", "utf-8")) if broken else F.col("line")
-    lines = lines.repartition("sheet").sortWithinPartitions("sheet", "at", "_ord").select("sheet", text.cast("string").alias("line"))
+    lines = lines.repartitionById(SHEETS, F.col("sheet").cast("int")).sortWithinPartitions("sheet", "at", "_ord").select("sheet", text.cast("string").alias("line"))
     lines.write.partitionBy("sheet").text(path)
     return path
 

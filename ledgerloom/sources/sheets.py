@@ -60,6 +60,14 @@ def numbered_rows(df: DataFrame, columns: Sequence[Column | str], most_blocks: i
 _CSV = {"mode": "PERMISSIVE", "escape": '"', "columnNameOfCorruptRecord": "_wide", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
+def _given(fmt: str, options: dict[str, str] | None) -> dict[str, str]:
+    return _CSV | ({"sep": "\t"} if fmt == "text" else {}) | (options or {})
+
+
+def _multi_line(given: dict[str, str]) -> bool:
+    return given.get("multiLine", "false").lower() == "true"
+
+
 def raw_cells(spark: SparkSession, path: str, *, fmt: str = "csv", options: dict[str, str] | None = None, columns: int = MOST_COLUMNS, wide: bool = False) -> DataFrame:
     """(_file, _block, _at, cells) of every row of every file; ``cells`` has ``columns`` texts, null where a row ends before.
 
@@ -67,10 +75,10 @@ def raw_cells(spark: SparkSession, path: str, *, fmt: str = "csv", options: dict
     ``text``. With the option ``multiLine`` cells may hold line ends; blank lines don't count then.
     ``wide`` adds whether a row has more cells.
     """
-    given = _CSV | ({"sep": "\t"} if fmt == "text" else {}) | (options or {})
+    given = _given(fmt, options)
     names = [f"c{i}" for i in range(columns)]
     schema = ", ".join(f"{c} string" for c in [*names, *(["_wide"] if wide else [])])
-    if given.get("multiLine", "false").lower() == "true":
+    if _multi_line(given):
         df, cell = spark.read.format("csv").options(**given, header="false").schema(schema).load(path), lambda c: F.col(c)
         over = cell("_wide").isNotNull() & cell(names[-1]).isNotNull()  # rows of another width are marked; short ones lack the last cell
     else:
@@ -82,6 +90,19 @@ def raw_cells(spark: SparkSession, path: str, *, fmt: str = "csv", options: dict
     return located(df, [F.array(*map(cell, names)).alias("cells"), *more])
 
 
+def first_cells(spark: SparkSession, path: str, blocks: DataFrame, scan: int, *, fmt: str = "csv", options: dict[str, str] | None = None, columns: int = MOST_COLUMNS, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+    """(_file, _place, cells) of the first ``scan`` rows of every file. Where a line is a row, only those lines are parsed;
+    the others are counted and let go."""
+    given, starts = _given(fmt, options), blocks.filter("before = 0")
+    top = lambda rows: with_blocks(rows.filter(F.col("_block") == 0), starts, most_blocks).filter(F.col("_place") < scan)
+    if _multi_line(given):
+        return top(raw_cells(spark, path, fmt=fmt, options=options, columns=columns))
+    names = [f"c{i}" for i in range(columns)]
+    lines = top(located(spark.read.text(path), ["value"]))
+    cells = lines.select("_file", "_place", F.from_csv("value", ", ".join(f"{c} string" for c in names), given).alias("row"))
+    return cells.select("_file", "_place", F.array(*(F.col(f"row.{c}") for c in names)).alias("cells"))
+
+
 def score_headers(first: DataFrame, required: Sequence[str], *, least: int = LEAST_HITS) -> DataFrame:
     """One row a file, from (_file, _place, cells) of its first rows: _file, header_row, cells, at, issue_type, message,
     hits, missing, duplicates.
@@ -144,9 +165,8 @@ def read_sheets(
     headers, and whole; the second time only as many columns as the headers reach.
     """
     read = lambda n, wide=False: raw_cells(spark, path, fmt=fmt, options=options, columns=n, wide=wide)  # noqa: E731 - rows come in the same order however many columns are read
-    cells = read(columns)
-    blocks = scratch(blocks_of(cells), "blocks")
-    first = with_blocks(cells.filter(F.col("_block") == 0), blocks.filter("before = 0"), most_blocks).filter(F.col("_place") < scan)
+    blocks = scratch(blocks_of(read(columns)), "blocks")
+    first = first_cells(spark, path, blocks, scan, fmt=fmt, options=options, columns=columns, most_blocks=most_blocks)
     headers = scratch(score_headers(first, list(required.values()), least=least), "headers")
     named = F.transform(F.filter(F.sequence(F.lit(0), F.size("cells") - 1), lambda i: F.get("cells", i) != ""), lambda i: i.cast("int"))
     usable = headers.filter("issue_type IS NULL").select("_file", "header_row", "at", named.alias("named"))

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.values import plain_text
 from ledgerloom.model import OA_HEADERS
 from ledgerloom.operators.place import with_place
+from ledgerloom.queries import SHEETS, sheet_folder
 from ledgerloom.sources.headers import HeaderDetectionError, detect_header
 from ledgerloom.sources.shapes import json_matrix
 from ledgerloom.sources.sheet_source import FAILED, FULL, PRUNED, read_sheet_files
-from ledgerloom.sources.sheets import TOO_WIDE, read_sheets
+from ledgerloom.sources.sheets import TOO_WIDE, blocks_of, first_cells, raw_cells, read_sheets, with_blocks
 
 HEADS = list(OA_HEADERS.values())
 
@@ -125,3 +126,21 @@ def test_places_of_a_whole_order(spark):
     assert all(r.place == r.k + 1 for r in got.collect())
     assert with_place(df.limit(0), "k").collect() == []
     assert sorted(r.place for r in with_place(df.withColumn("k", F.lit(1)), "k").collect()) == list(range(1, 5001))
+
+
+def test_headers_parse_first_lines_only(spark, folder):
+    """Lines below those that are looked at for headers are counted, never cut into cells; the others are as they were."""
+    blocks = blocks_of(raw_cells(spark, folder[0]))
+    first = first_cells(spark, folder[0], blocks, 20)
+    above, below = (plan := first._jdf.queryExecution().optimizedPlan().toString())[: plan.index("Join")], plan[plan.index("Join") :]
+    assert "from_csv" in above and "from_csv" not in below
+    rows = lambda df: sorted((r._file, r._place, r.cells) for r in df.collect())
+    assert rows(first) == rows(with_blocks(raw_cells(spark, folder[0]), blocks).filter("_place < 20").select("_file", "_place", "cells"))
+
+
+def test_each_sheet_is_sorted_by_a_task_of_its_own(spark):
+    """Sheets that share a task would add up in its memory."""
+    path = sheet_folder(spark, "/root/testdata/sf0.001").removeprefix("file://")
+    tasks = {f: {p.split("-")[1] for p in os.listdir(f"{path}/{f}") if p.startswith("part-")} for f in os.listdir(path) if f.startswith("sheet=")}
+    assert len(tasks) == SHEETS and all(len(t) == 1 for t in tasks.values())
+    assert len(set.union(*tasks.values())) == SHEETS
