@@ -52,10 +52,17 @@ def erp_groups(rows: DataFrame, order: Column) -> DataFrame:
     )
 
 
-def erp_rows_of_links(groups: DataFrame, erp: DataFrame) -> DataFrame:
-    """ERP rows whose document an OA group links to, once for each form and link."""
-    links = groups.filter("link_no <> ''").groupBy("form_no", F.col("link_no").alias("doc_no")).agg(F.min("_ord").alias("link_ord"))
-    return erp.join(links, "doc_no")
+def form_links(rows: DataFrame) -> DataFrame:
+    """(form_no, doc_no) of OA rows: the documents that a form's items link to, each item by its first link, and the first
+    order of an item that links there."""
+    linked = F.when(F.col("link_no") != "", F.col("_ord"))
+    items = keyed(rows).groupBy(F.col("doc_no").alias("form_no"), "item_code").agg(F.min_by("link_no", linked).alias("link_no"), F.min("_ord").alias("_ord"))
+    return items.filter("link_no <> ''").groupBy("form_no", F.col("link_no").alias("doc_no")).agg(F.min("_ord").alias("link_ord"))
+
+
+def erp_rows_of_links(oa: DataFrame, erp: DataFrame) -> DataFrame:
+    """ERP rows whose document an OA item links to, once for each form and link."""
+    return erp.filter("item_code <> ''").join(form_links(oa), "doc_no")
 
 
 def erp_rows_of_sources(erp: DataFrame, groups: DataFrame) -> DataFrame:
@@ -72,39 +79,66 @@ def erp_only_rows(erp: DataFrame, oa: DataFrame, filters: QueryFilters | None =
 
 @dataclass
 class DetailCompare:
-    """Groups of both sides; an ERP group whose form no OA group has stands for itself."""
+    """OA rows, ERP rows under the form they are compared with, and the ERP rows' order. An ERP group whose form no OA
+    group has stands for itself; ``only_shipped`` leaves out OA forms without ERP rows."""
 
     oa: DataFrame
     erp: DataFrame
+    erp_order: Column
+    only_shipped: bool = False
 
     def rows(self, ordered: bool = True) -> DataFrame:
-        return compare_groups(self.oa, self.erp, ordered)
+        return compare_groups(form_items(self.oa, self.erp, self.erp_order), ordered, self.only_shipped)
 
 
 def detail_compare(oa: DataFrame, erp: DataFrame, direction: Direction = Direction.FORWARD, filters: QueryFilters | None = None) -> DetailCompare:
-    """Both sides' groups. Forward filters OA and follows its links; reverse filters ERP and looks its source forms up."""
+    """Both sides' rows by form. Forward filters OA and follows its links; reverse filters ERP and looks its source forms up."""
     filters = filters or QueryFilters()
     if direction is Direction.FORWARD:
-        own = oa_groups(selected(oa, filters))
-        return DetailCompare(own, erp_groups(erp_rows_of_links(own, erp), F.struct("link_ord", "_ord")))
-    rows = selected(erp, filters)
-    wanted = rows.filter((F.col("item_code") != "") & (F.col("link_no") != "")).select(F.col("link_no").alias("doc_no")).distinct()
-    return DetailCompare(oa_groups(oa.join(wanted, "doc_no", "left_semi")), erp_groups(rows.withColumn("form_no", F.col("link_no")), F.col("_ord")))
+        own = selected(oa, filters)
+        return DetailCompare(own, erp_rows_of_links(own, erp), F.struct("link_ord", "_ord"))
+    return DetailCompare(oa, selected(erp, filters).withColumn("form_no", F.col("link_no")), F.col("_ord"), True)
+
+
+def form_items(oa: DataFrame, erp: DataFrame, erp_order: Column) -> DataFrame:
+    """(deal, form_no, item_code) of either side: the columns of :func:`oa_groups` as ``oa_``, those of :func:`erp_groups`
+    as ``erp_``, and whether each side has rows.
+
+    Rows of both sides are dealt out once, by form; what follows stays in the tasks that got them: groups, their meeting,
+    and what is asked of a whole form. Rows without a form, of which there may be many, are dealt over SPREAD parts by
+    item: no OA row has a blank form.
+    """
+    common = [*_ORG, "item_name", "qty", "amount", "link_no", date_key(F.col("doc_date")).alias("day")]
+    asked = keyed(oa).select(F.col("doc_no").alias("form_no"), "item_code", *common, F.lit("").alias("doc_no"), F.col("_ord").alias("oa_ord"))
+    shipped = erp.filter("item_code <> ''").select("form_no", "item_code", *common, "doc_no", erp_order.alias("erp_ord"))
+    deal = F.xxhash64("form_no", F.when(F.col("form_no") == "", F.pmod(F.xxhash64("item_code"), F.lit(SPREAD))).otherwise(0))
+    rows = asked.withColumn("in_oa", F.lit(True)).unionByName(shipped.withColumn("in_oa", F.lit(False)), allowMissingColumns=True).withColumn("deal", deal).repartition("deal")
+    order = F.struct("oa_ord", "erp_ord")  # one of them is null for all rows of a side
+    # one row for what shows the same: it bounds a group's ordered lists by its distinct texts, not its rows
+    linked = F.when(F.col("link_no") != "", order)
+    grain = rows.groupBy("deal", "form_no", "item_code", "in_oa", "day", "doc_no").agg(
+        F.sum("qty").alias("qty"), F.sum("amount").alias("amount"), F.min_by(F.struct(*_ORG, "item_name"), order).alias("first"), F.min_by("link_no", linked).alias("link"), F.min(linked).alias("linked"), F.min("oa_ord").alias("oa_ord"), F.min("erp_ord").alias("erp_ord")
+    )
+
+    def side(prefix: str, mine: Column, link: str) -> list[Column]:
+        own = lambda c: F.when(mine, c)
+        sums = [F.sum(own(F.col(c))).alias(f"{prefix}_{c}") for c in ("qty", "amount")]
+        return [*sums, F.min_by("first", own(order)).alias(f"{prefix}_first"), F.min_by("link", own(F.col("linked"))).alias(f"{prefix}_{link}"), unique_text(f"{prefix}_day", order, "、").alias(f"{prefix}_days"), F.min(f"{prefix}_ord").alias(f"{prefix}_ord"), F.max(mine).alias(f"in_{prefix}")]
+
+    grain = grain.withColumns({"oa_day": F.when(F.col("in_oa"), F.col("day")), "erp_day": F.when(~F.col("in_oa"), F.col("day"))})
+    groups = grain.groupBy("deal", "form_no", "item_code").agg(*side("oa", F.col("in_oa"), "link_no"), *side("erp", ~F.col("in_oa"), "source_no"), unique_text("doc_no", order, ",").alias("erp_doc_nos"))
+    return groups.select("*", *(F.col(f"{p}_first.{c}").alias(f"{p}_{c}") for p in ("oa", "erp") for c in (*_ORG, "item_name"))).drop("oa_first", "erp_first")
 
 
-def compare_groups(oa: DataFrame, erp: DataFrame, ordered: bool = True) -> DataFrame:
+def compare_groups(both: DataFrame, ordered: bool = True, only_shipped: bool = False) -> DataFrame:
     """Detail rows: what OA has, then ERP items that OA lacks, then ERP groups without any OA form.
 
-    Whether a form has rows on a side is told by a window over its rows, so each side's groups are
-    made once. Groups without a form, of which there may be many, are dealt over SPREAD parts: no
-    OA row has a blank form.
+    Whether a form has rows on a side is told by a window over its rows, so each side's groups are made once.
     """
-    left = oa.select("form_no", "item_code", *(F.col(c).alias(f"oa_{c}") for c in ("qty", "amount", *_ORG, "item_name", "link_no", "days")), F.col("_ord").alias("oa_ord"), F.lit(True).alias("in_oa"))
-    right = erp.select("form_no", "item_code", *(F.col(c).alias(f"erp_{c}") for c in ("qty", "amount", *_ORG, "item_name", "source_no", "days", "doc_nos")), F.col("_by").alias("erp_ord"), F.lit(True).alias("in_erp"))
-    has = lambda c: F.coalesce(c, F.lit(False))
-    form = Window.partitionBy("form_no", "part")
-    both = left.join(right, ["form_no", "item_code"], "full_outer").withColumn("part", F.when(F.col("form_no") == "", F.pmod(F.xxhash64("item_code"), F.lit(SPREAD))).otherwise(0))
-    both = both.withColumns({"asked": F.max(has("in_oa")).over(form), "shipped": F.max(has("in_erp")).over(form)})
+    has = F.col
+    form = Window.partitionBy("deal", "form_no")
+    both = both.withColumns({"asked": F.max("in_oa").over(form), "shipped": F.max("in_erp").over(form)})
+    both = both.filter("shipped") if only_shipped else both
     kind = (
         F.when(~F.col("asked"), NO_OA)
         .when(~has("in_erp") & ~F.col("shipped"), NO_ERP)
