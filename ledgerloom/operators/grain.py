@@ -56,10 +56,10 @@ def doc_grain(rows: DataFrame) -> DataFrame:
 
 
 def item_grain(rows: DataFrame) -> DataFrame:
-    """(doc_no, item_code): qty, amount, item_name (the first non-blank), item_ord."""
-    named = rows.groupBy("doc_no", "item_code", "item_name").agg(F.sum("qty").alias("qty"), F.sum("amount").alias("amount"), F.min("_ord").alias("_ord"))
+    """(doc_no, item_code): qty, amount, item_name (the first non-blank), item_ord. Nothing is listed, so rows are summed up
+    where they are read and dealt out once."""
     name = F.coalesce(F.min_by("item_name", F.when(F.col("item_name") != "", F.col("_ord"))), F.lit(""))
-    return named.groupBy("doc_no", "item_code").agg(F.sum("qty").alias("qty"), F.sum("amount").alias("amount"), name.alias("item_name"), F.min("_ord").alias("item_ord"))
+    return rows.groupBy("doc_no", "item_code").agg(F.sum("qty").alias("qty"), F.sum("amount").alias("amount"), name.alias("item_name"), F.min("_ord").alias("item_ord"))
 
 
 def link_frame(rows: DataFrame) -> DataFrame:
