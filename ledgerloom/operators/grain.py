@@ -1,7 +1,7 @@
 """Document and document-item grain of one side.
 
-What a document shows once is first brought to its distinct texts, each with its first order, so
-that lists are bounded by distinct values, however many rows a document has.
+What a document shows is first brought to its distinct texts, each with its first order, so that
+lists are bounded by distinct values, however many rows a document has.
 """
 
 from __future__ import annotations
@@ -10,48 +10,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import append_unique, date_key, in_order
+from ..shared import dealt, file_bytes
 
 DATE_JOIN, LINK_JOIN = "、", ","
 ORG = ("company", "dept1", "dept2")
 _LISTED = ("day", "link_no")
 
 
-def first_texts(rows: DataFrame, columns: tuple[str, ...], sums: bool = True) -> DataFrame:
-    """(doc_no, kind, text) with the first order: every distinct text that isn't blank of the named columns, and one row of
-    kind ``*`` a document with its sums."""
-    order = F.col("_ord")
-    number = lambda c: F.col(c).cast("decimal(28,10)") if sums else F.lit(None).cast("decimal(28,10)")
-    none = F.lit(None).cast("decimal(28,10)")
-    kinds = [F.struct(F.lit("*").alias("kind"), F.lit("").alias("text"), number("qty").alias("qty"), number("amount").alias("amount"))]
-    kinds += [F.when(F.col(c) != "", F.struct(F.lit(c).alias("kind"), F.col(c).alias("text"), none.alias("qty"), none.alias("amount"))) for c in columns]
-    spread = rows.select("doc_no", order.alias("_ord"), F.explode(F.array_compact(F.array(*kinds))).alias("k"))
-    return spread.groupBy("doc_no", "k.kind", "k.text").agg(F.sum("k.qty").alias("qty"), F.sum("k.amount").alias("amount"), F.min("_ord").alias("_ord"))
+def shown_first(c: str) -> Column:
+    """The text with its order, null where it is blank: the least of a document's is what it shows."""
+    return F.when(F.col(c) != "", F.struct(F.col("_ord").alias("o"), F.col(c).alias("t")))
 
 
-def texts_in_order(kind: str) -> Column:
-    """From a document's list of (order, text, kind): the texts of one kind, in order."""
-    return in_order(F.filter(F.col("texts"), lambda t: t["kind"] == kind))
+def first_of(c: str) -> Column:
+    return F.coalesce(F.col(c)["t"], F.lit(""))
 
 
-def first_of(kind: str) -> Column:
-    return F.coalesce(F.get(texts_in_order(kind), F.lit(0)), F.lit(""))
-
-
-def doc_grain(rows: DataFrame) -> DataFrame:
+def doc_grain(rows: DataFrame, met: DataFrame | None = None) -> DataFrame:
     """doc_no: qty, amount, organisation (each first non-blank), doc_date and link_nos (distinct, in order), links, doc_ord.
 
-    Rows of a document that show the same are one before anything is listed, so a document's lists are bounded by what
-    differs in it.
+    With ``met`` (doc_no, cp_qty, cp_amount: what the documents link to) also cp_qty and cp_amount. All of it is dealt out
+    once, by document. Rows of a document that show the same are one before anything is listed, so a document's lists are
+    bounded by what differs in it.
     """
-    day = date_key(F.col("doc_date")).alias("day")
-    parts = rows.groupBy("doc_no", day, "link_no", *ORG).agg(F.sum("qty").alias("qty"), F.sum("amount").alias("amount"), F.min("_ord").alias("_ord"))
-    shown_first = lambda c: F.when(F.col(c) != "", F.struct(F.col("_ord").alias("o"), F.col(c).alias("t")))
+    own = rows.select("doc_no", "doc_date", "link_no", *ORG, "qty", "amount", "_ord")
+    sums = ["qty", "amount"]
+    if met is not None:
+        own, sums = own.unionByName(met, allowMissingColumns=True), [*sums, "cp_qty", "cp_amount"]
+    held = dealt(own, "doc_no", size=file_bytes(rows)).withColumn("day", date_key(F.col("doc_date")))
+    parts = held.groupBy("doc_no", "day", "link_no", *ORG).agg(*(F.sum(c).alias(c) for c in sums), F.min("_ord").alias("_ord"))
     docs = parts.groupBy("doc_no").agg(
-        F.sum("qty").alias("qty"), F.sum("amount").alias("amount"), F.min("_ord").alias("doc_ord"), *(F.min(shown_first(c)).alias(c) for c in ORG), *(F.collect_list(shown_first(c)).alias(c) for c in _LISTED)
+        *(F.sum(c).alias(c) for c in sums), F.min("_ord").alias("doc_ord"), *(F.min(shown_first(c)).alias(c) for c in ORG), *(F.collect_list(shown_first(c)).alias(c) for c in _LISTED)
     )
     links = F.array_distinct(in_order(F.col("link_no")))
     return docs.select(
-        "doc_no", "qty", "amount", *(F.coalesce(F.col(c)["t"], F.lit("")).alias(c) for c in ORG), append_unique(in_order(F.col("day")), DATE_JOIN).alias("doc_date"), append_unique(links, LINK_JOIN).alias("link_nos"), links.alias("links"), "doc_ord"
+        "doc_no", *sums, *(first_of(c).alias(c) for c in ORG), append_unique(in_order(F.col("day")), DATE_JOIN).alias("doc_date"), append_unique(links, LINK_JOIN).alias("link_nos"), links.alias("links"), "doc_ord"
     )
 
 
@@ -65,3 +58,8 @@ def item_grain(rows: DataFrame) -> DataFrame:
 def link_frame(rows: DataFrame) -> DataFrame:
     """Distinct (doc_no, link_no) with a link, and the order in which it was first seen."""
     return rows.filter("link_no <> ''").groupBy("doc_no", "link_no").agg(F.min("_ord").alias("link_ord"))
+
+
+def links_of(rows: DataFrame) -> DataFrame:
+    """Distinct (doc_no, link_no) with a link."""
+    return rows.filter("link_no <> ''").select("doc_no", "link_no").distinct()

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.exprs import by_priority, round2, shown
 from ..model import EQUAL, ERP_VIEW, ITEMS_DIFFER, NO_ERP, NO_OA, OA_VIEW, QTY_DIFFERS, TYPE_PRIORITY, Direction, QueryFilters
 from ..operators.filters import keyed, selected
-from ..operators.grain import ORG, first_of, first_texts
+from ..operators.grain import ORG, first_of, links_of, shown_first
+from ..shared import dealt, file_bytes
 
 
 def difference_type(matched: Column, mismatch: Column, qty_diff: Column, unmatched_type: str) -> Column:
@@ -21,26 +22,25 @@ def classified_documents(oa: DataFrame, erp: DataFrame, direction: Direction = D
 
     A document is matched if some link is any document number of the other side, also one whose
     rows all lack an item code. Sums are rounded for each document before they are added up.
+
+    The other side's rows are dealt out once, by document, to meet the links; what they come to is dealt out once with
+    the filter side's rows, by that side's document. Items, then documents, are summed up in the tasks that get them.
     """
     forward = direction is Direction.FORWARD
     primary, other = (oa, erp) if forward else (erp, oa)
     rows = keyed(selected(primary, filters or QueryFilters()))
-    own = rows.groupBy("doc_no", "item_code").agg(F.sum("qty").alias("qty"), F.sum("amount").alias("amount"))
-    links = rows.filter("link_no <> ''").select("doc_no", "link_no").distinct()
-    theirs = other.filter("doc_no <> ''").groupBy(F.col("doc_no").alias("link_no"), "item_code").agg(F.sum("qty").alias("cp_qty"), F.sum("amount").alias("cp_amount"))
-    met = links.join(theirs, "link_no").select("doc_no", "item_code", "cp_qty", "cp_amount", F.lit(True).alias("matched"))
-    items = own.unionByName(met, allowMissingColumns=True).groupBy("doc_no", "item_code").agg(*(F.sum(c).alias(c) for c in ("qty", "amount", "cp_qty", "cp_amount")), F.max("matched").alias("matched"))
+    shipped = other.filter("doc_no <> ''").select(F.col("doc_no").alias("link_no"), "item_code", "qty", "amount")
+    theirs = dealt(shipped, "link_no", size=file_bytes(other)).groupBy("link_no", "item_code").agg(F.sum("qty").alias("cp_qty"), F.sum("amount").alias("cp_amount"))
+    met = links_of(rows).join(theirs, "link_no").select("doc_no", "item_code", "cp_qty", "cp_amount", F.lit(True).alias("matched"))
+    own = rows.select("doc_no", "item_code", "qty", "amount", *ORG, "_ord").unionByName(met, allowMissingColumns=True)
+    numbers = ("qty", "amount", "cp_qty", "cp_amount")
+    heads = [F.min(shown_first(c)).alias(c) for c in ORG]
+    items = dealt(own, "doc_no", size=file_bytes(rows)).groupBy("doc_no", "item_code").agg(*(F.sum(c).alias(c) for c in numbers), F.max("matched").alias("matched"), *heads, F.min("_ord").alias("doc_ord"))
     # a counterpart's rows without an item code make its document known and nothing else
     has_item = F.col("item_code") != ""
-    sums = [F.when(has_item, F.col(c)).alias(c) for c in ("qty", "amount", "cp_qty", "cp_amount")]
-    parts = items.select("doc_no", *sums, "matched", (has_item & ((round2(F.col("qty")) == 0) != (round2(F.col("cp_qty")) == 0))).alias("mismatch"))
-    texts = first_texts(rows, ORG, sums=False).select("doc_no", F.struct(F.col("_ord").alias("o"), F.col("text").alias("t"), F.col("kind").alias("kind")).alias("first"))
-    entry = F.col("first")
-    docs = parts.unionByName(texts, allowMissingColumns=True).groupBy("doc_no").agg(
-        *(F.sum(c).alias(c) for c in ("qty", "amount", "cp_qty", "cp_amount")), F.max("matched").alias("matched"), F.max("mismatch").alias("mismatch"), F.min("first.o").alias("doc_ord"),
-        F.collect_list(F.when(entry["kind"] != "*", entry)).alias("texts"),
-    )
-    rounded = {c: round2(F.col(c)) for c in ("qty", "amount", "cp_qty", "cp_amount")}
+    mismatch = has_item & ((round2(F.col("qty")) == 0) != (round2(F.col("cp_qty")) == 0))
+    docs = items.groupBy("doc_no").agg(*(F.sum(F.when(has_item, F.col(c))).alias(c) for c in numbers), F.max("matched").alias("matched"), F.max(mismatch).alias("mismatch"), *(F.min(c).alias(c) for c in ORG), F.min("doc_ord").alias("doc_ord"))
+    rounded = {c: round2(F.col(c)) for c in numbers}
     oa_side, erp_side = ("", "cp_") if forward else ("cp_", "")
     is_matched = F.coalesce("matched", F.lit(False))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("decimal(38,10)"))

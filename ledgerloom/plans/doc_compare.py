@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import shown
 from ..model import ITEM_ROW, SUMMARY_ROW, QueryFilters
 from ..operators.filters import keyed, selected
-from ..operators.grain import doc_grain, item_grain, link_frame
+from ..operators.grain import doc_grain, item_grain, link_frame, links_of
 
 COLUMNS = ("row_type", "company", "dept1", "dept2", "doc_date", "doc_no", "qty", "amount", "link_nos", "cp_qty", "cp_amount", "qty_diff", "amount_diff", "item_code", "item_name", "remark")
 #: What orders an output whose documents may show their items: document, summary before items, own items before others.
@@ -29,16 +29,13 @@ class DocCompare:
     counterpart: DataFrame
 
     def summary(self, ordered: bool = True) -> DataFrame:
-        """One row a document. Its links are followed to the sums of whole counterpart documents and brought back in one
-        line of steps, so each side is read once."""
+        """One row a document. Its links, told by document number alone, are followed to the sums of whole counterpart
+        documents, and what they come to is dealt out with the documents' own rows."""
         return _output(self._summary_rows(), SUMMARY_ROW, ["doc_ord"] if ordered else None)
 
     def _summary_rows(self) -> DataFrame:
-        docs = doc_grain(self.primary)
         theirs = self.counterpart.groupBy(F.col("doc_no").alias("link_no")).agg(F.sum("qty").alias("cp_qty"), F.sum("amount").alias("cp_amount"))
-        own = [c for c in docs.columns if c != "links"]
-        met = docs.select(*own, F.explode_outer("links").alias("link_no")).join(theirs, "link_no", "left")
-        return met.groupBy(*own).agg(F.sum("cp_qty").alias("cp_qty"), F.sum("cp_amount").alias("cp_amount"))
+        return doc_grain(self.primary, links_of(self.primary).join(theirs, "link_no").select("doc_no", "cp_qty", "cp_amount"))
 
     def documents(self) -> DataFrame:
         """The filtered side's documents as :func:`doc_grain` gives them, without the other side."""

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of files read that one part of what is dealt out by :func:`dealt` stands for.
+BYTES_A_PART = 16 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; in local mode one is made where it is unset."""
@@ -32,6 +35,28 @@ def scratch(df: DataFrame, label: str, *, by: tuple[str, ...] = ()) -> DataFrame
     return found
 
 
+def file_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` reads, as their store tells them; no file is opened."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()  # noqa: SLF001
+    files = [jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)) for f in df.inputFiles()]
+    return sum(f.getFileSystem(conf).getFileStatus(f).getLen() for f in files)
+
+
+def parts_for(spark: SparkSession, size: int) -> int:
+    """In how many parts so many bytes are dealt out: the session's number, or more where a part would get too large."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BYTES_A_PART))
+
+
+def dealt(df: DataFrame, *by: str, size: int) -> DataFrame:
+    """``df`` dealt out by ``by`` once; what is grouped by these columns and others then stays in the task that gets it.
+
+    Tasks grow in number with ``size``, the bytes that it is made from, and not in what each holds.
+    """
+    n = parts_for(df.sparkSession, size)
+    few = n == int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(*by) if few else df.repartition(n, *by)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete scratch tables that nothing reads any more; other tables are left alone."""
     for df in tables:
