@@ -51,6 +51,24 @@ def classified_documents(oa: DataFrame, erp: DataFrame, direction: Direction = D
     )
 
 
+def unmatched_documents(oa: DataFrame, erp: DataFrame, direction: Direction = Direction.FORWARD, filters: QueryFilters | None = None) -> DataFrame:
+    """The documents of :func:`classified_documents` that aren't matched: company, doc_no, type, oa_qty, erp_qty.
+
+    None of their links is a document of the other side, which then has nothing to add up: no item of either side is
+    dealt out, only documents and links.
+    """
+    forward = direction is Direction.FORWARD
+    primary, other = (oa, erp) if forward else (erp, oa)
+    rows = keyed(selected(primary, filters or QueryFilters()))
+    known = other.filter("doc_no <> ''").select(F.col("doc_no").alias("link_no")).distinct()
+    matched = links_of(rows).join(known, "link_no", "left_semi").select("doc_no", F.lit(True).alias("matched"))
+    parts = rows.groupBy("doc_no", "company").agg(F.sum("qty").alias("qty"), F.min("_ord").alias("_ord")).unionByName(matched, allowMissingColumns=True)
+    docs = dealt(parts, "doc_no", size=file_bytes(rows)).groupBy("doc_no").agg(F.sum("qty").alias("qty"), F.min(shown_first("company")).alias("company"), F.max("matched").alias("matched")).filter("matched IS NULL")
+    own, none = round2(F.col("qty")), round2(F.lit(None).cast("decimal(38,10)"))
+    oa_qty, erp_qty = (own, none) if forward else (none, own)
+    return docs.select(first_of("company").alias("company"), "doc_no", F.lit(NO_ERP if forward else NO_OA).alias("type"), oa_qty.alias("oa_qty"), erp_qty.alias("erp_qty"))
+
+
 def department_summary(oa: DataFrame, erp: DataFrame, direction: Direction = Direction.FORWARD, filters: QueryFilters | None = None, ordered: bool = True) -> DataFrame:
     """Counts, sums (differences are always OA minus ERP) and the types found, by company and departments."""
     docs = classified_documents(oa, erp, direction, filters)

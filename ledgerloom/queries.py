@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.exprs import append_unique, bigrams, cell_safe_note, date_key, in_order, norm_text, serial_date, text_date, text_decimal
-from .model import NO_ERP, NO_OA, OA_HEADERS, Direction, OutputKind, QueryFilters, QueryState
+from .model import OA_HEADERS, Direction, OutputKind, QueryFilters, QueryState
 from .operators.index import CandidateIndex
 from .operators.place import with_place
 from .operators.precheck import ISSUE, cell_issues, duplicate_issues, orphan_issues, precheck
 from .operators.search import bigram_index, distinct_candidates, indexed_search, search
-from .plans.dept_summary import classified_documents, department_summary
+from .plans.dept_summary import classified_documents, department_summary, unmatched_documents
 from .plans.detail import detail_compare, detail_summary, erp_groups, erp_only_rows, erp_rows_of_sources, oa_groups
 from .plans.doc_compare import EXPANDED_ORDER, compare_documents
 from .plans.engine import ReconEngine
@@ -79,9 +79,9 @@ def _expand_order(spark: SparkSession, d: str) -> DataFrame:
     return _placed(_expand(spark, d).select("doc_no", "item_code"), "doc_no")
 
 
-def _both_directions(spark: SparkSession, d: str) -> DataFrame:
+def _both_directions(spark: SparkSession, d: str, documents: Callable[..., DataFrame] = classified_documents) -> DataFrame:
     sides = _both(spark, d)
-    forward, reverse = (classified_documents(*sides, direction).withColumn("direction", F.lit(direction.value)) for direction in (Direction.FORWARD, Direction.REVERSE))
+    forward, reverse = (documents(*sides, direction).withColumn("direction", F.lit(direction.value)) for direction in (Direction.FORWARD, Direction.REVERSE))
     return forward.unionByName(reverse)
 
 
@@ -333,7 +333,7 @@ def _engine_variance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _unmatched(spark: SparkSession, d: str) -> DataFrame:
-    return _both_directions(spark, d).filter(F.col("type").isin(NO_ERP, NO_OA)).select("direction", "doc_no", "company", F.col("oa_qty").cast("double").alias("oa_qty"), F.col("erp_qty").cast("double").alias("erp_qty"))
+    return _both_directions(spark, d, unmatched_documents).select("direction", "doc_no", "company", F.col("oa_qty").cast("double").alias("oa_qty"), F.col("erp_qty").cast("double").alias("erp_qty"))
 
 
 QUERIES: dict[str, Query] = {
