@@ -14,12 +14,18 @@ from pyspark.sql import functions as F
 from ..functions.exprs import by_priority, date_key, first_text, round2, shown, unique_text
 from ..model import EQUAL, ERP_ONLY_REMARK, ITEMS_DIFFER, NO_ERP, NO_OA, QTY_DIFFERS, TYPE_PRIORITY, Direction, QueryFilters
 from ..operators.filters import keyed, selected
+from ..shared import dealt, file_bytes
 
 _ORG = ("company", "dept1", "dept2")
 #: Parts that groups without a form are dealt over.
 SPREAD = 64
 
 
+def _deal(form: Column, item: Column) -> Column:
+    """What a form's rows are dealt out by; rows without a form, of which there may be many, over SPREAD parts by item."""
+    return F.xxhash64(form, F.when(form == "", F.pmod(F.xxhash64(item), F.lit(SPREAD))).otherwise(0))
+
+
 def _distinct_grain(rows: DataFrame, keys: list[str], texts: list[str], link: str) -> DataFrame:
     """One row for each value of ``keys`` and ``texts``, with sums, the first order and row texts, and the first link that
     isn't blank with its order. It bounds the ordered lists of a group by its distinct texts, not its rows."""
@@ -42,11 +48,13 @@ def oa_groups(rows: DataFrame) -> DataFrame:
     )
 
 
-def erp_groups(rows: DataFrame, order: Column) -> DataFrame:
-    """(form_no, item_code) of ERP rows that carry the form they are grouped under; blank forms are one group an item."""
+def erp_groups(rows: DataFrame, order: Column, dealt_by: tuple[str, ...] = ()) -> DataFrame:
+    """(form_no, item_code) of ERP rows that carry the form they are grouped under; blank forms are one group an item.
+    ``dealt_by`` names columns, settled by these two, that the rows are already dealt out by."""
     own = rows.filter("item_code <> ''").withColumn("day", date_key(F.col("doc_date"))).withColumn("_by", order)
-    grain = _distinct_grain(own, ["form_no", "item_code"], ["day", "doc_no"], "source_no")
-    return grain.groupBy("form_no", "item_code").agg(
+    keys = [*dealt_by, "form_no", "item_code"]
+    grain = _distinct_grain(own, keys, ["day", "doc_no"], "source_no")
+    return grain.groupBy(*keys).agg(
         F.sum("qty").alias("qty"), F.sum("amount").alias("amount"), *(first_text(c, F.col("_by")).alias(c) for c in (*_ORG, "item_name")), _first_link("source_no").alias("source_no"),
         unique_text("day", F.col("_by"), "、").alias("days"), unique_text("doc_no", F.col("_by"), ",").alias("doc_nos"), F.min("_by").alias("_by"),
     )
@@ -71,10 +79,14 @@ def erp_rows_of_sources(erp: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def erp_only_rows(erp: DataFrame, oa: DataFrame, filters: QueryFilters | None = None) -> DataFrame:
-    """Filtered ERP groups whose source form no OA row has."""
-    own = selected(erp, filters or QueryFilters()).withColumn("form_no", F.col("link_no"))
-    forms = oa.filter("doc_no <> ''").select(F.col("doc_no").alias("form_no")).distinct()
-    return erp_groups(own, F.col("_ord")).join(forms, "form_no", "left_anti")
+    """Filtered ERP groups whose source form no OA row has. Rows are dealt out once, by form, to see whether it is known;
+    those left are grouped in the tasks that got them."""
+    form = F.col("form_no")
+    own = selected(erp, filters or QueryFilters()).filter("item_code <> ''").withColumn("form_no", F.col("link_no")).withColumn("deal", _deal(form, F.col("item_code")))
+    forms = oa.filter("doc_no <> ''").select(F.col("doc_no").alias("form_no")).distinct().withColumn("deal", _deal(form, F.lit("")))
+    size = file_bytes(erp)
+    left = dealt(own, "deal", "form_no", size=size).join(dealt(forms, "deal", "form_no", size=size), ["deal", "form_no"], "left_anti")
+    return erp_groups(left, F.col("_ord"), ("deal",)).drop("deal")
 
 
 @dataclass
@@ -111,7 +123,7 @@ def form_items(oa: DataFrame, erp: DataFrame, erp_order: Column) -> DataFrame:
     common = [*_ORG, "item_name", "qty", "amount", "link_no", date_key(F.col("doc_date")).alias("day")]
     asked = keyed(oa).select(F.col("doc_no").alias("form_no"), "item_code", *common, F.lit("").alias("doc_no"), F.col("_ord").alias("oa_ord"))
     shipped = erp.filter("item_code <> ''").select("form_no", "item_code", *common, "doc_no", erp_order.alias("erp_ord"))
-    deal = F.xxhash64("form_no", F.when(F.col("form_no") == "", F.pmod(F.xxhash64("item_code"), F.lit(SPREAD))).otherwise(0))
+    deal = _deal(F.col("form_no"), F.col("item_code"))
     rows = asked.withColumn("in_oa", F.lit(True)).unionByName(shipped.withColumn("in_oa", F.lit(False)), allowMissingColumns=True).withColumn("deal", deal).repartition("deal")
     order = F.struct("oa_ord", "erp_ord")  # one of them is null for all rows of a side
     # one row for what shows the same: it bounds a group's ordered lists by its distinct texts, not its rows

@@ -4,6 +4,7 @@ import re
 
 from ledgerloom.model import Direction, QueryFilters
 from ledgerloom.plans.dept_summary import classified_documents, unmatched_documents
+from ledgerloom.plans.detail import erp_only_rows
 from ledgerloom.plans.doc_compare import compare_documents
 from ledgerloom.sources.tables import canonical
 
@@ -60,3 +61,10 @@ def test_unmatched_documents_without_items(spark):
             want = classified_documents(*sides(spark), direction, filters).filter("NOT matched").select(*found.columns)
             rows = sorted(map(tuple, found.collect()))
             assert rows and rows == sorted(map(tuple, want.collect()))
+
+
+def test_erp_only_rows_are_dealt_out_once(spark):
+    oa, erp = sides(spark)
+    df = erp_only_rows(erp, oa)
+    assert {keys for keys in dealt_by(df)} <= {"deal, form_no", "form_no"}
+    assert sorted((r["form_no"], r["item_code"], float(r["qty"])) for r in df.collect()) == [("", "M1", 1.0), ("X1", "M1", 1.0)]
