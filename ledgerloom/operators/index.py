@@ -18,6 +18,8 @@ from .search import MOST_SHOWN
 
 #: Parts that a field's grams are dealt over.
 PARTS = 16
+#: Candidates of a batch that each piece of the parts' postings stands for, so that a task's share doesn't grow with the batch.
+VALUES_A_PIECE = 500_000
 
 _GRAMS = "gram string, n long, field string, batch int"
 _POSTINGS = "gram string, value string, _ord decimal(38,0), field string, part int, batch int"
@@ -65,10 +67,14 @@ class CandidateIndex:
         values = self._read("values", _VALUES).filter(F.col("batch") == batch)
         rows = values.select(F.explode(bigrams(F.col("value"))).alias("gram"), "value", "_ord", "field", "batch")
         dealt = rows.withColumn("part", F.pmod(F.crc32(F.encode("gram", "utf-8")), F.lit(PARTS)).cast("int"))
-        self._write(dealt.select("gram", "value", "_ord", "field", "part", "batch").repartition("field", "part"), "postings", "field", "part", "batch")
+        n = values.count()
+        pieces = max(1, -(-n // VALUES_A_PIECE))
+        postings = dealt.select("gram", "value", "_ord", "field", "part", "batch")
+        postings = postings.repartition("field", "part") if pieces == 1 else postings.repartition(PARTS * pieces, "field", "part", F.pmod(F.xxhash64("value"), F.lit(pieces)))
+        self._write(postings, "postings", "field", "part", "batch")
         counts = self._read("postings", _POSTINGS).filter(F.col("batch") == batch).groupBy("gram", "field", "batch").agg(F.count(F.lit(1)).alias("n"))
         self._write(counts.select("gram", "n", "field", "batch").union(self.spark.createDataFrame([("", 0, "", batch)], _GRAMS)), "grams", "field", "batch")
-        return values.count()
+        return n
 
     def _write(self, df: DataFrame, table: str, *by: str) -> None:
         """A batch's rows; what a batch cut short has left is written over."""

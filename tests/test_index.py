@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import ledgerloom.operators.index as operators_index
 from ledgerloom.operators.index import CandidateIndex, grams_of, part_of
 from ledgerloom.operators.search import search
 
@@ -64,3 +65,16 @@ def test_a_query_reads_its_rarest_gram_alone(spark, rows, tmp_path):
     assert all(f"isnotnull({c}" in filters for c in ("batch", "field", "part"))
     files = index.matches("f", "管接").inputFiles()
     assert all(f"part={part_of('管接')}" in f for f in index.matches("f", "管接").select("value", F.input_file_name().alias("f")).toPandas()["f"]) and files
+
+
+def test_postings_of_a_large_batch_are_dealt_over_pieces(spark, rows, tmp_path, monkeypatch):
+    """More candidates make more pieces of a gram's postings, not larger ones; what is found stays."""
+    whole, cut = CandidateIndex(spark, str(tmp_path / "a")), CandidateIndex(spark, str(tmp_path / "b"))
+    many = rows.select("field", "value", "_ord").union(spark.range(300).selectExpr("'f'", "concat('banana ', id)", "id + 100"))
+    whole.add(many)
+    monkeypatch.setattr(operators_index, "VALUES_A_PIECE", 20)
+    cut.add(many)
+    files = lambda index: index.matches("f", "banana").select(F.input_file_name()).distinct().count()
+    assert files(whole) == 1 and files(cut) > 8
+    for text in (*TEXTS, "banana 1", "a 29"):
+        assert named(cut.search("f", text, 500)) == named(whole.search("f", text, 500)), text
