@@ -41,8 +41,10 @@ def has_content(matrix: DataFrame) -> bool:
 
 
 def find_header(matrix: DataFrame, required: Sequence[str], *, first_row: int | None = None, least: int = 5) -> Header:
-    """The header of a (_ord, cells) matrix, from its first rows only."""
-    first = matrix.orderBy("_ord").limit(SCAN_ROWS).collect()
+    """The header of a (_ord, cells) matrix, from its first rows only. They are found by their order; no other row's cells
+    are worked out."""
+    last = matrix.select("_ord").orderBy("_ord").limit(SCAN_ROWS).agg(F.max("_ord")).first()[0]
+    first = [] if last is None else matrix.filter(F.col("_ord") <= F.lit(last)).orderBy("_ord").limit(SCAN_ROWS).collect()
     return detect_header([r.cells for r in first], required, least=least, first_row=first_row)
 
 
@@ -57,7 +59,7 @@ def parse_table(matrix: DataFrame, required: dict[str, str], *, first_row: int |
     body = matrix.filter(F.col("_ord") > header.row)
     label = F.concat(F.lit(""), (F.col("_ord") + first_row).cast("string")) if first_row is not None else F.concat(F.lit("相对 UsedRange 第 "), (F.col("_ord") + 1).cast("string"), F.lit(" 行"))
     named = {h: i for i, h in enumerate(header.cells) if h} | header.index
-    filled = body.filter(F.exists(F.array(*(F.get("cells", F.lit(i)) for i in named.values())), lambda c: norm_text(c) != ""))
+    filled = body.filter(reduce(or_, (norm_text(F.get("cells", F.lit(i))) != "" for i in named.values()), F.lit(False)))  # ends at a row's first text
     cell = lambda h: F.get("cells", F.lit(named[h])) if h in named else F.lit(None).cast("string")
     columns = [cell(h).alias(c) for c, h in required.items()] if prune else [cell(h).alias(h) for h in named]
     return filled.select("_ord", label.alias("row_label"), *columns), TableMeta(header.cells, row_label(header.row, first_row), "matrix")
