@@ -13,16 +13,15 @@ of all tokens, learned from or held out, are wide: all tasks know them, and toke
 dealt by the next longer suffix. So no group grows beyond a bound, and wide contexts can't be many.
 
 Tasks hold the most frequent words and the most frequent next words of wide contexts. What else a
-task needs of either, it asks for: keys of all its tokens are joined with the counts and come back
-to it before it tests or scores anything. So results don't depend on how much is held.
+task needs of either, it asks for: the keys of all its tokens go, packed, to where their counts lie,
+and the counts come back to it before it tests or scores anything. So results don't depend on how
+much is held.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
-from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -48,8 +47,8 @@ DISCOUNT = 0.75
 #: than one in WIDE_SHARE (balance only, never results).
 WIDE_PART, WIDE_TOKENS, WIDE_SHARE = 250, 2_000_000, 20_000
 #: Tokens of a shard on average, shards that a task takes one after the other; bytes of text that a task lays out at a time;
-#: keys that a task gathers before it drops repeated ones.
-SHARD_TOKENS, SHARDS_A_TASK, BYTES_AT_ONCE, KEYS_HELD = 500_000, 4, 4_000_000, 1_000_000
+#: keys that a task gathers before it drops repeated ones; counts of what isn't held that lie together.
+SHARD_TOKENS, SHARDS_A_TASK, BYTES_AT_ONCE, KEYS_HELD, TOLD_A_PART = 500_000, 4, 4_000_000, 1_000_000, 250_000
 
 END = b""
 _RARE, _START, _SHORT, _NONE = 1 << 62, 1 << 61, 1 << 33, -1
@@ -61,21 +60,33 @@ def tokens(text: str) -> list[bytes]:
     return [*text.encode("utf-8", "replace").lower().split(), END]
 
 
+def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(tokens of each text, each token's place in a list of words, that list): what :func:`tokens` gives, worked out on columns."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = split.flatten().dictionary_encode()
+    listed, at = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
+    text = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
+    if END in listed:  # before and after white space at a text's edge
+        inside = at != listed.index(END)
+        at, text = at[inside], text[inside]
+    else:
+        listed.append(END)
+    sizes = np.bincount(text, minlength=len(texts)) + 1
+    number = np.full(int(sizes.sum()), listed.index(END))
+    word = np.ones(len(number), bool)
+    word[np.cumsum(sizes) - 1] = False
+    number[word] = at
+    return sizes, number, listed
+
+
 class Codes(dict):
     """Ranks of the head words; a hash with a mark for the others."""
 
     def __missing__(self, word: bytes) -> int:
         return xxhash.xxh64_intdigest(word, 42) >> 2 | _RARE
 
-    def of(self, words: list[bytes]) -> Iterator[int]:
-        return map(self.__getitem__, words)
-
-
-class Known(dict):
-    """Codes of some words alone; -2 stands for all others."""
-
-    def of(self, words: list[bytes]) -> Iterator[int]:
-        return map(self.get, words, repeat(-2))
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 def rare_code(word: Column) -> Column:
@@ -108,9 +119,7 @@ class Tokens:
     before: list[np.ndarray]
 
     @classmethod
-    def of(cls, words: list[list[bytes]], codes: Codes | Known) -> Tokens:
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        code = np.concatenate([np.fromiter(codes.of(w), np.int64, len(w)) for w in words]) if len(words) else np.zeros(0, np.int64)
+    def of(cls, sizes: np.ndarray, code: np.ndarray) -> Tokens:
         short = shortened(code)
         place = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         before = []
@@ -120,7 +129,13 @@ class Tokens:
             own[place < k] = _NONE
             own[place == k - 1] = _START
             before.append(own)
-        return cls(np.repeat(np.arange(len(words)), sizes), code, before)
+        return cls(np.repeat(np.arange(len(sizes)), sizes), code, before)
+
+
+def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group of each key, first place of each group), groups in the order in which they come."""
+    group = pd.factorize(keys)[0]
+    return group, np.flatnonzero(np.diff(np.maximum.accumulate(group), prepend=-1))
 
 
 def _looked_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,19 +169,14 @@ def tested(context: np.ndarray, n: np.ndarray, totals: np.ndarray, expected: np.
 
 @dataclass
 class Facts:
-    """What tasks ask for: training counts of words outside the head, masses of (wide context, next word) that aren't held."""
+    """What tasks ask for, by ascending keys: training counts of words outside the head, masses of (wide context, next word)
+    that aren't held."""
 
     words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     entries: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     mass: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
-    @classmethod
-    def of(cls, kind: np.ndarray, key: np.ndarray, value: np.ndarray) -> Facts:
-        word = kind == _WORD
-        words, entries = np.argsort(key[word]), np.argsort(key[~word].view(np.uint64))
-        return cls(key[word][words], np.rint(value[word][words]).astype(np.int64), key[~word].view(np.uint64)[entries], value[~word][entries])
-
 
 @dataclass
 class WideLevel:
@@ -251,15 +261,15 @@ def grown(t: Tokens, training: np.ndarray, depth: np.ndarray, mass: np.ndarray,
         state = folded(state, t.before[d - 1])
         live &= t.before[d - 1] != _NONE
         at = np.flatnonzero(live & (depth < d))
-        contexts, context = np.unique(state[at], return_inverse=True)
-        totals = np.bincount(context[training[at]], minlength=len(contexts))
+        context, one = _grouped(state[at])
+        totals = np.bincount(context[training[at]], minlength=len(one))
         often = totals[context] >= LEAST_CONTEXT
         live[at[~often]] = False
         at, context = at[often], context[often]
         if not len(at):
             kept.append(0)
             continue
-        _, first, entry = np.unique(entry_of(state[at], t.code[at]), return_index=True, return_inverse=True)
+        entry, first = _grouped(entry_of(state[at], t.code[at]))
         n = np.bincount(entry[training[at]], minlength=len(first))
         counted = n >= LEAST_NEXT
         lead = at[first[counted]]
@@ -281,19 +291,25 @@ def word_counts(docs: DataFrame) -> DataFrame:
     schema = arrow_of("word binary, n long, m long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[Counter[bytes], Counter[bytes]] = (Counter(), Counter())
+        held, n = [], 0
 
         def given() -> Iterator[pa.RecordBatch]:
-            for training, own in enumerate(held):
-                n = list(own.values())
-                yield rows_out(schema, [list(own), n if training else [0] * len(n), n])
-                own.clear()
+            summed = pa.Table.from_batches(held, schema).group_by("word", use_threads=False).aggregate([("n", "sum"), ("m", "sum")])
+            held.clear()
+            yield from summed.select(["word", "n_sum", "m_sum"]).rename_columns(schema.names).cast(schema).to_batches()
 
         for batch in bounded(batches):
-            for text, training in zip(batch.column("text").to_pylist(), batch.column("training").to_pylist(), strict=True):
-                held[training].update(tokens(text))
-            if len(held[0]) + len(held[1]) > 500_000:
-                yield from given()
+            sizes, number, words = numbered(batch.column("text"))
+            training = np.repeat(batch.column("training").to_numpy(zero_copy_only=False).astype(bool), sizes)
+            held.append(rows_out(schema, [words, np.bincount(number[training], minlength=len(words)), np.bincount(number, minlength=len(words))]))
+            n += len(words)
+            if n > 1_000_000:
+                held[:] = given()
+                n = sum(map(len, held))
+                if n > 500_000:
+                    yield from held
+                    held.clear()
+                    n = 0
         yield from given()
 
     return docs.select("text", "training").mapInArrow(run, "word binary, n long, m long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
@@ -308,7 +324,6 @@ def wide_counts(docs: DataFrame, top: Top, wide: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top, wide = shipped.value
         codes, held, n = top.codes(), [], 0
-        known = Known({top.words[i]: i for i in wide.tolist() if i < len(top.words)})
 
         def summed() -> pa.RecordBatch:
             frame = pd.concat(held) if held else pd.DataFrame({c: [] for c in schema.names}, dtype="int64")
@@ -318,18 +333,17 @@ def wide_counts(docs: DataFrame, top: Top, wide: np.ndarray) -> DataFrame:
 
         with np.errstate(over="ignore"):
             for batch in bounded(batches):
-                words = [tokens(x) for x in batch.column("text").to_pylist()]
-                t = Tokens.of(words, known)
-                training = np.array(batch.column("training").to_pylist(), bool)[t.doc]
+                sizes, number, words = numbered(batch.column("text"))
+                t = Tokens.of(sizes, codes.of(words)[number])
+                training = batch.column("training").to_numpy(zero_copy_only=False).astype(bool)[t.doc]
                 at = np.flatnonzero(_looked_up(wide, t.before[0])[1])
-                flat = list(chain.from_iterable(words))
-                code, state = np.fromiter(map(codes.__getitem__, map(flat.__getitem__, at.tolist())), np.int64, len(at)), np.zeros(len(at), np.uint64)
+                code, state = t.code[at], np.zeros(len(at), np.uint64)
                 for d in range(1, DEPTH + 1):
                     inside = _looked_up(wide, t.before[d - 1][at])[1]
                     at, code, suffix = at[inside], code[inside], state[inside]
                     state = folded(suffix, t.before[d - 1][at])
-                    _, first, same, count = np.unique(entry_of(state, code), return_index=True, return_inverse=True, return_counts=True)
-                    own = np.bincount(same[training[at]], minlength=len(first))
+                    same, first = _grouped(entry_of(state, code))
+                    own, count = np.bincount(same[training[at]], minlength=len(first)), np.bincount(same, minlength=len(first))
                     held.append(pd.DataFrame({"depth": d, "suffix": suffix[first].view(np.int64), "state": state[first].view(np.int64), "code": code[first], "n": own, "m": count}))
                     n += len(first)
                 if n > 600_000:
@@ -423,43 +437,90 @@ def _column(raw: np.ndarray, at: int, size: int, kind: type) -> tuple[np.ndarray
     return np.ascontiguousarray(raw[at : at + width * size].reshape(width, size).T).reshape(-1).view(kind), at + width * size
 
 
-def packed(t: Tokens, training: np.ndarray) -> bytes:
-    """Tokens of few texts, compressed: ranks of head words as they are, what else stands for a word by its place in a list of
-    these, all numbers as planes of bytes."""
-    columns = np.stack([t.code, *t.before])
-    odd = (columns < 0) | (columns >= 1 << 31)
-    values, number = np.unique(columns[odd], return_inverse=True)
-    short = columns.astype(np.int32)
-    short[odd] = -1 - number
-    head = np.array([len(values), len(t.code)], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(map(_planes, (values, *short, np.diff(t.doc, prepend=0).astype(np.int32), training))))
+_LISTED, _FROM = 0, 3  # a column's 0 stands for a listed value, 1 for the start, 2 for no word; ranks begin at 3
+
+
+def _narrow(code: np.ndarray) -> np.ndarray:
+    short = (code + _FROM).astype(np.int32)
+    for mark, wide in ((_LISTED, code >= _SHORT), (1, code == _START), (2, code == _NONE)):
+        short[wide] = mark
+    return short
+
+
+def _bytes_of(column: np.ndarray) -> list[np.ndarray]:
+    """The planes of bytes of numbers from 0 on, as many as the largest needs."""
+    return [(column >> shift).astype(np.uint8) for shift in range(0, max(int(column.max(initial=0)).bit_length(), 1), 8)]
+
+
+def _from_bytes(raw: np.ndarray, at: int, size: int, planes: int, kind: type) -> tuple[np.ndarray, int]:
+    own = raw[at : at + size].astype(kind)
+    for k in range(1, planes):
+        own |= raw[at + k * size : at + (k + 1) * size].astype(kind) << (8 * k)
+    return own, at + planes * size
 
 
-def _raw(data: bytes) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """The bytes, the listed values, where what follows them begins, and how many tokens there are."""
+_HEAD = 2 * DEPTH + 5
+
+
+class Packer:
+    """Packs runs of tokens, compressed: ranks of head words as they are, words outside the head listed in their order, all
+    numbers as planes of bytes. Columns are made for all tokens at once, so a short run costs little.
+
+    A run begins with how many tokens it has, how many listed values and planes each column has, its
+    first text and how many planes the steps from text to text have.
+    """
+
+    def __init__(self, t: Tokens, training: np.ndarray, order: np.ndarray):
+        self.planes, self.widths, self.listed, self.upto = [], [], [], []
+        for k, column in enumerate((t.code, *t.before)):
+            own = column[order]
+            short = _narrow(shortened(own))
+            out = np.flatnonzero(short == _LISTED)
+            planes = _bytes_of(short)
+            self.widths.append(len(planes))
+            self.planes += planes
+            self.listed.append(own[out] if k == 0 else own[out].astype(np.uint32))
+            self.upto.append(out)
+        self.doc, self.zstd = t.doc[order], zstandard.ZstdCompressor(level=1)
+        steps = _bytes_of(np.maximum(np.diff(self.doc, prepend=0), 0))  # below 0 where a run begins, which tells its first text
+        self.widths.append(len(steps))
+        self.planes += [*steps, training[order].astype(np.uint8)]
+
+    def run(self, a: int, b: int) -> bytes:
+        spans = [np.searchsorted(at, (a, b)).tolist() for at in self.upto]
+        head = np.array([b - a, *(j - i for i, j in spans), *self.widths, self.doc[a]], "<i4").tobytes()
+        return self.zstd.compress(b"".join([head, *(_planes(x[i:j]) for x, (i, j) in zip(self.listed, spans, strict=True)), *(x[a:b] for x in self.planes)]))
+
+
+def _raw(data: bytes) -> tuple[np.ndarray, int, list[int], list[int], int]:
+    """The bytes; how many tokens there are, how many listed values of each column, planes, the first text."""
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    listed, size = np.frombuffer(raw[:16], "<i8").tolist()
-    values, at = _column(raw, 16, listed, np.int64)
-    return raw, values, at, size
+    size, *more, doc = np.frombuffer(raw[: 4 * _HEAD], "<i4").tolist()
+    return raw, size, more[: DEPTH + 1], more[DEPTH + 1 :], doc
 
 
 def unpacked(data: bytes) -> tuple[Tokens, np.ndarray]:
-    raw, values, at, size = _raw(data)
-    columns = []
-    for _ in range(DEPTH + 1):
-        short, at = _column(raw, at, size, np.int32)
-        own = short.astype(np.int64)
-        odd = np.flatnonzero(short < 0)
-        own[odd] = values[-1 - own[odd]]
-        columns.append(own)
-    doc, at = _column(raw, at, size, np.int32)
-    return Tokens(np.cumsum(doc, dtype=np.int64), columns[0], columns[1:]), _column(raw, at, size, np.bool_)[0]
+    raw, size, listed, widths, first = _raw(data)
+    at, values, columns = 4 * _HEAD, [], []
+    for k, n in enumerate(listed):
+        own, at = _column(raw, at, n, np.uint32 if k else np.int64)
+        values.append(own.astype(np.int64) | _SHORT if k else own)
+    for own, planes in zip(values, widths, strict=False):
+        code, at = _from_bytes(raw, at, size, planes, np.int64)
+        odd = np.flatnonzero(code < _FROM)
+        mark = code[odd]
+        code -= _FROM
+        code[odd[mark == _LISTED]], code[odd[mark == 1]], code[odd[mark == 2]] = own, _START, _NONE
+        columns.append(code)
+    doc, at = _from_bytes(raw, at, size, widths[-1], np.int64)
+    doc[:1] = first
+    return Tokens(np.cumsum(doc), columns[0], columns[1:]), raw[at : at + size].astype(bool)
 
 
 def rare_of(data: bytes) -> np.ndarray:
     """Codes of words outside the head among packed tokens."""
-    values = _raw(data)[1]
-    return values[values >= _RARE]
+    raw, _, (rare, *_), _, _ = _raw(data)
+    return _column(raw, 4 * _HEAD, rare, np.int64)[0]
 
 
 def dealt(source: DataFrame, top, shards: int, bins: int) -> DataFrame:
@@ -478,11 +539,14 @@ def dealt(source: DataFrame, top, shards: int, bins: int) -> DataFrame:
         codes = held.codes()
         with np.errstate(over="ignore"):
             for batch in bounded(batches, limit=BYTES_AT_ONCE):
-                t = Tokens.of([tokens(x) for x in batch.column("text").to_pylist()], codes)
+                sizes, number, words = numbered(batch.column("text"))
+                t = Tokens.of(sizes, codes.of(words)[number])
                 size, rare = batch.num_rows, t.code >= _RARE
-                training = np.array(batch.column("training").to_pylist(), bool)[t.doc]
+                training = batch.column("training").to_numpy(zero_copy_only=False).astype(bool)[t.doc]
                 depth, longer, mass, rest, lacking = held.walked(t, none)
-                ends = (depth == DEPTH) | (np.stack([*t.before, t.before[-1]])[depth, np.arange(len(depth))] == _NONE)
+                ends = depth == DEPTH
+                for d, before in enumerate(t.before):
+                    ends |= (depth == d) & (before == _NONE)
                 asks = rare.copy()
                 for at, _ in lacking:
                     asks[at] = True
@@ -491,39 +555,56 @@ def dealt(source: DataFrame, top, shards: int, bins: int) -> DataFrame:
                 base = np.bincount(t.doc, np.where(rare, 0.0, np.log10(root)), size)
                 known = np.bincount(t.doc, ~rare & (held.trained(t.code, none) > 0), size).astype(np.int64)
                 rows = np.arange(row, row + size)
-                yield rows_out(schema, [rows % bins, [None] * size, rows, batch.column("doc_id"), np.bincount(t.doc, minlength=size), known, base, part, [None] * size])
-                shard = (np.where(ends, mixed(t.code.astype(np.uint64)), longer) % np.uint64(shards)).astype(np.int64)
+                yield rows_out(schema, [rows % bins, [None] * size, rows, batch.column("doc_id"), sizes, known, base, part, [None] * size])
+                shard = (np.where(ends, mixed(t.code.astype(np.uint64)), longer) % np.uint64(shards)).astype(np.min_scalar_type(shards))
                 order = np.flatnonzero(~settled)
                 order = order[np.argsort(shard[order], kind="stable")]
-                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-                used = np.flatnonzero(np.diff(cuts))
-                blobs = []
-                for at in (order[cuts[s] : cuts[s + 1]] for s in used.tolist()):
-                    blobs.append(packed(Tokens(t.doc[at], t.code[at], [shortened(b[at]) for b in t.before]), training[at]))
+                used, cuts = np.unique(shard[order], return_index=True)
+                used, cuts = used.astype(np.int64), [*cuts.tolist(), len(order)]
+                packer = Packer(t, training, order)
+                blobs = [packer.run(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
                 yield rows_out(schema, [used % bins, used, [row] * len(used), *([None] * len(used),) * 5, blobs])
                 row += size
 
     return source.mapInArrow(run, ddl)
 
 
-_FACT = "bin int, kind int, key long"
 _WORD, _ENTRY = 0, 1
+_KIND = {_WORD: np.int64, _ENTRY: np.float64}
 
 
-def asked(parts: DataFrame, top) -> DataFrame:
-    """(bin, kind, key): words outside the head, and entries that aren't held, of each bin's tokens."""
-    schema = arrow_of(_FACT)
+def _numbers(column: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(_planes(column))
+
+
+def _read(data: bytes, kind: type | str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return _column(raw, 0, len(raw) // np.dtype(kind).itemsize, kind)[0]
+
+
+def _by_part(keys: np.ndarray, among: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys by part, then as they were; the part of each): the part of a key is its remainder, as Spark's pmod gives it."""
+    part = keys % among
+    order = np.argsort(part, kind="stable")
+    return order, part[order]
+
+
+def asked(parts: DataFrame, top, among: int) -> DataFrame:
+    """(part, bin, kind, keys): sorted keys of the words outside the head, and of the entries that aren't held, of each bin's
+    tokens, for each of the ``among`` parts of what is told."""
+    ddl = "part int, bin int, kind int, keys binary"
+    schema = arrow_of(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, keys, n = top.value, {}, 0
         with np.errstate(over="ignore"):
             for batch in batches:
-                for own, blob in zip(batch.column("bin").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
-                    if blob is None:
+                for own, blob in zip(batch.column("bin").to_pylist(), batch.column("tokens"), strict=True):
+                    if not blob.is_valid:
                         continue
-                    found = {} if held.whole_words else {_WORD: rare_of(blob)}
+                    found = {} if held.whole_words else {_WORD: rare_of(blob.as_buffer())}
                     if not held.whole_entries:
-                        lacking = [e for _, e in held.walked(unpacked(blob)[0], Facts())[4]]
+                        lacking = [e for _, e in held.walked(unpacked(blob.as_buffer())[0], Facts())[4]]
                         found[_ENTRY] = np.unique(np.concatenate(lacking)).view(np.int64) if lacking else np.zeros(0, np.int64)
                     for kind, key in found.items():
                         keys.setdefault((own, kind), []).append(key)
@@ -533,12 +614,58 @@ def asked(parts: DataFrame, top) -> DataFrame:
                         n = 0
         for (own, kind), found in keys.items():
             key = np.unique(np.concatenate(found))
-            yield rows_out(schema, [np.full(len(key), own), np.full(len(key), kind), key])
+            order, part = _by_part(key, among)
+            key, (used, cuts) = key[order], np.unique(part, return_index=True)
+            cuts = [*cuts.tolist(), len(key)]
+            yield rows_out(schema, [used, [own] * len(used), [kind] * len(used), [_numbers(np.diff(key[a:b], prepend=0)) for a, b in zip(cuts, cuts[1:], strict=False)]])
 
-    return parts.mapInArrow(run, _FACT)
+    return parts.mapInArrow(run, ddl)  # all columns, so that both readers of what is dealt have one shuffle
 
 
-def answered(parts: DataFrame, facts: DataFrame, top) -> DataFrame:
+def told(asks: DataFrame, counts: DataFrame, entries: DataFrame | None, among: int) -> DataFrame:
+    """(bin, kind, part, keys, values) of what is asked; 0 where there is nothing. A bin knows the keys of its words, so
+    these don't come back."""
+    known = _codes_of(counts).filter(F.col("trained") > 0).select(F.lit(_WORD).alias("kind"), F.col("code").alias("key"), F.col("trained").cast("double").alias("value"))
+    if entries is not None:
+        known = known.union(entries.select(F.lit(_ENTRY), "key", "mass"))
+    ddl = "bin int, kind int, part int, keys binary, values binary"
+    schema = arrow_of(ddl)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        kinds, out = right.column("kind").to_numpy(), []
+        for kind, number in _KIND.items():
+            own = left.filter(pc.equal(left.column("kind"), kind))
+            key, value = (right.column(c).to_numpy()[kinds == kind] for c in ("key", "value"))
+            order = np.argsort(key)
+            key, value, values = key[order], value[order], []
+            for blob in own.column("keys"):
+                at, found = _looked_up(key, np.cumsum(_read(blob.as_buffer(), np.int64)))
+                values.append(_numbers((np.where(found, value[at], 0.0) if len(key) else np.zeros(len(at))).astype(number)))
+            out.append(rows_out(schema, [own.column("bin").combine_chunks(), own.column("kind").combine_chunks(), own.column("part").combine_chunks(), own.column("keys").combine_chunks() if kind == _ENTRY else [None] * len(own), values]))
+        return pa.Table.from_batches(out, schema)
+
+    return asks.groupBy("part").cogroup(known.withColumn("part", F.expr(f"int(pmod(key, {among}))")).groupBy("part")).applyInArrow(run, ddl)
+
+
+def _facts(rare: list[np.ndarray], answers: pa.Table, among: int) -> Facts:
+    """What a bin was told, whose tokens have these words outside the head."""
+    answers = answers.sort_by([("kind", "ascending"), ("part", "ascending")])
+    kind = answers.column("kind").to_numpy()
+    values, keys = answers.column("values"), answers.column("keys")
+    words, entries = (np.flatnonzero(kind == k).tolist() for k in (_WORD, _ENTRY))
+    facts = Facts()
+    if words:
+        facts.words = np.unique(np.concatenate(rare))
+        facts.counts = np.zeros(len(facts.words), np.int64)
+        facts.counts[_by_part(facts.words, among)[0]] = np.concatenate([_read(values[i].as_buffer(), np.int64) for i in words])
+    if entries:
+        key = np.concatenate([np.cumsum(_read(keys[i].as_buffer(), np.int64)) for i in entries]).view(np.uint64)
+        order = np.argsort(key)
+        facts.entries, facts.mass = key[order], np.concatenate([_read(values[i].as_buffer(), np.float64) for i in entries])[order]
+    return facts
+
+
+def answered(parts: DataFrame, facts: DataFrame, top, among: int) -> DataFrame:
     """The rows of :func:`dealt` for texts as they are, and the sums in the tree of each batch's texts.
 
     A bin's facts come with its tokens. Its shards, each about SHARD_TOKENS tokens, are taken one
@@ -550,10 +677,10 @@ def answered(parts: DataFrame, facts: DataFrame, top) -> DataFrame:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         held = top.value
-        told = Facts.of(*(right.column(c).to_numpy() for c in ("kind", "key", "value")))
         empty = pc.is_null(left.column("tokens"))
         texts = left.select(columns).filter(empty)
         blobs, shard, row = left.column("tokens"), left.column("shard").fill_null(-1).to_numpy(), left.column("row").to_numpy()
+        facts = _facts([rare_of(b.as_buffer()) for b in blobs if b.is_valid], right, among)
         order = np.argsort(shard, kind="stable")[len(texts) :]  # blobs stay where they are
         added: list[tuple[np.ndarray, ...]] = []
         cuts = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1)).tolist() if len(order) else [0]
@@ -566,14 +693,15 @@ def answered(parts: DataFrame, facts: DataFrame, top) -> DataFrame:
             t = Tokens(np.repeat(np.arange(len(starts)) << 32, sizes) | np.concatenate([t.doc for t, _ in read]), np.concatenate([t.code for t, _ in read]), [np.concatenate([t.before[k] for t, _ in read]) for k in range(DEPTH)])
             del read
             with np.errstate(over="ignore"):
-                depth, _, mass, rest, _ = held.walked(t, told)
-                root = held.root(t.code, told)
+                depth, _, mass, rest, _ = held.walked(t, facts)
+                root = held.root(t.code, facts)
                 mass, rest, _ = grown(t, training, depth, mass, rest, root)
-            doc, place = np.unique(t.doc, return_inverse=True)
+            new = np.diff(t.doc, prepend=-1) != 0  # tokens of a text stand together
+            doc, place = t.doc[new], np.cumsum(new) - 1
             rare = t.code >= _RARE
             sums = np.bincount(place, np.log10(np.maximum(mass + rest * root, 1e-300)), len(doc))
             bases = np.bincount(place, np.where(rare, np.log10(root), 0.0), len(doc))
-            knowns = np.bincount(place, rare & (held.trained(t.code, told) > 0), len(doc))
+            knowns = np.bincount(place, rare & (held.trained(t.code, facts) > 0), len(doc))
             added.append((starts[doc >> 32], doc & 0xFFFFFFFF, sums, bases, knowns))
         out = [pa.Table.from_arrays([*texts.columns, *(pa.nulls(len(texts), pa.binary()),) * 4], schema=schema)]
         if added:
@@ -594,13 +722,9 @@ def answered(parts: DataFrame, facts: DataFrame, top) -> DataFrame:
 
 def _merged(frame: pd.DataFrame) -> pd.DataFrame:
     """Sums of one batch's texts over all bins."""
-    def read(data: bytes, kind: type | str) -> np.ndarray:
-        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-        return _column(raw, 0, len(raw) // np.dtype(kind).itemsize, kind)[0]
-
-    each = [np.cumsum(read(b, "<i4"), dtype=np.int64) for b in frame["places"]]
+    each = [np.cumsum(_read(b, "<i4"), dtype=np.int64) for b in frame["places"]]
     places = np.concatenate(each)
-    values = [np.concatenate([np.zeros(len(p)) if b is None else read(b, kind) for p, b in zip(each, frame[c], strict=True)]) for c, kind in (("sums", "<f8"), ("bases", "<f8"), ("knowns", "<i4"))]
+    values = [np.concatenate([np.zeros(len(p)) if b is None else _read(b, kind) for p, b in zip(each, frame[c], strict=True)]) for c, kind in (("sums", "<f8"), ("bases", "<f8"), ("knowns", "<i4"))]
     more, base, known = (np.bincount(places, v) for v in values)
     held = np.unique(places)
     return pd.DataFrame({"row": frame["row"].iloc[0] + held, "more": more[held], "more_base": base[held], "more_known": known[held].astype(np.int64)})
@@ -623,13 +747,13 @@ def score_documents(docs: DataFrame, usable: Column, *, id_col: str = "doc_id",
     shards = max(1, -(-size // (6 * SHARD_TOKENS)))
     bins = max(1, shards // SHARDS_A_TASK)
     parts = dealt(source, shipped, shards, bins).repartition(bins, "bin")  # one shuffle: what is asked and what is answered both read it
+    among = 1
     if top.whole_words and top.whole_entries:
-        facts = spark.createDataFrame([], _FACT + ", value double")
+        facts = spark.createDataFrame([], "bin int, kind int, part int, keys binary, values binary")
     else:
-        told = _codes_of(counts).select(F.lit(_WORD).alias("kind"), F.col("code").alias("key"), F.col("trained").cast("double").alias("value"))
-        told = told.union(entries.select(F.lit(_ENTRY), "key", "mass")) if entries is not None else told
-        facts = asked(parts, light).join(told, ["kind", "key"]).select("bin", "kind", "key", "value")
-    found = scratch(answered(parts, facts, light), "scored")
+        among = max(-(-(counts.count() + (entries.count() if entries is not None else 0)) // TOLD_A_PART), -(-bins // SHARDS_A_TASK))
+        facts = told(asked(parts, light, among), counts, entries, among)
+    found = scratch(answered(parts, facts, light, among), "scored")
     texts = found.filter("n_tokens is not null")
     inside = found.filter("places is not null").select("row", "places", "sums", "bases", "knowns").groupBy("row").applyInPandas(_merged, "row long, more double, more_base double, more_known long")
     some = lambda c: F.coalesce(c, F.lit(0))

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,6 +290,31 @@ def test_a_context_that_only_held_out_texts_have(spark, monkeypatch):
     assert sorted(r.score for r in got) == pytest.approx(sorted(x[5] for x in brute_tree(rows)[0]), abs=1e-6)
 
 
+def test_words_by_columns_are_those_of_each_text():
+    texts = ["", " \n\t ", "A b\x0bC  d\x1fe ", "  ÄÖ x y z Z", "one", "a\x00b a\x00B", "x\xa0y\u2003z \r\f"]
+    for own in (texts, ["x y"], [""], []):
+        sizes, number, words = suffixtree.numbered(pa.array(["zz", *own], pa.string()).slice(1))
+        found = iter([words[i] for i in number.tolist()])
+        assert [list(itertools.islice(found, n)) for n in sizes.tolist()] == [suffixtree.tokens(x) for x in own]
+
+
+def test_keys_are_asked_for_in_packs(spark, docs, monkeypatch):
+    """One row for each bin, kind and part of what is told, however many keys there are; each key of a bin in one of them."""
+    monkeypatch.setattr(suffixtree, "HEAD", 10)
+    source = suffixtree.whole_texts(docs).withColumn("training", F.lit(True))
+    top, _ = suffixtree.planted(source, suffixtree.word_counts(source).localCheckpoint())
+    shipped = spark.sparkContext.broadcast(top)
+    parts = suffixtree.dealt(source, shipped, 12, 3).repartition(3, "bin").localCheckpoint()
+    want = {}
+    for r in parts.filter("tokens is not null").collect():
+        want.setdefault(r.bin, set()).update(suffixtree.rare_of(bytes(r.tokens)).tolist())
+    rows = suffixtree.asked(parts, shipped, 4).filter(F.col("kind") == suffixtree._WORD).collect()
+    assert len(rows) == len({(r.bin, r.part) for r in rows}) <= 12 < sum(map(len, want.values()))
+    got = [(r.bin, x, r.part) for r in rows for x in np.cumsum(suffixtree._read(bytes(r.keys), np.int64)).tolist()]
+    assert sorted((b, x) for b, x, _ in got) == sorted((b, x) for b, own in want.items() for x in own)
+    assert all(x % 4 == part for _, x, part in got)
+
+
 def test_scores_of_nothing(docs, none):
     assert suffixtree.score_documents(none, F.lit(True)).count() == 0
     alone = suffixtree.score_documents(docs, F.lit(False)).collect()
