@@ -49,6 +49,8 @@ WIDE_PART, WIDE_TOKENS, WIDE_SHARE = 250, 2_000_000, 20_000
 #: Tokens of a shard on average, shards that a task takes one after the other; bytes of text that a task lays out at a time;
 #: keys that a task gathers before it drops repeated ones; counts of what isn't held that lie together.
 SHARD_TOKENS, SHARDS_A_TASK, BYTES_AT_ONCE, KEYS_HELD, TOLD_A_PART = 500_000, 4, 4_000_000, 1_000_000, 250_000
+#: Rows of a batch that a task gives away (memory only).
+ROWS_AT_ONCE = 50_000
 
 END = b""
 _RARE, _START, _SHORT, _NONE = 1 << 62, 1 << 61, 1 << 33, -1
@@ -296,7 +298,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         def given() -> Iterator[pa.RecordBatch]:
             summed = pa.Table.from_batches(held, schema).group_by("word", use_threads=False).aggregate([("n", "sum"), ("m", "sum")])
             held.clear()
-            yield from summed.select(["word", "n_sum", "m_sum"]).rename_columns(schema.names).cast(schema).to_batches()
+            yield from summed.select(["word", "n_sum", "m_sum"]).rename_columns(schema.names).cast(schema).to_batches(max_chunksize=ROWS_AT_ONCE)
 
         for batch in bounded(batches):
             sizes, number, words = numbered(batch.column("text"))
@@ -311,6 +313,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     held.clear()
                     n = 0
         yield from given()
+        pa.default_memory_pool().release_unused()
 
     return docs.select("text", "training").mapInArrow(run, "word binary, n long, m long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
@@ -325,11 +328,12 @@ def wide_counts(docs: DataFrame, top: Top, wide: np.ndarray) -> DataFrame:
         top, wide = shipped.value
         codes, held, n = top.codes(), [], 0
 
-        def summed() -> pa.RecordBatch:
+        def summed() -> Iterator[pa.RecordBatch]:
             frame = pd.concat(held) if held else pd.DataFrame({c: [] for c in schema.names}, dtype="int64")
             held.clear()
             frame = frame.groupby(["depth", "suffix", "state", "code"], as_index=False)[["n", "m"]].sum()
-            return rows_out(schema, [frame[c].to_numpy(np.int64) for c in schema.names])
+            rows = rows_out(schema, [frame[c].to_numpy(np.int64) for c in schema.names])
+            yield from (rows.slice(a, ROWS_AT_ONCE) for a in range(0, len(rows), ROWS_AT_ONCE))
 
         with np.errstate(over="ignore"):
             for batch in bounded(batches):
@@ -346,10 +350,11 @@ def wide_counts(docs: DataFrame, top: Top, wide: np.ndarray) -> DataFrame:
                     own, count = np.bincount(same[training[at]], minlength=len(first)), np.bincount(same, minlength=len(first))
                     held.append(pd.DataFrame({"depth": d, "suffix": suffix[first].view(np.int64), "state": state[first].view(np.int64), "code": code[first], "n": own, "m": count}))
                     n += len(first)
+                del sizes, number, words, t, training, at, code, state, suffix, inside, same
                 if n > 600_000:
-                    yield summed()
+                    yield from summed()
                     n = 0
-            yield summed()
+            yield from summed()
 
     return docs.select("text", "training").mapInArrow(run, ddl).groupBy("depth", "suffix", "state", "code").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
@@ -537,34 +542,38 @@ def dealt(source: DataFrame, top, shards: int, bins: int) -> DataFrame:
 
         held, row, none = top.value, TaskContext.get().partitionId() << 40, Facts()
         codes = held.codes()
+        def laid_out(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:  # what it holds goes before the next begins
+            sizes, number, words = numbered(batch.column("text"))
+            t = Tokens.of(sizes, codes.of(words)[number])
+            size, rare = batch.num_rows, t.code >= _RARE
+            training = batch.column("training").to_numpy(zero_copy_only=False).astype(bool)[t.doc]
+            depth, longer, mass, rest, lacking = held.walked(t, none)
+            ends = depth == DEPTH
+            for d, before in enumerate(t.before):
+                ends |= (depth == d) & (before == _NONE)
+            asks = rare.copy()
+            for at, _ in lacking:
+                asks[at] = True
+            settled, root = ends & ~asks, held.root(t.code, none)
+            part = np.bincount(t.doc[settled], np.log10(np.maximum(mass + rest * root, 1e-300))[settled], size)
+            base = np.bincount(t.doc, np.where(rare, 0.0, np.log10(root)), size)
+            known = np.bincount(t.doc, ~rare & (held.trained(t.code, none) > 0), size).astype(np.int64)
+            rows = np.arange(row, row + size)
+            yield rows_out(schema, [rows % bins, [None] * size, rows, batch.column("doc_id"), sizes, known, base, part, [None] * size])
+            shard = (np.where(ends, mixed(t.code.astype(np.uint64)), longer) % np.uint64(shards)).astype(np.min_scalar_type(shards))
+            order = np.flatnonzero(~settled)
+            order = order[np.argsort(shard[order], kind="stable")]
+            used, cuts = np.unique(shard[order], return_index=True)
+            used, cuts = used.astype(np.int64), [*cuts.tolist(), len(order)]
+            packer = Packer(t, training, order)
+            blobs = [packer.run(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+            yield rows_out(schema, [used % bins, used, [row] * len(used), *([None] * len(used),) * 5, blobs])
+
         with np.errstate(over="ignore"):
             for batch in bounded(batches, limit=BYTES_AT_ONCE):
-                sizes, number, words = numbered(batch.column("text"))
-                t = Tokens.of(sizes, codes.of(words)[number])
-                size, rare = batch.num_rows, t.code >= _RARE
-                training = batch.column("training").to_numpy(zero_copy_only=False).astype(bool)[t.doc]
-                depth, longer, mass, rest, lacking = held.walked(t, none)
-                ends = depth == DEPTH
-                for d, before in enumerate(t.before):
-                    ends |= (depth == d) & (before == _NONE)
-                asks = rare.copy()
-                for at, _ in lacking:
-                    asks[at] = True
-                settled, root = ends & ~asks, held.root(t.code, none)
-                part = np.bincount(t.doc[settled], np.log10(np.maximum(mass + rest * root, 1e-300))[settled], size)
-                base = np.bincount(t.doc, np.where(rare, 0.0, np.log10(root)), size)
-                known = np.bincount(t.doc, ~rare & (held.trained(t.code, none) > 0), size).astype(np.int64)
-                rows = np.arange(row, row + size)
-                yield rows_out(schema, [rows % bins, [None] * size, rows, batch.column("doc_id"), sizes, known, base, part, [None] * size])
-                shard = (np.where(ends, mixed(t.code.astype(np.uint64)), longer) % np.uint64(shards)).astype(np.min_scalar_type(shards))
-                order = np.flatnonzero(~settled)
-                order = order[np.argsort(shard[order], kind="stable")]
-                used, cuts = np.unique(shard[order], return_index=True)
-                used, cuts = used.astype(np.int64), [*cuts.tolist(), len(order)]
-                packer = Packer(t, training, order)
-                blobs = [packer.run(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
-                yield rows_out(schema, [used % bins, used, [row] * len(used), *([None] * len(used),) * 5, blobs])
-                row += size
+                yield from laid_out(batch)
+                row += batch.num_rows
+        pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, ddl)
 
@@ -703,6 +712,7 @@ def answered(parts: DataFrame, facts: DataFrame, top, among: int) -> DataFrame:
             bases = np.bincount(place, np.where(rare, np.log10(root), 0.0), len(doc))
             knowns = np.bincount(place, rare & (held.trained(t.code, facts) > 0), len(doc))
             added.append((starts[doc >> 32], doc & 0xFFFFFFFF, sums, bases, knowns))
+            del t, training, depth, mass, rest, root, new, place, rare
         out = [pa.Table.from_arrays([*texts.columns, *(pa.nulls(len(texts), pa.binary()),) * 4], schema=schema)]
         if added:
             first, place, sums, bases, knowns = (np.concatenate(x) for x in zip(*added, strict=True))
