@@ -27,7 +27,8 @@ def first_of(c: str) -> Column:
 
 
 def doc_grain(rows: DataFrame, met: DataFrame | None = None) -> DataFrame:
-    """doc_no: qty, amount, organisation (each first non-blank), doc_date and link_nos (distinct, in order), links, doc_ord.
+    """doc_no: qty, amount, organisation (each first non-blank), doc_date and link_nos (distinct, in order), links, linked (each
+    link with its first order), doc_ord.
 
     With ``met`` (doc_no, cp_qty, cp_amount: what the documents link to) also cp_qty and cp_amount. All of it is dealt out
     once, by document. Rows of a document that show the same are one before anything is listed, so a document's lists are
@@ -43,16 +44,17 @@ def doc_grain(rows: DataFrame, met: DataFrame | None = None) -> DataFrame:
         *(F.sum(c).alias(c) for c in sums), F.min("_ord").alias("doc_ord"), *(F.min(shown_first(c)).alias(c) for c in ORG), *(F.collect_list(shown_first(c)).alias(c) for c in _LISTED)
     )
     links = F.array_distinct(in_order(F.col("link_no")))
-    return docs.select(
-        "doc_no", *sums, *(first_of(c).alias(c) for c in ORG), append_unique(in_order(F.col("day")), DATE_JOIN).alias("doc_date"), append_unique(links, LINK_JOIN).alias("link_nos"), links.alias("links"), "doc_ord"
+    by_text = docs.withColumn("by_text", F.array_sort(F.transform("link_no", lambda p: F.struct(p["t"].alias("t"), p["o"].alias("o")))))
+    linked = F.filter("by_text", lambda p, i: (i == 0) | (p["t"] != F.get("by_text", i - 1)["t"]))
+    return by_text.select(
+        "doc_no", *sums, *(first_of(c).alias(c) for c in ORG), append_unique(in_order(F.col("day")), DATE_JOIN).alias("doc_date"), append_unique(links, LINK_JOIN).alias("link_nos"), links.alias("links"), linked.alias("linked"), "doc_ord"
     )
 
 
-def item_grain(rows: DataFrame) -> DataFrame:
-    """(doc_no, item_code): qty, amount, item_name (the first non-blank), item_ord. Nothing is listed, so rows are summed up
-    where they are read and dealt out once."""
+def item_grain(rows: DataFrame, document: str = "doc_no") -> DataFrame:
+    """(document, item_code): qty, amount, item_name (the first non-blank), item_ord."""
     name = F.coalesce(F.min_by("item_name", F.when(F.col("item_name") != "", F.col("_ord"))), F.lit(""))
-    return rows.groupBy("doc_no", "item_code").agg(F.sum("qty").alias("qty"), F.sum("amount").alias("amount"), name.alias("item_name"), F.min("_ord").alias("item_ord"))
+    return rows.groupBy(document, "item_code").agg(F.sum("qty").alias("qty"), F.sum("amount").alias("amount"), name.alias("item_name"), F.min("_ord").alias("item_ord"))
 
 
 def link_frame(rows: DataFrame) -> DataFrame:

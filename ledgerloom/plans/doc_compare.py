@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.exprs import shown
 from ..model import ITEM_ROW, SUMMARY_ROW, QueryFilters
 from ..operators.filters import keyed, selected
-from ..operators.grain import doc_grain, item_grain, link_frame
+from ..operators.grain import doc_grain, item_grain
+from ..shared import dealt, file_bytes, settled
 
 COLUMNS = ("row_type", "company", "dept1", "dept2", "doc_date", "doc_no", "qty", "amount", "link_nos", "cp_qty", "cp_amount", "qty_diff", "amount_diff", "item_code", "item_name", "remark")
 #: What orders an output whose documents may show their items: document, summary before items, own items before others.
@@ -45,12 +46,9 @@ class DocCompare:
         return doc_grain(self.primary)
 
     def materials(self, ordered: bool = True) -> DataFrame:
-        """Item rows: the document's own items in their order, then those of counterparts alone."""
-        return _output(self._items_of_documents(), ITEM_ROW, list(EXPANDED_ORDER[:1] + EXPANDED_ORDER[2:]) if ordered else None)
-
-    def _items_of_documents(self) -> DataFrame:
-        head = doc_grain(self.primary).select("doc_no", "company", "dept1", "dept2", "doc_date", "link_nos", "doc_ord")
-        return self.items().join(head, "doc_no")
+        """Item rows: the document's own items in their order, then those of counterparts alone. What leads to them is kept
+        as tables when this is called."""
+        return _output(self.items(), ITEM_ROW, list(EXPANDED_ORDER[:1] + EXPANDED_ORDER[2:]) if ordered else None)
 
     def materials_of(self, doc_no: str) -> DataFrame:
         """The item rows of one document: what an expanded summary row shows."""
@@ -60,20 +58,33 @@ class DocCompare:
         """The summary with the items of ``doc_nos`` (one column) below their documents, and the columns of EXPANDED_ORDER
         that put it in order. Without the item rows it is the summary as it was; only chosen documents' items are made."""
         chosen = doc_nos.select(F.col(doc_nos.columns[0]).alias("doc_no")).distinct()
-        opened = DocCompare(self.primary.join(chosen, "doc_no", "left_semi"), self.counterpart)
+        opened = DocCompare(settled(self.primary.join(chosen, "doc_no", "left_semi"), "opened"), self.counterpart)
         rows = _output(self._summary_rows(), SUMMARY_ROW, None, (*EXPANDED_ORDER[:1],)).withColumn("below", F.lit(0))
-        return rows.unionByName(_output(opened._items_of_documents(), ITEM_ROW, None, (*EXPANDED_ORDER[:1], *EXPANDED_ORDER[2:])).withColumn("below", F.lit(1)), allowMissingColumns=True)  # noqa: SLF001
+        return rows.unionByName(_output(opened.items(), ITEM_ROW, None, (*EXPANDED_ORDER[:1], *EXPANDED_ORDER[2:])).withColumn("below", F.lit(1)), allowMissingColumns=True)
 
     def items(self) -> DataFrame:
-        """(doc_no, item_code) of the filtered side's documents and of those they link to, with both sides' sums."""
-        other = item_grain(self.counterpart).withColumnsRenamed({"doc_no": "link_no", "qty": "cp_qty", "amount": "cp_amount", "item_name": "cp_name", "item_ord": "cp_ord"})
-        name_order = F.when(F.col("cp_name") != "", F.struct("link_ord", "cp_ord"))
-        met = link_frame(self.primary).join(other, "link_no").groupBy("doc_no", "item_code").agg(
-            F.sum("cp_qty").alias("cp_qty"), F.sum("cp_amount").alias("cp_amount"), F.coalesce(F.min_by("cp_name", name_order), F.lit("")).alias("cp_name"), F.min(F.struct("link_ord", "cp_ord")).alias("met_ord")
+        """(doc_no, item_code) of the filtered side's documents and of those they link to, with both sides' sums and what
+        their document shows.
+
+        Three steps, each of which deals rows out once: documents with their links; what the links meet, by the other
+        side's document; items, by document. The first two leave narrow tables, and what they shuffled is gone before the
+        next begins.
+        """
+        docs = settled(doc_grain(self.primary).select("doc_no", "company", "dept1", "dept2", "doc_date", "link_nos", "linked", "doc_ord"), "documents")
+        size = file_bytes(self.counterpart)
+        theirs = dealt(self.counterpart.select(F.col("doc_no").alias("link_no"), "item_code", "item_name", "qty", "amount", "_ord"), "link_no", size=size)
+        met = docs.select("doc_no", F.explode("linked").alias("l")).select("doc_no", F.col("l.t").alias("link_no"), F.col("l.o").alias("link_ord"))
+        met = settled(met.join(item_grain(theirs, "link_no"), "link_no").select("doc_no", "item_code", F.col("qty").alias("cp_qty"), F.col("amount").alias("cp_amount"), F.col("item_name").alias("cp_name"), "link_ord", F.col("item_ord").alias("cp_ord")), "met")
+        own = self.primary.select("doc_no", "item_code", "item_name", "qty", "amount", F.col("_ord").alias("item_ord"))
+        rows = dealt(own.unionByName(met, allowMissingColumns=True), "doc_no", size=file_bytes(self.primary) + file_bytes(met))
+        met_ord = F.when(F.col("cp_ord").isNotNull(), F.struct("link_ord", "cp_ord"))
+        items = rows.groupBy("doc_no", "item_code").agg(
+            *(F.sum(c).alias(c) for c in ("qty", "amount", "cp_qty", "cp_amount")), F.min_by("item_name", F.when(F.col("item_name") != "", F.col("item_ord"))).alias("item_name"),
+            F.min_by("cp_name", F.when(F.col("cp_name") != "", met_ord)).alias("cp_name"), F.min("item_ord").alias("item_ord"), F.min(met_ord).alias("met_ord"),
         )
-        name = F.when(F.coalesce("item_name", F.lit("")) != "", F.col("item_name")).otherwise(F.coalesce("cp_name", F.lit("")))
-        return item_grain(self.primary).join(met, ["doc_no", "item_code"], "full_outer").select(
-            "doc_no", "item_code", name.alias("item_name"), "qty", "amount", "cp_qty", "cp_amount", F.col("item_ord").isNull().alias("alone"), "item_ord", F.col("met_ord.link_ord").alias("link_ord"), F.col("met_ord.cp_ord").alias("cp_ord")
+        return items.join(docs.drop("linked"), "doc_no").select(
+            "doc_no", "item_code", F.coalesce("item_name", "cp_name", F.lit("")).alias("item_name"), "qty", "amount", "cp_qty", "cp_amount", "company", "dept1", "dept2", "doc_date", "link_nos", "doc_ord",
+            F.col("item_ord").isNull().alias("alone"), "item_ord", F.col("met_ord.link_ord").alias("link_ord"), F.col("met_ord.cp_ord").alias("cp_ord"),
         )
 
 

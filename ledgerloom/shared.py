@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,19 +24,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def scratch(df: DataFrame, label: str, *, by: tuple[str, ...] = ()) -> DataFrame:
+def scratch(df: DataFrame, label: str, *, by: tuple[str, ...] = (), codec: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: its lineage ends there.
 
     An executor lost later costs only a reread of those files. The folder belongs to the
     run; whoever set ``spark.checkpoint.dir`` clears it.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).parquet(path)
+    df.write.partitionBy(*by).parquet(path, compression=codec)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found.scratch_path = path
     return found
 
 
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """What the runs within shuffle goes from disk when each ends, not when the driver next collects its garbage."""
+    conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(conf, before)
+
+
+def settled(df: DataFrame, label: str, *, by: tuple[str, ...] = ()) -> DataFrame:
+    """:func:`scratch` for a step of a large job: what was shuffled to make the table is gone once it is written, so the
+    steps' shuffles never lie on disk together."""
+    with cleared(df.sparkSession):
+        return scratch(df, label, by=by, codec="zstd")
+
+
 def file_bytes(df: DataFrame) -> int:
     """Bytes of the files that ``df`` reads, as their store tells them; no file is opened."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()  # noqa: SLF001
