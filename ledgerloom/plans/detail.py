@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import by_priority, date_key, first_text, round2, shown, unique_text
 from ..model import EQUAL, ERP_ONLY_REMARK, ITEMS_DIFFER, NO_ERP, NO_OA, QTY_DIFFERS, TYPE_PRIORITY, Direction, QueryFilters
 from ..operators.filters import keyed, selected
-from ..shared import dealt, file_bytes
+from ..shared import dealt, file_bytes, in_slices
 
 _ORG = ("company", "dept1", "dept2")
 #: Parts that groups without a form are dealt over.
@@ -99,8 +99,12 @@ class DetailCompare:
     erp_order: Column
     only_shipped: bool = False
 
-    def rows(self, ordered: bool = True) -> DataFrame:
-        return compare_groups(form_items(self.oa, self.erp, self.erp_order), ordered, self.only_shipped)
+    def rows(self, ordered: bool = True, columns: tuple[str, ...] = ()) -> DataFrame:
+        """Detail rows, all columns or those named. Large tables are gone through in slices of forms when this is called."""
+        kept = lambda df, *more: df.select(*(columns or [c for c in df.columns if c not in _PLACE]), *more)
+        run = lambda rows: kept(compare_groups(form_items(rows), self.only_shipped), *(_PLACE if ordered else ()))
+        found = in_slices(form_rows(self.oa, self.erp, self.erp_order), _deal(F.col("form_no"), F.col("item_code")), run, "details", size=file_bytes(self.oa) + file_bytes(self.erp))
+        return kept(found.orderBy(*_PLACE)) if ordered else found
 
 
 def detail_compare(oa: DataFrame, erp: DataFrame, direction: Direction = Direction.FORWARD, filters: QueryFilters | None = None) -> DetailCompare:
@@ -112,7 +116,15 @@ def detail_compare(oa: DataFrame, erp: DataFrame, direction: Direction = Directi
     return DetailCompare(oa, selected(erp, filters).withColumn("form_no", F.col("link_no")), F.col("_ord"), True)
 
 
-def form_items(oa: DataFrame, erp: DataFrame, erp_order: Column) -> DataFrame:
+def form_rows(oa: DataFrame, erp: DataFrame, erp_order: Column) -> DataFrame:
+    """Rows of both sides with their form, in common columns."""
+    common = [*_ORG, "item_name", "qty", "amount", "link_no", date_key(F.col("doc_date")).alias("day")]
+    asked = keyed(oa).select(F.col("doc_no").alias("form_no"), "item_code", *common, F.lit("").alias("doc_no"), F.col("_ord").alias("oa_ord"))
+    shipped = erp.filter("item_code <> ''").select("form_no", "item_code", *common, "doc_no", erp_order.alias("erp_ord"))
+    return asked.withColumn("in_oa", F.lit(True)).unionByName(shipped.withColumn("in_oa", F.lit(False)), allowMissingColumns=True)
+
+
+def form_items(rows: DataFrame) -> DataFrame:
     """(deal, form_no, item_code) of either side: the columns of :func:`oa_groups` as ``oa_``, those of :func:`erp_groups`
     as ``erp_``, and whether each side has rows.
 
@@ -120,11 +132,7 @@ def form_items(oa: DataFrame, erp: DataFrame, erp_order: Column) -> DataFrame:
     and what is asked of a whole form. Rows without a form, of which there may be many, are dealt over SPREAD parts by
     item: no OA row has a blank form.
     """
-    common = [*_ORG, "item_name", "qty", "amount", "link_no", date_key(F.col("doc_date")).alias("day")]
-    asked = keyed(oa).select(F.col("doc_no").alias("form_no"), "item_code", *common, F.lit("").alias("doc_no"), F.col("_ord").alias("oa_ord"))
-    shipped = erp.filter("item_code <> ''").select("form_no", "item_code", *common, "doc_no", erp_order.alias("erp_ord"))
-    deal = _deal(F.col("form_no"), F.col("item_code"))
-    rows = asked.withColumn("in_oa", F.lit(True)).unionByName(shipped.withColumn("in_oa", F.lit(False)), allowMissingColumns=True).withColumn("deal", deal).repartition("deal")
+    rows = rows.withColumn("deal", _deal(F.col("form_no"), F.col("item_code"))).repartition("deal")
     order = F.struct("oa_ord", "erp_ord")  # one of them is null for all rows of a side
     # one row for what shows the same: it bounds a group's ordered lists by its distinct texts, not its rows
     linked = F.when(F.col("link_no") != "", order)
@@ -142,8 +150,12 @@ def form_items(oa: DataFrame, erp: DataFrame, erp_order: Column) -> DataFrame:
     return groups.select("*", *(F.col(f"{p}_first.{c}").alias(f"{p}_{c}") for p in ("oa", "erp") for c in (*_ORG, "item_name"))).drop("oa_first", "erp_first")
 
 
-def compare_groups(both: DataFrame, ordered: bool = True, only_shipped: bool = False) -> DataFrame:
-    """Detail rows: what OA has, then ERP items that OA lacks, then ERP groups without any OA form.
+#: What orders detail rows: what OA has, then ERP items that OA lacks, then ERP groups without any OA form.
+_PLACE = ("part", "oa_ord", "erp_ord")
+
+
+def compare_groups(both: DataFrame, only_shipped: bool = False) -> DataFrame:
+    """Detail rows, with the columns that order them.
 
     Whether a form has rows on a side is told by a window over its rows, so each side's groups are made once.
     """
@@ -159,7 +171,6 @@ def compare_groups(both: DataFrame, ordered: bool = True, only_shipped: bool = F
         .otherwise(EQUAL)
     )
     rows = both.withColumn("difference_type", kind).withColumn("part", F.when(has("in_oa"), 0).when(F.col("asked"), 1).otherwise(2))
-    rows = rows.orderBy("part", "oa_ord", "erp_ord") if ordered else rows
     text = lambda c: F.coalesce(c, F.lit(""))
     either = lambda c: F.coalesce(F.nullif(f"oa_{c}", F.lit("")), text(f"erp_{c}"))
     less = lambda a, b: (round2(F.col(a)) - round2(F.col(b))).cast("double")
@@ -169,13 +180,18 @@ def compare_groups(both: DataFrame, ordered: bool = True, only_shipped: bool = F
         text("erp_days").alias("erp_date"), "item_code", either("item_name").alias("item_name"), *(either(c).alias(c) for c in _ORG),
         shown(F.col("oa_qty")).alias("oa_qty"), shown(F.col("erp_qty")).alias("erp_qty"), less("oa_qty", "erp_qty").alias("qty_diff"),
         shown(F.col("oa_amount")).alias("oa_amount"), shown(F.col("erp_amount")).alias("erp_cost"), less("oa_amount", "erp_amount").alias("amount_diff"),
-        F.when(F.col("difference_type") == NO_OA, ERP_ONLY_REMARK).otherwise("").alias("remark"),
+        F.when(F.col("difference_type") == NO_OA, ERP_ONLY_REMARK).otherwise("").alias("remark"), *_PLACE,
     )
 
 
+_SUMMED = ("oa_qty", "erp_qty", "oa_amount", "erp_cost")
+#: Columns of detail rows that their roll-up reads.
+SUMMARY_READS = ("difference_type", *_ORG, *_SUMMED)
+
+
 def detail_summary(details: DataFrame) -> DataFrame:
     """Detail rows rolled up by company and departments: sums of what the rows show, and the types found."""
-    exact = {c: F.sum(F.col(c).cast("decimal(28,2)")) for c in ("oa_qty", "erp_qty", "oa_amount", "erp_cost")}
+    exact = {c: F.sum(F.col(c).cast("decimal(28,2)")) for c in _SUMMED}
     rolled = details.groupBy(*_ORG).agg(*(v.alias(c) for c, v in exact.items()), F.collect_set("difference_type").alias("kinds"))
     return rolled.select(
         *_ORG, shown(F.col("oa_qty")).alias("oa_qty"), shown(F.col("erp_qty")).alias("erp_qty"), shown(F.col("oa_qty") - F.col("erp_qty")).alias("qty_diff"),

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of files read that one part of what is dealt out by :func:`dealt` stands for.
 BYTES_A_PART = 16 << 20
+#: Bytes of files read that one slice of :func:`in_slices` stands for, and slices that a task writes to at once without
+#: sorting its rows by them.
+BYTES_A_SLICE = 1 << 30
+SLICES_AT_ONCE = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,17 +43,20 @@ def scratch(df: DataFrame, label: str, *, by: tuple[str, ...] = (), codec: str |
 
 
 @contextmanager
-def cleared(spark: SparkSession) -> Iterator[None]:
-    """What the runs within shuffle goes from disk when each ends, not when the driver next collects its garbage."""
-    conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def _with_conf(spark: SparkSession, conf: str, value: str) -> Iterator[None]:
     before = spark.conf.get(conf)
-    spark.conf.set(conf, "true")
+    spark.conf.set(conf, value)
     try:
         yield
     finally:
         spark.conf.set(conf, before)
 
 
+def cleared(spark: SparkSession):
+    """What the runs within shuffle goes from disk when each ends, not when the driver next collects its garbage."""
+    return _with_conf(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def settled(df: DataFrame, label: str, *, by: tuple[str, ...] = ()) -> DataFrame:
     """:func:`scratch` for a step of a large job: what was shuffled to make the table is gone once it is written, so the
     steps' shuffles never lie on disk together."""
@@ -56,6 +64,28 @@ def settled(df: DataFrame, label: str, *, by: tuple[str, ...] = ()) -> DataFrame
         return scratch(df, label, by=by, codec="zstd")
 
 
+def in_slices(rows: DataFrame, by: Column, run: Callable[[DataFrame], DataFrame], label: str, *, size: int) -> DataFrame:
+    """``run`` over ``rows``, which must do the same over those of each value of ``by`` (a whole number) alone.
+
+    Where the files behind them (``size`` bytes) are large, rows are first written by slices of ``by``, with what it takes
+    to make them done once, and ``run`` goes over slice after slice: what it shuffles is a slice's share and goes with it,
+    as do the slice's rows. Its outcomes are kept as one table.
+    """
+    n, spark = -(-size // BYTES_A_SLICE), rows.sparkSession
+    if n < 2:
+        return run(rows)
+    with _with_conf(spark, "spark.sql.maxConcurrentOutputFileWriters", str(min(n, SLICES_AT_ONCE))):
+        held = settled(rows.withColumn("_slice", F.pmod(by, F.lit(n)).cast("int")), f"{label}-slices", by=("_slice",))
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for i in range(n):
+        found = run(held.filter(F.col("_slice") == i).drop("_slice"))
+        with cleared(spark):
+            found.write.mode("append").parquet(path, compression="zstd")
+        _delete(spark, f"{held.scratch_path}/_slice={i}")
+    discard(held)
+    return spark.read.schema(found.schema).parquet(path)
+
+
 def file_bytes(df: DataFrame) -> int:
     """Bytes of the files that ``df`` reads, as their store tells them; no file is opened."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()  # noqa: SLF001
@@ -78,9 +108,13 @@ def dealt(df: DataFrame, *by: str, size: int) -> DataFrame:
     return df.repartition(*by) if few else df.repartition(n, *by)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)  # noqa: SLF001
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete scratch tables that nothing reads any more; other tables are left alone."""
     for df in tables:
         if path := getattr(df, "scratch_path", None):
-            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+            _delete(df.sparkSession, path)

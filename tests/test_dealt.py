@@ -7,7 +7,7 @@ from ledgerloom import shared
 from ledgerloom.model import Direction, QueryFilters
 from ledgerloom.operators.grain import doc_grain
 from ledgerloom.plans.dept_summary import classified_documents, unmatched_documents
-from ledgerloom.plans.detail import erp_only_rows
+from ledgerloom.plans.detail import SUMMARY_READS, detail_compare, detail_summary, erp_only_rows
 from ledgerloom.plans.doc_compare import compare_documents
 from ledgerloom.sources.tables import canonical
 
@@ -117,3 +117,21 @@ def test_links_with_their_first_order(spark):
     assert found["links"] == ["Q2", "Q1", "Q10"]
     assert {(p["t"], int(p["o"])) for p in found["linked"]} == {("Q2", 0), ("Q1", 2), ("Q10", 4)}
     assert len(found["linked"]) == 3
+
+
+def test_details_in_slices_equal_those_at_once(spark, tmp_path, monkeypatch):
+    for side, rows, order in (("oa", OA, None), ("erp", ERP, ERP_ORDER)):
+        canonical(raw(spark, rows, *([order] if order else []))).write.parquet(str(tmp_path / side))
+    oa, erp = (spark.read.parquet(str(tmp_path / side)) for side in ("oa", "erp"))
+    conf, confs = "spark.sql.maxConcurrentOutputFileWriters", lambda: spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    for direction in Direction:
+        want = [tuple(r) for r in detail_compare(oa, erp, direction).rows().collect()]
+        rolled = sorted(map(tuple, detail_summary(detail_compare(oa, erp, direction).rows()).collect()))
+        before, set_before = shuffle_files(spark), confs()
+        monkeypatch.setattr(shared, "BYTES_A_SLICE", (shared.file_bytes(oa) + shared.file_bytes(erp)) // 4)
+        found = detail_compare(oa, erp, direction).rows()
+        assert gone(spark, before) and spark.conf.get(conf) == set_before
+        assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()  # it is a table by now
+        assert [tuple(r) for r in found.collect()] == want
+        assert sorted(map(tuple, detail_summary(detail_compare(oa, erp, direction).rows(False, SUMMARY_READS)).collect())) == rolled
+        monkeypatch.undo()
