@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import by_priority, date_key, first_text, round2, shown, unique_text
 from ..model import EQUAL, ERP_ONLY_REMARK, ITEMS_DIFFER, NO_ERP, NO_OA, QTY_DIFFERS, TYPE_PRIORITY, Direction, QueryFilters
 from ..operators.filters import keyed, selected
-from ..shared import dealt, file_bytes, in_slices
+from ..shared import dealt, file_bytes, in_slices, settled
 
 _ORG = ("company", "dept1", "dept2")
 #: Parts that groups without a form are dealt over.
@@ -62,15 +62,16 @@ def erp_groups(rows: DataFrame, order: Column, dealt_by: tuple[str, ...] = ()) -
 
 def form_links(rows: DataFrame) -> DataFrame:
     """(form_no, doc_no) of OA rows: the documents that a form's items link to, each item by its first link, and the first
-    order of an item that links there."""
+    order of an item that links there. Rows are dealt out once, by form."""
     linked = F.when(F.col("link_no") != "", F.col("_ord"))
-    items = keyed(rows).groupBy(F.col("doc_no").alias("form_no"), "item_code").agg(F.min_by("link_no", linked).alias("link_no"), F.min("_ord").alias("_ord"))
+    own = dealt(keyed(rows).select(F.col("doc_no").alias("form_no"), "item_code", "link_no", "_ord"), "form_no", size=file_bytes(rows))
+    items = own.groupBy("form_no", "item_code").agg(F.min_by("link_no", linked).alias("link_no"), F.min("_ord").alias("_ord"))
     return items.filter("link_no <> ''").groupBy("form_no", F.col("link_no").alias("doc_no")).agg(F.min("_ord").alias("link_ord"))
 
 
 def erp_rows_of_links(oa: DataFrame, erp: DataFrame) -> DataFrame:
-    """ERP rows whose document an OA item links to, once for each form and link."""
-    return erp.filter("item_code <> ''").join(form_links(oa), "doc_no")
+    """ERP rows whose document an OA item links to, once for each form and link. The links are kept as a narrow table."""
+    return erp.filter("item_code <> ''").join(settled(form_links(oa), "links"), "doc_no")
 
 
 def erp_rows_of_sources(erp: DataFrame, groups: DataFrame) -> DataFrame:
