@@ -15,7 +15,7 @@ from .operators.place import with_place
 from .operators.precheck import ISSUE, cell_issues, duplicate_issues, orphan_issues, precheck
 from .operators.search import bigram_index, distinct_candidates, indexed_search, search
 from .plans.dept_summary import classified_documents, department_summary, unmatched_documents
-from .plans.detail import detail_compare, detail_summary, erp_groups, erp_only_rows, erp_rows_of_sources, oa_groups
+from .plans.detail import SUMMARY_READS, detail_compare, detail_summary, erp_groups, erp_only_rows, erp_rows_of_sources, oa_groups
 from .plans.doc_compare import EXPANDED_ORDER, compare_documents
 from .plans.engine import ReconEngine
 from .plans.lookup import ERP_MODE, OA_MODE, lookup_rows, lookup_suggestions, organisation_suggestions
@@ -91,7 +91,7 @@ def _classified(spark: SparkSession, d: str) -> DataFrame:
 
 def _detail(direction: Direction, summary: bool) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = detail_compare(*_both(spark, d), direction).rows(ordered=False)
+        rows = detail_compare(*_both(spark, d), direction).rows(ordered=False, columns=SUMMARY_READS if summary else ())
         return detail_summary(rows) if summary else rows
 
     return run
