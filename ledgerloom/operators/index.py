@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import bigrams, norm_text
+from ..shared import cleared
 from .search import MOST_SHOWN
 
 #: Parts that a field's grams are dealt over.
 PARTS = 16
-#: Candidates of a batch that each piece of the parts' postings stands for, so that a task's share doesn't grow with the batch.
+#: Candidates that a task tells the grams of and writes the postings of, so that its share doesn't grow with the batch.
 VALUES_A_PIECE = 500_000
 
 _GRAMS = "gram string, n long, field string, batch int"
@@ -65,12 +66,12 @@ class CandidateIndex:
         new = first.join(known, ["field", "k"], "left_anti").select("f.value", "f._ord", "field", F.lit(batch).alias("batch"))
         self._write(new, "values", "field", "batch")
         values = self._read("values", _VALUES).filter(F.col("batch") == batch)
-        rows = values.select(F.explode(bigrams(F.col("value"))).alias("gram"), "value", "_ord", "field", "batch")
-        dealt = rows.withColumn("part", F.pmod(F.crc32(F.encode("gram", "utf-8")), F.lit(PARTS)).cast("int"))
         n = values.count()
         pieces = max(1, -(-n // VALUES_A_PIECE))
-        postings = dealt.select("gram", "value", "_ord", "field", "part", "batch")
-        postings = postings.repartition("field", "part") if pieces == 1 else postings.repartition(PARTS * pieces, "field", "part", F.pmod(F.xxhash64("value"), F.lit(pieces)))
+        held = values if pieces == 1 else values.repartition(pieces, "field", "value")  # before their grams are told, of which each has many
+        rows = held.select(F.explode(bigrams(F.col("value"))).alias("gram"), "value", "_ord", "field", "batch")
+        postings = rows.select("gram", "value", "_ord", "field", F.pmod(F.crc32(F.encode("gram", "utf-8")), F.lit(PARTS)).cast("int").alias("part"), "batch")
+        postings = postings.repartition("field", "part") if pieces == 1 else postings
         self._write(postings, "postings", "field", "part", "batch")
         counts = self._read("postings", _POSTINGS).filter(F.col("batch") == batch).groupBy("gram", "field", "batch").agg(F.count(F.lit(1)).alias("n"))
         self._write(counts.select("gram", "n", "field", "batch").union(self.spark.createDataFrame([("", 0, "", batch)], _GRAMS)), "grams", "field", "batch")
@@ -82,7 +83,8 @@ class CandidateIndex:
         before = self.spark.conf.get(conf)
         self.spark.conf.set(conf, "dynamic")
         try:
-            df.write.mode("overwrite").partitionBy(*by).parquet(f"{self.path}/{table}")
+            with cleared(self.spark):
+                df.write.mode("overwrite").partitionBy(*by).parquet(f"{self.path}/{table}", compression="zstd")
         finally:
             self.spark.conf.set(conf, before)
 

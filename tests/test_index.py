@@ -5,6 +5,8 @@ import ledgerloom.operators.index as operators_index
 from ledgerloom.operators.index import CandidateIndex, grams_of, part_of
 from ledgerloom.operators.search import search
 
+from .test_dealt import gone, shuffle_files
+
 ROWS = [("铜管接头", 3), ("阀门", 1), ("铜管弯头", 2), ("垫片", 9), ("XyZ", 5), ("xyz", 4), (" ", 0), ("a", 7), ("banana", 8), (None, 10), ("é_%\\", 11)]
 TEXTS = ["管接", "", "Y", "yz", "铜管接头", "qq", "zy", "铜管", "an", "nana", "banana ", "a", "_%", "é_"]
 
@@ -78,3 +80,18 @@ def test_postings_of_a_large_batch_are_dealt_over_pieces(spark, rows, tmp_path,
     assert files(whole) == 1 and files(cut) > 8
     for text in (*TEXTS, "banana 1", "a 29"):
         assert named(cut.search("f", text, 500)) == named(whole.search("f", text, 500)), text
+
+
+def test_postings_of_a_large_batch_are_never_shuffled(spark, rows, tmp_path, monkeypatch):
+    """Candidates are dealt out before their grams are told, and nothing that was shuffled stays once a table is written."""
+    plans, write = {}, CandidateIndex._write
+    monkeypatch.setattr(CandidateIndex, "_write", lambda self, df, table, *by: (plans.setdefault(table, df._jdf.queryExecution().optimizedPlan().toString()), write(self, df, table, *by)))
+    monkeypatch.setattr(operators_index, "VALUES_A_PIECE", 4)
+    index = CandidateIndex(spark, str(tmp_path / "i"))
+    assert index.add(rows) == 9
+    before = shuffle_files(spark)
+    write(index, rows.selectExpr("value AS gram", "1L AS n", "field", "7 AS batch").repartition(2, "gram"), "more", "field", "batch")
+    assert gone(spark, before)
+    steps = plans["postings"].splitlines()
+    assert next(i for i, x in enumerate(steps) if "Generate explode" in x) < next(i for i, x in enumerate(steps) if "RepartitionByExpression" in x)
+    assert plans["postings"].count("RepartitionByExpression") == 1
