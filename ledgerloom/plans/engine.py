@@ -11,6 +11,7 @@ from ..metrics import Recorder
 from ..model import (
     ERP_COMPARE_DISPLAY, LOOKUP_ERP_DISPLAY, LOOKUP_OA_DISPLAY, NO_RESULT, OA_COMPARE_DISPLAY, VARIANCE_DISPLAY, Direction, OutputKind, QueryFilters, QueryResult, QueryState, display,
 )
+from ..shared import cleared
 from ..sinks import read_metadata, read_output, write_counted
 from . import detail, dept_summary, doc_compare, lookup, strict
 
@@ -121,17 +122,16 @@ class ReconEngine:
         return {c: [r.value for r in found if r.field == c] for c in ("company", "dept1", "dept2")}
 
     def diagnostics(self, state: QueryState | None = None) -> DataFrame:
-        """Stages, capabilities and results of running all three outputs over one read; writes nothing."""
+        """Stages, capabilities and results of running all three outputs; writes nothing.
+
+        Each stage reads the sources itself and is done with what it shuffled when it ends: neither copies of both sides
+        nor the shuffles of all stages come to lie on disk together.
+        """
         spark, state, record = self.oa.sparkSession, state or QueryState(), Recorder(self.oa.sparkSession)
-        oa, erp = self.oa.persist(), self.erp.persist()
-        try:
-            n_oa = record.measure("read_oa", lambda: oa.count())
-            n_erp = record.measure("read_erp", lambda: erp.count())
-            own = ReconEngine(oa, erp)
+        with cleared(spark):
+            n_oa = record.measure("read_oa", lambda: self.oa.count())
+            n_erp = record.measure("read_erp", lambda: self.erp.count())
             for kind in OutputKind:
-                record.measure(kind.value, lambda kind=kind: own.rows(kind, state, ordered=False).count(), rows_in=(n_oa or 0) + (n_erp or 0))
-        finally:
-            oa.unpersist()
-            erp.unpersist()
+                record.measure(kind.value, lambda kind=kind: self.rows(kind, state, ordered=False).count(), rows_in=(n_oa or 0) + (n_erp or 0))
         return record.frame(spark)
 

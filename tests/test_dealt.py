@@ -3,12 +3,17 @@
 import re
 import time
 
+import pytest
+
 from ledgerloom import shared
 from ledgerloom.model import Direction, QueryFilters
 from ledgerloom.operators.grain import doc_grain
+from ledgerloom.operators.place import with_place
+from ledgerloom.operators.precheck import DUPLICATE, precheck
 from ledgerloom.plans.dept_summary import classified_documents, unmatched_documents
 from ledgerloom.plans.detail import SUMMARY_READS, detail_compare, detail_summary, erp_only_rows
 from ledgerloom.plans.doc_compare import compare_documents
+from ledgerloom.plans.engine import ReconEngine
 from ledgerloom.sources.tables import canonical
 
 from .cases import ERP_ORDER, ORG, raw
@@ -135,3 +140,12 @@ def test_details_in_slices_equal_those_at_once(spark, tmp_path, monkeypatch):
         assert [tuple(r) for r in found.collect()] == want
         assert sorted(map(tuple, detail_summary(detail_compare(oa, erp, direction).rows(False, SUMMARY_READS)).collect())) == rolled
         monkeypatch.undo()
+
+
+def test_diagnostics_keep_no_copies_and_no_shuffles(spark, monkeypatch):
+    oa, erp = sides(spark)
+    monkeypatch.setattr(type(oa), "persist", lambda *_: pytest.fail("both sides are copied"))
+    before = shuffle_files(spark)
+    rows = ReconEngine(oa, erp).diagnostics().collect()
+    assert gone(spark, before)
+    assert [(r.stage, r.rows_out) for r in rows if r.category == "阶段耗时"] == [("read_oa", "8"), ("read_erp", "8"), ("variance_summary", "1"), ("oa_doc_compare", "5"), ("erp_doc_compare", "5")]
