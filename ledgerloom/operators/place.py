@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import scratch
+from ..shared import cleared, discard, settled
 
 
 def with_place(df: DataFrame, *order: str) -> DataFrame:
     """``df`` with ``place``, each row's number from 1 in the order of ``order``; rows that tie go in any order.
 
-    Rows are sorted over ranges and kept; a range's first number is what the ranges before it
+    Rows are kept as they come, so that what made them is off the disk when they are sorted and isn't worked out again to
+    find the ranges. They are sorted over ranges and kept again; a range's first number is what the ranges before it
     hold. Only those counts, one a range, reach the driver.
     """
-    ranged = df.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
-    held = scratch(ranged, "placed")
-    sizes = {r["_part"]: r["n"] for r in held.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = settled(df, "to-place")
+    ranged = rows.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    held = settled(ranged, "placed")
+    discard(rows)
+    with cleared(df.sparkSession):
+        sizes = {r["_part"]: r["n"] for r in held.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
     firsts, before = [], 0
     for part in sorted(sizes):
         firsts.append((part, before))

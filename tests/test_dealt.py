@@ -149,3 +149,11 @@ def test_diagnostics_keep_no_copies_and_no_shuffles(spark, monkeypatch):
     rows = ReconEngine(oa, erp).diagnostics().collect()
     assert gone(spark, before)
     assert [(r.stage, r.rows_out) for r in rows if r.category == "阶段耗时"] == [("read_oa", "8"), ("read_erp", "8"), ("variance_summary", "1"), ("oa_doc_compare", "5"), ("erp_doc_compare", "5")]
+
+
+def test_placing_rows_leaves_no_shuffle(spark):
+    before = shuffle_files(spark)
+    found = with_place(spark.range(2000).selectExpr("id", "hash(id) AS k").repartition(3, "k"), "k")
+    assert gone(spark, before)
+    rows = sorted((r["place"], r["k"]) for r in found.collect())
+    assert [p for p, _ in rows] == list(range(1, 2001)) and [k for _, k in rows] == sorted(k for _, k in rows)
