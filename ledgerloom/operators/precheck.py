@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import norm_text, trimmed_date, trimmed_decimal
 from ..model import ERP_HEADERS, OA_HEADERS
-from ..shared import scratch
+from ..shared import settled
 
 _log = logging.getLogger(__name__)
 
@@ -107,10 +107,21 @@ def keyed_rows(raw: DataFrame, source: str, rules: list[tuple[int, str, str]] |
     return rows.select(F.lit(source).alias("source"), F.col(form).alias("form"), F.col(item).alias("item"), "_ord", "row_label", *more)
 
 
-def _duplicates(keys: DataFrame, source: str) -> DataFrame:
+def _whole(keys: DataFrame) -> DataFrame:
+    """Rows of a business key without a blank part."""
+    return keys.filter((F.col("form") != "") & (F.col("item") != ""))
+
+
+def _repeated(keys: DataFrame) -> DataFrame:
+    """(source, form, item) of several rows, kept as a table, so that its size is known before rows meet it: where few keys
+    are repeated no row is dealt out for them."""
+    return settled(_whole(keys).groupBy("source", "form", "item").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "repeated")
+
+
+def _duplicates(keys: DataFrame, source: str, repeated: DataFrame) -> DataFrame:
     rule, columns = _KEYS[source]
-    own = keys.filter((F.col("source") == source) & (F.col("form") != "") & (F.col("item") != "")).select("form", "item", "_ord", "row_label")
-    several = own.groupBy("form", "item").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("form", "item")
+    own = _whole(keys).filter(F.col("source") == source).select("form", "item", "_ord", "row_label")
+    several = repeated.filter(F.col("source") == source).select("form", "item")
     rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_ord", "row_label"))), lambda r: r["row_label"]), ",")
     grouped = own.join(several, ["form", "item"], "left_semi").groupBy("form", "item").agg(F.min("_ord").alias("_ord"), rows.alias("rows"))
     names = "+".join(headers_of(source)[c] for c in columns)
@@ -123,7 +134,8 @@ def duplicate_issues(raw: DataFrame, source: str) -> DataFrame:
 
     Only rows of repeated keys are listed. An issue names every row of its key, so its text grows with them.
     """
-    return _duplicates(keyed_rows(raw, source), source)
+    keys = keyed_rows(raw, source)
+    return _duplicates(keys, source, _repeated(keys))
 
 
 def _orphans(keys: DataFrame) -> DataFrame:
@@ -147,9 +159,9 @@ def precheck(raw_oa: DataFrame, raw_erp: DataFrame, ordered: bool = True) -> Dat
     of different kinds, whatever form their order has.
     """
     sides = [keyed_rows(raw, source, list(_CELL_RULES[source])) for source, raw in (("OA", raw_oa), ("ERP", raw_erp))]
-    keys = scratch(sides[0].unionByName(sides[1]), "precheck")
-    cells = _listed(keys.filter(F.size("issues") > 0))
-    found = cells.unionByName(_duplicates(keys, "OA")).unionByName(_duplicates(keys, "ERP")).unionByName(_orphans(keys))
+    keys = settled(sides[0].unionByName(sides[1]), "precheck")
+    cells, repeated = _listed(keys.filter(F.size("issues") > 0)), _repeated(keys)
+    found = cells.unionByName(_duplicates(keys, "OA", repeated)).unionByName(_duplicates(keys, "ERP", repeated)).unionByName(_orphans(keys))
     return (found.orderBy("rule", "_ord") if ordered else found).select(*ISSUE)
 
 
