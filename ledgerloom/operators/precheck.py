@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import norm_text, trimmed_date, trimmed_decimal
 from ..model import ERP_HEADERS, OA_HEADERS
-from ..shared import settled
+from ..shared import large, settled
 
 _log = logging.getLogger(__name__)
 
@@ -113,9 +113,10 @@ def _whole(keys: DataFrame) -> DataFrame:
 
 
 def _repeated(keys: DataFrame) -> DataFrame:
-    """(source, form, item) of several rows, kept as a table, so that its size is known before rows meet it: where few keys
-    are repeated no row is dealt out for them."""
-    return settled(_whole(keys).groupBy("source", "form", "item").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "repeated")
+    """(source, form, item) of several rows. Those of large tables are kept as a table, so that their size is known before
+    rows meet them: where few keys are repeated no row is dealt out for that."""
+    found = _whole(keys).groupBy("source", "form", "item").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return settled(found, "repeated") if large(keys) else found
 
 
 def _duplicates(keys: DataFrame, source: str, repeated: DataFrame) -> DataFrame:

@@ -93,6 +93,11 @@ def file_bytes(df: DataFrame) -> int:
     return sum(f.getFileSystem(conf).getFileStatus(f).getLen() for f in files)
 
 
+def large(df: DataFrame) -> bool:
+    """Whether the files that ``df`` reads are worth steps of their own."""
+    return file_bytes(df) > BYTES_A_SLICE
+
+
 def parts_for(spark: SparkSession, size: int) -> int:
     """In how many parts so many bytes are dealt out: the session's number, or more where a part would get too large."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BYTES_A_PART))
